@@ -290,3 +290,189 @@ SELECT 'PROC', 'WH', CAST(count(*) FILTER (WHERE np = 1 AND nw = 0) AS BIGINT),
        CAST(count(*) FILTER (WHERE np = 1 AND nw = 1 AND pa IS DISTINCT FROM wa) AS BIGINT) FROM st""")
 def q_three_way_pair_counts(spark, sf_dir):
     return M.three_way_pair_counts(_f3_stats(spark, sf_dir))
+
+
+# ===================================================================== checks
+from ..operators import checks as C  # noqa: E402
+
+_CHECK_COLS = ("check_order, check_name, status, message, source_value, target_value, difference, "
+               "tolerance_used")
+_F1_TOTALS = _F1[:-1] + """,
+u AS (SELECT txn_id, true AS s, CAST(amount AS DECIMAL(18, 2)) AS a FROM f1_source
+      UNION ALL SELECT txn_id, false, CAST(amount AS DECIMAL(18, 2)) FROM f1_target),
+pk AS (SELECT txn_id, count(*) FILTER (WHERE s) AS ns, count(*) FILTER (WHERE NOT s) AS nt,
+              sum(a) FILTER (WHERE s) AS sa, sum(a) FILTER (WHERE NOT s) AS ta FROM u GROUP BY txn_id),
+tot AS (SELECT sum(ns) AS source_count, sum(nt) AS target_count,
+               CAST(sum(sa) AS DOUBLE) AS source_amount, CAST(sum(ta) AS DOUBLE) AS target_amount,
+               count(*) FILTER (WHERE ns > 0) AS source_keys, count(*) FILTER (WHERE nt > 0) AS target_keys,
+               count(*) FILTER (WHERE ns > 0 AND nt = 0) AS missing_keys FROM pk),
+checks AS (
+  SELECT 1 AS check_order, 'record_count' AS check_name,
+         CASE WHEN target_count = source_count THEN 'PASS' ELSE 'FAIL' END AS status,
+         CASE WHEN target_count = source_count THEN printf('Counts match: %d records', source_count)
+              ELSE printf('Count mismatch: %+d records', target_count - source_count) END AS message,
+         CAST(source_count AS DOUBLE) AS source_value, CAST(target_count AS DOUBLE) AS target_value,
+         CAST(target_count - source_count AS DOUBLE) AS difference, CAST(NULL AS DOUBLE) AS tolerance_used
+  FROM tot
+  UNION ALL
+  SELECT 2, 'amount_balance_amount',
+         CASE WHEN p <= 0.01 THEN 'PASS' ELSE 'FAIL' END,
+         CASE WHEN p <= 0.01 THEN 'amount balanced within 1.00% tolerance'
+              ELSE concat('amount mismatch: ', printf('%,.2f', d), ' (',
+                          CASE WHEN isinf(p) THEN 'inf%' ELSE printf('%.4f%%', p * 100) END, ' of source)') END,
+         source_amount, target_amount, d, 0.01
+  FROM (SELECT *, target_amount - source_amount AS d,
+               CASE WHEN source_amount = 0 THEN CASE WHEN target_amount = 0 THEN 0.0 ELSE 'inf'::DOUBLE END
+                    ELSE abs(target_amount - source_amount) / abs(source_amount) END AS p FROM tot)
+  UNION ALL
+  SELECT 3, 'key_completeness', CASE WHEN missing_keys = 0 THEN 'PASS' ELSE 'FAIL' END,
+         CASE WHEN missing_keys = 0 THEN printf('All %d source keys present in target', source_keys)
+              ELSE printf('%d source keys missing in target', missing_keys) END,
+         CAST(source_keys AS DOUBLE), CAST(target_keys AS DOUBLE),
+         CASE WHEN missing_keys > 0 THEN CAST(missing_keys AS DOUBLE) END, CAST(NULL AS DOUBLE)
+  FROM tot)
+"""
+
+
+def _f1_checks(spark, sf_dir):
+    return C.run_all(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), ["txn_id"], "amount",
+                     money_scale=2)
+
+
+@register("check_run_all", _F1_TOTALS + f"SELECT {_CHECK_COLS} FROM checks")
+def q_check_run_all(spark, sf_dir):
+    return _f1_checks(spark, sf_dir)
+
+
+@register("check_count", _F1_TOTALS + f"SELECT {_CHECK_COLS} FROM checks WHERE check_order = 1")
+def q_check_count(spark, sf_dir):
+    t = C.side_totals(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), ["txn_id"], None)
+    return t.select(C.count_check(F.col("source_count"), F.col("target_count")).alias("c")).select("c.*")
+
+
+@register("check_amount", _F1_TOTALS + f"SELECT {_CHECK_COLS} FROM checks WHERE check_order = 2")
+def q_check_amount(spark, sf_dir):
+    t = C.side_totals(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), ["txn_id"], "amount",
+                      money_scale=2)
+    return t.select(C.amount_check(F.col("source_amount"), F.col("target_amount")).alias("c")).select("c.*")
+
+
+@register("check_overall_status", _F1_TOTALS + """
+SELECT CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'FAIL'
+            WHEN count(*) FILTER (WHERE status = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS overall_status,
+       CAST(count(*) AS BIGINT) AS check_count,
+       string_agg(check_name || ':' || status, ',' ORDER BY check_order) AS checks
+FROM checks""")
+def q_check_overall_status(spark, sf_dir):
+    o = C.overall_status(_f1_checks(spark, sf_dir))
+    return o.select("overall_status", "check_count",
+                    F.array_join(F.transform("checks", lambda x: F.concat(x["name"], F.lit(":"), x["status"])),
+                                 ",").alias("checks"))
+
+
+@register("check_completeness_missing", S.with_(f1_source=S.F1_SOURCE, f1_target=S.F1_TARGET) + """
+SELECT txn_id FROM (SELECT DISTINCT txn_id FROM f1_source) s
+WHERE NOT EXISTS (SELECT 1 FROM f1_target t WHERE t.txn_id IS NOT DISTINCT FROM s.txn_id)""")
+def q_check_completeness_missing(spark, sf_dir):
+    return C.missing_keys(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), ["txn_id"])
+
+
+_ORD_HASH = ("sha256(concat_ws('|', coalesce(length(cast(o_orderkey AS VARCHAR)) || ':' || cast(o_orderkey AS VARCHAR), '~'), "
+             "coalesce(length(o_orderstatus) || ':' || o_orderstatus, '~'), "
+             "coalesce(length(printf('%.6f', {p})) || ':' || printf('%.6f', {p}), '~')))")
+
+
+@register("check_row_hash", f"""
+WITH expected AS (SELECT o_orderkey, {_ORD_HASH.format(p='o_totalprice')} AS expected_hash FROM orders),
+data AS (SELECT o_orderkey, {_ORD_HASH.format(p='CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + 1 ELSE o_totalprice END')}
+                AS actual_hash FROM orders)
+SELECT d.o_orderkey, 'hash_integrity' AS check_name,
+       CASE WHEN actual_hash = expected_hash THEN 'PASS' ELSE 'FAIL' END AS status,
+       CASE WHEN actual_hash = expected_hash THEN 'Hash integrity verified'
+            ELSE 'Hash mismatch — possible data tampering' END AS message,
+       substr(expected_hash, 1, 16) || '...' AS source_value, substr(actual_hash, 1, 16) || '...' AS target_value
+FROM data d LEFT JOIN expected e ON d.o_orderkey = e.o_orderkey""")
+def q_check_row_hash(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    expected = o.select("o_orderkey", C.row_hash(o, cols).alias("expected_hash"))
+    data = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1)
+                        .otherwise(F.col("o_totalprice")))
+    return C.hash_integrity(data, expected, ["o_orderkey"], cols)
+
+
+_F1_FP = """
+SELECT CAST(count(*) AS BIGINT) AS row_count,
+       CAST(coalesce(sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT), 0) AS VARCHAR) AS lane1_sum,
+       CAST(coalesce(sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT), 0) AS VARCHAR) AS lane2_sum
+FROM (SELECT sha256(concat_ws('|', coalesce(length(txn_id) || ':' || txn_id, '~'),
+                                   coalesce(length(printf('%.6f', amount)) || ':' || printf('%.6f', amount), '~'),
+                                   coalesce(length(dept) || ':' || dept, '~'))) AS h FROM {t})"""
+
+
+@register("check_fingerprint", S.with_(f1_target=S.F1_TARGET) + _F1_FP.format(t="f1_target"))
+def q_check_fingerprint(spark, sf_dir):
+    t = FX.f1_target(spark, sf_dir)
+    return C.fingerprint(t, ["txn_id", "amount", "dept"])
+
+
+@register("check_fingerprint_compare", S.with_(f1_source=S.F1_SOURCE, f1_target=S.F1_TARGET) + f"""
+SELECT 'dataset_fingerprint' AS check_name,
+       CASE WHEN s.row_count = t.row_count AND s.lane1_sum = t.lane1_sum AND s.lane2_sum = t.lane2_sum
+            THEN 'PASS' ELSE 'FAIL' END AS status,
+       s.row_count AS source_rows, t.row_count AS target_rows
+FROM ({_F1_FP.format(t="f1_source")}) s, ({_F1_FP.format(t="f1_target")}) t""")
+def q_check_fingerprint_compare(spark, sf_dir):
+    return C.fingerprint_check(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir),
+                               ["txn_id", "amount", "dept"])
+
+
+# ------------------------------------------------------------------- variance
+def _daily_series(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("metric"),
+                     F.date_format("ts", "yyyy-MM-dd").alias("period")) \
+        .agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
+
+
+_DAILY_SQL = """
+WITH series AS (SELECT event_type AS metric, strftime(ts, '%Y-%m-%d') AS period,
+                       CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value
+                FROM events GROUP BY 1, 2)
+"""
+
+
+def _var_sql(cur: str, prior: str, metric: str, prefix: str = "period_variance_") -> str:
+    p = (f"(CASE WHEN {prior} = 0 THEN CASE WHEN {cur} = 0 THEN 0.0 ELSE 'inf'::DOUBLE END "
+         f"ELSE abs({cur} - {prior}) / abs({prior}) END)")
+    return f"""'{prefix}' || {metric} AS check_name,
+       CASE WHEN {p} <= 0.15 THEN 'PASS' ELSE 'FAIL' END AS status,
+       {metric} || ' variance ' || CASE WHEN isinf({p}) THEN 'inf%' ELSE printf('%.2f%%', {p} * 100) END
+         || CASE WHEN {p} <= 0.15 THEN ' within 15% threshold' ELSE ' exceeds 15% threshold' END AS message,
+       {prior} AS source_value, {cur} AS target_value, {cur} - {prior} AS difference, CAST(0.15 AS DOUBLE) AS tolerance_used"""
+
+
+@register("variance_period", _DAILY_SQL + f"""
+SELECT metric, period, prior_period, {_var_sql('cur', 'prior', 'metric')}
+FROM (SELECT metric, period, value AS cur,
+             lag(value) OVER (PARTITION BY metric ORDER BY period) AS prior,
+             lag(period) OVER (PARTITION BY metric ORDER BY period) AS prior_period FROM series)
+WHERE prior_period IS NOT NULL""")
+def q_variance_period(spark, sf_dir):
+    return C.period_variance(_daily_series(spark, sf_dir))
+
+
+@register("variance_historical", _DAILY_SQL + f"""
+, last AS (SELECT metric, max(period) AS period FROM series GROUP BY metric),
+cur AS (SELECT s.metric, s.value FROM series s JOIN last l ON s.metric = l.metric AND s.period = l.period),
+hist AS (SELECT s.metric, avg(s.value) AS avg_v FROM series s JOIN last l ON s.metric = l.metric
+         WHERE s.period < l.period GROUP BY s.metric)
+SELECT cur.metric, {_var_sql('cur.value', 'hist.avg_v', 'cur.metric')}
+FROM cur JOIN hist ON cur.metric = hist.metric""")
+def q_variance_historical(spark, sf_dir):
+    s = _daily_series(spark, sf_dir)
+    last = s.groupBy("metric").agg(F.max("period").alias("_last"))
+    sj = s.join(last, "metric")
+    cur = sj.filter(F.col("period") == F.col("_last")).select("metric", "value")
+    hist = sj.filter(F.col("period") < F.col("_last")).select("metric", "value")
+    return C.historical_variance(cur, hist)

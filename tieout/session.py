@@ -27,6 +27,7 @@ def build_session(master: str | None = None, app: str = "tieout",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.ansi.enabled", "true")
     )
     spark = builder.getOrCreate()
