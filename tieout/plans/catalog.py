@@ -476,3 +476,195 @@ def q_variance_historical(spark, sf_dir):
     cur = sj.filter(F.col("period") == F.col("_last")).select("metric", "value")
     hist = sj.filter(F.col("period") < F.col("_last")).select("metric", "value")
     return C.historical_variance(cur, hist)
+
+
+# ======================================================================= gate
+from ..operators import gate as G  # noqa: E402
+
+_F2 = S.with_(cur=S.F2_CURRENT, hist=S.F2_HISTORY, hist_c=S.F2_HISTORY_CONTAMINATED)
+
+
+def _median_sql(src: str, val: str, seg: bool) -> str:
+    """Exact median as the mean of the two middle values (same arithmetic as
+    the Spark operator)."""
+    gby = "GROUP BY segment" if seg else ""
+    gsel = "segment, " if seg else ""
+    part = "PARTITION BY segment" if seg else ""
+    return f"""(SELECT {gsel}avg(v) AS m FROM (
+        SELECT {gsel}{val} AS v, row_number() OVER ({part} ORDER BY {val}) - 1 AS r,
+               count(*) OVER ({part}) AS n FROM {src} WHERE {val} IS NOT NULL)
+      WHERE r IN ((n - 1) // 2, n // 2) {gby})"""
+
+
+def _gate_sql(hist: str, method: str = "zscore", seg: bool = False, min_obs: int = 30,
+              block: float = 4.0, sigma: float = 2.5) -> str:
+    """CTEs ``bb`` (baseline) and ``rec`` (scored records)."""
+    gsel = "segment, " if seg else ""
+    gby = "GROUP BY segment" if seg else ""
+    if method == "zscore":
+        base = f"""b AS (SELECT {gsel}count(value) AS n, avg(value) AS c,
+                          coalesce(stddev_samp(value), 'nan'::DOUBLE) AS s
+                   FROM {hist} WHERE value IS NOT NULL {gby})"""
+    else:
+        med = _median_sql(hist, "value", seg)
+        on = "USING (segment)" if seg else "ON true"
+        devsrc = f"(SELECT {gsel}abs(h.value - md.m) AS d FROM {hist} h JOIN {med} md {on} WHERE h.value IS NOT NULL)"
+        mad = _median_sql(devsrc, "d", seg)
+        cnt = f"(SELECT {gsel}count(value) AS n FROM {hist} WHERE value IS NOT NULL {gby})"
+        base = f"""b AS (SELECT {gsel}cn.n, md.m AS c, ma.m AS s FROM {cnt} cn JOIN {med} md {on}
+                         JOIN {mad} ma {on})"""
+    z = ("CASE WHEN s = 0 THEN CASE WHEN value = c THEN 0.0 ELSE 'inf'::DOUBLE END ELSE "
+         + ("abs(0.6745 * (value - c) / s)" if method == "mad" else "abs(value - c) / s") + " END")
+    join = ("cur LEFT JOIN bb ON cur.segment IS NOT DISTINCT FROM bb.segment" if seg else "cur, bb")
+    segcol = "cur.segment, " if seg else ""
+    return f""",
+{base},
+bb AS (SELECT {gsel}n, CASE WHEN n >= {min_obs} THEN c ELSE 0.0 END AS c,
+              CASE WHEN n >= {min_obs} THEN s ELSE 0.0 END AS s, n >= {min_obs} AS ok FROM b),
+sc AS (SELECT record_id, {segcol}value, coalesce(ok, false) AND value IS NOT NULL AS ok, c, s, {z} AS z
+       FROM {join}),
+rec AS (SELECT record_id, {'segment, ' if seg else ''}value,
+   CASE WHEN ok THEN CASE WHEN isnan(z) OR isinf(z) THEN z ELSE round(z, 2) END ELSE 0.0 END AS z_score,
+   CASE WHEN ok THEN CASE WHEN isnan(z) THEN 'pass' WHEN z >= {block} THEN 'block'
+                          WHEN z >= {sigma} THEN 'flag' ELSE 'pass' END ELSE 'flag' END AS decision,
+   CASE WHEN ok THEN round(c, 2) ELSE 0.0 END AS baseline_mean,
+   CASE WHEN ok THEN round(s, 2) ELSE 0.0 END AS baseline_std
+   FROM sc)
+"""
+
+
+_REC_COLS = "record_id, value, z_score, decision, baseline_mean, baseline_std"
+
+
+def _rec(r: G.GateResult, seg: bool = False) -> DataFrame:
+    cols = ["record_id", *(["segment"] if seg else []), "value", "z_score", "decision", "baseline_mean",
+            "baseline_std"]
+    return r.records.select(*cols)
+
+
+def _verdict_sql(global_gate: bool) -> str:
+    bm = "round((SELECT c FROM bb), 6)" if global_gate else "CAST(0.0 AS DOUBLE)"
+    bs = "round((SELECT s FROM bb), 6)" if global_gate else "CAST(0.0 AS DOUBLE)"
+    invalid = "NOT (SELECT ok FROM bb)" if global_gate else "false"
+    return f"""
+SELECT CAST(count(*) AS BIGINT) AS total_records,
+       CAST(count(*) FILTER (WHERE decision = 'pass') AS BIGINT) AS passed,
+       CAST(count(*) FILTER (WHERE decision = 'flag') AS BIGINT) AS flagged,
+       CAST(count(*) FILTER (WHERE decision = 'block') AS BIGINT) AS blocked,
+       CASE WHEN {invalid} THEN 'flag'
+            WHEN count(*) FILTER (WHERE decision = 'block') > 0 THEN 'block'
+            WHEN count(*) > 0 AND count(*) FILTER (WHERE decision <> 'pass') / count(*) > 0.1 THEN 'block'
+            WHEN count(*) FILTER (WHERE decision = 'flag') > 0 THEN 'flag' ELSE 'pass' END AS gate_decision,
+       CASE WHEN {invalid} THEN 1.0
+            WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE decision <> 'pass') / count(*), 4)
+            ELSE 0.0 END AS batch_anomaly_rate,
+       {bm} AS baseline_mean, {bs} AS baseline_std,
+       CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE decision = 'pass') / count(*) END AS pass_rate
+FROM rec"""
+
+
+def _verdict(r: G.GateResult) -> DataFrame:
+    return r.verdict.withColumn("baseline_mean", F.round("baseline_mean", 6)) \
+        .withColumn("baseline_std", F.round("baseline_std", 6))
+
+
+@register("zscore_global", _F2[:-1] + _gate_sql("hist") + f"SELECT {_REC_COLS} FROM rec")
+def q_zscore_global(spark, sf_dir):
+    return _rec(G.validate(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir)))
+
+
+@register("zscore_verdict", _F2[:-1] + _gate_sql("hist") + _verdict_sql(True))
+def q_zscore_verdict(spark, sf_dir):
+    return _verdict(G.validate(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir)))
+
+
+@register("zscore_mad", _F2[:-1] + _gate_sql("hist", "mad") + f"SELECT {_REC_COLS} FROM rec")
+def q_zscore_mad(spark, sf_dir):
+    return _rec(G.validate(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir),
+                           params=G.GateParams(method="mad")))
+
+
+@register("zscore_mad_contaminated", _F2[:-1] + _gate_sql("hist_c", "mad")
+          + "SELECT decision, CAST(count(*) AS BIGINT) AS n FROM rec GROUP BY decision")
+def q_zscore_mad_contaminated(spark, sf_dir):
+    r = G.validate(FX.f2_current(spark, sf_dir), FX.f2_history_contaminated(spark, sf_dir),
+                   params=G.GateParams(method="mad"))
+    return r.records.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("zscore_masked_contaminated", _F2[:-1] + _gate_sql("hist_c")
+          + "SELECT decision, CAST(count(*) AS BIGINT) AS n FROM rec GROUP BY decision")
+def q_zscore_masked_contaminated(spark, sf_dir):
+    r = G.validate(FX.f2_current(spark, sf_dir), FX.f2_history_contaminated(spark, sf_dir))
+    return r.records.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("zscore_segmented", _F2[:-1] + _gate_sql("hist", seg=True)
+          + "SELECT record_id, segment, value, z_score, decision, baseline_mean, baseline_std FROM rec")
+def q_zscore_segmented(spark, sf_dir):
+    return _rec(G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir)), seg=True)
+
+
+@register("zscore_segmented_mad", _F2[:-1] + _gate_sql("hist", "mad", seg=True)
+          + "SELECT record_id, segment, value, z_score, decision, baseline_mean, baseline_std FROM rec")
+def q_zscore_segmented_mad(spark, sf_dir):
+    return _rec(G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir),
+                                     params=G.GateParams(method="mad")), seg=True)
+
+
+@register("zscore_verdict_segmented", _F2[:-1] + _gate_sql("hist", seg=True) + _verdict_sql(False))
+def q_zscore_verdict_segmented(spark, sf_dir):
+    return _verdict(G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir)))
+
+
+_F2_COLD = S.with_(cur=S.F2_CURRENT, hist=f"SELECT * FROM ({S.F2_HISTORY}) WHERE segment = 'signup'")
+
+
+@register("zscore_insufficient", _F2_COLD[:-1] + _gate_sql("hist") + _verdict_sql(True))
+def q_zscore_insufficient(spark, sf_dir):
+    h = FX.f2_history(spark, sf_dir).filter(F.col("segment") == "signup")
+    return _verdict(G.validate(FX.f2_current(spark, sf_dir), h))
+
+
+_F2_WIN = S.with_(cur=S.F2_CURRENT, hist=f"""SELECT * FROM ({S.F2_HISTORY})
+                  WHERE ts >= timestamp '2024-01-25 00:00:00' - INTERVAL 10 DAY""")
+
+
+@register("zscore_window_cutoff", _F2_WIN[:-1] + _gate_sql("hist") + _verdict_sql(True))
+def q_zscore_window_cutoff(spark, sf_dir):
+    r = G.validate(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir), ts_col="ts",
+                   as_of="2024-01-25 00:00:00", params=G.GateParams(window_days=10))
+    return _verdict(r)
+
+
+@register("zscore_deviation_pct", _F2[:-1] + _gate_sql("hist") + """
+SELECT record_id, decision,
+       round(CASE WHEN baseline_mean = 0 THEN CASE WHEN value <> 0 THEN 'inf'::DOUBLE ELSE 0.0 END
+                  ELSE abs(value - baseline_mean) / abs(baseline_mean) * 100 END, 6) AS deviation_pct
+FROM rec WHERE decision <> 'pass'""")
+def q_zscore_deviation_pct(spark, sf_dir):
+    r = G.validate(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir))
+    return r.anomalies.select("record_id", "decision", F.round("deviation_pct", 6).alias("deviation_pct"))
+
+
+@register("zscore_daily_rates", _F2[:-1] + _gate_sql("hist", seg=True) + """
+SELECT strftime(cur.ts, '%Y-%m-%d') AS observation_date, coalesce(rec.segment, 'GLOBAL') AS segment,
+       CAST(count(*) AS BIGINT) AS total_records,
+       CAST(count(*) FILTER (WHERE upper(decision) = 'PASS') AS BIGINT) AS passed,
+       CAST(count(*) FILTER (WHERE upper(decision) = 'FLAG') AS BIGINT) AS flagged,
+       CAST(count(*) FILTER (WHERE upper(decision) = 'BLOCK') AS BIGINT) AS blocked,
+       count(*) FILTER (WHERE upper(decision) = 'FLAG') / count(*) AS flag_rate,
+       count(*) FILTER (WHERE upper(decision) = 'BLOCK') / count(*) AS block_rate
+FROM rec JOIN cur USING (record_id) GROUP BY 1, 2""")
+def q_zscore_daily_rates(spark, sf_dir):
+    cur = FX.f2_current(spark, sf_dir)
+    r = G.validate_segmented(cur, FX.f2_history(spark, sf_dir), keep_cols=["ts"])
+    return G.daily_rates(G.anomalies_table(r.records, ts_col="ts"))
+
+
+@register("zscore_baseline_segments", _F2[:-1] + _gate_sql("hist", seg=True) + """
+SELECT segment, CAST(n AS BIGINT) AS n, round(c, 6) AS center, round(s, 6) AS scale, ok AS is_valid FROM bb""")
+def q_zscore_baseline_segments(spark, sf_dir):
+    b = G.baseline(FX.f2_history(spark, sf_dir), segment_col="segment")
+    return b.select("segment", "n", F.round("center", 6).alias("center"), F.round("scale", 6).alias("scale"),
+                    "is_valid")
