@@ -668,3 +668,142 @@ def q_zscore_baseline_segments(spark, sf_dir):
     b = G.baseline(FX.f2_history(spark, sf_dir), segment_col="segment")
     return b.select("segment", "n", F.round("center", 6).alias("center"), F.round("scale", 6).alias("scale"),
                     "is_valid")
+
+
+# ================================================================= exceptions
+from ..operators import exceptions as X  # noqa: E402
+
+_F4 = S.with_(q=S.F4_QUEUE)
+_AS_OF = FX.F4_AS_OF
+_ROUTE_AS_OF = "2024-02-01 00:00:00"
+_CAT_RANK = {c: i for i, c in enumerate(M.THREE_WAY_CATEGORIES)}
+
+
+def _fmt_ts(c: str) -> F.Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+def _routed_three_way(spark, sf_dir):
+    issues = M.three_way_classify(_f3_stats(spark, sf_dir))
+    rank = F.element_at(F.create_map(*[x for c, i in _CAT_RANK.items() for x in (F.lit(c), F.lit(i))]),
+                        F.col("category"))
+    issues = issues.withColumn("_rank", rank)
+    return X.route(issues, source="txn_id",
+                   description=F.concat(F.col("category"), F.lit(": "), F.col("evidence")),
+                   severity="severity", order_by=["_rank", "txn_id"], as_of=_ROUTE_AS_OF)
+
+
+_RANK_SQL = ("CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for c, i in _CAT_RANK.items()) + " END")
+
+
+@register("exceptions_routed", _F3[:-1] + _F3_STATS + f"""
+SELECT printf('EXC-%06d', row_number() OVER (ORDER BY {_RANK_SQL}, txn_id)) AS exception_id,
+       txn_id AS source, category || ': ' || evidence AS description, severity, 'open' AS status,
+       '{_ROUTE_AS_OF}' AS created_at
+FROM issues""")
+def q_exceptions_routed(spark, sf_dir):
+    r = _routed_three_way(spark, sf_dir)
+    return r.select("exception_id", "source", "description", "severity", "status", _fmt_ts("created_at"))
+
+
+@register("exceptions_sla_view", _F4 + f"""
+SELECT exception_id, severity, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+       CAST(date_sub('hour', created_at, coalesce(resolved_at, timestamp '{_AS_OF}')) AS BIGINT) AS age_hours,
+       CASE upper(severity) WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 24 WHEN 'LOW' THEN 72
+            ELSE 24 END AS sla_hours,
+       date_sub('hour', created_at, coalesce(resolved_at, timestamp '{_AS_OF}')) >
+       CASE upper(severity) WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 24 WHEN 'LOW' THEN 72
+            ELSE 24 END AS is_sla_breached
+FROM q""")
+def q_exceptions_sla_view(spark, sf_dir):
+    v = X.sla_view(FX.f4_queue(spark, sf_dir), as_of=_AS_OF)
+    return v.select("exception_id", "severity", "status", _fmt_ts("created_at"), "age_hours",
+                    "sla_hours", "is_sla_breached")
+
+
+_PY_SLA = ("CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 4 WHEN 'medium' THEN 24 WHEN 'low' THEN 72 "
+           "ELSE 72 END")
+_PY_AGE = (f"(epoch_us(coalesce(resolved_at, timestamp '{_AS_OF}')) - epoch_us(created_at)) / 3600000000.0")
+
+
+@register("exceptions_age", _F4 + f"""
+SELECT exception_id, round({_PY_AGE}, 6) AS age_hours, {_PY_SLA} AS sla_hours,
+       CASE WHEN status = 'resolved' THEN false ELSE {_PY_AGE} > {_PY_SLA} END AS sla_breached
+FROM q""")
+def q_exceptions_age(spark, sf_dir):
+    q = FX.f4_queue(spark, sf_dir)
+    c = [F.col(x) for x in ("status", "severity", "created_at", "resolved_at")]
+    return q.select("exception_id", F.round(X.age_hours(c[2], c[3], _AS_OF), 6).alias("age_hours"),
+                    X.sla_hours(F.col("severity")).alias("sla_hours"),
+                    X.sla_breached(*c, _AS_OF).alias("sla_breached"))
+
+
+@register("exceptions_escalated", _F4 + f"""
+SELECT exception_id, severity, 'escalated' AS status FROM q
+WHERE status NOT IN ('resolved', 'escalated') AND {_PY_AGE} > {_PY_SLA}""")
+def q_exceptions_escalated(spark, sf_dir):
+    e = X.escalate_overdue(FX.f4_queue(spark, sf_dir), as_of=_AS_OF)
+    return e.escalated.select("exception_id", "severity", "status")
+
+
+@register("exceptions_escalate_idempotent", _F4 + "SELECT CAST(0 AS BIGINT) AS n")
+def q_exceptions_escalate_idempotent(spark, sf_dir):
+    once = X.escalate_overdue(FX.f4_queue(spark, sf_dir), as_of=_AS_OF).queue
+    twice = X.escalate_overdue(once, as_of=_AS_OF)
+    return twice.escalated.agg(F.count(F.lit(1)).alias("n"))
+
+
+def _resolutions(spark, sf_dir, queue):
+    asked = queue.filter((F.col("status") == "open") & (F.col("severity") == "critical")) \
+        .select("exception_id", F.lit("closed by review").alias("resolution_notes"))
+    bogus = read_table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 1000 == 0).select(
+        F.concat(F.lit("EXC-UNKNOWN-"), F.col("o_orderkey").cast("string")).alias("exception_id"),
+        F.lit("n/a").alias("resolution_notes"))
+    return asked.unionByName(bogus)
+
+
+@register("exceptions_resolved", _F4 + f"""
+SELECT exception_id,
+       CASE WHEN status = 'open' AND severity = 'critical' THEN 'resolved' ELSE status END AS status,
+       strftime(CASE WHEN status = 'open' AND severity = 'critical' THEN timestamp '{_AS_OF}' ELSE resolved_at END,
+                '%Y-%m-%d %H:%M:%S') AS resolved_at,
+       CASE WHEN status = 'open' AND severity = 'critical' THEN 'closed by review'
+            ELSE resolution_notes END AS resolution_notes
+FROM q""")
+def q_exceptions_resolved(spark, sf_dir):
+    q = FX.f4_queue(spark, sf_dir)
+    r = X.resolve(q, _resolutions(spark, sf_dir, q), as_of=_AS_OF)
+    return r.queue.select("exception_id", "status", _fmt_ts("resolved_at"), "resolution_notes")
+
+
+@register("exceptions_unknown_resolutions", """
+SELECT 'EXC-UNKNOWN-' || cast(o_orderkey AS VARCHAR) AS exception_id FROM orders WHERE o_orderkey % 1000 = 0""")
+def q_exceptions_unknown_resolutions(spark, sf_dir):
+    q = FX.f4_queue(spark, sf_dir)
+    return X.resolve(q, _resolutions(spark, sf_dir, q), as_of=_AS_OF).unknown
+
+
+@register("exceptions_summary", _F4 + """
+SELECT 'status' AS dimension, status AS value, CAST(count(*) AS BIGINT) AS n FROM q GROUP BY status
+UNION ALL SELECT 'severity', severity, CAST(count(*) AS BIGINT) FROM q GROUP BY severity
+UNION ALL SELECT 'total', 'all', CAST(count(*) AS BIGINT) FROM q
+UNION ALL SELECT 'open', 'all', CAST(count(*) FILTER (WHERE status <> 'resolved') AS BIGINT) FROM q""")
+def q_exceptions_summary(spark, sf_dir):
+    return X.queue_summary(FX.f4_queue(spark, sf_dir))
+
+
+@register("exceptions_open_count", _F4 + "SELECT CAST(count(*) FILTER (WHERE status <> 'resolved') AS BIGINT) AS open FROM q")
+def q_exceptions_open_count(spark, sf_dir):
+    return X.open_count(FX.f4_queue(spark, sf_dir))
+
+
+@register("exceptions_mismatch_queue", _F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True) + """
+SELECT printf('EXC-%06d', row_number() OVER (ORDER BY own_txn_id)) AS exception_id, own_txn_id AS source,
+       'missing in target: ' || own_txn_id AS description, 'high' AS severity, 'open' AS status
+FROM res WHERE status = 'unmatched_source'""")
+def q_exceptions_mismatch_queue(spark, sf_dir):
+    r = _f1_match(spark, sf_dir).filter(F.col("status") == M.UNMATCHED_SOURCE) \
+        .select(F.col("source_record.txn_id").alias("txn_id"))
+    q = X.route(r, source="txn_id", description=F.concat(F.lit("missing in target: "), F.col("txn_id")),
+                severity=F.lit("high"), order_by=["txn_id"], as_of=_ROUTE_AS_OF)
+    return q.select("exception_id", "source", "description", "severity", "status")
