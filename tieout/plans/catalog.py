@@ -807,3 +807,107 @@ def q_exceptions_mismatch_queue(spark, sf_dir):
     q = X.route(r, source="txn_id", description=F.concat(F.lit("missing in target: "), F.col("txn_id")),
                 severity=F.lit("high"), order_by=["txn_id"], as_of=_ROUTE_AS_OF)
     return q.select("exception_id", "source", "description", "severity", "status")
+
+
+# ====================================================================== audit
+from ..operators import audit as A  # noqa: E402
+
+_F5_ORDER = ["timestamp", "src_id"]
+
+
+def _f5_log(spark, sf_dir):
+    return A.audit_append(FX.f5_events(spark, sf_dir), order_by=_F5_ORDER)
+
+
+_F5_SEQ = """
+WITH ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, ts, 'data_access' AS event_type,
+                   'user-' || user_id AS actor, event_type AS action, 'res-' || (event_id % 10) AS resource,
+                   props AS details FROM events)
+"""
+
+
+@register("audit_chain_built")
+def q_audit_chain_built(spark, sf_dir):
+    return _f5_log(spark, sf_dir).select("seq", "event_id", "event_type", "actor", "action", "resource",
+                                         "previous_hash", "event_hash")
+
+
+@register("audit_events_numbered", _F5_SEQ + """
+SELECT seq, printf('AUD-%08d', seq) AS event_id, event_type, actor, action, resource, details,
+       strftime(ts, '%Y-%m-%d') AS event_date FROM ev""")
+def q_audit_events_numbered(spark, sf_dir):
+    return _f5_log(spark, sf_dir).select("seq", "event_id", "event_type", "actor", "action", "resource",
+                                         "details", "event_date")
+
+
+def _variants(spark, sf_dir):
+    log = _f5_log(spark, sf_dir)
+    log = A.reliable_log(log)
+    out = []
+    v = A.verify(log).verdict.withColumn("variant", F.lit("a_intact"))
+    out.append(v)
+    t = log.withColumn("details", F.when(F.col("seq") == 500, F.lit('{"k": -1}')).otherwise(F.col("details")))
+    out.append(A.verify(t).verdict.withColumn("variant", F.lit("b_details_edited")))
+    out.append(A.verify(log.filter(F.col("seq") != 700)).verdict.withColumn("variant", F.lit("c_deleted")))
+    t = log.withColumn("previous_hash", F.when(F.col("seq") == 900, F.lit("f" * 64)).otherwise(F.col("previous_hash")))
+    out.append(A.verify(t).verdict.withColumn("variant", F.lit("d_link_edited")))
+    p = A.purge(log, retention_days=0, as_of="2024-01-10 00:00:00")
+    anchor = p.anchor.first()[0]
+    out.append(A.verify(p.log, anchor_hash=anchor).verdict.withColumn("variant", F.lit("e_purged")))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res.select("variant", "valid", "event_index", "event_id", "violation")
+
+
+@register("audit_verify_variants", """
+SELECT 'a_intact' AS variant, true AS valid, CAST(NULL AS BIGINT) AS event_index, CAST(NULL AS VARCHAR) AS event_id,
+       CAST(NULL AS VARCHAR) AS violation
+UNION ALL SELECT 'b_details_edited', false, 499, 'AUD-00000500', 'hash_mismatch'
+UNION ALL SELECT 'c_deleted', false, 699, 'AUD-00000701', 'prev_hash_mismatch'
+UNION ALL SELECT 'd_link_edited', false, 899, 'AUD-00000900', 'prev_hash_mismatch'
+UNION ALL SELECT 'e_purged', true, NULL, NULL, NULL""")
+def q_audit_verify_variants(spark, sf_dir):
+    return _variants(spark, sf_dir)
+
+
+@register("audit_chain_view_broken", _F5_SEQ + """
+SELECT printf('AUD-%08d', seq) AS event_id, false AS is_linked FROM ev WHERE seq = 701""")
+def q_audit_chain_view_broken(spark, sf_dir):
+    log = A.reliable_log(_f5_log(spark, sf_dir))
+    view = A.chain_view(log.filter(F.col("seq") != 700))
+    return A.broken_links(view).select("event_id", F.lit(False).alias("is_linked"))
+
+
+@register("audit_chain_valid", "SELECT true AS chain_is_valid")
+def q_audit_chain_valid(spark, sf_dir):
+    return A.chain_valid(A.chain_view(_f5_log(spark, sf_dir)))
+
+
+@register("audit_purged", _F5_SEQ + """
+SELECT printf('AUD-%08d', seq) AS event_id, seq FROM ev
+WHERE seq >= (SELECT min(seq) FROM ev WHERE ts >= timestamp '2024-01-10 00:00:00')""")
+def q_audit_purged(spark, sf_dir):
+    p = A.purge(_f5_log(spark, sf_dir), retention_days=0, as_of="2024-01-10 00:00:00")
+    return p.log.select("event_id", "seq")
+
+
+@register("audit_query", _F5_SEQ + """
+SELECT printf('AUD-%08d', seq) AS event_id, actor, action FROM ev
+WHERE ts >= timestamp '2024-01-05 00:00:00' AND ts <= timestamp '2024-01-06 12:00:00'
+  AND actor = 'user-7' AND event_type = 'data_access'""")
+def q_audit_query(spark, sf_dir):
+    q = A.query(_f5_log(spark, sf_dir), event_type="data_access", start="2024-01-05 00:00:00",
+                end="2024-01-06 12:00:00", actor="user-7")
+    return q.select("event_id", "actor", "action")
+
+
+@register("audit_export")
+def q_audit_export(spark, sf_dir):
+    return A.export_json(_f5_log(spark, sf_dir))
+
+
+@register("audit_access_log", _F5_SEQ + """
+SELECT printf('AUD-%08d', seq) AS event_id, actor, action, resource FROM ev""")
+def q_audit_access_log(spark, sf_dir):
+    return A.access_log(_f5_log(spark, sf_dir)).select("event_id", "actor", "action", "resource")
