@@ -911,3 +911,177 @@ def q_audit_export(spark, sf_dir):
 SELECT printf('AUD-%08d', seq) AS event_id, actor, action, resource FROM ev""")
 def q_audit_access_log(spark, sf_dir):
     return A.access_log(_f5_log(spark, sf_dir)).select("event_id", "actor", "action", "resource")
+
+
+# =================================================================== registry
+from ..operators import registry as R  # noqa: E402
+
+_F6 = S.with_(reg=S.F6_REGISTRY)
+_F6_LATEST = _F6[:-1] + """,
+lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY version DESC) AS rn FROM reg)
+        WHERE rn = 1)
+"""
+_REG_AS_OF = "2024-06-01 00:00:00"
+
+
+@register("registry_latest", _F6_LATEST + "SELECT name, version, description, formula, owner, sensitivity FROM lat")
+def q_registry_latest(spark, sf_dir):
+    return R.latest(FX.f6_registry(spark, sf_dir)).select("name", "version", "description", "formula", "owner",
+                                                          "sensitivity")
+
+
+@register("registry_count", _F6 + "SELECT CAST(count(DISTINCT name) AS BIGINT) AS count FROM reg")
+def q_registry_count(spark, sf_dir):
+    return R.count(FX.f6_registry(spark, sf_dir))
+
+
+@register("registry_search", _F6_LATEST + """
+SELECT name, version FROM lat WHERE contains(lower(name), 'brand#1') OR contains(lower(description), 'brand#1')""")
+def q_registry_search(spark, sf_dir):
+    return R.search(FX.f6_registry(spark, sf_dir), "BRAND#1").select("name", "version")
+
+
+@register("registry_search_description", _F6_LATEST + """
+SELECT name, version FROM lat WHERE contains(lower(name), 'green') OR contains(lower(description), 'green')""")
+def q_registry_search_description(spark, sf_dir):
+    return R.search(FX.f6_registry(spark, sf_dir), "Green").select("name", "version")
+
+
+@register("registry_glossary", _F6_LATEST + """
+SELECT name, description, formula, owner, sensitivity, source_system, refresh_frequency, version FROM lat""")
+def q_registry_glossary(spark, sf_dir):
+    return R.glossary(FX.f6_registry(spark, sf_dir))
+
+
+def _reg_batch(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    fresh = p.select(F.concat(F.lit("type:"), F.col("p_type")).alias("name"),
+                     F.col("p_name").alias("description"), F.lit("SUM(p_retailprice)").alias("formula"),
+                     F.lit("finance").alias("owner"), F.lit("internal").alias("sensitivity"))
+    again = p.filter(F.col("p_size") == 1).select(F.col("p_brand").alias("name"), F.col("p_name").alias("description"),
+                                                  F.lit("x").alias("formula"), F.lit("x").alias("owner"),
+                                                  F.lit("public").alias("sensitivity"))
+    return fresh.unionByName(again)
+
+
+@register("registry_register", _F6[:-1] + """,
+batch AS (SELECT 'type:' || p_type AS name, p_name AS description FROM part
+          UNION ALL SELECT p_brand, p_name FROM part WHERE p_size = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY description) AS rn FROM batch),
+existing AS (SELECT DISTINCT name FROM reg)
+SELECT name, description, 'registered' AS outcome FROM ranked WHERE rn = 1 AND name NOT IN (SELECT name FROM existing)
+UNION ALL SELECT name, CAST(NULL AS VARCHAR), 'already registered' FROM ranked WHERE name IN (SELECT name FROM existing)
+UNION ALL SELECT name, CAST(NULL AS VARCHAR), 'duplicate in batch' FROM ranked
+          WHERE rn > 1 AND name NOT IN (SELECT name FROM existing)""")
+def q_registry_register(spark, sf_dir):
+    out = R.register(FX.f6_registry(spark, sf_dir), _reg_batch(spark, sf_dir), as_of=_REG_AS_OF)
+    return out.registry.select("name", "description", F.lit("registered").alias("outcome")).unionByName(
+        out.rejected.select("name", F.lit(None).cast("string").alias("description"), F.col("reason").alias("outcome")))
+
+
+@register("registry_update", _F6_LATEST + """,
+patches AS (SELECT name, 'controller' AS owner,
+                   CASE WHEN name = 'Brand#55' THEN 'secret' WHEN name LIKE 'Brand#1%' THEN 'restricted' END AS sensitivity
+            FROM lat UNION ALL SELECT 'Brand#99', 'x', NULL)
+SELECT p.name, CAST(l.version + 1 AS INTEGER) AS version, coalesce(p.owner, l.owner) AS owner,
+       coalesce(lower(p.sensitivity), l.sensitivity) AS sensitivity, 'updated' AS outcome
+FROM patches p JOIN lat l USING (name) WHERE p.sensitivity IS NULL OR lower(p.sensitivity) IN ('public', 'internal', 'confidential', 'restricted')
+UNION ALL
+SELECT p.name, NULL, NULL, NULL, CASE WHEN l.name IS NULL THEN 'metric not found' ELSE 'invalid sensitivity' END
+FROM patches p LEFT JOIN lat l USING (name)
+WHERE l.name IS NULL OR NOT (p.sensitivity IS NULL OR lower(p.sensitivity) IN ('public', 'internal', 'confidential', 'restricted'))""")
+def q_registry_update(spark, sf_dir):
+    reg = FX.f6_registry(spark, sf_dir)
+    lat = R.latest(reg)
+    patches = lat.select("name", F.lit("controller").alias("owner"),
+                         F.when(F.col("name") == "Brand#55", "secret")
+                          .when(F.col("name").startswith("Brand#1"), "restricted").alias("sensitivity"))
+    patches = patches.unionByName(spark.range(1).select(F.lit("Brand#99").alias("name"), F.lit("x").alias("owner"),
+                                                        F.lit(None).cast("string").alias("sensitivity")))
+    out = R.update(reg, patches, as_of=_REG_AS_OF)
+    ok = out.registry.select("name", "version", "owner", "sensitivity", F.lit("updated").alias("outcome"))
+    bad = out.rejected.select("name", F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("owner"),
+                              F.lit(None).cast("string").alias("sensitivity"), F.col("reason").alias("outcome"))
+    return ok.unionByName(bad)
+
+
+@register("registry_conformance", _F6_LATEST + """
+SELECT p_brand AS metric_name, p_retailprice AS value,
+       coalesce(length(owner), 0) > 0 AND coalesce(length(formula), 0) > 0 AND coalesce(len(lineage), 0) > 0
+         AND p_retailprice IS NOT NULL AS is_valid,
+       version AS metric_version, sensitivity, CAST(NULL AS VARCHAR) AS error
+FROM part JOIN lat ON p_brand = lat.name
+UNION ALL
+SELECT 'unknown:' || p_type, p_retailprice, false, NULL, NULL, 'Metric ''unknown:' || p_type || ''' not found in registry'
+FROM part WHERE p_size = 2""")
+def q_registry_conformance(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    obs = p.select(F.col("p_brand").alias("metric_name"), F.col("p_retailprice").alias("value")).unionByName(
+        p.filter(F.col("p_size") == 2).select(F.concat(F.lit("unknown:"), F.col("p_type")).alias("metric_name"),
+                                              F.col("p_retailprice").alias("value")))
+    c = R.conformance(obs, FX.f6_registry(spark, sf_dir))
+    return c.select("metric_name", "value", "is_valid", "metric_version", "sensitivity", "error")
+
+
+# ===================================================================== policy
+from ..operators import policy as P  # noqa: E402
+
+
+def _recon_rows(spark, sf_dir):
+    r = _f1_match(spark, sf_dir)
+    key = F.coalesce("source_key.txn_id", "target_key.txn_id")
+    num = F.regexp_extract(key, r"(\d+)$", 1)
+    lvl = F.when(num != "", FX.f7_sensitivity(num.cast("long")))
+    return P.recon_results(r, None, record_id=key, source_system="erp", target_system="ledger",
+                           sensitivity=lvl)
+
+
+_F7_SQL = _F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True) + """,
+rr AS (SELECT upper(status) AS match_status,
+              CASE WHEN regexp_extract(match_key, '(\\d+)$', 1) = '' THEN NULL
+                   ELSE CASE CAST(regexp_extract(match_key, '(\\d+)$', 1) AS BIGINT) % 5
+                        WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'INTERNAL' WHEN 2 THEN 'CONFIDENTIAL' WHEN 3 THEN 'RESTRICTED'
+                        END END AS sensitivity_level
+       FROM res)
+"""
+
+
+def _policy_query(role):
+    def q(spark, sf_dir):
+        v = P.visible_rows(_recon_rows(spark, sf_dir), role)
+        return v.groupBy("sensitivity_level", "match_status").agg(F.count(F.lit(1)).alias("n"))
+    return q
+
+
+_ROLE_SQL = {
+    "analyst": "upper(sensitivity_level) IN ('PUBLIC', 'INTERNAL')",
+    "finance_lead": "upper(sensitivity_level) IN ('PUBLIC', 'INTERNAL', 'CONFIDENTIAL')",
+    "data_engineer": "upper(sensitivity_level) IN ('PUBLIC', 'INTERNAL', 'CONFIDENTIAL')",
+    "auditor": "true",
+    "pipeline": "true",
+    "no_role": "false",
+}
+for _role, _pred in _ROLE_SQL.items():
+    register(f"policy_visible_rows_{_role}", _F7_SQL + f"""
+SELECT sensitivity_level, match_status, CAST(count(*) AS BIGINT) AS n FROM rr WHERE {_pred}
+GROUP BY sensitivity_level, match_status""")(_policy_query(None if _role == "no_role" else _role))
+
+
+@register("policy_dynamic", _F7_SQL + """
+SELECT sensitivity_level, match_status, CAST(count(*) AS BIGINT) AS n FROM rr
+WHERE upper(sensitivity_level) IN ('PUBLIC', 'INTERNAL', 'CONFIDENTIAL') GROUP BY sensitivity_level, match_status""")
+def q_policy_dynamic(spark, sf_dir):
+    users = spark.createDataFrame(
+        [("ana@corp", "analyst", "INTERNAL"), ("fin@corp", "finance_lead", "CONFIDENTIAL"),
+         ("eng@corp", "data_engineer", "CONFIDENTIAL"), ("aud@corp", "auditor", "RESTRICTED")],
+        "user_email string, role string, sensitivity_clearance string")
+    v = P.visible_rows_for_user(_recon_rows(spark, sf_dir), users, "fin@corp")
+    return v.groupBy("sensitivity_level", "match_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("recon_results_sink", _F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True) + """
+SELECT match_key AS record_id, upper(status) AS match_status,
+       CAST(s1.amount - t1.amount AS DOUBLE) AS amount_difference
+FROM res""")
+def q_recon_results_sink(spark, sf_dir):
+    return _recon_rows(spark, sf_dir).select("record_id", "match_status", "amount_difference")
