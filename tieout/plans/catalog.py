@@ -942,9 +942,9 @@ def q_registry_search(spark, sf_dir):
 
 
 @register("registry_search_description", _F6_LATEST + """
-SELECT name, version FROM lat WHERE contains(lower(name), 'green') OR contains(lower(description), 'green')""")
+SELECT name, version FROM lat WHERE contains(lower(name), 'widget') OR contains(lower(description), 'widget')""")
 def q_registry_search_description(spark, sf_dir):
-    return R.search(FX.f6_registry(spark, sf_dir), "Green").select("name", "version")
+    return R.search(FX.f6_registry(spark, sf_dir), "Widget").select("name", "version")
 
 
 @register("registry_glossary", _F6_LATEST + """
