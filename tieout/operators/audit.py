@@ -153,6 +153,11 @@ def audit_append(events: DataFrame, *, order_by: list[str | Column], tail: DataF
         out = s.mapInArrow(_fold(None, chain_by), _fold_schema(s))
         return _finish(out, extra)
 
+    n = staged.count()  # reads the checkpointed numbering only
+    if 0 < n <= block_rows:
+        # a single block: fold it in one task directly, no staged copy
+        one = staged.coalesce(1).sortWithinPartitions("seq")
+        return _finish(one.mapInArrow(_fold(last, None), _fold_schema(one)), extra)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-append-{uuid.uuid4().hex}"
     staged.withColumn("_block", F.floor((F.col("seq") - F.lit(start)) / F.lit(block_rows)).cast("long")) \
         .write.partitionBy("_block").parquet(f"{base}/staged")
