@@ -1,11 +1,13 @@
 """Every registered query against its DuckDB oracle on the smallest tables
-import os, sys; sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 (the driver runs the same comparison at sf0.01)."""
 
 import os
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 import __spark_entry__ as E
 from oracle import compare
 

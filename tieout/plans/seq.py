@@ -9,9 +9,9 @@ reliable checkpoint (so every later pass sees the same partitions):
   tiny per-partition frame (one row per partition, so its size is bounded
   by the partition count and safe to broadcast).
 * ``dense_sequence``: 1-based global position = partition offset + local index.
-* ``group_ranks``: 0-based rank inside a group, even when one group spans
-  many partitions (no group is ever gathered into one task).
-* ``exact_group_median``: exact median per group from the two middle ranks.
+* ``global_positions``: 0-based position after the range sort.
+* ``exact_group_median``: exact median per group from the two middle
+  positions (no group is ever gathered into one task).
 * ``lag_over``: the previous row's value in a global order (LAG without a
   single-partition window): in-partition shift in Arrow batches plus a
   boundary fix-up from the previous non-empty partition.
@@ -59,52 +59,42 @@ def dense_sequence(df: DataFrame, order_cols: list[str | Column], *, name: str =
                    start: int = 1, num_partitions: int | None = None) -> DataFrame:
     """Add a dense 1-based (or ``start``-based) position in ``order_cols``
     order. The order must be unique (add a tie-breaker) for a stable result."""
-    blocks = ordered_blocks(df, order_cols, num_partitions)
-    offs = _partition_offsets(blocks)
-    j = blocks.join(F.broadcast(offs), _PID)  # bounded by the partition count
-    pos = F.col("_offset") + (F.col(_MID) - F.col("_first_mid")) + F.lit(start)
-    return j.select(*[F.col(f"`{c}`") for c in df.columns], pos.alias(name))
+    pos = global_positions(ordered_blocks(df, order_cols, num_partitions))
+    return pos.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_pos") + F.lit(start)).alias(name))
 
 
-def group_ranks(df: DataFrame, group_cols: list[str], value_col: str,
-                num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """0-based rank of each row within its group in ``value_col`` order.
-
-    Returns (blocks, spans): the sorted checkpointed rows (with _pid/_mid)
-    and a small frame per (group, partition) with the group's rank offset
-    in that partition. A group spread over many partitions contributes one
-    span row per partition, so no task ever holds a whole group.
-    """
-    blocks = ordered_blocks(df, [*group_cols, value_col], num_partitions)
-    per = blocks.groupBy(*group_cols, _PID).agg(F.count(F.lit(1)).alias("_c"),
-                                                F.min(_MID).alias("_m0"))
-    w = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    spans = per.select(*group_cols, _PID, "_c", "_m0",
-                       F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
-    return blocks, spans
+def global_positions(blocks: DataFrame, name: str = "_pos") -> DataFrame:
+    """0-based global position of every row of ``ordered_blocks`` output:
+    partition offset (tiny broadcast frame) + index inside the partition."""
+    offs = _partition_offsets(blocks)
+    j = blocks.join(F.broadcast(offs), _PID)  # bounded by the partition count
+    return j.withColumn(name, F.col("_offset") + (F.col(_MID) - F.col("_first_mid"))) \
+        .drop("_offset", "_first_mid")
 
 
 def exact_group_median(df: DataFrame, group_cols: list[str], value_col: str,
                        out: str = "median", num_partitions: int | None = None) -> DataFrame:
     """Exact (interpolated) median per group, NULLs ignored; NaN anywhere in a
-    group gives NaN (numpy semantics). Output: group cols, ``out``, ``n``."""
+    group gives NaN (numpy semantics). Output: group cols, ``out``, ``n``.
+
+    Plan: one range sort by (group, value) -> global positions; a partial
+    aggregate gives each group's first position and size; the two middle
+    positions are then picked with an equi-join on the (unique) position, so
+    even a group holding a third of all rows is spread over many tasks and
+    the join cannot skew.
+    """
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    blocks, spans = group_ranks(v, group_cols, "_v", num_partitions)
-    sizes = spans.groupBy(*group_cols).agg(F.sum("_c").alias("n"))
-    # the two middle ranks (equal for odd n)
-    lo = F.floor((F.col("n") - 1) / 2).cast("long")
-    hi = F.floor(F.col("n") / 2).cast("long")
-    targets = sizes.select(*group_cols, "n", F.explode(F.array_distinct(F.array(lo, hi))).alias("_r"))
-    # locate each target rank inside the span (partition) that holds it
-    located = targets.join(spans, group_cols).filter(
-        (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))) \
-        .select(*group_cols, "n", _PID, (F.col("_m0") + F.col("_r") - F.col("_before")).alias(_MID))
-    picked = blocks.join(located, [*group_cols, _PID, _MID])
-    has_nan = v.groupBy(*group_cols).agg(F.max(F.isnan("_v").cast("int")).alias("_nan"))
-    med = picked.groupBy(*group_cols).agg(F.first("n").alias("n"),
+    pos = global_positions(ordered_blocks(v, [*group_cols, "_v"], num_partitions))
+    stats = pos.groupBy(*group_cols).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("n"),
+                                         F.max(F.isnan("_v").cast("int")).alias("_nan"))
+    lo = F.col("_start") + F.floor((F.col("n") - 1) / 2).cast("long")
+    hi = F.col("_start") + F.floor(F.col("n") / 2).cast("long")
+    targets = stats.select("n", "_nan", F.explode(F.array_distinct(F.array(lo, hi))).alias("_pos"))
+    picked = pos.select("_pos", *group_cols, "_v").join(targets, "_pos")
+    med = picked.groupBy(*group_cols).agg(F.first("n").alias("n"), F.max("_nan").alias("_nan"),
                                           (F.sum("_v") / F.count("_v")).alias("_m"))
-    return med.join(has_nan, group_cols).select(
-        *group_cols, F.when(F.col("_nan") == 1, F.lit(float("nan"))).otherwise(F.col("_m")).alias(out), "n")
+    return med.select(*group_cols,
+                      F.when(F.col("_nan") == 1, F.lit(float("nan"))).otherwise(F.col("_m")).alias(out), "n")
 
 
 # ---------------------------------------------------------------- LAG
