@@ -1085,3 +1085,104 @@ SELECT match_key AS record_id, upper(status) AS match_status,
 FROM res""")
 def q_recon_results_sink(spark, sf_dir):
     return _recon_rows(spark, sf_dir).select("record_id", "match_status", "amount_difference")
+
+
+@register("zscore_trailing_daily", """
+WITH d AS (SELECT DISTINCT event_type AS segment, CAST(ts AS DATE) AS day FROM events),
+j AS (SELECT d.segment, d.day, e.value FROM d LEFT JOIN events e
+        ON e.event_type = d.segment AND CAST(e.ts AS DATE) >= d.day - INTERVAL 7 DAY AND CAST(e.ts AS DATE) < d.day)
+SELECT segment, strftime(day, '%Y-%m-%d') AS day, CAST(count(value) AS BIGINT) AS n,
+       round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, count(value) >= 30 AS is_valid
+FROM j GROUP BY segment, day""")
+def q_zscore_trailing_daily(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    b = G.trailing_daily_baseline(e, ts_col="ts", segment_col="event_type", window_days=7)
+    return b.select(F.col("event_type").alias("segment"), F.date_format("day", "yyyy-MM-dd").alias("day"),
+                    F.col("n").cast("bigint").alias("n"), F.round("mean", 4).alias("mean"),
+                    F.round("std", 4).alias("std"), "is_valid")
+
+
+@register("zscore_default_record_ids", _F2[:-1] + """,
+cur2 AS (SELECT 'record-' || CAST(row_number() OVER (ORDER BY ts, record_id) - 1 AS VARCHAR) AS rid, * FROM cur)
+SELECT rid AS record_id, value FROM cur2""")
+def q_zscore_default_record_ids(spark, sf_dir):
+    c = FX.f2_current(spark, sf_dir).withColumn("_eid", F.col("record_id"))
+    r = G.validate(c.drop("record_id"), FX.f2_history(spark, sf_dir), record_id_col=None, order_by=["ts", "_eid"])
+    return r.records.select("record_id", "value")
+
+
+# ====================================================================== flows
+from . import flows as FL  # noqa: E402
+
+_FLOW_AS_OF = "2024-02-01 00:00:00"
+
+
+def _orders_history(spark, sf_dir):
+    return read_table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("value"))
+
+
+def _sub(sql: str) -> str:
+    return f"({sql})"
+
+
+_FLOW_GATE = S.with_(cur=f"SELECT txn_id AS record_id, amount AS value FROM ({S.F1_SOURCE})",
+                     hist="SELECT o_totalprice AS value FROM orders")[:-1] + _gate_sql("hist")
+
+_FLOW_TWO = f"""
+SELECT m.match_rate, m.is_fully_reconciled, c.overall_status, g.gate_decision, g.blocked,
+       CAST(2 AS BIGINT) AS audit_events, true AS chain_valid
+FROM {_sub(_F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True) + '''
+SELECT round(CASE WHEN count(*) FILTER (WHERE origin IN ('source', 'pair')) > 0
+             THEN count(*) FILTER (WHERE status IN ('matched', 'conflict'))
+                  / count(*) FILTER (WHERE origin IN ('source', 'pair')) ELSE 0.0 END, 9) AS match_rate,
+       count(*) FILTER (WHERE status = 'matched') = count(*) AS is_fully_reconciled FROM res''')} m,
+     {_sub(_F1_TOTALS + '''SELECT CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END
+                             AS overall_status FROM checks''')} c,
+     {_sub(_FLOW_GATE + _verdict_sql(True))} g"""
+
+
+@register("flow_two_source_summary", _FLOW_TWO)
+def q_flow_two_source_summary(spark, sf_dir):
+    out = FL.two_source(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), _orders_history(spark, sf_dir),
+                        key="txn_id", amount="amount", as_of=_FLOW_AS_OF)
+    return out["summary"].select(F.round("match_rate", 9).alias("match_rate"), "is_fully_reconciled",
+                                 "overall_status", "gate_decision", "blocked", "audit_events", "chain_valid")
+
+
+@register("flow_mismatch_summary", _F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True) + """
+SELECT CAST(count(*) AS BIGINT) AS open, CAST(count(*) + 1 AS BIGINT) AS audit_events, true AS chain_valid
+FROM res WHERE status = 'unmatched_source'""")
+def q_flow_mismatch_summary(spark, sf_dir):
+    out = FL.mismatch_to_queue(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), key="txn_id",
+                               value_fields=["amount"], as_of=_FLOW_AS_OF)
+    return out["summary"]
+
+
+_FLOW_GATE_GL = S.with_(cur=f"SELECT txn_id AS record_id, amount AS value FROM ({S.F3_GL})",
+                        hist="SELECT o_totalprice AS value FROM orders")[:-1] + _gate_sql("hist", block=5.0)
+
+_FLOW_THREE = f"""
+SELECT i.exceptions, i.high, i.medium, i.low, g.gate_decision, g.passed, g.flagged, g.blocked,
+       CAST(i.exceptions + 4 AS BIGINT) AS audit_events, true AS chain_valid
+FROM {_sub(_F3[:-1] + _F3_STATS + '''
+SELECT CAST(count(*) AS BIGINT) AS exceptions, CAST(count(*) FILTER (WHERE severity = 'high') AS BIGINT) AS high,
+       CAST(count(*) FILTER (WHERE severity = 'medium') AS BIGINT) AS medium,
+       CAST(count(*) FILTER (WHERE severity = 'low') AS BIGINT) AS low FROM issues''')} i,
+     {_sub(_FLOW_GATE_GL + _verdict_sql(True))} g"""
+
+
+@register("flow_three_way_summary", _FLOW_THREE)
+def q_flow_three_way_summary(spark, sf_dir):
+    gl, proc, wh = FX.f3_sources(spark, sf_dir)
+    out = FL.three_way(gl, proc, wh, _orders_history(spark, sf_dir), as_of=_FLOW_AS_OF)
+    return out["summary"]
+
+
+@register("flow_three_way_audit_actions", _F3[:-1] + _F3_STATS + """
+SELECT action, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'pair_GL_PROC' AS action UNION ALL SELECT 'pair_GL_WH' UNION ALL SELECT 'pair_PROC_WH'
+  UNION ALL SELECT 'three_way_exception' FROM issues) GROUP BY action""")
+def q_flow_three_way_audit_actions(spark, sf_dir):
+    gl, proc, wh = FX.f3_sources(spark, sf_dir)
+    log = FL.three_way(gl, proc, wh, _orders_history(spark, sf_dir), as_of=_FLOW_AS_OF)["audit_log"]
+    return log.filter(F.col("event_type") != "gate_decision").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
