@@ -182,18 +182,32 @@ class Verification(NamedTuple):
     verdict: DataFrame  # one row: valid, first violation
 
 
-def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH) -> Verification:
+def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int = 2) -> Verification:
     """``verify_chain_detail``: recompute every hash and check every link,
     starting from the purge anchor. First violation = earliest position; at
-    one event a link mismatch is reported before a hash mismatch."""
-    lagged = lag_over(log.select("seq", "event_id", "event_type", "timestamp", "actor", "action", "resource",
-                                 "details", "previous_hash", "event_hash"),
-                      "seq", "event_hash", "expected_previous_hash")
+    one event a link mismatch is reported before a hash mismatch.
+
+    ``hash_version=1`` recomputes hashes byte-compatibly with chains written
+    by the original Python logger (Arrow-batched UDF, see
+    ``functions/canonical.py``); it uses a ``timestamp_text`` column when the
+    log has one."""
+    cols = ["seq", "event_id", "event_type", "timestamp", "actor", "action", "resource", "details",
+            "previous_hash", "event_hash"]
+    if "timestamp_text" in log.columns:
+        cols.append("timestamp_text")
+    lagged = lag_over(log.select(*cols), "seq", "event_hash", "expected_previous_hash")
     exp = F.coalesce(F.col("expected_previous_hash"), F.lit(anchor_hash))
+    if hash_version == 1:
+        from ..functions.canonical import python_timestamp_text, reference_event_hash
+        ts_text = F.col("timestamp_text") if "timestamp_text" in cols else python_timestamp_text(F.col("timestamp"))
+        computed = reference_event_hash(F.col("event_id"), F.col("event_type"), ts_text, F.col("actor"),
+                                        F.col("action"), F.col("resource"), F.col("details"),
+                                        F.col("previous_hash"))
+    else:
+        computed = link_hash(_row_body(), F.col("previous_hash"))
     rows = lagged.select(
         "seq", "event_id", "event_type", "previous_hash", "event_hash", exp.alias("expected_previous_hash"),
-        (F.col("previous_hash") == exp).alias("is_linked"),
-        link_hash(_row_body(), F.col("previous_hash")).alias("computed_hash"))
+        (F.col("previous_hash") == exp).alias("is_linked"), computed.alias("computed_hash"))
     rows = rows.withColumn("hash_ok", F.col("computed_hash") == F.col("event_hash"))
     bad = ~F.col("is_linked") | ~F.col("hash_ok")
     first = rows.agg(

@@ -148,5 +148,6 @@ def conformance(observations: DataFrame, registry: DataFrame, *, metric_col: str
 def write_registry(registry: DataFrame, path: str, mode: str = "append") -> None:
     """``semantic_registry`` sink: one file group per sensitivity level so
     parquet min/max stats prune by sensitivity."""
-    registry.select(*COLUMNS).repartition("sensitivity").sortWithinPartitions("sensitivity", "name") \
+    registry.select(*COLUMNS).repartitionByRange("sensitivity", "name", "version") \
+        .sortWithinPartitions("sensitivity", "name") \
         .write.mode(mode).parquet(path)
