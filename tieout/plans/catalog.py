@@ -1186,3 +1186,43 @@ def q_flow_three_way_audit_actions(spark, sf_dir):
     gl, proc, wh = FX.f3_sources(spark, sf_dir)
     log = FL.three_way(gl, proc, wh, _orders_history(spark, sf_dir), as_of=_FLOW_AS_OF)["audit_log"]
     return log.filter(F.col("event_type") != "gate_decision").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ============================================================ more operators
+@register("match_duplicate_keys", _F1[:-1] + """
+SELECT k AS txn_id, CAST(ns AS BIGINT) AS n_source, CAST(nt AS BIGINT) AS n_target
+FROM (SELECT lower(trim(txn_id)) AS k, count(*) FILTER (WHERE s) AS ns, count(*) FILTER (WHERE NOT s) AS nt
+      FROM (SELECT txn_id, true AS s FROM f1_source UNION ALL SELECT txn_id, false FROM f1_target) GROUP BY 1)
+WHERE ns > 1 OR nt > 1""")
+def q_match_duplicate_keys(spark, sf_dir):
+    k = M.key_side_counts(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), ["txn_id"])
+    return k.filter("is_duplicate").select("txn_id", "n_source", "n_target")
+
+
+@register("check_audit_record", _F1_TOTALS + """
+SELECT to_json({'overall_status': CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END,
+                'check_count': count(*),
+                'checks': list({'name': check_name, 'status': status, 'message': message} ORDER BY check_order)})
+       AS details
+FROM checks""")
+def q_check_audit_record(spark, sf_dir):
+    return C.audit_record_json(_f1_checks(spark, sf_dir))
+
+
+@register("audit_event_count", "SELECT CAST(count(*) AS BIGINT) AS event_count FROM events")
+def q_audit_event_count(spark, sf_dir):
+    return _f5_log(spark, sf_dir).agg(F.count(F.lit(1)).alias("event_count"))
+
+
+@register("audit_gate_decisions", f"""
+SELECT printf('AUD-%08d', i.exceptions + 4) AS event_id, 'zscore_gl_amounts' AS gate_name,
+       g.gate_decision AS decision, g.blocked
+FROM {_sub(_F3[:-1] + _F3_STATS + "SELECT CAST(count(*) AS BIGINT) AS exceptions FROM issues")} i,
+     {_sub(_FLOW_GATE_GL + _verdict_sql(True))} g""")
+def q_audit_gate_decisions(spark, sf_dir):
+    gl, proc, wh = FX.f3_sources(spark, sf_dir)
+    log = FL.three_way(gl, proc, wh, _orders_history(spark, sf_dir), as_of=_FLOW_AS_OF)["audit_log"]
+    g = log.filter(F.col("event_type") == "gate_decision")
+    return g.select("event_id", F.col("resource").alias("gate_name"),
+                    F.regexp_replace("action", "^gate_", "").alias("decision"),
+                    F.get_json_object("details", "$.blocked").cast("bigint").alias("blocked"))
