@@ -14,8 +14,10 @@ collisions; ``details`` is a JSON string.
 Plans:
 
 * verify (parallel): every row's hash is recomputed in codegen; the link
-  check needs the predecessor's stored hash in the global order, which
-  ``plans.seq.lag_over`` provides without a single-partition window.
+  check needs the predecessor's stored hash in the global order. ``seq`` is
+  dense in an untouched log, so that is an equi-join on ``seq - 1``; a log
+  with gaps (deleted rows) takes the exact range-partitioned LAG
+  (``plans.seq.lag_over``). Neither uses a single-partition window.
 * append (sequential by nature: each hash covers the previous one):
   rendering, numbering and id formatting run in parallel; only the fold
   ``h_i = sha256(body_i | prev)`` is sequential. With ``chain_by=None`` (one
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import seq_id
-from ..plans.seq import dense_sequence, lag_over
+from ..plans.seq import dense_sequence, lag_dense
 from ..session import ensure_checkpoint_dir
 
 GENESIS_HASH = "0" * 64
@@ -154,11 +156,13 @@ def audit_append(events: DataFrame, *, order_by: list[str | Column], tail: DataF
         return _finish(out, extra)
 
     n = staged.count()  # reads the checkpointed numbering only
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-append-{uuid.uuid4().hex}"
     if 0 < n <= block_rows:
-        # a single block: fold it in one task directly, no staged copy
+        # a single block: fold it in one task straight from the numbering and
+        # store the chain once (every consumer reads it, none re-folds it)
         one = staged.coalesce(1).sortWithinPartitions("seq")
-        return _finish(one.mapInArrow(_fold(last, None), _fold_schema(one)), extra)
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-append-{uuid.uuid4().hex}"
+        one.mapInArrow(_fold(last, None), _fold_schema(one)).write.parquet(f"{base}/chain")
+        return _finish(spark.read.parquet(f"{base}/chain"), extra)
     staged.withColumn("_block", F.floor((F.col("seq") - F.lit(start)) / F.lit(block_rows)).cast("long")) \
         .write.partitionBy("_block").parquet(f"{base}/staged")
     blocks = spark.read.parquet(f"{base}/staged")
@@ -195,7 +199,7 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
             "previous_hash", "event_hash"]
     if "timestamp_text" in log.columns:
         cols.append("timestamp_text")
-    lagged = lag_over(log.select(*cols), "seq", "event_hash", "expected_previous_hash")
+    lagged = lag_dense(log.select(*cols), "seq", "event_hash", "expected_previous_hash")
     exp = F.coalesce(F.col("expected_previous_hash"), F.lit(anchor_hash))
     if hash_version == 1:
         from ..functions.canonical import python_timestamp_text, reference_event_hash
@@ -233,8 +237,8 @@ def chain_view(log: DataFrame, *, genesis: str = GENESIS_HASH) -> DataFrame:
     """``v_audit_chain_verification``: LAG(event_hash) by event order; the
     first row must link to ``genesis`` (64 zeros, as the view does even
     after a purge; pass the anchor to check a purged log)."""
-    lagged = lag_over(log.select("seq", "event_id", "event_type", "timestamp", "actor", "action", "resource",
-                                 "previous_hash", "event_hash"), "seq", "event_hash", "expected_previous_hash")
+    lagged = lag_dense(log.select("seq", "event_id", "event_type", "timestamp", "actor", "action", "resource",
+                                  "previous_hash", "event_hash"), "seq", "event_hash", "expected_previous_hash")
     return lagged.withColumn(
         "is_linked", F.when(F.col("expected_previous_hash").isNull(), F.col("previous_hash") == F.lit(genesis))
         .otherwise(F.col("previous_hash") == F.col("expected_previous_hash")))

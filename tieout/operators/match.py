@@ -128,6 +128,13 @@ def _tagged(source: DataFrame, target: DataFrame, key_fields: list[str],
     return s.unionByName(t), kcols
 
 
+def _first_of(rec: str, ordering: str, order_by: list[str] | None) -> Column:
+    """First record of a side under a key. Without an explicit order the
+    record orders itself, so ``min(rec)`` gives the same row as
+    ``min_by(rec, rec)`` with half the aggregation buffer."""
+    return F.min(rec) if not order_by else F.min_by(rec, ordering)
+
+
 def _key_struct(key_fields: list[str]) -> Column:
     return F.struct(*[
         F.when(F.col(f"_k{i}_n"), F.lit(None)).otherwise(F.col(f"_k{i}_v")).alias(f)
@@ -161,8 +168,8 @@ def match(source: DataFrame, target: DataFrame, key_fields: list[str],
             "*",
             F.count_if(F.col("_is_src")).over(w).alias("_ns"),
             F.count_if(~F.col("_is_src")).over(w).alias("_nt"),
-            F.min_by("_src_rec", "_src_ord").over(w).alias("_s1"),
-            F.min_by("_tgt_rec", "_tgt_ord").over(w).alias("_t1"))
+            _first_of("_src_rec", "_src_ord", order_by).over(w).alias("_s1"),
+            _first_of("_tgt_rec", "_tgt_ord", order_by).over(w).alias("_t1"))
         dup = (F.col("_ns") > 1) | (F.col("_nt") > 1)
         pair = (F.col("_ns") == 1) & (F.col("_nt") == 1)
         # the target copy of a 1:1 pair is dropped; the source copy speaks for both
@@ -180,8 +187,8 @@ def match(source: DataFrame, target: DataFrame, key_fields: list[str],
     stats = u.groupBy(*kcols).agg(
         F.count_if(F.col("_is_src")).alias("_ns"),
         F.count_if(~F.col("_is_src")).alias("_nt"),
-        F.min_by("_src_rec", "_src_ord").alias("_s1"),
-        F.min_by("_tgt_rec", "_tgt_ord").alias("_t1"))
+        _first_of("_src_rec", "_src_ord", order_by).alias("_s1"),
+        _first_of("_tgt_rec", "_tgt_ord", order_by).alias("_t1"))
 
     single = stats.filter((F.col("_ns") <= 1) & (F.col("_nt") <= 1))
     pair = (F.col("_ns") == 1) & (F.col("_nt") == 1)
