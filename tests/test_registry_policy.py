@@ -18,7 +18,7 @@ def reg(spark):
 def test_register_update_latest(spark):
     r = reg(spark)
     again = R.register(r, r.select("name", "description", "formula", "owner", "sensitivity"), as_of=AS_OF)
-    assert again.registry.count() == 0 and {x.reason for x in again.rejected.collect()} == {"already registered"}
+    assert again.registry.count() == 0 and {(x.reason, x.rows) for x in again.rejected.collect()} == {("already registered", 1)}
     patches = spark.createDataFrame([("revenue_total", "Net revenue", None), ("missing", "x", None),
                                      ("cost_total", None, "secret")],
                                     "name string, description string, sensitivity string")

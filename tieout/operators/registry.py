@@ -61,28 +61,43 @@ def _sens_ok(c: Column) -> Column:
 
 def register(registry: DataFrame, metrics: DataFrame, *, as_of: str,
              order_by: list[str] | None = None) -> Outcome:
-    """New names only; existing names are rejected. Within the batch the
-    first row of a name (by ``order_by``, default description) wins."""
-    from pyspark.sql import Window
+    """New names only. Per name the batch is reduced by one partial
+    aggregate: the first row (by ``order_by``, default description) is
+    registered unless the name exists; the rest are rejected and counted
+    (``rows``), so a name repeated across a third of the batch never lands
+    whole in one task."""
     ts = F.lit(as_of).cast("timestamp_ntz")
     order = order_by or ["description"]
-    w = Window.partitionBy("name").orderBy(*order)
-    m = metrics.withColumn("_rn", F.row_number().over(w))
+    cols = [c for c in metrics.columns if c != "name"]
+    firsts = metrics.groupBy("name").agg(
+        F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order])).alias("_f"),
+        F.count(F.lit(1)).alias("_n"))
     existing = registry.select("name").distinct()
-    fresh = m.join(existing, "name", "left_anti")
-    ok = (F.col("_rn") == 1) & _sens_ok(F.coalesce(F.col("sensitivity"), F.lit("internal")))
-    accepted = fresh.filter(ok).select(
-        "name", F.coalesce(F.col("version").cast("int") if "version" in metrics.columns else F.lit(None),
-                           F.lit(1)).alias("version"),
-        "description", "formula", "owner", F.lower(F.coalesce("sensitivity", F.lit("internal"))).alias("sensitivity"),
-        *[(F.col(c) if c in metrics.columns else F.lit(d)).alias(c) for c, d in
-          (("source_system", ""), ("refresh_frequency", "daily"), ("sla_hours", 24.0))],
-        (F.col("lineage") if "lineage" in metrics.columns else F.array().cast("array<string>")).alias("lineage"),
+    flagged = firsts.join(existing.withColumn("_exists", F.lit(True)), "name", "left")
+    is_new = F.col("_exists").isNull()
+    sens = F.coalesce(F.col("_f.sensitivity"), F.lit("internal")) if "sensitivity" in cols else F.lit("internal")
+    ok = is_new & _sens_ok(sens)
+
+    def field(c: str, default):
+        return F.col(f"_f.{c}") if c in cols else default
+
+    accepted = flagged.filter(ok).select(
+        "name", F.coalesce(field("version", F.lit(None)).cast("int"), F.lit(1)).alias("version"),
+        field("description", F.lit("")).alias("description"), field("formula", F.lit("")).alias("formula"),
+        field("owner", F.lit("")).alias("owner"), F.lower(sens).alias("sensitivity"),
+        field("source_system", F.lit("")).alias("source_system"),
+        field("refresh_frequency", F.lit("daily")).alias("refresh_frequency"),
+        field("sla_hours", F.lit(24.0)).cast("double").alias("sla_hours"),
+        field("lineage", F.array().cast("array<string>")).alias("lineage"),
         ts.alias("created_at"), ts.alias("updated_at"))
-    dup = m.join(existing, "name", "left_semi").select("name", F.lit("already registered").alias("reason"))
-    bad = fresh.filter(~ok).select("name", F.when(F.col("_rn") > 1, "duplicate in batch")
-                                   .otherwise("invalid sensitivity").alias("reason"))
-    return Outcome(accepted, dup.unionByName(bad))
+    reasons = F.array_compact(F.array(
+        F.when(~is_new, F.struct(F.lit("already registered").alias("reason"), F.col("_n").alias("rows"))),
+        F.when(is_new & ~_sens_ok(sens), F.struct(F.lit("invalid sensitivity").alias("reason"),
+                                                  F.lit(1).cast("long").alias("rows"))),
+        F.when(is_new & (F.col("_n") > 1), F.struct(F.lit("duplicate in batch").alias("reason"),
+                                                    (F.col("_n") - 1).alias("rows")))))
+    rejected = flagged.select("name", F.explode(reasons).alias("r")).select("name", "r.reason", "r.rows")
+    return Outcome(accepted, rejected)
 
 
 def update(registry: DataFrame, patches: DataFrame, *, as_of: str) -> Outcome:

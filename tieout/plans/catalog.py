@@ -942,9 +942,9 @@ def q_registry_search(spark, sf_dir):
 
 
 @register("registry_search_description", _F6_LATEST + """
-SELECT name, version FROM lat WHERE contains(lower(name), 'widget') OR contains(lower(description), 'widget')""")
+SELECT name, version FROM lat WHERE contains(lower(name), 'gizmo') OR contains(lower(description), 'gizmo')""")
 def q_registry_search_description(spark, sf_dir):
-    return R.search(FX.f6_registry(spark, sf_dir), "Widget").select("name", "version")
+    return R.search(FX.f6_registry(spark, sf_dir), "Gizmo").select("name", "version")
 
 
 @register("registry_glossary", _F6_LATEST + """
@@ -967,16 +967,20 @@ def _reg_batch(spark, sf_dir):
 @register("registry_register", _F6[:-1] + """,
 batch AS (SELECT 'type:' || p_type AS name, p_name AS description FROM part
           UNION ALL SELECT p_brand, p_name FROM part WHERE p_size = 1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY description) AS rn FROM batch),
+per AS (SELECT name, min(description) AS description, count(*) AS n FROM batch GROUP BY name),
 existing AS (SELECT DISTINCT name FROM reg)
-SELECT name, description, 'registered' AS outcome FROM ranked WHERE rn = 1 AND name NOT IN (SELECT name FROM existing)
-UNION ALL SELECT name, CAST(NULL AS VARCHAR), 'already registered' FROM ranked WHERE name IN (SELECT name FROM existing)
-UNION ALL SELECT name, CAST(NULL AS VARCHAR), 'duplicate in batch' FROM ranked
-          WHERE rn > 1 AND name NOT IN (SELECT name FROM existing)""")
+SELECT name, description, 'registered' AS outcome, CAST(1 AS BIGINT) AS rows FROM per
+WHERE name NOT IN (SELECT name FROM existing)
+UNION ALL SELECT name, CAST(NULL AS VARCHAR), 'already registered', CAST(n AS BIGINT) FROM per
+          WHERE name IN (SELECT name FROM existing)
+UNION ALL SELECT name, CAST(NULL AS VARCHAR), 'duplicate in batch', CAST(n - 1 AS BIGINT) FROM per
+          WHERE n > 1 AND name NOT IN (SELECT name FROM existing)""")
 def q_registry_register(spark, sf_dir):
     out = R.register(FX.f6_registry(spark, sf_dir), _reg_batch(spark, sf_dir), as_of=_REG_AS_OF)
-    return out.registry.select("name", "description", F.lit("registered").alias("outcome")).unionByName(
-        out.rejected.select("name", F.lit(None).cast("string").alias("description"), F.col("reason").alias("outcome")))
+    return out.registry.select("name", "description", F.lit("registered").alias("outcome"),
+                               F.lit(1).cast("long").alias("rows")).unionByName(
+        out.rejected.select("name", F.lit(None).cast("string").alias("description"),
+                            F.col("reason").alias("outcome"), F.col("rows").cast("long").alias("rows")))
 
 
 @register("registry_update", _F6_LATEST + """,

@@ -143,14 +143,14 @@ SENSITIVITY_LEVELS = ["public", "internal", "confidential", "restricted"]
 
 
 def f6_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-    p = read_table(spark, sf_dir, "part")
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    from ..plans.seq import group_row_number
+    # version = row_number() over (partition by p_brand order by p_partkey), numbered skew-proof
+    p = group_row_number(read_table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey"], name="_version")
     sens = F.element_at(F.array(*[F.lit(s) for s in SENSITIVITY_LEVELS]),
                         (F.col("p_partkey") % 4 + 1).cast("int"))
     return p.select(
         F.col("p_brand").alias("name"),
-        F.row_number().over(w).cast("int").alias("version"),
+        F.col("_version").cast("int").alias("version"),
         F.col("p_name").alias("description"),
         F.when(F.col("p_size") % 7 == 0, "").otherwise(F.concat(F.lit("SUM("), F.col("p_type"), F.lit(")"))).alias("formula"),
         F.when(F.col("p_size") % 11 == 0, "").otherwise(F.lit("finance")).alias("owner"),
