@@ -826,7 +826,32 @@ WITH ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, ts, 'data_a
 """
 
 
-@register("audit_chain_built")
+# DuckDB rebuilds the chain independently: bodies as one ordered list, then a
+# recursive CTE that hashes one event per step (same canonical text).
+_F5_CHAIN_SQL = """
+WITH RECURSIVE ev AS (
+  SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, ts, 'data_access' AS event_type,
+         'user-' || user_id AS actor, event_type AS action, 'res-' || (event_id % 10) AS resource, props AS details
+  FROM events),
+b AS (SELECT seq, printf('AUD-%08d', seq) AS event_id, event_type, actor, action, resource,
+             concat_ws('|', length(printf('AUD-%08d', seq)) || ':' || printf('AUD-%08d', seq),
+                  length(event_type) || ':' || event_type,
+                  length(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'),
+                  length(actor) || ':' || actor, length(action) || ':' || action,
+                  length(resource) || ':' || resource, coalesce(length(details) || ':' || details, '~')) AS body
+      FROM ev),
+arr AS MATERIALIZED (SELECT list(body ORDER BY seq) AS bodies, count(*) AS n FROM b),
+chain(seq, prev, h) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), repeat('0', 64)
+  UNION ALL
+  SELECT chain.seq + 1, chain.h, sha256(arr.bodies[chain.seq + 1] || '|64:' || chain.h)
+  FROM chain, arr WHERE chain.seq < arr.n)
+"""
+
+
+@register("audit_chain_built", _F5_CHAIN_SQL + """
+SELECT b.seq, b.event_id, b.event_type, b.actor, b.action, b.resource, c.prev AS previous_hash, c.h AS event_hash
+FROM b JOIN chain c ON c.seq = b.seq""")
 def q_audit_chain_built(spark, sf_dir):
     return _f5_log(spark, sf_dir).select("seq", "event_id", "event_type", "actor", "action", "resource",
                                          "previous_hash", "event_hash")
@@ -1230,3 +1255,24 @@ def q_audit_gate_decisions(spark, sf_dir):
     return g.select("event_id", F.col("resource").alias("gate_name"),
                     F.regexp_replace("action", "^gate_", "").alias("decision"),
                     F.get_json_object("details", "$.blocked").cast("bigint").alias("blocked"))
+
+
+@register("audit_verify_tampered_rows", _F5_CHAIN_SQL + """,
+stored AS (SELECT b.seq, b.event_id, b.event_type, b.actor, b.action, b.resource, c.prev, c.h,
+                  CASE WHEN b.seq = 500 THEN '{"k": -1}' ELSE e.details END AS details, e.ts
+           FROM b JOIN chain c ON c.seq = b.seq JOIN ev e ON e.seq = b.seq),
+checked AS (
+  SELECT seq, event_id,
+         prev = coalesce(lag(h) OVER (ORDER BY seq), repeat('0', 64)) AS is_linked,
+         sha256(concat_ws('|', length(event_id) || ':' || event_id, length(event_type) || ':' || event_type,
+                  length(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'),
+                  length(actor) || ':' || actor, length(action) || ':' || action,
+                  length(resource) || ':' || resource, coalesce(length(details) || ':' || details, '~'))
+                || '|64:' || prev) = h AS hash_ok
+  FROM stored)
+SELECT seq, event_id, is_linked, hash_ok FROM checked WHERE NOT is_linked OR NOT hash_ok""")
+def q_audit_verify_tampered_rows(spark, sf_dir):
+    log = A.reliable_log(_f5_log(spark, sf_dir))
+    t = log.withColumn("details", F.when(F.col("seq") == 500, F.lit('{"k": -1}')).otherwise(F.col("details")))
+    rows = A.verify(t).rows
+    return rows.filter(~F.col("is_linked") | ~F.col("hash_ok")).select("seq", "event_id", "is_linked", "hash_ok")
