@@ -1232,7 +1232,7 @@ def q_match_duplicate_keys(spark, sf_dir):
 SELECT to_json({'overall_status': CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END,
                 'check_count': count(*),
                 'checks': list({'name': check_name, 'status': status, 'message': message} ORDER BY check_order)})
-       AS details
+       ::VARCHAR AS details
 FROM checks""")
 def q_check_audit_record(spark, sf_dir):
     return C.audit_record_json(_f1_checks(spark, sf_dir))
