@@ -133,3 +133,24 @@ def test_key_side_counts(spark):
     t = df(spark, [("b", 1.0)])
     rows = {r.id: (r.n_source, r.n_target, r.is_duplicate) for r in M.key_side_counts(s, t, ["id"]).collect()}
     assert rows == {"a": (2, 0, True), "b": (1, 1, False)}
+
+
+@pytest.mark.parametrize("hot", [None, "   "])
+def test_hot_key_holding_a_third_of_rows(spark, hot):
+    n = 3000
+    rows = [(hot if i % 3 == 0 else f"K{i}", float(i)) for i in range(n)]
+    s = spark.createDataFrame(rows, "id string, amount double").repartition(7)
+    t = spark.createDataFrame(rows[: n // 2], "id string, amount double").repartition(5)
+    agg = M.match(s, t, ["id"], ["amount"], order_by=["amount"])
+    win = M.match(s, t, ["id"], ["amount"], order_by=["amount"], strategy="window")
+    cols = ["status", "origin", "source_record", "target_record"]
+    assert sorted(map(tuple, agg.select(*cols).collect())) == sorted(map(tuple, win.select(*cols).collect()))
+    rep = report(agg)
+    hot_rows = n // 3 + (n // 2 + 2) // 3
+    assert rep["duplicate_count"] == hot_rows
+    assert rep["matched_count"] == (n // 2) - (n // 2 + 2) // 3
+    assert rep["source_count"] == n
+    # every hot-key duplicate carries the same first sample of each side
+    samples = {(r.source_record.amount if r.origin == "target" else r.target_record.amount)
+               for r in agg.filter(F.col("status") == "duplicate").collect()}
+    assert samples == {0.0}

@@ -28,6 +28,7 @@ def build_session(master: str | None = None, app: str = "tieout",
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.ansi.enabled", "true")
     )
     spark = builder.getOrCreate()
