@@ -154,3 +154,12 @@ def test_hot_key_holding_a_third_of_rows(spark, hot):
     samples = {(r.source_record.amount if r.origin == "target" else r.target_record.amount)
                for r in agg.filter(F.col("status") == "duplicate").collect()}
     assert samples == {0.0}
+
+
+def test_summary_equals_report_of_rows(spark):
+    s = df(spark, [("A", 1.0), ("B", 2.0), ("B", 2.0), (None, 3.0), ("C", 4.0), ("D", 5.0)])
+    t = df(spark, [("a", 1.0), ("b", 2.0), (None, 3.0), ("C", 4.5), ("E", 6.0), ("E", 6.0)])
+    for a, b in ((s, t), (df(spark, []), t), (s, df(spark, []))):
+        want = report(M.match(a, b, ["id"], ["amount"]))
+        got = M.match_summary(a, b, ["id"], ["amount"]).first().asDict()
+        assert got == want

@@ -184,11 +184,7 @@ def match(source: DataFrame, target: DataFrame, key_fields: list[str],
             F.when(~F.col("_is_src"), F.col("_tgt_rec")).otherwise(F.col("_t1")).alias("target_record"),
             F.when(pair & ~dup, conf).otherwise(empty).alias("conflicts"))
 
-    stats = u.groupBy(*kcols).agg(
-        F.count_if(F.col("_is_src")).alias("_ns"),
-        F.count_if(~F.col("_is_src")).alias("_nt"),
-        _first_of("_src_rec", "_src_ord", order_by).alias("_s1"),
-        _first_of("_tgt_rec", "_tgt_ord", order_by).alias("_t1"))
+    stats = _key_stats(u, kcols, order_by)
 
     single = stats.filter((F.col("_ns") <= 1) & (F.col("_nt") <= 1))
     pair = (F.col("_ns") == 1) & (F.col("_nt") == 1)
@@ -214,6 +210,49 @@ def match(source: DataFrame, target: DataFrame, key_fields: list[str],
     return clean.unionByName(dups)
 
 
+def _key_stats(u: DataFrame, kcols: list[str], order_by: list[str] | None) -> DataFrame:
+    """The one per-key aggregate everything else derives from."""
+    return u.groupBy(*kcols).agg(
+        F.count_if(F.col("_is_src")).alias("_ns"),
+        F.count_if(~F.col("_is_src")).alias("_nt"),
+        _first_of("_src_rec", "_src_ord", order_by).alias("_s1"),
+        _first_of("_tgt_rec", "_tgt_ord", order_by).alias("_t1"))
+
+
+def match_summary(source: DataFrame, target: DataFrame, key_fields: list[str],
+                  value_fields: list[str] | None = None, *, normalize_keys: bool = True) -> DataFrame:
+    """``match_report`` without producing the result rows: every count
+    follows from the per-key aggregate (an ambiguous key contributes
+    ns + nt duplicate rows), so the report costs one shuffle and no second
+    pass over the inputs. Same columns and values as
+    ``match_report(match(...))``."""
+    if not key_fields:
+        raise ValueError("key_fields must not be empty")
+    value_fields = list(value_fields or [])
+    u, kcols = _tagged(source, target, key_fields, normalize_keys, None)
+    st = _key_stats(u, kcols, None)
+    ns, nt = F.col("_ns"), F.col("_nt")
+    pair = (ns == 1) & (nt == 1)
+    dup = (ns > 1) | (nt > 1)
+    conflict = pair & (F.size(conflict_array(F.col("_s1"), F.col("_t1"), source.schema, target.schema,
+                                            value_fields)) > 0)
+    agg = st.agg(
+        F.coalesce(F.sum(ns), F.lit(0)).alias("source_count"),
+        F.coalesce(F.sum(nt), F.lit(0)).alias("target_count"),
+        F.count_if(pair).alias("matched_count"),
+        F.count_if((ns == 1) & (nt == 0)).alias("unmatched_source_count"),
+        F.count_if((ns == 0) & (nt == 1)).alias("unmatched_target_count"),
+        F.count_if(conflict).alias("conflict_count"),
+        F.coalesce(F.sum(F.when(dup, ns + nt)), F.lit(0)).alias("duplicate_count"),
+        F.coalesce(F.sum(F.when(dup, ns + nt).otherwise(F.lit(1))), F.lit(0)).alias("result_count"))
+    return agg.select(
+        "source_count", "target_count", "matched_count", "unmatched_source_count", "unmatched_target_count",
+        "conflict_count", "duplicate_count", "result_count",
+        F.when(F.col("source_count") > 0, F.col("matched_count") / F.col("source_count"))
+         .otherwise(F.lit(0.0)).alias("match_rate"),
+        (F.col("matched_count") - F.col("conflict_count") == F.col("result_count")).alias("is_fully_reconciled"))
+
+
 def key_side_counts(source: DataFrame, target: DataFrame, key_fields: list[str],
                     *, normalize_keys: bool = True) -> DataFrame:
     """Per normalised key: rows on each side and whether it is ambiguous

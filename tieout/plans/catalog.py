@@ -170,6 +170,12 @@ def q_match_report(spark, sf_dir):
     return rep.withColumn("match_rate", F.round("match_rate", 9))
 
 
+@register("match_summary", ORACLE["match_report"])
+def q_match_summary(spark, sf_dir):
+    rep = M.match_summary(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), ["txn_id"], ["amount"])
+    return rep.withColumn("match_rate", F.round("match_rate", 9))
+
+
 _LI_COMPOSITE = """
 li_src AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem),
 li_tgt AS (SELECT l_orderkey, l_linenumber,
