@@ -5,7 +5,7 @@ Spark jobs on data derived from the driver's tables at ``$BENCH_SF_DIR``
 Method as in the reference harness: inputs are prepared outside the timer
 (here: derived from the parquet tables and written once as parquet under
 the checkpoint folder), then per operator one warm-up run and
-``$BENCH_REPEATS`` (default 3) timed runs; the median is reported. Every
+``$BENCH_REPEATS`` (default 5) timed runs; the median is reported. Every
 run forces full execution with the ``noop`` sink (nothing is collected
 except one-row verdicts). ``rows`` is the number of input records an
 operator processes and ``records_per_sec`` = rows / median.
@@ -143,7 +143,7 @@ def _outcome(o) -> None:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     spark = build_session()
     inp = Inputs(spark, sf_dir)
     prepare(inp)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import seq_id
-from ..plans.seq import dense_sequence, lag_dense
+from ..plans.seq import dense_sequence, is_small, lag_dense
 from ..session import ensure_checkpoint_dir
 
 GENESIS_HASH = "0" * 64
@@ -56,10 +56,20 @@ def lp(c: Column) -> Column:
     return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~"))
 
 
+def body_rest(event_type: Column, ts: Column, actor: Column, action: Column, resource: Column,
+              details: Column) -> Column:
+    """Hashed text after the event id (everything known before numbering)."""
+    return F.concat_ws("|", lp(event_type), lp(F.date_format(ts, TS_FORMAT)), lp(actor), lp(action),
+                       lp(resource), lp(details))
+
+
 def body_text(event_id: Column, event_type: Column, ts: Column, actor: Column, action: Column,
               resource: Column, details: Column) -> Column:
-    return F.concat_ws("|", lp(event_id), lp(event_type), lp(F.date_format(ts, TS_FORMAT)), lp(actor),
-                       lp(action), lp(resource), lp(details))
+    return F.concat(lp(event_id), F.lit("|"), body_rest(event_type, ts, actor, action, resource, details))
+
+
+def _row_rest() -> Column:
+    return body_rest(*[F.col(c) for c in ("event_type", "timestamp", "actor", "action", "resource", "details")])
 
 
 def link_hash(body: Column, previous_hash: Column) -> Column:
@@ -98,6 +108,29 @@ def _fold(seed: str | None, chain_col: str | None):
     return fn
 
 
+def _fold_numbered(start: int, seed: str):
+    """Arrow fold for one ordered task: numbers the rows from ``start``,
+    formats the id and chains the hashes in the same pass."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev, seq = seed, start
+        for b in batches:
+            rests = b.column(b.schema.get_field_index("_rest")).to_pylist()
+            seqs, ids, prevs, hashes = [], [], [], []
+            for rest in rests:
+                eid = f"AUD-{seq:08d}"
+                h = hashlib.sha256(f"{len(eid)}:{eid}|{rest}|64:{prev}".encode("utf-8")).hexdigest()
+                seqs.append(seq)
+                ids.append(eid)
+                prevs.append(prev)
+                hashes.append(h)
+                prev, seq = h, seq + 1
+            yield pa.RecordBatch.from_arrays(
+                list(b.columns) + [pa.array(seqs, pa.int64()), pa.array(ids, pa.string()),
+                                   pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
+                names=list(b.schema.names) + ["seq", "event_id", "previous_hash", "event_hash"])
+    return fn
+
+
 def _fold_schema(df: DataFrame) -> T.StructType:
     return T.StructType(df.schema.fields + [T.StructField("previous_hash", T.StringType(), True),
                                             T.StructField("event_hash", T.StringType(), True)])
@@ -136,40 +169,53 @@ def audit_append(events: DataFrame, *, order_by: list[str | Column], tail: DataF
                  block_rows: int = 1_000_000, timestamp_col: str = "timestamp") -> DataFrame:
     """Append ``events`` (event_type, timestamp, actor, action, resource,
     details JSON string) after ``tail`` and return the new rows with ids and
-    hashes. ``order_by`` must be unique. See the module doc for the plan."""
+    hashes, stored once in the checkpoint folder. ``order_by`` must be
+    unique. See the module doc for the plan."""
     spark = events.sparkSession
     start, last = tail_state(tail)
     if tail is None and anchor_hash:
         last = anchor_hash
-    staged = prepare_events(events, order_by=order_by, start_seq=start, timestamp_col=timestamp_col)
     extra = [c for c in events.columns if c not in LOG_COLUMNS and c != timestamp_col]
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-append-{uuid.uuid4().hex}"
 
     if chain_by is not None:
         # independent chains fold in parallel; each chain is seeded from the
         # tail's last hash of that chain (joined, never collected)
+        staged = prepare_events(events, order_by=order_by, start_seq=start, timestamp_col=timestamp_col)
         heads = (tail.groupBy(chain_by).agg(F.max_by("event_hash", "seq").alias("_seed"))
                  if tail is not None else None)
         s = staged.join(heads, chain_by, "left") if heads is not None else \
             staged.withColumn("_seed", F.lit(None).cast("string"))
         s = s.repartition(chain_by).sortWithinPartitions(chain_by, "seq")
-        out = s.mapInArrow(_fold(None, chain_by), _fold_schema(s))
-        return _finish(out, extra)
+        s.mapInArrow(_fold(None, chain_by), _fold_schema(s)).write.parquet(f"{base}/chain")
+        return _finish(spark.read.parquet(f"{base}/chain"), extra)
 
+    ev = events.withColumn("_ts", F.col(timestamp_col).cast("timestamp_ntz")).drop(timestamp_col) \
+        .withColumnRenamed("_ts", "timestamp")
+    if is_small(ev):
+        # proven small (optimizer size estimate): one task sorts, numbers and folds
+        one = ev.withColumn("_rest", _row_rest()).coalesce(1).sortWithinPartitions(*order_by)
+        schema = T.StructType(one.schema.fields + [
+            T.StructField("seq", T.LongType()), T.StructField("event_id", T.StringType()),
+            T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
+        one.mapInArrow(_fold_numbered(start, last), schema) \
+            .withColumn("event_date", F.date_format("timestamp", "yyyy-MM-dd")).write.parquet(f"{base}/chain")
+        return _finish(spark.read.parquet(f"{base}/chain"), extra)
+
+    staged = prepare_events(events, order_by=order_by, start_seq=start, timestamp_col=timestamp_col)
     n = staged.count()  # reads the checkpointed numbering only
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-append-{uuid.uuid4().hex}"
-    if 0 < n <= block_rows:
-        # a single block: fold it in one task straight from the numbering and
-        # store the chain once (every consumer reads it, none re-folds it)
+    if n == 0:  # nothing to append
+        return _finish(staged.withColumn("previous_hash", F.lit(None).cast("string"))
+                       .withColumn("event_hash", F.lit(None).cast("string")), extra)
+    if n <= block_rows:
+        # a single block: fold it in one task straight from the numbering
         one = staged.coalesce(1).sortWithinPartitions("seq")
         one.mapInArrow(_fold(last, None), _fold_schema(one)).write.parquet(f"{base}/chain")
         return _finish(spark.read.parquet(f"{base}/chain"), extra)
     staged.withColumn("_block", F.floor((F.col("seq") - F.lit(start)) / F.lit(block_rows)).cast("long")) \
         .write.partitionBy("_block").parquet(f"{base}/staged")
     blocks = spark.read.parquet(f"{base}/staged")
-    n_blocks = blocks.agg(F.max("_block")).first()[0]
-    if n_blocks is None:  # nothing to append
-        return _finish(staged.withColumn("previous_hash", F.lit(None).cast("string"))
-                       .withColumn("event_hash", F.lit(None).cast("string")), extra)
+    n_blocks = (n - 1) // block_rows
     schema = _fold_schema(blocks.drop("_block"))
     prev = last
     for b in range(int(n_blocks) + 1):

@@ -30,6 +30,26 @@ from ..session import reliable_checkpoint
 
 _PID, _MID = "_pid", "_mid"
 
+# Inputs whose optimizer size estimate is at most this many bytes take the
+# one-task form of an operator (a single-partition window, one sorted group);
+# anything larger takes the distributed, checkpointed form. The estimate is
+# Spark's own plan statistic (the one behind its broadcast decision): file
+# sizes scaled by the projected columns, never reduced by filters, so it
+# errs towards the distributed form.
+SMALL_BYTES = 32 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of ``df`` (no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - unknown plans take the distributed form
+        return 1 << 62
+
+
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    return estimated_bytes(df) <= (SMALL_BYTES if limit is None else limit)
+
 
 def ordered_blocks(df: DataFrame, order_cols: list[str | Column],
                    num_partitions: int | None = None) -> DataFrame:
@@ -59,6 +79,10 @@ def dense_sequence(df: DataFrame, order_cols: list[str | Column], *, name: str =
                    start: int = 1, num_partitions: int | None = None) -> DataFrame:
     """Add a dense 1-based (or ``start``-based) position in ``order_cols``
     order. The order must be unique (add a tie-breaker) for a stable result."""
+    if num_partitions is None and is_small(df):
+        # proven small: one ordered task (bounded by SMALL_BYTES)
+        w = Window.orderBy(*order_cols)
+        return df.select("*", (F.row_number().over(w) - 1 + F.lit(start)).cast("long").alias(name))
     pos = global_positions(ordered_blocks(df, order_cols, num_partitions))
     return pos.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_pos") + F.lit(start)).alias(name))
 
@@ -84,6 +108,15 @@ def exact_group_median(df: DataFrame, group_cols: list[str], value_col: str,
     the join cannot skew.
     """
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if num_partitions is None and is_small(v):
+        # proven small: each group's sorted values fit one task (bounded by SMALL_BYTES in total)
+        g = v.groupBy(*group_cols).agg(F.array_sort(F.collect_list("_v")).alias("_a"),
+                                       F.max(F.isnan("_v").cast("int")).alias("_nan"))
+        n = F.size("_a")
+        lo = F.element_at("_a", (F.floor((n - 1) / 2) + 1).cast("int"))
+        hi = F.element_at("_a", (F.floor(n / 2) + 1).cast("int"))
+        return g.select(*group_cols, F.when(F.col("_nan") == 1, F.lit(float("nan")))
+                        .otherwise((lo + hi) / 2).alias(out), n.cast("long").alias("n"))
     pos = global_positions(ordered_blocks(v, [*group_cols, "_v"], num_partitions))
     stats = pos.groupBy(*group_cols).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("n"),
                                          F.max(F.isnan("_v").cast("int")).alias("_nan"))
@@ -126,6 +159,9 @@ def lag_over(df: DataFrame, order_col: str, value_col: str, out_col: str = "lag_
     (Arrow, no per-row Python) and a fix-up of each partition's first row
     from the last value of the previous non-empty partition (a frame of one
     row per partition, broadcast)."""
+    if num_partitions is None and is_small(df):
+        # proven small: one ordered task (bounded by SMALL_BYTES)
+        return df.select("*", F.lag(value_col).over(Window.orderBy(order_col)).alias(out_col))
     blocks = ordered_blocks(df, [order_col], num_partitions)
     vt = blocks.schema[value_col].dataType
     out_schema = T.StructType(blocks.schema.fields + [T.StructField(out_col, vt, True),
@@ -163,6 +199,10 @@ def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str]
     joined back; AQE broadcasts it when small). A group holding a third of
     all rows is still numbered by many tasks. The order must be unique
     within a group."""
+    if num_partitions is None and is_small(df):
+        # proven small: per-group windows over at most SMALL_BYTES of rows
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return df.select("*", F.row_number().over(w).alias(name))
     pos = global_positions(ordered_blocks(df, [*group_cols, *order_cols], num_partitions))
     starts = pos.groupBy(*group_cols).agg(F.min("_pos").alias("_start"))
     j = pos.join(starts, group_cols)
