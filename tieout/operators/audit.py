@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import seq_id
-from ..plans.seq import dense_sequence, is_small, lag_dense
+from ..plans.seq import dense_range, dense_sequence, is_small, lag_dense
 from ..session import ensure_checkpoint_dir
 
 GENESIS_HASH = "0" * 64
@@ -245,7 +245,8 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
             "previous_hash", "event_hash"]
     if "timestamp_text" in log.columns:
         cols.append("timestamp_text")
-    lagged = lag_dense(log.select(*cols), "seq", "event_hash", "expected_previous_hash")
+    dense, lo = dense_range(log, "seq")
+    lagged = lag_dense(log.select(*cols), "seq", "event_hash", "expected_previous_hash", dense=dense)
     exp = F.coalesce(F.col("expected_previous_hash"), F.lit(anchor_hash))
     if hash_version == 1:
         from ..functions.canonical import python_timestamp_text, reference_event_hash
@@ -268,9 +269,13 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
              .alias("expected"),
             F.when(~F.col("is_linked"), F.col("previous_hash")).otherwise(F.col("event_hash")).alias("actual")),
             F.when(bad, F.col("seq"))).alias("v"))
-    # position of the violation in the (possibly purged or gapped) log
-    pos = rows.join(first.select(F.col("v.seq").alias("_vseq")), F.col("seq") < F.col("_vseq")) \
-        .agg(F.count(F.lit(1)).alias("_idx"))
+    # position of the violation in the (possibly purged or gapped) log: with
+    # dense ids it is seq - min(seq); with gaps, count the rows before it
+    if dense:
+        pos = first.select((F.col("v.seq") - F.lit(lo)).alias("_idx"))
+    else:
+        pos = rows.join(first.select(F.col("v.seq").alias("_vseq")), F.col("seq") < F.col("_vseq")) \
+            .agg(F.count(F.lit(1)).alias("_idx"))
     verdict = first.crossJoin(pos).select(  # 1 x 1 rows
         F.col("v").isNull().alias("valid"),
         F.when(F.col("v").isNotNull(), F.col("_idx")).alias("event_index"),

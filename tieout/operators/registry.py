@@ -69,12 +69,18 @@ def register(registry: DataFrame, metrics: DataFrame, *, as_of: str,
     ts = F.lit(as_of).cast("timestamp_ntz")
     order = order_by or ["description"]
     cols = [c for c in metrics.columns if c != "name"]
-    firsts = metrics.groupBy("name").agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order])).alias("_f"),
-        F.count(F.lit(1)).alias("_n"))
-    existing = registry.select("name").distinct()
-    flagged = firsts.join(existing.withColumn("_exists", F.lit(True)), "name", "left")
-    is_new = F.col("_exists").isNull()
+    rec = F.struct(*[F.col(c) for c in cols])
+    ordc = F.struct(*[F.col(c) for c in order])
+    # one union-tag aggregate: batch rows and existing names meet per name
+    batch = metrics.select("name", rec.alias("_rec"), ordc.alias("_ord"), F.lit(1).alias("_b"),
+                           F.lit(0).alias("_e"))
+    known = registry.select("name", F.lit(None).cast(batch.schema["_rec"].dataType).alias("_rec"),
+                            F.lit(None).cast(batch.schema["_ord"].dataType).alias("_ord"),
+                            F.lit(0).alias("_b"), F.lit(1).alias("_e"))
+    flagged = batch.unionByName(known).groupBy("name").agg(
+        F.min_by("_rec", "_ord").alias("_f"), F.sum("_b").cast("long").alias("_n"),
+        F.max("_e").alias("_exists")).filter(F.col("_n") > 0)
+    is_new = F.col("_exists") == 0
     sens = F.coalesce(F.col("_f.sensitivity"), F.lit("internal")) if "sensitivity" in cols else F.lit("internal")
     ok = is_new & _sens_ok(sens)
 

@@ -176,16 +176,26 @@ def lag_over(df: DataFrame, order_col: str, value_col: str, out_col: str = "lag_
     return j.select(*[F.col(f"`{c}`") for c in df.columns], lagged.alias(out_col))
 
 
-def lag_dense(df: DataFrame, order_col: str, value_col: str, out_col: str = "lag_value") -> DataFrame:
+def dense_range(df: DataFrame, order_col: str) -> tuple[bool, int | None]:
+    """(is the integral order column dense, its minimum): one small aggregate."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    if r["n"] == 0:
+        return False, None
+    return r["hi"] - r["lo"] + 1 == r["n"], r["lo"]
+
+
+def lag_dense(df: DataFrame, order_col: str, value_col: str, out_col: str = "lag_value",
+              dense: bool | None = None) -> DataFrame:
     """LAG over an integral order column, exact whatever the gaps.
 
     When the order column is dense (count == max - min + 1; one small
-    aggregate decides), the previous row is simply ``order - 1``: an
-    equi-join on a unique key, fully parallel and skew-free, with no
-    checkpoint and no Python. Otherwise (rows deleted, e.g. a tampered log)
-    it falls back to ``lag_over``."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    if r["n"] == 0 or r["hi"] - r["lo"] + 1 != r["n"]:
+    aggregate decides unless the caller knows), the previous row is simply
+    ``order - 1``: an equi-join on a unique key, fully parallel and
+    skew-free, with no checkpoint and no Python. Otherwise (rows deleted,
+    e.g. a tampered log) it falls back to ``lag_over``."""
+    if dense is None:
+        dense, _ = dense_range(df, order_col)
+    if not dense:
         return lag_over(df, order_col, value_col, out_col)
     prev = df.select((F.col(order_col) + 1).alias("_next"), F.col(value_col).alias(out_col))
     return df.join(prev, F.col(order_col) == F.col("_next"), "left").drop("_next")
