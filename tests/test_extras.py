@@ -91,3 +91,24 @@ def test_sink_writers_partition_by_date(spark):
         ["created_date=2024-01-01", "created_date=2024-01-02"]
     back = spark.read.parquet(f"{d}/exceptions_queue").filter("created_date = '2024-01-02'")
     assert [r.exception_id for r in back.collect()] == ["EXC-000002"]
+
+
+def test_gate_decision_events_and_table(spark):
+    verdict = G.validate(spark.createDataFrame([("r", 5.0)], "record_id string, value double"),
+                         spark.createDataFrame([(float(i % 7),) for i in range(40)], "value double")).verdict
+    ev = A.gate_decision_events(verdict, gate_name="g1", timestamp="2024-01-01 00:00:00")
+    acc = A.access_events(spark.createDataFrame([("ana", "tbl", "2024-01-01 00:00:01")], "actor string, resource string, "
+                                                "timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+    log = A.audit_append(ev.withColumn("_o", F.lit(0)).unionByName(acc.withColumn("_o", F.lit(1))), order_by=["_o"])
+    t = A.gate_decisions_table(log).first()
+    v = verdict.first()
+    assert (t.gate_name, t.decision, t.record_count, t.anomaly_count) == ("g1", v.gate_decision, 1, v.flagged + v.blocked)
+    assert t.baseline_mean == v.baseline_mean and t.event_hash == log.filter("seq = 1").first().event_hash
+    a = A.access_log(log).first()
+    assert (a.actor, a.action, a.resource) == ("ana", "read", "tbl")
+
+
+def test_canonical_set(spark):
+    from tieout.functions.scalars import canonical_set
+    r = spark.range(1).select(canonical_set(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("s")).first()
+    assert r.s == ["a", "b"]

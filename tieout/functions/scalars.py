@@ -42,3 +42,9 @@ def sha256_hex(text: Column) -> Column:
 
 def hash_preview(h: Column) -> Column:
     return F.concat(F.substring(h, 1, 16), F.lit("..."))
+
+
+def canonical_set(arr: Column) -> Column:
+    """A set-valued array in canonical form (distinct, sorted), so hashing
+    does not depend on insertion order."""
+    return F.array_sort(F.array_distinct(arr))

@@ -360,16 +360,23 @@ def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
 
 
 # --------------------------------------------------------- event builders
+GATE_DETAILS = "struct<total_records:bigint,flagged:bigint,blocked:bigint,batch_anomaly_rate:double," \
+               "baseline_mean:double,baseline_std:double>"
+
+
 def gate_decision_events(verdicts: DataFrame, *, gate_name: Column | str, timestamp: Column | str,
                          actor: str = "gate_pipeline") -> DataFrame:
-    """``log_gate_decision`` in bulk: one event per verdict row."""
+    """``log_gate_decision`` in bulk: one gate_decision event per verdict row
+    (action ``gate_<decision>``, resource = gate name); the verdict numbers
+    travel in ``details`` so the gate_decisions table can be derived from the
+    log alone."""
     g = gate_name if isinstance(gate_name, Column) else F.lit(gate_name)
     ts = timestamp if isinstance(timestamp, Column) else F.lit(timestamp).cast("timestamp_ntz")
     return verdicts.select(
         F.lit("gate_decision").alias("event_type"), ts.alias("timestamp"), F.lit(actor).alias("actor"),
         F.concat(F.lit("gate_"), F.col("gate_decision")).alias("action"), g.alias("resource"),
-        F.to_json(F.struct("blocked", "batch_anomaly_rate")).alias("details"),
-        *[F.col(c) for c in verdicts.columns])
+        F.to_json(F.struct("total_records", "flagged", "blocked", "batch_anomaly_rate", "baseline_mean",
+                           "baseline_std")).alias("details"))
 
 
 def access_events(accesses: DataFrame, *, actor: str = "actor", resource: str = "resource",
@@ -390,13 +397,16 @@ def access_log(log: DataFrame, *, sensitivity: Column | None = None, ip: Column
 
 
 def gate_decisions_table(log: DataFrame) -> DataFrame:
-    """``gate_decisions`` sink rows from gate events carrying verdict columns."""
+    """``gate_decisions`` sink rows: the gate_decision events of the log with
+    the verdict numbers read back from ``details``; hashes link the table to
+    the chain."""
+    d = F.from_json("details", GATE_DETAILS)
     return log.filter(F.col("event_type") == "gate_decision").select(
-        "event_id", "timestamp", F.col("resource").alias("gate_name"), F.col("gate_decision").alias("decision"),
-        F.col("total_records").alias("record_count"),
-        (F.col("flagged") + F.col("blocked")).alias("anomaly_count"),
-        F.col("batch_anomaly_rate").alias("anomaly_rate"), "baseline_mean", "baseline_std",
-        "previous_hash", "event_hash")
+        "event_id", "timestamp", F.col("resource").alias("gate_name"),
+        F.regexp_replace("action", "^gate_", "").alias("decision"),
+        d["total_records"].alias("record_count"), (d["flagged"] + d["blocked"]).alias("anomaly_count"),
+        d["batch_anomaly_rate"].alias("anomaly_rate"), d["baseline_mean"].alias("baseline_mean"),
+        d["baseline_std"].alias("baseline_std"), "previous_hash", "event_hash")
 
 
 def spark_of(df: DataFrame) -> SparkSession:

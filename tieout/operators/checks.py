@@ -125,6 +125,18 @@ def missing_keys(source: DataFrame, target: DataFrame, key_cols: list[str]) -> D
         .filter(F.col("_only_s") == 1).select(*key_cols)
 
 
+def missing_keys_sample(source: DataFrame, target: DataFrame, key_cols: list[str], n: int = 100) -> DataFrame:
+    """One row: how many source keys are missing in target and the first
+    ``n`` of them in sorted order (the report row of the completeness check).
+    The sample is a top-n (per-task top-n, then a merge of n rows per
+    task), so no task holds more than ``n`` keys; the full list stays the
+    ``missing_keys`` DataFrame."""
+    missing = missing_keys(source, target, key_cols)
+    k = F.struct(*key_cols) if len(key_cols) > 1 else F.col(key_cols[0])
+    top = missing.orderBy(*key_cols).limit(n).agg(F.array_sort(F.collect_list(k)).alias("sample"))
+    return missing.agg(F.count(F.lit(1)).alias("missing_count")).crossJoin(top)  # 1 x 1 rows
+
+
 def overall_status(checks: DataFrame) -> DataFrame:
     """Worst status (FAIL > WARN > PASS; empty -> PASS), the check count and
     the ordered (name, status, message) list: the audit-record payload."""

@@ -1282,3 +1282,45 @@ def q_audit_verify_tampered_rows(spark, sf_dir):
     t = log.withColumn("details", F.when(F.col("seq") == 500, F.lit('{"k": -1}')).otherwise(F.col("details")))
     rows = A.verify(t).rows
     return rows.filter(~F.col("is_linked") | ~F.col("hash_ok")).select("seq", "event_id", "is_linked", "hash_ok")
+
+
+@register("audit_gate_decisions_table", f"""
+SELECT 'zscore_gl_amounts' AS gate_name, g.gate_decision AS decision, g.total_records AS record_count,
+       g.flagged + g.blocked AS anomaly_count, g.batch_anomaly_rate AS anomaly_rate, g.baseline_mean, g.baseline_std
+FROM {_sub(_FLOW_GATE_GL + _verdict_sql(True))} g""")
+def q_audit_gate_decisions_table(spark, sf_dir):
+    gl, proc, wh = FX.f3_sources(spark, sf_dir)
+    log = FL.three_way(gl, proc, wh, _orders_history(spark, sf_dir), as_of=_FLOW_AS_OF)["audit_log"]
+    t = A.gate_decisions_table(log)
+    return t.select("gate_name", "decision", "record_count", "anomaly_count", "anomaly_rate",
+                    F.round("baseline_mean", 6).alias("baseline_mean"), F.round("baseline_std", 6).alias("baseline_std"))
+
+
+@register("registry_get", _F6_LATEST + "SELECT name, version, owner, sensitivity FROM lat WHERE name = 'Brand#13'")
+def q_registry_get(spark, sf_dir):
+    return R.get(FX.f6_registry(spark, sf_dir), "Brand#13").select("name", "version", "owner", "sensitivity")
+
+
+@register("check_missing_keys_sample", S.with_(f1_source=S.F1_SOURCE, f1_target=S.F1_TARGET) + """,
+m AS (SELECT txn_id FROM (SELECT DISTINCT txn_id FROM f1_source) s
+      WHERE NOT EXISTS (SELECT 1 FROM f1_target t WHERE t.txn_id IS NOT DISTINCT FROM s.txn_id))
+SELECT CAST((SELECT count(*) FROM m) AS BIGINT) AS missing_count,
+       (SELECT list(txn_id ORDER BY txn_id) FROM (SELECT txn_id FROM m ORDER BY txn_id NULLS FIRST LIMIT 20)) AS sample""")
+def q_check_missing_keys_sample(spark, sf_dir):
+    return C.missing_keys_sample(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), ["txn_id"], n=20)
+
+
+@register("recon_results_with_gate", _F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True)[:-1] + """,
+cur AS (SELECT match_key AS record_id, s1.amount AS value FROM res WHERE origin = 'pair'),
+hist AS (SELECT o_totalprice AS value FROM orders)""" + _gate_sql("hist") + """
+SELECT r.match_key AS record_id, upper(r.status) AS match_status, upper(g.decision) AS gate_decision, g.z_score
+FROM res r LEFT JOIN rec g ON r.origin = 'pair' AND g.record_id = r.match_key""")
+def q_recon_results_with_gate(spark, sf_dir):
+    r = _f1_match(spark, sf_dir)
+    key = F.coalesce("source_key.txn_id", "target_key.txn_id")
+    pairs = r.filter(F.col("origin") == "pair").select(key.alias("record_id"),
+                                                      F.col("source_record.amount").alias("value"))
+    gate = G.validate(pairs, _orders_history(spark, sf_dir)).records
+    # gate rows exist for pair keys only, and a pair key is never the key of another result row
+    rr = P.recon_results(r, gate, record_id=key, source_system="erp", target_system="ledger")
+    return rr.select("record_id", "match_status", "gate_decision", "z_score")

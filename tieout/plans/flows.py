@@ -30,6 +30,12 @@ def _event(df: DataFrame, *, order: tuple[int | Column, int | Column], event_typ
         F.lit(actor).alias("actor"), action.alias("action"), resource.alias("resource"), details.alias("details"))
 
 
+def _gate_event(verdict: DataFrame, group: int, gate_name: str, as_of: str) -> DataFrame:
+    ev = A.gate_decision_events(verdict, gate_name=gate_name, timestamp=as_of, actor=ACTOR)
+    return ev.select(F.struct(F.lit(group).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("_ord"),
+                     *ev.columns)
+
+
 def _chain(events: list[DataFrame]) -> DataFrame:
     u = events[0]
     for e in events[1:]:
@@ -53,10 +59,7 @@ def two_source(source: DataFrame, target: DataFrame, history: DataFrame, *, key:
                action=F.concat(F.lit("gate_"), F.when(F.col("is_fully_reconciled"), "pass").otherwise("fail")),
                resource=F.lit("deterministic_reconciliation"),
                details=F.to_json(F.struct("match_rate")), as_of=as_of),
-        _event(gate.verdict, order=(2, 0), event_type="gate_decision",
-               action=F.concat(F.lit("gate_"), F.col("gate_decision")), resource=F.lit("zscore_anomaly_detection"),
-               details=F.to_json(F.struct(F.col("batch_anomaly_rate").alias("anomaly_rate"),
-                                          F.col("blocked").alias("blocked_count"))), as_of=as_of),
+        _gate_event(gate.verdict, 2, "zscore_anomaly_detection", as_of),
     ]
     log = A.reliable_log(_chain(ev))
     ver = A.verify(log)
@@ -122,10 +125,7 @@ def three_way(gl: DataFrame, proc: DataFrame, wh: DataFrame, history: DataFrame,
                event_type="exception_created", action=F.lit("three_way_exception"), resource=F.col("source"),
                details=F.to_json(F.struct(F.split("description", ":").getItem(0).alias("category"), "severity")),
                as_of=as_of),
-        _event(gate.verdict, order=(2, 0),
-               event_type="gate_decision", action=F.concat(F.lit("gate_"), F.col("gate_decision")),
-               resource=F.lit("zscore_gl_amounts"),
-               details=F.to_json(F.struct("blocked", "batch_anomaly_rate")), as_of=as_of),
+        _gate_event(gate.verdict, 2, "zscore_gl_amounts", as_of),
     ]
     log = A.reliable_log(_chain(ev))
     ver = A.verify(log)
