@@ -26,13 +26,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"  # bit-exact floats, as a strict value hash would be
+
+
 def _norm(v):
     if v is None:
         return ("null",)
     if isinstance(v, float):
         if math.isnan(v):
             return ("null",)
-        return ("f", round(v, 6))
+        return ("f", repr(v) if STRICT else round(v, 6))
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
@@ -40,7 +43,7 @@ def _norm(v):
     if isinstance(v, bool):
         return ("b", v)
     if isinstance(v, int):
-        return ("f", float(v))
+        return ("f", repr(float(v)) if STRICT else float(v))
     return ("s", str(v))
 
 

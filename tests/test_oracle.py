@@ -9,7 +9,10 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as E
-from oracle import compare
+import oracle  # noqa: E402
+from oracle import compare  # noqa: E402
+
+oracle.STRICT = True  # bit-exact floats, as a strict value hash would compare
 
 SF = os.environ.get("TIEOUT_TEST_SF_DIR", "/root/testdata/sf0.001")
 ORACLE = E.oracle_sql()

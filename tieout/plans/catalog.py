@@ -473,15 +473,19 @@ def q_variance_period(spark, sf_dir):
 cur AS (SELECT s.metric, s.value FROM series s JOIN last l ON s.metric = l.metric AND s.period = l.period),
 hist AS (SELECT s.metric, avg(s.value) AS avg_v FROM series s JOIN last l ON s.metric = l.metric
          WHERE s.period < l.period GROUP BY s.metric)
-SELECT cur.metric, {_var_sql('cur.value', 'hist.avg_v', 'cur.metric')}
-FROM cur JOIN hist ON cur.metric = hist.metric""")
+SELECT metric, check_name, status, message, round(source_value, 6) AS source_value, target_value,
+       round(difference, 6) AS difference, tolerance_used
+FROM (SELECT cur.metric, {_var_sql('cur.value', 'hist.avg_v', 'cur.metric')}
+      FROM cur JOIN hist ON cur.metric = hist.metric)""")
 def q_variance_historical(spark, sf_dir):
     s = _daily_series(spark, sf_dir)
     last = s.groupBy("metric").agg(F.max("period").alias("_last"))
     sj = s.join(last, "metric")
     cur = sj.filter(F.col("period") == F.col("_last")).select("metric", "value")
     hist = sj.filter(F.col("period") < F.col("_last")).select("metric", "value")
-    return C.historical_variance(cur, hist)
+    # the mean of the history is a float average: report it (and the difference) to micro-units
+    return C.historical_variance(cur, hist).withColumn("source_value", F.round("source_value", 6)) \
+        .withColumn("difference", F.round("difference", 6))
 
 
 # ======================================================================= gate
@@ -1127,13 +1131,15 @@ WITH d AS (SELECT DISTINCT event_type AS segment, CAST(ts AS DATE) AS day FROM e
 j AS (SELECT d.segment, d.day, e.value FROM d LEFT JOIN events e
         ON e.event_type = d.segment AND CAST(e.ts AS DATE) >= d.day - INTERVAL 7 DAY AND CAST(e.ts AS DATE) < d.day)
 SELECT segment, strftime(day, '%Y-%m-%d') AS day, CAST(count(value) AS BIGINT) AS n,
-       round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, count(value) >= 30 AS is_valid
+       round(CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total,
+       round(stddev_samp(value), 4) AS std, count(value) >= 30 AS is_valid
 FROM j GROUP BY segment, day""")
 def q_zscore_trailing_daily(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
-    b = G.trailing_daily_baseline(e, ts_col="ts", segment_col="event_type", window_days=7)
+    b = G.trailing_daily_baseline(e, ts_col="ts", segment_col="event_type", window_days=7, money_scale=2)
     return b.select(F.col("event_type").alias("segment"), F.date_format("day", "yyyy-MM-dd").alias("day"),
-                    F.col("n").cast("bigint").alias("n"), F.round("mean", 4).alias("mean"),
+                    # mean x n back to cents: exact and free of rounding ties across engines
+                    F.col("n").cast("bigint").alias("n"), F.round(F.col("mean") * F.col("n"), 2).alias("total"),
                     F.round("std", 4).alias("std"), "is_valid")
 
 
