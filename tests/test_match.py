@@ -18,7 +18,7 @@ def report(r):
     return M.match_report(r).first().asDict()
 
 
-@pytest.mark.parametrize("strategy", ["aggregate", "window"])
+@pytest.mark.parametrize("strategy", ["aggregate", "window", "auto"])
 def test_exact_match_and_conflict(spark, strategy):
     s = df(spark, [("A", 100.0), ("B", 200.0)])
     t = df(spark, [("A", 100.0), ("B", -200.0)])  # sign flip is a conflict
@@ -141,7 +141,7 @@ def test_hot_key_holding_a_third_of_rows(spark, hot):
     rows = [(hot if i % 3 == 0 else f"K{i}", float(i)) for i in range(n)]
     s = spark.createDataFrame(rows, "id string, amount double").repartition(7)
     t = spark.createDataFrame(rows[: n // 2], "id string, amount double").repartition(5)
-    agg = M.match(s, t, ["id"], ["amount"], order_by=["amount"])
+    agg = M.match(s, t, ["id"], ["amount"], order_by=["amount"], strategy="aggregate")
     win = M.match(s, t, ["id"], ["amount"], order_by=["amount"], strategy="window")
     cols = ["status", "origin", "source_record", "target_record"]
     assert sorted(map(tuple, agg.select(*cols).collect())) == sorted(map(tuple, win.select(*cols).collect()))

@@ -40,7 +40,7 @@ def test_window_match_is_one_shuffle_on_the_key(spark):
 
 def test_aggregate_match_never_gathers_rows_in_one_partition(spark):
     s, t = sides(spark)
-    p = plan(M.match(s, t, ["k"], ["amount"]))
+    p = plan(M.match(s, t, ["k"], ["amount"], strategy="aggregate"))
     assert "SinglePartition" not in p
     # the per-key aggregate is partial on the map side (hot keys collapse before the shuffle)
     assert "partial_min" in p or "partial_count" in p
@@ -74,3 +74,11 @@ def test_static_row_policy_pushes_into_the_scan(spark):
         F.col("o_orderkey"), F.col("o_orderpriority").alias("sensitivity_level"))
     p = plan(P.visible_rows(df, "analyst"))
     assert "PushedFilters" in p and "Exchange" not in p
+
+
+def test_auto_strategy_takes_window_only_for_proven_small_inputs(spark, monkeypatch):
+    from tieout.plans import seq
+    s, t = sides(spark)
+    assert exchanges(M.match(s, t, ["k"], ["amount"])) == ["hashpartitioning"]  # small: one window
+    monkeypatch.setattr(seq, "SMALL_BYTES", -1)
+    assert "partial_" in plan(M.match(s, t, ["k"], ["amount"]))  # not proven small: pre-aggregating plan

@@ -1,6 +1,7 @@
 """Layer 1: key-based record matching with duplicate isolation.
 
-Plan (``strategy="aggregate"``, the default):
+Plan (``strategy="aggregate"``, taken by the default ``"auto"`` for inputs
+that are not proven small):
 
 1. Both sides are tagged and unioned; each row carries its normalised,
    null-safe key columns and its own record struct.
@@ -19,8 +20,9 @@ the join use a (value-with-default, is-null) pair per part, so plain
 equality behaves like ``<=>`` and the exchange stays on plain columns.
 
 ``strategy="window"`` is the single-shuffle alternative (one window over the
-key). It avoids the second scan but cannot split a hot key, so it is meant
-for inputs known to be free of heavy keys.
+key). It avoids the second scan but cannot split a hot key, so ``"auto"``
+takes it only when the optimizer's size estimate proves the whole input
+fits one task.
 """
 
 from __future__ import annotations
@@ -143,7 +145,7 @@ def _key_struct(key_fields: list[str]) -> Column:
 
 def match(source: DataFrame, target: DataFrame, key_fields: list[str],
           value_fields: list[str] | None = None, *, normalize_keys: bool = True,
-          order_by: list[str] | None = None, strategy: str = "aggregate") -> DataFrame:
+          order_by: list[str] | None = None, strategy: str = "auto") -> DataFrame:
     """Match two record sets; one result row per input row except that a
     clean 1:1 pair yields one row.
 
@@ -151,13 +153,20 @@ def match(source: DataFrame, target: DataFrame, key_fields: list[str],
     target_key, source_record, target_record, conflicts.
     ``order_by`` picks the "first" record of a side under an ambiguous key
     (default: all columns of that side).
+    ``strategy``: "aggregate" (skew-safe), "window" (one shuffle, no hot
+    keys), or "auto": window when the optimizer's size estimate of both
+    inputs is within ``plans.seq.SMALL_BYTES`` (then even a single key
+    holding every row fits one task), aggregate otherwise.
     """
     if not key_fields:
         raise ValueError("key_fields must not be empty")
-    if strategy not in ("aggregate", "window"):
-        raise ValueError("strategy must be 'aggregate' or 'window'")
+    if strategy not in ("aggregate", "window", "auto"):
+        raise ValueError("strategy must be 'aggregate', 'window' or 'auto'")
     value_fields = list(value_fields or [])
     u, kcols = _tagged(source, target, key_fields, normalize_keys, order_by)
+    if strategy == "auto":
+        from ..plans.seq import is_small
+        strategy = "window" if is_small(u) else "aggregate"
     key = _key_struct(key_fields)
     conf = conflict_array(F.col("_s1"), F.col("_t1"), source.schema, target.schema, value_fields)
     empty = F.array().cast(CONFLICT_TYPE)
