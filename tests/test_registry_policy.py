@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from tieout.operators import policy as P
 from tieout.operators import registry as R

@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from ..functions.scalars import pct_diff, pct_text
 
 PASS, FAIL, WARN = "PASS", "FAIL", "WARN"
-_RANK = {PASS: 0, WARN: 1, FAIL: 2}
 
 CHECK_COLUMNS = ["check_order", "check_name", "status", "message", "source_value",
                  "target_value", "difference", "tolerance_used"]
@@ -35,12 +34,6 @@ def _check_row(order: int, name: Column, status: Column, message: Column, src: C
                     diff.cast("double").alias("difference"), tol.cast("double").alias("tolerance_used"))
 
 
-def _sum_expr(c: Column, money_scale: int | None) -> Column:
-    if money_scale is None:
-        return F.sum(c.cast("double"))
-    return F.sum(c.cast(T.DecimalType(18, money_scale)))
-
-
 def side_totals(source: DataFrame, target: DataFrame, key_cols: list[str], amount_col: str | None,
                 *, money_scale: int | None = None) -> DataFrame:
     """One row: counts, amount sums, distinct raw key counts per side and

@@ -46,6 +46,3 @@ def write_table(table: str, df: DataFrame, path: str, mode: str = "append") -> N
     out.repartitionByRange(*keys, salt).sortWithinPartitions(*keys) \
         .write.mode(mode).partitionBy(part).parquet(path)
 
-
-def read_table_partitioned(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
