@@ -97,7 +97,8 @@ def global_positions(blocks: DataFrame, name: str = "_pos") -> DataFrame:
 
 
 def exact_group_median(df: DataFrame, group_cols: list[str], value_col: str,
-                       out: str = "median", num_partitions: int | None = None) -> DataFrame:
+                       out: str = "median", num_partitions: int | None = None,
+                       small: bool | None = None) -> DataFrame:
     """Exact (interpolated) median per group, NULLs ignored; NaN anywhere in a
     group gives NaN (numpy semantics). Output: group cols, ``out``, ``n``.
 
@@ -105,10 +106,14 @@ def exact_group_median(df: DataFrame, group_cols: list[str], value_col: str,
     aggregate gives each group's first position and size; the two middle
     positions are then picked with an equi-join on the (unique) position, so
     even a group holding a third of all rows is spread over many tasks and
-    the join cannot skew.
+    the join cannot skew. ``small`` lets a caller that knows the row bound
+    (e.g. a frame derived row-for-row from a checked input) skip the size
+    estimate, which multiplies the sizes of joined inputs.
     """
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if num_partitions is None and is_small(v):
+    if small is None:
+        small = num_partitions is None and is_small(v)
+    if small:
         # proven small: each group's sorted values fit one task (bounded by SMALL_BYTES in total)
         g = v.groupBy(*group_cols).agg(F.array_sort(F.collect_list("_v")).alias("_a"),
                                        F.max(F.isnan("_v").cast("int")).alias("_nan"))
