@@ -895,13 +895,45 @@ def _variants(spark, sf_dir):
     return res.select("variant", "valid", "event_index", "event_id", "violation")
 
 
-@register("audit_verify_variants", """
-SELECT 'a_intact' AS variant, true AS valid, CAST(NULL AS BIGINT) AS event_index, CAST(NULL AS VARCHAR) AS event_id,
-       CAST(NULL AS VARCHAR) AS violation
-UNION ALL SELECT 'b_details_edited', false, 499, 'AUD-00000500', 'hash_mismatch'
-UNION ALL SELECT 'c_deleted', false, 699, 'AUD-00000701', 'prev_hash_mismatch'
-UNION ALL SELECT 'd_link_edited', false, 899, 'AUD-00000900', 'prev_hash_mismatch'
-UNION ALL SELECT 'e_purged', true, NULL, NULL, NULL""")
+_BODY_SQL = ("concat_ws('|', length(event_id) || ':' || event_id, length(event_type) || ':' || event_type, "
+             "length(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), "
+             "length(actor) || ':' || actor, length(action) || ':' || action, "
+             "length(resource) || ':' || resource, coalesce(length(details) || ':' || details, '~'))")
+
+
+def _verify_sql(variant: str, rows: str, anchor: str) -> str:
+    """Verdict row of ``verify`` for the rows of one variant, in SQL."""
+    return f"""
+SELECT '{variant}' AS variant, b.seq IS NULL AS valid, CAST(b.idx AS BIGINT) AS event_index, b.event_id,
+       CASE WHEN b.seq IS NULL THEN NULL WHEN NOT b.linked THEN 'prev_hash_mismatch' ELSE 'hash_mismatch' END
+         AS violation
+FROM (SELECT 1) one LEFT JOIN (
+  SELECT * FROM (
+    SELECT seq, event_id, row_number() OVER (ORDER BY seq) - 1 AS idx,
+           prev = coalesce(lag(h) OVER (ORDER BY seq), {anchor}) AS linked,
+           sha256({_BODY_SQL} || '|64:' || prev) = h AS hash_ok
+    FROM {rows})
+  WHERE NOT linked OR NOT hash_ok ORDER BY seq LIMIT 1) b ON true"""
+
+
+_F5_STORED = _F5_CHAIN_SQL + """,
+stored AS (SELECT b.seq, b.event_id, b.event_type, b.actor, b.action, b.resource, e.details, e.ts, c.prev, c.h
+           FROM b JOIN chain c ON c.seq = b.seq JOIN ev e ON e.seq = b.seq),
+v_b AS (SELECT * REPLACE (CASE WHEN seq = 500 THEN '{"k": -1}' ELSE details END AS details) FROM stored),
+v_c AS (SELECT * FROM stored WHERE seq <> 700),
+v_d AS (SELECT * REPLACE (CASE WHEN seq = 900 THEN repeat('f', 64) ELSE prev END AS prev) FROM stored),
+first_keep AS (SELECT min(seq) AS s FROM stored WHERE ts >= timestamp '2024-01-10 00:00:00'),
+v_e AS (SELECT * FROM stored WHERE seq >= (SELECT s FROM first_keep)),
+anchor_e AS (SELECT h FROM stored WHERE seq = (SELECT s FROM first_keep) - 1)
+"""
+
+
+@register("audit_verify_variants", _F5_STORED
+          + " UNION ALL ".join([_verify_sql("a_intact", "stored", "repeat('0', 64)"),
+                                _verify_sql("b_details_edited", "v_b", "repeat('0', 64)"),
+                                _verify_sql("c_deleted", "v_c", "repeat('0', 64)"),
+                                _verify_sql("d_link_edited", "v_d", "repeat('0', 64)"),
+                                _verify_sql("e_purged", "v_e", "(SELECT h FROM anchor_e)")]))
 def q_audit_verify_variants(spark, sf_dir):
     return _variants(spark, sf_dir)
 
