@@ -45,3 +45,12 @@ def test_sla_view_and_summary(spark):
     assert s[("total", "all")] == 4 and s[("open", "all")] == 4 and s[("status", "open")] == 4
     m = X.summary_maps(X.queue_summary(q)).first()
     assert m.by_severity["high"] == 1
+
+
+def test_open_and_fifo(spark):
+    q = X.route(issues(spark), source="txn_id", description=F.lit("gap"), order_by=["txn_id"],
+                as_of="2024-01-01 00:00:00", start_seq=999999)
+    r = X.resolve(q, spark.createDataFrame([("EXC-1000000", "")], "exception_id string, resolution_notes string"),
+                  as_of=AS_OF).queue
+    assert [x.exception_id for x in X.fifo(r).collect()] == ["EXC-999999", "EXC-1000000", "EXC-1000001", "EXC-1000002"]
+    assert X.open_exceptions(r).count() == 3

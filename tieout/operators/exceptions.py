@@ -136,6 +136,19 @@ def sla_view(queue: DataFrame, *, as_of: str) -> DataFrame:
         (age > sla).alias("is_sla_breached"))
 
 
+def open_exceptions(queue: DataFrame) -> DataFrame:
+    """Exceptions not yet resolved (open, assigned or escalated)."""
+    return queue.filter(F.col("status") != RESOLVED)
+
+
+def fifo(queue: DataFrame) -> DataFrame:
+    """Queue in creation order: created_at, then the numeric id as the
+    tie-breaker (ids are assigned in creation order and grow past their
+    zero-padded width, so the string order alone is not enough)."""
+    n = F.regexp_extract("exception_id", r"(\d+)$", 1)
+    return queue.orderBy("created_at", F.when(n != "", n.cast("long")), "exception_id")
+
+
 def open_count(queue: DataFrame) -> DataFrame:
     return queue.agg(F.count_if(F.col("status") != RESOLVED).alias("open"))
 

@@ -969,7 +969,12 @@ def q_audit_query(spark, sf_dir):
     return q.select("event_id", "actor", "action")
 
 
-@register("audit_export")
+@register("audit_export", _F5_STORED + """
+SELECT to_json({'event_id': event_id, 'event_type': event_type,
+                'timestamp': strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), 'actor': actor, 'action': action,
+                'resource': resource, 'details': json(coalesce(details, '{}')),
+                'previous_hash': prev, 'event_hash': h})::VARCHAR AS json
+FROM stored""")
 def q_audit_export(spark, sf_dir):
     return A.export_json(_f5_log(spark, sf_dir))
 
