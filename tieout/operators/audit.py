@@ -245,9 +245,6 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
             "previous_hash", "event_hash"]
     if "timestamp_text" in log.columns:
         cols.append("timestamp_text")
-    dense, lo = dense_range(log, "seq")
-    lagged = lag_dense(log.select(*cols), "seq", "event_hash", "expected_previous_hash", dense=dense)
-    exp = F.coalesce(F.col("expected_previous_hash"), F.lit(anchor_hash))
     if hash_version == 1:
         from ..functions.canonical import python_timestamp_text, reference_event_hash
         ts_text = F.col("timestamp_text") if "timestamp_text" in cols else python_timestamp_text(F.col("timestamp"))
@@ -256,9 +253,16 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
                                         F.col("previous_hash"))
     else:
         computed = link_hash(_row_body(), F.col("previous_hash"))
+    # every hash is recomputed row-locally first (in parallel); only the narrow
+    # (seq, event_id, event_type, hashes) columns then take part in the LAG
+    narrow = log.select(*cols).select("seq", "event_id", "event_type", "previous_hash", "event_hash",
+                                      computed.alias("computed_hash"))
+    dense, lo = dense_range(log, "seq")
+    lagged = lag_dense(narrow, "seq", "event_hash", "expected_previous_hash", dense=dense)
+    exp = F.coalesce(F.col("expected_previous_hash"), F.lit(anchor_hash))
     rows = lagged.select(
         "seq", "event_id", "event_type", "previous_hash", "event_hash", exp.alias("expected_previous_hash"),
-        (F.col("previous_hash") == exp).alias("is_linked"), computed.alias("computed_hash"))
+        (F.col("previous_hash") == exp).alias("is_linked"), "computed_hash")
     rows = rows.withColumn("hash_ok", F.col("computed_hash") == F.col("event_hash"))
     bad = ~F.col("is_linked") | ~F.col("hash_ok")
     first = rows.agg(
@@ -272,11 +276,12 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
     # position of the violation in the (possibly purged or gapped) log: with
     # dense ids it is seq - min(seq); with gaps, count the rows before it
     if dense:
-        pos = first.select((F.col("v.seq") - F.lit(lo)).alias("_idx"))
+        located = first.select("v", (F.col("v.seq") - F.lit(lo)).alias("_idx"))
     else:
         pos = rows.join(first.select(F.col("v.seq").alias("_vseq")), F.col("seq") < F.col("_vseq")) \
             .agg(F.count(F.lit(1)).alias("_idx"))
-    verdict = first.crossJoin(pos).select(  # 1 x 1 rows
+        located = first.crossJoin(pos)  # 1 x 1 rows
+    verdict = located.select(
         F.col("v").isNull().alias("valid"),
         F.when(F.col("v").isNotNull(), F.col("_idx")).alias("event_index"),
         F.col("v.event_id").alias("event_id"), F.col("v.violation").alias("violation"),
