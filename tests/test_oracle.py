@@ -30,9 +30,8 @@ def test_query_matches_oracle(spark, name):
     assert res["ok"], res
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
 
 
 # queries whose operators switch to a one-task form for proven-small inputs;
