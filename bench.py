@@ -152,6 +152,11 @@ def main() -> None:
     times, rows, rate = {}, {}, {}
     for name in names:
         _, fn, n = table[name]
+        # settle the JVM between operators (outside the timer): a GC lets Spark's
+        # context cleaner drop the previous operator's shuffle files now rather
+        # than during the next measurement
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.0)
         fn()  # warm-up
         samples = []
         for _ in range(repeats):

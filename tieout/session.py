@@ -29,6 +29,10 @@ def build_session(master: str | None = None, app: str = "tieout",
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.ui.retainedJobs", "100")
+        .config("spark.ui.retainedStages", "100")
+        .config("spark.ui.retainedTasks", "2000")
+        .config("spark.sql.ui.retainedExecutions", "50")
         .config("spark.sql.ansi.enabled", "true")
     )
     spark = builder.getOrCreate()
