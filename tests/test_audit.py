@@ -104,3 +104,15 @@ def test_large_input_path_equals_small_path(spark, monkeypatch):
         big = A.audit_append(ev, order_by=["timestamp", "src_id"], block_rows=block_rows).orderBy("seq").collect()
         assert [(r.seq, r.event_id, r.previous_hash, r.event_hash) for r in big] == \
             [(r.seq, r.event_id, r.previous_hash, r.event_hash) for r in small]
+
+
+def test_parallel_chains_continue_from_the_tail(spark):
+    first = A.audit_append(events(spark, 30), order_by=["timestamp", "src_id"], chain_by="actor").cache()
+    more = events(spark, 60).filter(F.col("src_id") >= 30)
+    second = A.audit_append(more, order_by=["timestamp", "src_id"], chain_by="actor", tail=first).cache()
+    heads = {r.actor: r.event_hash for r in
+             first.groupBy("actor").agg(F.max_by("event_hash", "seq").alias("event_hash")).collect()}
+    starts = {r.actor: r.previous_hash for r in
+              second.groupBy("actor").agg(F.min_by("previous_hash", "seq").alias("previous_hash")).collect()}
+    assert starts == heads
+    assert second.agg(F.min("seq")).first()[0] == 31
