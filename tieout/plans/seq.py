@@ -15,6 +15,11 @@ reliable checkpoint (so every later pass sees the same partitions):
 * ``lag_over``: the previous row's value in a global order (LAG without a
   single-partition window): in-partition shift in Arrow batches plus a
   boundary fix-up from the previous non-empty partition.
+
+Each helper first asks the optimizer for its size estimate of the input;
+inputs proven to be within ``SMALL_BYTES`` take a one-task form (a
+single-partition window or one sorted group), which is cheaper than
+sampling, sorting and checkpointing but bounded by that size.
 """
 
 from __future__ import annotations
