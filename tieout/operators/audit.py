@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import seq_id
-from ..plans.seq import dense_range, dense_sequence, is_small, lag_dense
+from ..plans.seq import dense_sequence, is_small, lag_dense
 from ..session import ensure_checkpoint_dir
 
 GENESIS_HASH = "0" * 64
@@ -48,7 +48,8 @@ EVENT_TYPES = ("data_access", "data_modification", "gate_decision", "reconciliat
                "exception_resolved", "schema_change", "policy_violation", "user_action", "system_event")
 
 LOG_COLUMNS = ["seq", "event_id", "event_type", "timestamp", "actor", "action", "resource", "details",
-               "previous_hash", "event_hash", "event_date"]
+               "previous_hash", "event_hash", "event_date", "hash_version"]
+HASH_VERSION = 2  # the length-prefixed canonical text above; 1 = the original logger's sorted-key JSON
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -137,7 +138,7 @@ def _fold_schema(df: DataFrame) -> T.StructType:
 
 
 def _finish(df: DataFrame, extra: list[str]) -> DataFrame:
-    return df.select(*LOG_COLUMNS, *extra)
+    return df.withColumn("hash_version", F.lit(HASH_VERSION)).select(*LOG_COLUMNS, *extra)
 
 
 def prepare_events(events: DataFrame, *, order_by: list[str | Column], start_seq: int = 1,
@@ -232,7 +233,7 @@ class Verification(NamedTuple):
     verdict: DataFrame  # one row: valid, first violation
 
 
-def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int = 2) -> Verification:
+def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int | None = None) -> Verification:
     """``verify_chain_detail``: recompute every hash and check every link,
     starting from the purge anchor. First violation = earliest position; at
     one event a link mismatch is reported before a hash mismatch.
@@ -241,6 +242,15 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
     by the original Python logger (Arrow-batched UDF, see
     ``functions/canonical.py``); it uses a ``timestamp_text`` column when the
     log has one."""
+    # one small aggregate: is seq dense (then LAG is a join on seq - 1), where
+    # does it start, and which canonical form the stored log was written with
+    hv = F.max("hash_version") if "hash_version" in log.columns else F.lit(None)
+    r = log.agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"),
+                hv.alias("hv")).first()
+    dense = r["n"] > 0 and r["hi"] - r["lo"] + 1 == r["n"]
+    lo = r["lo"]
+    if hash_version is None:
+        hash_version = r["hv"] or HASH_VERSION
     cols = ["seq", "event_id", "event_type", "timestamp", "actor", "action", "resource", "details",
             "previous_hash", "event_hash"]
     if "timestamp_text" in log.columns:
@@ -257,7 +267,6 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
     # (seq, event_id, event_type, hashes) columns then take part in the LAG
     narrow = log.select(*cols).select("seq", "event_id", "event_type", "previous_hash", "event_hash",
                                       computed.alias("computed_hash"))
-    dense, lo = dense_range(log, "seq")
     lagged = lag_dense(narrow, "seq", "event_hash", "expected_previous_hash", dense=dense)
     exp = F.coalesce(F.col("expected_previous_hash"), F.lit(anchor_hash))
     rows = lagged.select(
