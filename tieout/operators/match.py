@@ -90,6 +90,12 @@ def conflict_array(s_rec: Column, t_rec: Column, source_schema: T.StructType,
     return F.array_compact(F.array(*items)).cast(CONFLICT_TYPE)
 
 
+def _order_struct_check(df: DataFrame) -> None:
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.MapType, T.VariantType)):
+            raise ValueError(f"column {f.name!r} is not orderable; pass order_by")
+
+
 def _order_struct(df: DataFrame, order_by: list[str] | None) -> Column:
     cols = order_by or df.columns
     missing = [c for c in cols if c not in df.columns]
@@ -112,18 +118,21 @@ def _tagged(source: DataFrame, target: DataFrame, key_fields: list[str],
         for i, (c, dt) in enumerate(zip(key_columns(df, key_fields, normalize_keys), ktypes)):
             parts += null_safe_parts(c, dt, f"_k{i}")
         rec = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])
-        ordc = _order_struct(df, order_by)
         s_rec = rec if is_src else F.lit(None).cast(s_type)
         t_rec = F.lit(None).cast(t_type) if is_src else rec
-        s_ord = ordc if is_src else F.lit(None).cast(s_ord_type)
-        t_ord = F.lit(None).cast(t_ord_type) if is_src else ordc
-        return df.select(
-            *parts, F.lit(is_src).alias("_is_src"),
-            s_rec.alias("_src_rec"), t_rec.alias("_tgt_rec"),
-            s_ord.alias("_src_ord"), t_ord.alias("_tgt_ord"))
-
-    s_ord_type = source.select(_order_struct(source, order_by).alias("o")).schema["o"].dataType
-    t_ord_type = target.select(_order_struct(target, order_by).alias("o")).schema["o"].dataType
+        cols = [*parts, F.lit(is_src).alias("_is_src"), s_rec.alias("_src_rec"), t_rec.alias("_tgt_rec")]
+        if order_by:  # without an explicit order the record orders itself: no ordering columns needed
+            ordc = _order_struct(df, order_by)
+            cols += [(ordc if is_src else F.lit(None).cast(s_ord_type)).alias("_src_ord"),
+                     (F.lit(None).cast(t_ord_type) if is_src else ordc).alias("_tgt_ord")]
+        return df.select(*cols)
+
+    if order_by:
+        s_ord_type = source.select(_order_struct(source, order_by).alias("o")).schema["o"].dataType
+        t_ord_type = target.select(_order_struct(target, order_by).alias("o")).schema["o"].dataType
+    else:
+        for df in (source, target):  # the record itself is the ordering: it must be orderable
+            _order_struct_check(df)
     s = side(source, True)
     t = side(target, False)
     kcols = [f"_k{i}_{x}" for i in range(len(key_fields)) for x in ("v", "n")]
@@ -208,7 +217,8 @@ def match(source: DataFrame, target: DataFrame, key_fields: list[str],
         F.when(pair, conf).otherwise(empty).alias("conflicts"))
 
     ambiguous = stats.filter((F.col("_ns") > 1) | (F.col("_nt") > 1))
-    dups = u.drop("_src_ord", "_tgt_ord").join(ambiguous, on=kcols, how="inner").select(
+    dups = u.drop(*[c for c in ("_src_ord", "_tgt_ord") if c in u.columns]).join(ambiguous, on=kcols,
+                                                                                   how="inner").select(
         F.lit(DUPLICATE).alias("status"),
         F.when(F.col("_is_src"), "source").otherwise("target").alias("origin"),
         F.when(F.col("_ns") > 0, key).alias("source_key"),
