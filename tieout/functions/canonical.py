@@ -12,9 +12,6 @@ run in parallel across partitions. The default chain format (v2, see
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,19 +27,27 @@ def python_timestamp_text(ts: Column) -> Column:
                     .otherwise(F.lit("")), F.lit("+00:00"))
 
 
-def _hash_one(event_id, event_type, ts_text, actor, action, resource, details, previous_hash) -> str:
-    payload = {
-        "event_id": event_id, "event_type": event_type, "timestamp": ts_text, "actor": actor,
-        "action": action, "resource": resource,
-        "details": json.loads(details) if details else {},
-        "previous_hash": previous_hash,
-    }
-    return hashlib.sha256(json.dumps(payload, sort_keys=True, default=str).encode()).hexdigest()
+def _make_reference_event_hash():
+    """Build the UDF from a closure so it is shipped to the Python workers by
+    value: workers need pandas, but not this package on their path."""
+    def hash_one(event_id, event_type, ts_text, actor, action, resource, details, previous_hash) -> str:
+        import hashlib
+        import json
+        payload = {
+            "event_id": event_id, "event_type": event_type, "timestamp": ts_text, "actor": actor,
+            "action": action, "resource": resource,
+            "details": json.loads(details) if details else {},
+            "previous_hash": previous_hash,
+        }
+        return hashlib.sha256(json.dumps(payload, sort_keys=True, default=str).encode()).hexdigest()
+
+    def hash_batch(event_id: pd.Series, event_type: pd.Series, ts_text: pd.Series, actor: pd.Series,
+                   action: pd.Series, resource: pd.Series, details: pd.Series,
+                   previous_hash: pd.Series) -> pd.Series:
+        return pd.Series([hash_one(*row) for row in zip(event_id, event_type, ts_text, actor, action, resource,
+                                                        details, previous_hash)], dtype=object)
+
+    return F.pandas_udf(hash_batch, T.StringType())
 
 
-@F.pandas_udf(T.StringType())
-def reference_event_hash(event_id: pd.Series, event_type: pd.Series, ts_text: pd.Series, actor: pd.Series,
-                         action: pd.Series, resource: pd.Series, details: pd.Series,
-                         previous_hash: pd.Series) -> pd.Series:
-    return pd.Series([_hash_one(*row) for row in zip(event_id, event_type, ts_text, actor, action, resource,
-                                                    details, previous_hash)], dtype=object)
+reference_event_hash = _make_reference_event_hash()
