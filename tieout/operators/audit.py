@@ -43,6 +43,7 @@ from ..functions.scalars import seq_id
 from ..plans.seq import dense_sequence, is_small, lag_dense
 from ..session import ensure_checkpoint_dir
 
+# fixed values: genesis link and event types
 GENESIS_HASH = "0" * 64
 EVENT_TYPES = ("data_access", "data_modification", "gate_decision", "reconciliation", "exception_created",
                "exception_resolved", "schema_change", "policy_violation", "user_action", "system_event")

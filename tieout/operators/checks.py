@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import pct_diff, pct_text
 
+# fixed values: check statuses
 PASS, FAIL, WARN = "PASS", "FAIL", "WARN"
 
 CHECK_COLUMNS = ["check_order", "check_name", "status", "message", "source_value",

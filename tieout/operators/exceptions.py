@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import seq_id
 from ..plans.seq import dense_sequence
 
+# fixed values: exception statuses and severities
 OPEN, ASSIGNED, ESCALATED, RESOLVED = "open", "assigned", "escalated", "resolved"
 SEVERITIES = ("low", "medium", "high", "critical")
 

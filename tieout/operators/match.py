@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import check_key_types, key_columns, normalize_key, null_safe_parts
 
+# fixed values: match statuses
 MATCHED = "matched"
 UNMATCHED_SOURCE = "unmatched_source"
 UNMATCHED_TARGET = "unmatched_target"

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# fixed values: sensitivity levels and the fields update() may change
 SENSITIVITY = ("public", "internal", "confidential", "restricted")
 UPDATABLE = ("description", "formula", "owner", "sensitivity", "source_system", "refresh_frequency",
              "sla_hours", "lineage")
