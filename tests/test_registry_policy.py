@@ -59,3 +59,16 @@ def test_row_policies(spark):
     assert P.visible_rows_for_user(rows, users, "a@x").count() == 2
     assert P.visible_rows_for_user(rows, users, "r@x").count() == 5
     assert P.visible_rows_for_user(rows, users, "ghost@x").count() == 0
+
+
+def test_register_outcomes_in_one_frame(spark):
+    r = reg(spark)
+    batch = spark.createDataFrame([("revenue_total", "x", "f", "o", "public"), ("new_one", "b", "f", "o", "public"),
+                                   ("new_one", "a", "f", "o", "public"), ("bad", "d", "f", "o", "secret")],
+                                  "name string, description string, formula string, owner string, sensitivity string")
+    out = R.register(r, batch, as_of=AS_OF)
+    got = sorted((x.name, x.outcome, x.rows, x.definition.description if x.definition else None)
+                 for x in out.outcomes.collect())
+    assert got == [("bad", "invalid sensitivity", 1, None), ("new_one", "duplicate in batch", 1, "a"),
+                   ("new_one", "registered", 1, "a"), ("revenue_total", "already registered", 1, None)]
+    assert {x.name for x in out.registry.collect()} == {"new_one"}

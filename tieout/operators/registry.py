@@ -54,6 +54,7 @@ def glossary(registry: DataFrame) -> DataFrame:
 class Outcome(NamedTuple):
     registry: DataFrame  # rows to append (accepted)
     rejected: DataFrame  # name + reason
+    outcomes: DataFrame | None = None  # register(): one frame with both, written in one pass
 
 
 def _sens_ok(c: Column) -> Column:
@@ -88,15 +89,16 @@ def register(registry: DataFrame, metrics: DataFrame, *, as_of: str,
     def field(c: str, default):
         return F.col(f"_f.{c}") if c in cols else default
 
-    accepted = flagged.filter(ok).select(
-        "name", F.coalesce(field("version", F.lit(None)).cast("int"), F.lit(1)).alias("version"),
+    definition = [
+        F.coalesce(field("version", F.lit(None)).cast("int"), F.lit(1)).alias("version"),
         field("description", F.lit("")).alias("description"), field("formula", F.lit("")).alias("formula"),
         field("owner", F.lit("")).alias("owner"), F.lower(sens).alias("sensitivity"),
         field("source_system", F.lit("")).alias("source_system"),
         field("refresh_frequency", F.lit("daily")).alias("refresh_frequency"),
         field("sla_hours", F.lit(24.0)).cast("double").alias("sla_hours"),
         field("lineage", F.array().cast("array<string>")).alias("lineage"),
-        ts.alias("created_at"), ts.alias("updated_at"))
+        ts.alias("created_at"), ts.alias("updated_at")]
+    accepted = flagged.filter(ok).select("name", *definition)
     reasons = F.array_compact(F.array(
         F.when(~is_new, F.struct(F.lit("already registered").alias("reason"), F.col("_n").alias("rows"))),
         F.when(is_new & ~_sens_ok(sens), F.struct(F.lit("invalid sensitivity").alias("reason"),
@@ -104,7 +106,15 @@ def register(registry: DataFrame, metrics: DataFrame, *, as_of: str,
         F.when(is_new & (F.col("_n") > 1), F.struct(F.lit("duplicate in batch").alias("reason"),
                                                     (F.col("_n") - 1).alias("rows")))))
     rejected = flagged.select("name", F.explode(reasons).alias("r")).select("name", "r.reason", "r.rows")
-    return Outcome(accepted, rejected)
+    # both results from ONE pass over the per-name aggregate: the registered
+    # definition (NULL when rejected) next to every outcome of the name
+    registered = F.array(F.struct(F.lit("registered").alias("reason"), F.lit(1).cast("long").alias("rows")))
+    empty = F.array().cast("array<struct<reason:string,rows:bigint>>")
+    outcome_rows = F.concat(F.when(ok, registered).otherwise(empty), reasons)
+    outcomes = flagged.select("name", F.when(ok, F.struct(*definition)).alias("definition"),
+                              F.explode(outcome_rows).alias("r")) \
+        .select("name", F.col("r.reason").alias("outcome"), F.col("r.rows").alias("rows"), "definition")
+    return Outcome(accepted, rejected, outcomes)
 
 
 def update(registry: DataFrame, patches: DataFrame, *, as_of: str) -> Outcome:
