@@ -49,7 +49,7 @@ def two_source(source: DataFrame, target: DataFrame, history: DataFrame, *, key:
     """match -> checks -> z-score gate on source amounts -> two gate-decision
     audit events -> chain verification."""
     results = M.match(source, target, [key], [amount])
-    report = M.match_report(results)
+    report = M.match_summary(source, target, [key], [amount])  # same report, no pass over the result rows
     checks = C.run_all(source, target, [key], amount, money_scale=money_scale)
     overall = C.overall_status(checks)
     gate = G.validate(source.withColumn("_rid", F.col(key)), history, value_col=amount, record_id_col="_rid",
@@ -77,7 +77,7 @@ def mismatch_to_queue(source: DataFrame, target: DataFrame, *, key: str, value_f
     """Unmatched source rows -> HIGH exceptions "missing in target" -> one
     gate event plus one exception_created event per open exception."""
     results = M.match(source, target, [key], value_fields)
-    report = M.match_report(results)
+    report = M.match_summary(source, target, [key], value_fields)
     unmatched = results.filter(F.col("status") == M.UNMATCHED_SOURCE) \
         .select(F.col(f"source_record.{key}").alias("_src"))
     queue = X.route(unmatched, source="_src", description=F.lit("missing in target"), severity=F.lit("high"),
