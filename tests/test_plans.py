@@ -82,3 +82,20 @@ def test_auto_strategy_takes_window_only_for_proven_small_inputs(spark, monkeypa
     assert exchanges(M.match(s, t, ["k"], ["amount"])) == ["hashpartitioning"]  # small: one window
     monkeypatch.setattr(seq, "SMALL_BYTES", -1)
     assert "partial_" in plan(M.match(s, t, ["k"], ["amount"]))  # not proven small: pre-aggregating plan
+
+
+def test_three_way_is_one_row_level_shuffle(spark):
+    o = orders(spark)
+    side = o.select(F.col("o_orderkey").cast("string").alias("txn_id"), F.col("o_totalprice").alias("amount"))
+    issues = M.three_way_classify(M.three_way_key_stats(side, side, side))
+    ex = exchanges(issues)
+    assert ex == ["hashpartitioning"] and "Join" not in plan(issues)
+
+
+def test_segmented_gate_leaves_the_baseline_join_to_aqe(spark):
+    cur = orders(spark).select(F.col("o_orderkey").cast("string").alias("record_id"),
+                               F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("segment"))
+    hist = orders(spark).select(F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("segment"))
+    logical = G.validate_segmented(cur, hist).records._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in logical.lower()  # no forced hint: the segment count is not bounded
+    assert "AdaptiveSparkPlan" in G.validate_segmented(cur, hist).records._jdf.queryExecution().executedPlan().toString()
