@@ -25,7 +25,10 @@ Plans:
   checkpoint folder in blocks of ``block_rows`` and folded block after
   block, each block in one task seeded with the previous block's last hash
   (a 64-char value): no task, and never the driver, holds more than one
-  block. With ``chain_by`` set, independent chains fold in parallel.
+  block. A proven-small input (optimizer size estimate) is sorted, numbered
+  and folded in one task directly. With ``chain_by`` set, independent
+  chains fold in parallel. Every append is stored once in the checkpoint
+  folder, so consumers never re-run the fold.
 """
 
 from __future__ import annotations
