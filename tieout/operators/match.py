@@ -6,7 +6,8 @@ that are not proven small):
 1. Both sides are tagged and unioned; each row carries its normalised,
    null-safe key columns and its own record struct.
 2. ONE ``groupBy(key)`` computes per-key side counts and the first record of
-   each side (``min_by`` over an explicit ordering). The aggregation is
+   each side (``min`` of the record, or ``min_by`` over an explicit
+   ``order_by``). The aggregation is
    partial on the map side, so a hot key (blank ids, a mass duplicate) is
    collapsed before the shuffle and never lands whole in one task.
 3. Keys that are unambiguous (<= 1 row per side) emit their result straight
