@@ -133,3 +133,20 @@ def test_registry_and_audit_log_writers(spark):
     # partition discovery reads the yyyy-MM-dd directories back as DATE values
     assert {str(r.event_date) for r in stored.select("event_date").distinct().collect()} == {"2024-01-01", "2024-01-02"}
     assert A.verify(stored).verdict.first().valid is True
+
+
+def test_v1_append_continues_reference_style_chains(spark, monkeypatch):
+    evs = [(datetime(2024, 1, 1, 0, 0, 0, tzinfo=timezone.utc), "ana", {"rate": 0.5, "n": 3}),
+           (datetime(2024, 1, 1, 0, 0, 1, 250, tzinfo=timezone.utc), "bo", {"tags": ["b", "a"], "x": "é"}),
+           (datetime(2024, 1, 2, 3, 4, 5, 600000, tzinfo=timezone.utc), "cy", {})]
+    want = [(r[8], r[9]) for r in _reference_style_chain(evs)]
+    df = spark.createDataFrame([(i, e[0].replace(tzinfo=None), e[1], json.dumps(e[2])) for i, e in enumerate(evs)],
+                               "i long, timestamp timestamp_ntz, actor string, details string") \
+        .select("i", "timestamp", F.lit("data_access").alias("event_type"), "actor", F.lit("read").alias("action"),
+                F.lit("res").alias("resource"), "details")
+    small = A.audit_append(df, order_by=["i"], hash_version=1).orderBy("seq").collect()
+    assert [(r.previous_hash, r.event_hash) for r in small] == want and {r.hash_version for r in small} == {1}
+    monkeypatch.setattr(A, "is_small", lambda d: False)
+    big = A.audit_append(df, order_by=["i"], hash_version=1, block_rows=2)
+    assert [(r.previous_hash, r.event_hash) for r in big.orderBy("seq").collect()] == want
+    assert A.verify(big).verdict.first().valid is True  # version read from the stored column

@@ -87,23 +87,55 @@ def _row_body() -> Column:
 
 
 # --------------------------------------------------------------------- fold
-def _fold(seed: str | None, chain_col: str | None):
+_V1_FIELDS = ("event_type", "_ts_text", "actor", "action", "resource", "details")
+
+
+def _hasher(version: int):
+    """Per-row link hash of one canonical form. Built inside the fold's
+    closure, so Python workers get it by value."""
+    if version == 1:
+        import json
+
+        def h1(eid: str, row: tuple, prev: str) -> str:
+            event_type, ts_text, actor, action, resource, details = row
+            payload = {"event_id": eid, "event_type": event_type, "timestamp": ts_text, "actor": actor,
+                       "action": action, "resource": resource, "details": json.loads(details) if details else {},
+                       "previous_hash": prev}
+            return hashlib.sha256(json.dumps(payload, sort_keys=True, default=str).encode()).hexdigest()
+        return h1
+
+    def h2(eid: str, row: tuple, prev: str) -> str:
+        (rest,) = row
+        return hashlib.sha256(f"{len(eid)}:{eid}|{rest}|64:{prev}".encode("utf-8")).hexdigest()
+    return h2
+
+
+def _inputs(version: int) -> tuple[str, ...]:
+    return _V1_FIELDS if version == 1 else ("_rest",)
+
+
+def _fold(seed: str | None, chain_col: str | None, version: int = HASH_VERSION):
     """Arrow fold over rows sorted by (chain, seq). Per row it does one
-    string concat + one SHA-256: the only sequential work of the append."""
+    hash of the canonical text: the only sequential work of the append."""
+    names = _inputs(version)
+
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = _hasher(version)
         prev = seed
         cur = object()
         for b in batches:
-            bodies = b.column(b.schema.get_field_index("_body")).to_pylist()
-            chains = b.column(b.schema.get_field_index(chain_col)).to_pylist() if chain_col else None
-            seeds = b.column(b.schema.get_field_index("_seed")).to_pylist() if chain_col else None
+            col = lambda n: b.column(b.schema.get_field_index(n)).to_pylist()
+            ids = col("event_id")
+            fields = list(zip(*[col(n) for n in names]))
+            chains = col(chain_col) if chain_col else None
+            seeds = col("_seed") if chain_col else None
             prevs, hashes = [], []
-            for i, body in enumerate(bodies):
+            for i, eid in enumerate(ids):
                 if chains is not None and chains[i] != cur:
                     cur = chains[i]
                     prev = seeds[i] or GENESIS_HASH
                 p = prev or GENESIS_HASH
-                h = hashlib.sha256(f"{body}|64:{p}".encode("utf-8")).hexdigest()
+                h = step(eid, fields[i], p)
                 prevs.append(p)
                 hashes.append(h)
                 prev = h
@@ -113,17 +145,20 @@ def _fold(seed: str | None, chain_col: str | None):
     return fn
 
 
-def _fold_numbered(start: int, seed: str):
+def _fold_numbered(start: int, seed: str, version: int = HASH_VERSION):
     """Arrow fold for one ordered task: numbers the rows from ``start``,
     formats the id and chains the hashes in the same pass."""
+    names = _inputs(version)
+
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = _hasher(version)
         prev, seq = seed, start
         for b in batches:
-            rests = b.column(b.schema.get_field_index("_rest")).to_pylist()
+            fields = list(zip(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in names]))
             seqs, ids, prevs, hashes = [], [], [], []
-            for rest in rests:
+            for row in fields:
                 eid = f"AUD-{seq:08d}"
-                h = hashlib.sha256(f"{len(eid)}:{eid}|{rest}|64:{prev}".encode("utf-8")).hexdigest()
+                h = step(eid, row, prev)
                 seqs.append(seq)
                 ids.append(eid)
                 prevs.append(prev)
@@ -141,21 +176,30 @@ def _fold_schema(df: DataFrame) -> T.StructType:
                                             T.StructField("event_hash", T.StringType(), True)])
 
 
-def _finish(df: DataFrame, extra: list[str]) -> DataFrame:
-    return df.withColumn("hash_version", F.lit(HASH_VERSION)).select(*LOG_COLUMNS, *extra)
+def _finish(df: DataFrame, extra: list[str], version: int = HASH_VERSION) -> DataFrame:
+    return df.withColumn("hash_version", F.lit(version)).select(*LOG_COLUMNS, *extra)
+
+
+def _hash_inputs(df: DataFrame, version: int) -> DataFrame:
+    """Columns the fold hashes: the rendered text after the id (v2), or the
+    event fields plus ``str(datetime)`` of the timestamp (v1)."""
+    if version == 1:
+        from ..functions.canonical import python_timestamp_text
+        return df.withColumn("_ts_text", python_timestamp_text(F.col("timestamp")))
+    return df.withColumn("_rest", _row_rest())
 
 
 def prepare_events(events: DataFrame, *, order_by: list[str | Column], start_seq: int = 1,
-                   timestamp_col: str = "timestamp") -> DataFrame:
+                   timestamp_col: str = "timestamp", hash_version: int = HASH_VERSION) -> DataFrame:
     """Number events (dense, in ``order_by`` order, from ``start_seq``),
     format ids and render the hashed body, all in parallel."""
     numbered = dense_sequence(events, order_by, name="seq", start=start_seq)
     ts = F.col(timestamp_col).cast("timestamp_ntz")
-    return numbered.select(
+    staged = numbered.select(
         "*", seq_id("AUD", F.col("seq"), 8).alias("event_id"), ts.alias("_ts")) \
         .drop(timestamp_col).withColumnRenamed("_ts", "timestamp") \
-        .withColumn("event_date", F.date_format("timestamp", "yyyy-MM-dd")) \
-        .withColumn("_body", _row_body())
+        .withColumn("event_date", F.date_format("timestamp", "yyyy-MM-dd"))
+    return _hash_inputs(staged, hash_version)
 
 
 def tail_state(log: DataFrame | None) -> tuple[int, str]:
@@ -171,7 +215,8 @@ def tail_state(log: DataFrame | None) -> tuple[int, str]:
 
 def audit_append(events: DataFrame, *, order_by: list[str | Column], tail: DataFrame | None = None,
                  anchor_hash: str | None = None, chain_by: str | None = None,
-                 block_rows: int = 1_000_000, timestamp_col: str = "timestamp") -> DataFrame:
+                 block_rows: int = 1_000_000, timestamp_col: str = "timestamp",
+                 hash_version: int = HASH_VERSION) -> DataFrame:
     """Append ``events`` (event_type, timestamp, actor, action, resource,
     details JSON string) after ``tail`` and return the new rows with ids and
     hashes, stored once in the checkpoint folder. ``order_by`` must be
@@ -186,37 +231,39 @@ def audit_append(events: DataFrame, *, order_by: list[str | Column], tail: DataF
     if chain_by is not None:
         # independent chains fold in parallel; each chain is seeded from the
         # tail's last hash of that chain (joined, never collected)
-        staged = prepare_events(events, order_by=order_by, start_seq=start, timestamp_col=timestamp_col)
+        staged = prepare_events(events, order_by=order_by, start_seq=start, timestamp_col=timestamp_col,
+                                hash_version=hash_version)
         heads = (tail.groupBy(chain_by).agg(F.max_by("event_hash", "seq").alias("_seed"))
                  if tail is not None else None)
         s = staged.join(heads, chain_by, "left") if heads is not None else \
             staged.withColumn("_seed", F.lit(None).cast("string"))
         s = s.repartition(chain_by).sortWithinPartitions(chain_by, "seq")
-        s.mapInArrow(_fold(None, chain_by), _fold_schema(s)).write.parquet(f"{base}/chain")
-        return _finish(spark.read.parquet(f"{base}/chain"), extra)
+        s.mapInArrow(_fold(None, chain_by, hash_version), _fold_schema(s)).write.parquet(f"{base}/chain")
+        return _finish(spark.read.parquet(f"{base}/chain"), extra, hash_version)
 
     ev = events.withColumn("_ts", F.col(timestamp_col).cast("timestamp_ntz")).drop(timestamp_col) \
         .withColumnRenamed("_ts", "timestamp")
     if is_small(ev):
         # proven small (optimizer size estimate): one task sorts, numbers and folds
-        one = ev.withColumn("_rest", _row_rest()).coalesce(1).sortWithinPartitions(*order_by)
+        one = _hash_inputs(ev, hash_version).coalesce(1).sortWithinPartitions(*order_by)
         schema = T.StructType(one.schema.fields + [
             T.StructField("seq", T.LongType()), T.StructField("event_id", T.StringType()),
             T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
-        one.mapInArrow(_fold_numbered(start, last), schema) \
+        one.mapInArrow(_fold_numbered(start, last, hash_version), schema) \
             .withColumn("event_date", F.date_format("timestamp", "yyyy-MM-dd")).write.parquet(f"{base}/chain")
-        return _finish(spark.read.parquet(f"{base}/chain"), extra)
+        return _finish(spark.read.parquet(f"{base}/chain"), extra, hash_version)
 
-    staged = prepare_events(events, order_by=order_by, start_seq=start, timestamp_col=timestamp_col)
+    staged = prepare_events(events, order_by=order_by, start_seq=start, timestamp_col=timestamp_col,
+                            hash_version=hash_version)
     n = staged.count()  # reads the checkpointed numbering only
     if n == 0:  # nothing to append
         return _finish(staged.withColumn("previous_hash", F.lit(None).cast("string"))
-                       .withColumn("event_hash", F.lit(None).cast("string")), extra)
+                       .withColumn("event_hash", F.lit(None).cast("string")), extra, hash_version)
     if n <= block_rows:
         # a single block: fold it in one task straight from the numbering
         one = staged.coalesce(1).sortWithinPartitions("seq")
-        one.mapInArrow(_fold(last, None), _fold_schema(one)).write.parquet(f"{base}/chain")
-        return _finish(spark.read.parquet(f"{base}/chain"), extra)
+        one.mapInArrow(_fold(last, None, hash_version), _fold_schema(one)).write.parquet(f"{base}/chain")
+        return _finish(spark.read.parquet(f"{base}/chain"), extra, hash_version)
     staged.withColumn("_block", F.floor((F.col("seq") - F.lit(start)) / F.lit(block_rows)).cast("long")) \
         .write.partitionBy("_block").parquet(f"{base}/staged")
     blocks = spark.read.parquet(f"{base}/staged")
@@ -226,9 +273,9 @@ def audit_append(events: DataFrame, *, order_by: list[str | Column], tail: DataF
     for b in range(int(n_blocks) + 1):
         part = blocks.filter(F.col("_block") == b).drop("_block").coalesce(1).sortWithinPartitions("seq")
         path = f"{base}/chain/_block={b}"
-        part.mapInArrow(_fold(prev, None), schema).write.parquet(path)
+        part.mapInArrow(_fold(prev, None, hash_version), schema).write.parquet(path)
         prev = spark.read.parquet(path).agg(F.max_by("event_hash", "seq")).first()[0]
-    return _finish(spark.read.parquet(f"{base}/chain").drop("_block"), extra)
+    return _finish(spark.read.parquet(f"{base}/chain").drop("_block"), extra, hash_version)
 
 
 # ------------------------------------------------------------------- verify
