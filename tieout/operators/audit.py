@@ -118,9 +118,9 @@ def _fold(seed: str | None, chain_col: str | None, version: int = HASH_VERSION):
     """Arrow fold over rows sorted by (chain, seq). Per row it does one
     hash of the canonical text: the only sequential work of the append."""
     names = _inputs(version)
+    step = _hasher(version)  # a nested function: shipped to the workers by value
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = _hasher(version)
         prev = seed
         cur = object()
         for b in batches:
@@ -149,9 +149,9 @@ def _fold_numbered(start: int, seed: str, version: int = HASH_VERSION):
     """Arrow fold for one ordered task: numbers the rows from ``start``,
     formats the id and chains the hashes in the same pass."""
     names = _inputs(version)
+    step = _hasher(version)  # a nested function: shipped to the workers by value
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = _hasher(version)
         prev, seq = seed, start
         for b in batches:
             fields = list(zip(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in names]))
