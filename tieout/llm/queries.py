@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, license_scan, line_dedup, mixing
+from . import compression, license_scan, line_dedup, mixing, ngram_join
 from .common import read
 
 
@@ -35,6 +35,10 @@ FROM m GROUP BY doc_id
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,6 +49,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op8_compression_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op8_compression_rules, op10_license_scan)}
 
 ORACLE = {"op2_line_dedup": OP2_SQL}
