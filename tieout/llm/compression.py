@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
-from .kernels import (NOT_WHITESPACE, WordHasher, before, kgrams, mix, pieces, split_words, starts_code_point,
+from .kernels import (NOT_WHITESPACE, WordHasher, before, pieces, repeated_words, split_words, starts_code_point,
                       text_buffers, word_docs)
 
 #: (bytes from, lowest ratio, highest ratio) of a whole text. Short texts
@@ -44,25 +44,6 @@ def _measure(level: int, chunk: int, band: tuple[float, float], window: int):
     symbols = np.zeros(256, bool)
     symbols[list(b"#*$%&|<>")] = True
 
-    def repeated(h, docs):
-        """Flags of the words inside a window of words that its text holds twice or more."""
-        g, at = kgrams(h, docs, window)
-        flags = np.zeros(len(h), bool)
-        if len(g) == 0:
-            return flags
-        with np.errstate(over="ignore"):
-            key = g ^ mix(docs[at].astype(np.uint64) + np.uint64(1))
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        starts = np.zeros(len(h), bool)
-        starts[at[twice]] = True
-        c = before(starts)
-        n = np.arange(len(h))
-        return c[n + 1] > c[np.maximum(n - window + 1, 0)]
-
     def run(batches):
         pack = zstandard.ZstdCompressor(level=level)
         hasher = WordHasher()
@@ -80,7 +61,7 @@ def _measure(level: int, chunk: int, band: tuple[float, float], window: int):
                 out["n_words"].append(np.diff(doc_words))
                 out["word_chars"].append(np.diff(chars[off]))
                 out["n_symbols"].append(np.diff(before(symbols[data])[off]))
-                out["n_repeat_words"].append(np.diff(before(repeated(h, docs))[doc_words]))
+                out["n_repeat_words"].append(np.diff(before(repeated_words(h, docs, window))[doc_words]))
                 out["n_bytes"].append(np.diff(off))
                 dup, ratios, n_chunks, n_bad = [], [], [], []
                 for a, b in zip(off[:-1], off[1:]):

@@ -131,3 +131,21 @@ def before(flags: np.ndarray) -> np.ndarray:
 
 def starts_code_point(data: np.ndarray) -> np.ndarray:
     return (data & 0xC0) != 0x80
+
+
+def repeated_words(h: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+    """Flags of the words inside a window of words that its text holds twice or more."""
+    g, at = kgrams(h, docs, window)
+    if len(g) == 0:
+        return np.zeros(len(h), bool)
+    with np.errstate(over="ignore"):
+        key = g ^ mix(docs[at].astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    twice = np.zeros(len(key), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    starts = np.zeros(len(h), bool)
+    starts[at[twice]] = True
+    c, n = before(starts), np.arange(len(h))
+    return c[n + 1] > c[np.maximum(n - window + 1, 0)]

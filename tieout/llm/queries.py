@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, license_scan, line_dedup, mixing, ngram_join
+from . import compression, license_scan, line_dedup, mixing, ngram_join, quality
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,6 +53,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op8_compression_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op5_quality_classifier,
+                                  op8_compression_rules, op10_license_scan)}
 
 ORACLE = {"op2_line_dedup": OP2_SQL}
