@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, license_scan, line_dedup, mixing, ngram_join, quality
+from . import chat, compression, license_scan, line_dedup, mixing, ngram_join, quality, token_counts
 from .common import read
 
 
@@ -39,6 +39,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.chat_windows(turns))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -48,12 +56,18 @@ def op8_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute_tokens(read(spark, sf_dir, "documents")).select(
+        "doc_id", "section", "start", "stop", F.col("tokens").cast("long").alias("n_tokens"), "n_crossing")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op5_quality_classifier,
-                                  op8_compression_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_chat_format,
+                                  op5_quality_classifier, op8_compression_rules, op9_token_counts,
+                                  op10_license_scan)}
 
 ORACLE = {"op2_line_dedup": OP2_SQL}
