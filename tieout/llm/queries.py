@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression, license_scan, line_dedup, mixing, ngram_join, quality, token_counts
+from . import chat, compression, license_scan, line_dedup, mixing, ngram_join, pii, quality, token_counts
 from .common import read
 
 
@@ -51,6 +51,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op8_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,7 +71,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_chat_format,
-                                  op5_quality_classifier, op8_compression_rules, op9_token_counts,
+                                  op5_quality_classifier, op6_personal_data, op8_compression_rules, op9_token_counts,
                                   op10_license_scan)}
 
 ORACLE = {"op2_line_dedup": OP2_SQL}
