@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression, license_scan, line_dedup, mixing, ngram_join, pii, quality, token_counts
+from . import chat, compression, decontam, license_scan, line_dedup, mixing, ngram_join, pii, quality, token_counts
 from .common import read
 
 
@@ -55,6 +55,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -71,7 +75,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_chat_format,
-                                  op5_quality_classifier, op6_personal_data, op8_compression_rules, op9_token_counts,
+                                  op5_quality_classifier, op6_personal_data, op7_decontamination,
+                                  op8_compression_rules, op9_token_counts,
                                   op10_license_scan)}
 
 ORACLE = {"op2_line_dedup": OP2_SQL}
