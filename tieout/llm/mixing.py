@@ -226,7 +226,7 @@ class Mix:
         inside = Window.partitionBy("source_no", "bucket").orderBy("ord", "doc_id", "size")
         rows = rows.withColumn("rank", F.row_number().over(inside)).withColumn(
             "start", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        rows = rows.join(base, ["source_no", "bucket"]).withColumn("start", F.col("start") + F.col("base"))
+        rows = rows.join(base.hint("merge"), ["source_no", "bucket"]).withColumn("start", F.col("start") + F.col("base"))
         return rows.drop("base", "buckets", "ord")
 
     def packed(self) -> DataFrame:
@@ -258,7 +258,7 @@ class Mix:
         got = F.when(F.col("take").isNotNull(),  # no slot took the block otherwise
                      F.least(F.col("hi") - F.col("lo"), F.col("take") - F.col("at")))
         n = partitions(self.sized.sparkSession)
-        slots = self.slots.repartition(n, "source_no", "block")
+        slots = self.slots.repartition(n, "source_no", "block").hint("merge")  # slots grow with the data
         return (self.packed().join(slots, ["source_no", "block"], "left")
                 .groupBy("source_no", "bucket", "rank").agg(
                     *(F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")),
@@ -269,7 +269,7 @@ class Mix:
         """The mix itself: one row per slot and document piece in it, with its
         text (words up to ``n_words``); sorted by (shard, slot, at) it is the shard's text."""
         got = F.least(F.col("hi") - F.col("lo"), F.col("take") - F.col("at"))
-        out = self.packed().join(self.slots, ["source_no", "block"]).withColumn("n_words", got).where("n_words > 0")
+        out = self.packed().join(self.slots.hint("merge"), ["source_no", "block"]).withColumn("n_words", got).where("n_words > 0")
         cols = ["shard", "slot", "at", "doc_id", "source", "n_words"]
         if not self.with_text:
             return out.select(*cols, "lo")
