@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ def events(spark, n=50):
     return df.withColumn("timestamp", F.col("ts").cast("timestamp_ntz")).drop("ts")
 
 
-def python_chain(rows):
+def python_chain(rows, block_rows=A.BLOCK_ROWS):
     prev = A.GENESIS_HASH
     out = []
     for r in rows:
+        prev = A.GENESIS_HASH if (r.seq - 1) % block_rows == 0 else prev
         fields = [r.event_id, r.event_type, r.timestamp.strftime("%Y-%m-%dT%H:%M:%S.%f"), r.actor, r.action,
-                  r.resource, r.details]
+                  r.resource, json.dumps(json.loads(r.details), sort_keys=True, separators=(",", ":"))]
         body = "|".join(f"{len(x)}:{x}" for x in fields)
         h = hashlib.sha256(f"{body}|64:{prev}".encode()).hexdigest()
         out.append((prev, h))
@@ -30,15 +32,66 @@ def python_chain(rows):
 
 def test_append_matches_python_and_verifies(spark):
     log = A.audit_append(events(spark), order_by=["timestamp", "src_id"], block_rows=7).cache()
+    assert A.verify(log, block_rows=7).verdict.first().valid is True
     rows = log.orderBy("seq").collect()
     assert [r.event_id for r in rows][:2] == ["AUD-00000001", "AUD-00000002"]
-    assert [(r.previous_hash, r.event_hash) for r in rows] == python_chain(rows)
-    assert A.verify(log).verdict.first().valid is True
-    # append a second batch after the tail: the chain continues
-    more = A.audit_append(events(spark, 5), order_by=["timestamp", "src_id"], tail=log)
+    assert [(r.previous_hash, r.event_hash) for r in rows] == python_chain(rows, 7)
+    # append a second batch after the tail: the open block goes on, the next ones start anew
+    more = A.audit_append(events(spark, 20), order_by=["timestamp", "src_id"], tail=log, block_rows=7)
     first = more.orderBy("seq").first()
     assert first.seq == 51 and first.previous_hash == rows[-1].event_hash
-    assert A.verify(log.unionByName(more)).verdict.first().valid is True
+    both = log.unionByName(more).cache()
+    assert A.verify(both, block_rows=7).verdict.first().valid is True
+    rows = both.orderBy("seq").collect()
+    assert [(r.previous_hash, r.event_hash) for r in rows] == python_chain(rows, 7)
+    # one block of seven per header; losing a whole block or the end of one shows
+    headers = A.block_headers(both, 7).cache()
+    assert headers.count() == 10 and A.changed_blocks(both, headers, 7).count() == 0
+    whole = both.filter((F.col("seq") < 15) | (F.col("seq") > 21))
+    v = A.verify(whole, block_rows=7).verdict.first()
+    assert (v.event_id, v.violation) == ("AUD-00000022", "prev_hash_mismatch")
+    assert A.verify(both.filter("seq <> 14"), block_rows=7).verdict.first().event_id == "AUD-00000015"
+    last = both.filter("seq < 70")
+    assert [r.block for r in A.changed_blocks(last, headers, 7).collect()] == [9]
+
+
+def test_blocks_fold_in_parallel_and_need_no_global_window(spark):
+    plan = A.verify(A.audit_append(events(spark), order_by=["timestamp", "src_id"])).rows \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_null_hashes_are_violations(spark):
+    log = A.audit_append(events(spark), order_by=["timestamp", "src_id"]).cache()
+    t = log.withColumn("event_hash", F.when(F.col("seq") < 50, F.col("event_hash")))
+    assert A.verify(t).verdict.first().violation == "hash_mismatch"
+    t = log.withColumn("previous_hash", F.when(F.col("seq") != 20, F.col("previous_hash")))
+    assert A.verify(t).verdict.first().violation == "prev_hash_mismatch"
+
+
+def test_append_goes_on_after_a_full_purge(spark):
+    log = A.audit_append(events(spark), order_by=["timestamp", "src_id"]).cache()
+    p = A.purge(log, retention_days=0, as_of="2030-01-01 00:00:00")
+    more = A.audit_append(events(spark, 3), order_by=["timestamp", "src_id"], tail=p.log, anchor=p.anchor)
+    first = more.orderBy("seq").first()
+    assert first.event_id == "AUD-00000051"
+    assert first.previous_hash == log.filter("seq = 50").first().event_hash
+    assert A.verify(more, anchor_hash=p.anchor.first().anchor_hash).verdict.first().valid is True
+
+
+def test_details_hash_in_canonical_form(spark):
+    a = events(spark, 3).withColumn("details", F.lit('{"b": [1, {"y": 2, "x": 1}], "a": null}'))
+    b = events(spark, 3).withColumn("details", F.lit('{"a":null,"b":[1,{"x":1,"y":2}]}'))
+    ha, hb = ([r.event_hash for r in A.audit_append(x, order_by=["src_id"]).orderBy("seq").collect()] for x in (a, b))
+    assert ha == hb
+
+
+def test_export_labels_non_finite_numbers(spark):
+    texts = ['{"z": NaN, "deep": [{"v": -Infinity}, Infinity], "text": "a, NaN, b"}', "no json", None]
+    log = A.audit_append(events(spark, 3).withColumn("details", F.element_at(
+        F.array(*map(F.lit, texts)), (F.col("src_id") + 1).cast("int"))), order_by=["src_id"])
+    got = [json.loads(r.json)["details"] for r in A.export_json(log.orderBy("seq")).collect()]
+    assert got == [{"z": "NaN", "deep": [{"v": "-Infinity"}, "Infinity"], "text": "a, NaN, b"}, "no json", {}]
 
 
 def test_tampering_is_located(spark):
@@ -64,6 +117,11 @@ def test_purge_keeps_chain_verifiable(spark):
 
 def test_parallel_chains(spark):
     log = A.audit_append(events(spark), order_by=["timestamp", "src_id"], chain_by="actor").cache()
+    assert A.verify(log, chain_by="actor").verdict.first().valid is True
+    t = log.withColumn("details", F.when(F.col("seq") == 30, F.lit("{}")).otherwise(F.col("details")))
+    assert A.verify(t, chain_by="actor").verdict.first().event_id == "AUD-00000030"
+    small = A.audit_append(events(spark), order_by=["timestamp", "src_id"], chain_by="actor", block_rows=7)
+    assert A.verify(small, chain_by="actor", block_rows=7).verdict.first().valid is True
     for actor in ("user-0", "user-1", "user-2"):
         part = log.filter(F.col("actor") == actor).orderBy("seq").collect()
         assert part[0].previous_hash == A.GENESIS_HASH
@@ -92,20 +150,6 @@ def test_dense_sequence(spark):
     assert sorted((r.k, r.seq) for r in rows) == list(zip(sorted(r.k for r in rows), range(1, 1001)))
 
 
-def test_large_input_path_equals_small_path(spark, monkeypatch):
-    """The distributed numbering + block fold gives the same chain as the
-    one-task path taken for proven-small inputs."""
-    from tieout.plans import seq
-    ev = events(spark, 40)
-    small = A.audit_append(ev, order_by=["timestamp", "src_id"]).orderBy("seq").collect()
-    monkeypatch.setattr(seq, "SMALL_BYTES", -1)
-    monkeypatch.setattr(A, "is_small", lambda df: False)
-    for block_rows in (1000, 9):
-        big = A.audit_append(ev, order_by=["timestamp", "src_id"], block_rows=block_rows).orderBy("seq").collect()
-        assert [(r.seq, r.event_id, r.previous_hash, r.event_hash) for r in big] == \
-            [(r.seq, r.event_id, r.previous_hash, r.event_hash) for r in small]
-
-
 def test_parallel_chains_continue_from_the_tail(spark):
     first = A.audit_append(events(spark, 30), order_by=["timestamp", "src_id"], chain_by="actor").cache()
     more = events(spark, 60).filter(F.col("src_id") >= 30)

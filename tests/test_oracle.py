@@ -32,18 +32,3 @@ def test_query_matches_oracle(spark, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
-
-
-# queries whose operators switch to a one-task form for proven-small inputs;
-# here the distributed (range-partitioned, checkpointed) form is forced
-DISTRIBUTED = ["zscore_mad", "zscore_segmented_mad", "zscore_default_record_ids", "exceptions_routed",
-               "exceptions_mismatch_queue", "audit_chain_built", "audit_verify_variants", "audit_chain_view_broken",
-               "audit_verify_tampered_rows", "registry_latest", "registry_update", "flow_three_way_summary"]
-
-
-@pytest.mark.parametrize("name", DISTRIBUTED)
-def test_distributed_form_matches_oracle(spark, name, monkeypatch):
-    from tieout.plans import seq
-    monkeypatch.setattr(seq, "SMALL_BYTES", -1)
-    res = compare(spark, name, QUERIES[name], ORACLE[name], SF)
-    assert res["ok"], res

@@ -76,12 +76,16 @@ def test_static_row_policy_pushes_into_the_scan(spark):
     assert "PushedFilters" in p and "Exchange" not in p
 
 
-def test_auto_strategy_takes_window_only_for_proven_small_inputs(spark, monkeypatch):
-    from tieout.plans import seq
+def test_match_plans_do_not_depend_on_size(spark):
     s, t = sides(spark)
-    assert exchanges(M.match(s, t, ["k"], ["amount"])) == ["hashpartitioning"]  # small: one window
-    monkeypatch.setattr(seq, "SMALL_BYTES", -1)
-    assert "partial_" in plan(M.match(s, t, ["k"], ["amount"]))  # not proven small: pre-aggregating plan
+    assert "partial_" in plan(M.match(s, t, ["k"], ["amount"]))  # the pre-aggregating plan at every size
+    assert "sizeInBytes" not in open(M.__file__).read()
+
+
+def test_match_summary_is_a_hash_aggregate(spark):
+    s, t = sides(spark)
+    p = plan(M.match_summary(s.withColumn("other", F.lit("x")), t, ["k"], ["amount"]))
+    assert "SortAggregate" not in p and "HashAggregate" in p and "other" not in p
 
 
 def test_three_way_is_one_row_level_shuffle(spark):

@@ -27,17 +27,18 @@ def test_dense_sequence_start_and_empty(spark):
     assert seq.dense_sequence(spark.createDataFrame([], "k long"), ["k"], num_partitions=3).count() == 0
 
 
-def test_exact_median_distributed_matches_numpy_with_nan_groups(spark, monkeypatch):
-    monkeypatch.setattr(seq, "SMALL_BYTES", -1)
+def test_exact_median_distributed_matches_numpy_with_nan_groups(spark):
     rng = np.random.default_rng(3)
     rows = [("a", float(x)) for x in rng.normal(10, 2, 101)] + [("b", float(x)) for x in rng.normal(0, 1, 64)] + \
-           [("c", 1.0), ("c", float("nan")), ("c", 3.0)] + [("d", None)]
+           [("c", 1.0), ("c", float("nan")), ("c", 3.0)] + [("d", None)] + [(None, 2.0), (None, 4.0)] + \
+           [("e", 7.0)] * 50 + [("e", 1.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     got = {r.g: (r.m, r.n) for r in seq.exact_group_median(df, ["g"], "v", out="m", num_partitions=7).collect()}
     for g in ("a", "b"):
         vals = np.array([v for k, v in rows if k == g])
         assert got[g][1] == len(vals) and abs(got[g][0] - float(np.median(vals))) < 1e-12
     assert math.isnan(got["c"][0]) and got["c"][1] == 3
+    assert got[None] == (3.0, 2) and got["e"] == (7.0, 51)
     assert "d" not in got  # NULLs are ignored; an all-NULL group has no median
 
 

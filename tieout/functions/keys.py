@@ -43,6 +43,24 @@ def key_type(df: DataFrame, field: str) -> T.DataType:
     return df.schema[field].dataType
 
 
+def wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """Smallest type that holds both: keys are compared in it, never cut to one side's type."""
+    if not isinstance(a, T.NumericType):
+        return a
+    if isinstance(a, T.FractionalType) and isinstance(b, T.FractionalType) and not (
+            isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType)):
+        return T.DoubleType()
+    whole = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
+    if isinstance(a, (T.DoubleType, T.FloatType)) or isinstance(b, (T.DoubleType, T.FloatType)):
+        return T.DoubleType()
+    if isinstance(a, T.DecimalType) or isinstance(b, T.DecimalType):
+        digits = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (whole[type(t)], 0)
+                  for t in (a, b)]
+        scale = max(d[1] for d in digits)
+        return T.DecimalType(min(38, max(d[0] for d in digits) + scale), scale)
+    return a if whole[type(a)] >= whole[type(b)] else b
+
+
 def check_key_types(left: DataFrame, right: DataFrame, key_fields: list[str]) -> list[T.DataType]:
     """Keys of different kinds never compare equal in the reference (``1`` vs
     ``"1"``); Spark would cast silently, so reject it up front. Numeric
@@ -54,19 +72,29 @@ def check_key_types(left: DataFrame, right: DataFrame, key_fields: list[str]) ->
         if type(lt) is not type(rt) and not (ln and rn):
             raise ValueError(f"key field {f!r} has type {lt.simpleString()} on one side "
                              f"and {rt.simpleString()} on the other")
-        out.append(lt)
+        out.append(lt if type(lt) is type(rt) and lt == rt else wider(lt, rt))
     return out
 
 
+def null_default(dt: T.DataType) -> Column:
+    """A non-null value of the type, which stands for NULL in key parts."""
+    if isinstance(dt, T.StringType):
+        return F.lit("")
+    if isinstance(dt, T.NumericType):
+        return F.lit(0).cast(dt)
+    if isinstance(dt, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(dt)
+    if isinstance(dt, T.BinaryType):
+        return F.lit("").cast(dt)
+    if isinstance(dt, T.DayTimeIntervalType):
+        return F.make_dt_interval().cast(dt)
+    raise ValueError(f"a key of type {dt.simpleString()} cannot be matched")
+
+
 def null_safe_parts(col: Column, dt: T.DataType, name: str) -> list[Column]:
     """(value-with-default, is-null) pair so plain equality behaves like
-    ``<=>``; grouping and hash partitioning then stay on the same columns."""
-    if isinstance(dt, T.StringType):
-        default = F.lit("")
-    elif isinstance(dt, T.NumericType):
-        default = F.lit(0).cast(dt)
-    elif isinstance(dt, T.BooleanType):
-        default = F.lit(False)
-    else:
-        default = F.lit(None).cast(dt)
-    return [F.coalesce(col, default).alias(f"{name}_v"), col.isNull().alias(f"{name}_n")]
+    ``<=>``; grouping and hash partitioning then stay on the same columns.
+    Every type has a non-null default: an equi-join never loses a NULL key."""
+    return [F.coalesce(col.cast(dt), null_default(dt)).alias(f"{name}_v"), col.isNull().alias(f"{name}_n")]

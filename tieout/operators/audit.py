@@ -11,24 +11,30 @@ with ``lp(x) = length(x) ':' x`` (``~`` for NULL) and the timestamp as
 ``yyyy-MM-ddTHH:mm:ss.ffffff``. Length prefixes stop field-boundary
 collisions; ``details`` is a JSON string.
 
+``details`` is hashed in canonical form (keys sorted at every depth, no
+spaces), so equal payloads hash alike however they were written.
+
+The chain is cut into blocks of ``BLOCK_ROWS`` consecutive ``seq``: the first
+event of a block links to the genesis value, every other one to the event
+before it. So blocks fold and verify independently and in parallel, and no
+task ever holds more than a block. The blocks themselves are chained by their
+headers (``block_headers``: one hash per block over its range, its last hash
+and the header before it). A block's place cannot be forged, because the
+hashed event id carries ``seq``; ``verify`` also demands that the rows before
+a block's first row are there.
+
 Plans:
 
-* verify (parallel): every row's hash is recomputed in codegen; the link
-  check needs the predecessor's stored hash in the global order. ``seq`` is
-  dense in an untouched log, so that is an equi-join on ``seq - 1``; a log
-  with gaps (deleted rows) takes the exact range-partitioned LAG
-  (``plans.seq.lag_over``). Neither uses a single-partition window.
-* append (sequential by nature: each hash covers the previous one):
-  rendering, numbering and id formatting run in parallel; only the fold
-  ``h_i = sha256(body_i | prev)`` is sequential. With ``chain_by=None`` (one
-  chain, the reference semantics) the numbered events are written to the
-  checkpoint folder in blocks of ``block_rows`` and folded block after
-  block, each block in one task seeded with the previous block's last hash
-  (a 64-char value): no task, and never the driver, holds more than one
-  block. A proven-small input (optimizer size estimate) is sorted, numbered
-  and folded in one task directly. With ``chain_by`` set, independent
-  chains fold in parallel. Every append is stored once in the checkpoint
-  folder, so consumers never re-run the fold.
+* append: numbering (distributed positions), then one shuffle by block and a
+  fold inside each block. With ``chain_by`` a (chain, block) pair is the unit,
+  so a chain that holds a third of all events still folds in many tasks.
+* verify: hashes are recomputed row-locally in codegen; links need the row
+  before in the block, a window over at most ``BLOCK_ROWS`` rows; a join with
+  the per-block row counts finds missing ends of blocks.
+* ``hash_version = 1`` keeps the original logger's form: one chain over the
+  whole log. It is there to verify old logs and to go on with them; its fold is
+  sequential by definition and runs in blocks, one after another.
+
 """
 
 from __future__ import annotations
@@ -38,18 +44,18 @@ import uuid
 from typing import Iterator, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import seq_id
-from ..plans.seq import dense_sequence, is_small, lag_dense
+from ..plans.seq import dense_sequence, lag_dense
 from ..session import ensure_checkpoint_dir
 
-# fixed values: genesis link and event types
+# fixed value: genesis link
 GENESIS_HASH = "0" * 64
-EVENT_TYPES = ("data_access", "data_modification", "gate_decision", "reconciliation", "exception_created",
-               "exception_resolved", "schema_change", "policy_violation", "user_action", "system_event")
+#: Events in a block of the chain. A log is verified with the value it was written with.
+BLOCK_ROWS = 4096
 
 LOG_COLUMNS = ["seq", "event_id", "event_type", "timestamp", "actor", "action", "resource", "details",
                "previous_hash", "event_hash", "event_date", "hash_version"]
@@ -61,11 +67,16 @@ def lp(c: Column) -> Column:
     return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~"))
 
 
+def canonical_details(details: Column) -> Column:
+    """JSON text with sorted keys and no spaces; text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(details)), details)
+
+
 def body_rest(event_type: Column, ts: Column, actor: Column, action: Column, resource: Column,
               details: Column) -> Column:
     """Hashed text after the event id (everything known before numbering)."""
     return F.concat_ws("|", lp(event_type), lp(F.date_format(ts, TS_FORMAT)), lp(actor), lp(action),
-                       lp(resource), lp(details))
+                       lp(resource), lp(canonical_details(details)))
 
 
 def body_text(event_id: Column, event_type: Column, ts: Column, actor: Column, action: Column,
@@ -145,32 +156,6 @@ def _fold(seed: str | None, chain_col: str | None, version: int = HASH_VERSION):
     return fn
 
 
-def _fold_numbered(start: int, seed: str, version: int = HASH_VERSION):
-    """Arrow fold for one ordered task: numbers the rows from ``start``,
-    formats the id and chains the hashes in the same pass."""
-    names = _inputs(version)
-    step = _hasher(version)  # a nested function: shipped to the workers by value
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prev, seq = seed, start
-        for b in batches:
-            fields = list(zip(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in names]))
-            seqs, ids, prevs, hashes = [], [], [], []
-            for row in fields:
-                eid = f"AUD-{seq:08d}"
-                h = step(eid, row, prev)
-                seqs.append(seq)
-                ids.append(eid)
-                prevs.append(prev)
-                hashes.append(h)
-                prev, seq = h, seq + 1
-            yield pa.RecordBatch.from_arrays(
-                list(b.columns) + [pa.array(seqs, pa.int64()), pa.array(ids, pa.string()),
-                                   pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
-                names=list(b.schema.names) + ["seq", "event_id", "previous_hash", "event_hash"])
-    return fn
-
-
 def _fold_schema(df: DataFrame) -> T.StructType:
     return T.StructType(df.schema.fields + [T.StructField("previous_hash", T.StringType(), True),
                                             T.StructField("event_hash", T.StringType(), True)])
@@ -202,80 +187,80 @@ def prepare_events(events: DataFrame, *, order_by: list[str | Column], start_seq
     return _hash_inputs(staged, hash_version)
 
 
-def tail_state(log: DataFrame | None) -> tuple[int, str]:
-    """(next seq, last hash) of an existing log: two scalars, one small
-    aggregate."""
-    if log is None:
-        return 1, GENESIS_HASH
-    r = log.agg(F.max("seq").alias("m"), F.max_by("event_hash", "seq").alias("h")).first()
-    if r is None or r["m"] is None:
-        return 1, GENESIS_HASH
-    return int(r["m"]) + 1, r["h"]
+def tail_state(log: DataFrame | None, anchor: DataFrame | None = None) -> tuple[int, str]:
+    """(next seq, last hash) of a log: of its last event, or, where a purge
+    has left none, of the purge's ``anchor`` row. Two scalars."""
+    r = log.agg(F.max("seq").alias("m"), F.max_by("event_hash", "seq").alias("h")).first() if log is not None else None
+    if r is not None and r["m"] is not None:
+        return int(r["m"]) + 1, r["h"]
+    a = anchor.first() if anchor is not None else None
+    return (int(a["next_seq"]), a["anchor_hash"]) if a is not None else (1, GENESIS_HASH)
+
+
+def _block(block_rows: int) -> Column:
+    return F.floor((F.col("seq") - 1) / F.lit(block_rows)).cast("long")
+
+
+def _opens_block(block_rows: int) -> Column:
+    return (F.col("seq") - 1) % F.lit(block_rows) == 0
 
 
 def audit_append(events: DataFrame, *, order_by: list[str | Column], tail: DataFrame | None = None,
-                 anchor_hash: str | None = None, chain_by: str | None = None,
-                 block_rows: int = 1_000_000, timestamp_col: str = "timestamp",
+                 anchor: DataFrame | None = None, chain_by: str | None = None,
+                 block_rows: int = BLOCK_ROWS, timestamp_col: str = "timestamp",
                  hash_version: int = HASH_VERSION) -> DataFrame:
     """Append ``events`` (event_type, timestamp, actor, action, resource,
     details JSON string) after ``tail`` and return the new rows with ids and
     hashes, stored once in the checkpoint folder. ``order_by`` must be
-    unique. See the module doc for the plan."""
+    unique. After a purge that left no event, ``anchor`` (the purge's) makes
+    ids and links go on. See the module doc for the plan."""
     spark = events.sparkSession
-    start, last = tail_state(tail)
-    if tail is None and anchor_hash:
-        last = anchor_hash
+    start, last = tail_state(tail, anchor)
     extra = [c for c in events.columns if c not in LOG_COLUMNS and c != timestamp_col]
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-append-{uuid.uuid4().hex}"
-
-    if chain_by is not None:
-        # independent chains fold in parallel; each chain is seeded from the
-        # tail's last hash of that chain (joined, never collected)
-        staged = prepare_events(events, order_by=order_by, start_seq=start, timestamp_col=timestamp_col,
-                                hash_version=hash_version)
-        heads = (tail.groupBy(chain_by).agg(F.max_by("event_hash", "seq").alias("_seed"))
-                 if tail is not None else None)
-        s = staged.join(heads, chain_by, "left") if heads is not None else \
-            staged.withColumn("_seed", F.lit(None).cast("string"))
-        s = s.repartition(chain_by).sortWithinPartitions(chain_by, "seq")
-        s.mapInArrow(_fold(None, chain_by, hash_version), _fold_schema(s)).write.parquet(f"{base}/chain")
-        return _finish(spark.read.parquet(f"{base}/chain"), extra, hash_version)
-
-    ev = events.withColumn("_ts", F.col(timestamp_col).cast("timestamp_ntz")).drop(timestamp_col) \
-        .withColumnRenamed("_ts", "timestamp")
-    if is_small(ev):
-        # proven small (optimizer size estimate): one task sorts, numbers and folds
-        one = _hash_inputs(ev, hash_version).coalesce(1).sortWithinPartitions(*order_by)
-        schema = T.StructType(one.schema.fields + [
-            T.StructField("seq", T.LongType()), T.StructField("event_id", T.StringType()),
-            T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
-        one.mapInArrow(_fold_numbered(start, last, hash_version), schema) \
-            .withColumn("event_date", F.date_format("timestamp", "yyyy-MM-dd")).write.parquet(f"{base}/chain")
-        return _finish(spark.read.parquet(f"{base}/chain"), extra, hash_version)
-
     staged = prepare_events(events, order_by=order_by, start_seq=start, timestamp_col=timestamp_col,
                             hash_version=hash_version)
-    n = staged.count()  # reads the checkpointed numbering only
-    if n == 0:  # nothing to append
-        return _finish(staged.withColumn("previous_hash", F.lit(None).cast("string"))
-                       .withColumn("event_hash", F.lit(None).cast("string")), extra, hash_version)
-    if n <= block_rows:
-        # a single block: fold it in one task straight from the numbering
-        one = staged.coalesce(1).sortWithinPartitions("seq")
-        one.mapInArrow(_fold(last, None, hash_version), _fold_schema(one)).write.parquet(f"{base}/chain")
-        return _finish(spark.read.parquet(f"{base}/chain"), extra, hash_version)
+    if hash_version == 1:
+        return _finish(_append_single_chain(staged, base, start, last, block_rows), extra, hash_version)
+    staged = staged.withColumn("_block", _block(block_rows))
+    unit = ["_block"] if chain_by is None else [chain_by, "_block"]
+    # only the block that the tail has left open goes on from a hash
+    open_block = (start - 1) // block_rows if (start - 1) % block_rows else -1
+    if chain_by is None:
+        staged = staged.withColumn("_seed", F.when(F.col("_block") == open_block, F.lit(last)))
+    elif tail is not None:
+        heads = tail.where(_block(block_rows) == open_block).groupBy(F.col(chain_by).alias("_chain")).agg(
+            F.max_by("event_hash", "seq").alias("_head"))
+        staged = staged.join(heads, F.col(chain_by).eqNullSafe(F.col("_chain")), "left").withColumn(
+            "_seed", F.when(F.col("_block") == open_block, F.col("_head"))).drop("_chain", "_head")
+    else:
+        staged = staged.withColumn("_seed", F.lit(None).cast("string"))
+    staged = staged.withColumn("_unit", F.concat_ws("|", *[lp(F.col(f"`{c}`").cast("string")) for c in unit]))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = staged.repartition(n, "_unit").sortWithinPartitions("_unit", "seq")
+    s.mapInArrow(_fold(None, "_unit", hash_version), _fold_schema(s)).write.parquet(f"{base}/chain")
+    return _finish(spark.read.schema(_fold_schema(s)).parquet(f"{base}/chain"), extra, hash_version)
+
+
+def _append_single_chain(staged: DataFrame, base: str, start: int, last: str, block_rows: int) -> DataFrame:
+    """The original logger's one chain (v1): each hash covers the one before it
+    over the whole log, so blocks fold one after another, each seeded with the
+    last hash of the one before. No task holds more than a block."""
+    spark = staged.sparkSession
     staged.withColumn("_block", F.floor((F.col("seq") - F.lit(start)) / F.lit(block_rows)).cast("long")) \
         .write.partitionBy("_block").parquet(f"{base}/staged")
-    blocks = spark.read.parquet(f"{base}/staged")
-    n_blocks = (n - 1) // block_rows
-    schema = _fold_schema(blocks.drop("_block"))
-    prev = last
-    for b in range(int(n_blocks) + 1):
-        part = blocks.filter(F.col("_block") == b).drop("_block").coalesce(1).sortWithinPartitions("seq")
-        path = f"{base}/chain/_block={b}"
-        part.mapInArrow(_fold(prev, None, hash_version), schema).write.parquet(path)
-        prev = spark.read.parquet(path).agg(F.max_by("event_hash", "seq")).first()[0]
-    return _finish(spark.read.parquet(f"{base}/chain").drop("_block"), extra, hash_version)
+    schema = _fold_schema(staged)
+    rows = spark.read.schema(T.StructType(staged.schema.fields + [T.StructField("_block", T.LongType())])) \
+        .parquet(f"{base}/staged")
+    top, prev = rows.agg(F.max("_block")).first()[0], last
+    for b in range(0 if top is None else top + 1):
+        part = rows.filter(F.col("_block") == b).drop("_block").coalesce(1).sortWithinPartitions("seq")
+        part.mapInArrow(_fold(prev, None, 1), schema).write.parquet(f"{base}/chain/_block={b}")
+        prev = spark.read.schema(schema).parquet(f"{base}/chain/_block={b}").agg(
+            F.max_by("event_hash", "seq")).first()[0]
+    if top is None:
+        return staged.withColumns({c: F.lit(None).cast("string") for c in ("previous_hash", "event_hash")})
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/chain")
 
 
 # ------------------------------------------------------------------- verify
@@ -284,46 +269,61 @@ class Verification(NamedTuple):
     verdict: DataFrame  # one row: valid, first violation
 
 
-def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int | None = None) -> Verification:
+def _expected_links(rows: DataFrame, *, single_chain: bool, anchor_hash: str, first_seq: int | None,
+                    chain_by: str | None, block_rows: int) -> DataFrame:
+    """``expected_previous_hash`` of every row, and ``contiguous``: false for
+    the first row of a block before which rows of the log are missing."""
+    opens = _opens_block(block_rows)
+    if single_chain:
+        rows = lag_dense(rows, "seq", "event_hash", "_lag")
+        v2_start = (F.col("hash_version") == HASH_VERSION) & opens
+        return rows.withColumn("expected_previous_hash", F.when(v2_start, F.lit(GENESIS_HASH)).otherwise(
+            F.coalesce("_lag", F.lit(anchor_hash)))).withColumn("contiguous", F.lit(True)).drop("_lag")
+    rows = rows.withColumn("_block", _block(block_rows))
+    w = Window.partitionBy("_block", *([chain_by] if chain_by else [])).orderBy("seq")
+    head = F.when((F.col("seq") == F.lit(first_seq)) & ~opens, F.lit(anchor_hash)).otherwise(F.lit(GENESIS_HASH))
+    rows = rows.withColumn("expected_previous_hash", F.coalesce(F.lag("event_hash").over(w), head))
+    ends = rows.groupBy((F.col("_block") + 1).alias("_block")).agg(F.max("seq").alias("_before"))
+    return rows.join(ends, "_block", "left").withColumn(
+        "contiguous", ~opens | (F.col("seq") == F.lit(first_seq))
+        | F.coalesce(F.col("_before") == F.col("seq") - 1, F.lit(False))).drop("_before", "_block")
+
+
+def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int | None = None,
+           chain_by: str | None = None, block_rows: int = BLOCK_ROWS) -> Verification:
     """``verify_chain_detail``: recompute every hash and check every link,
     starting from the purge anchor. First violation = earliest position; at
-    one event a link mismatch is reported before a hash mismatch.
-
-    ``hash_version=1`` recomputes hashes byte-compatibly with chains written
-    by the original Python logger (Arrow-batched UDF, see
-    ``functions/canonical.py``); it uses a ``timestamp_text`` column when the
-    log has one."""
-    # one small aggregate: is seq dense (then LAG is a join on seq - 1), where
-    # does it start, and which canonical form the stored log was written with
-    hv = F.max("hash_version") if "hash_version" in log.columns else F.lit(None)
+    one event a link mismatch is reported before a hash mismatch. A NULL hash
+    or link is a violation. Each row is checked by its own ``hash_version``
+    (or by the one given).
+
+    Version 1 recomputes hashes byte-compatibly with chains written by the
+    original Python logger (Arrow-batched UDF, see ``functions/canonical.py``);
+    it uses a ``timestamp_text`` column when the log has one."""
+    stored_version = F.coalesce("hash_version", F.lit(HASH_VERSION)) if "hash_version" in log.columns \
+        else F.lit(HASH_VERSION)
+    log = log.withColumn("hash_version", F.lit(hash_version) if hash_version else stored_version)
     r = log.agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"),
-                hv.alias("hv")).first()
+                F.min("hash_version").alias("hv")).first()  # one small aggregate
     dense = r["n"] > 0 and r["hi"] - r["lo"] + 1 == r["n"]
-    lo = r["lo"]
-    if hash_version is None:
-        hash_version = r["hv"] or HASH_VERSION
-    cols = ["seq", "event_id", "event_type", "timestamp", "actor", "action", "resource", "details",
-            "previous_hash", "event_hash"]
-    if "timestamp_text" in log.columns:
-        cols.append("timestamp_text")
-    if hash_version == 1:
+    lo, old = r["lo"], r["hv"] == 1
+    computed = link_hash(_row_body(), F.col("previous_hash"))
+    if old:
         from ..functions.canonical import python_timestamp_text, reference_event_hash
-        ts_text = F.col("timestamp_text") if "timestamp_text" in cols else python_timestamp_text(F.col("timestamp"))
-        computed = reference_event_hash(F.col("event_id"), F.col("event_type"), ts_text, F.col("actor"),
-                                        F.col("action"), F.col("resource"), F.col("details"),
-                                        F.col("previous_hash"))
-    else:
-        computed = link_hash(_row_body(), F.col("previous_hash"))
-    # every hash is recomputed row-locally first (in parallel); only the narrow
-    # (seq, event_id, event_type, hashes) columns then take part in the LAG
-    narrow = log.select(*cols).select("seq", "event_id", "event_type", "previous_hash", "event_hash",
-                                      computed.alias("computed_hash"))
-    lagged = lag_dense(narrow, "seq", "event_hash", "expected_previous_hash", dense=dense)
-    exp = F.coalesce(F.col("expected_previous_hash"), F.lit(anchor_hash))
-    rows = lagged.select(
-        "seq", "event_id", "event_type", "previous_hash", "event_hash", exp.alias("expected_previous_hash"),
-        (F.col("previous_hash") == exp).alias("is_linked"), "computed_hash")
-    rows = rows.withColumn("hash_ok", F.col("computed_hash") == F.col("event_hash"))
+        ts_text = F.col("timestamp_text") if "timestamp_text" in log.columns \
+            else python_timestamp_text(F.col("timestamp"))
+        v1 = reference_event_hash(F.col("event_id"), F.col("event_type"), ts_text, F.col("actor"), F.col("action"),
+                                  F.col("resource"), F.col("details"), F.col("previous_hash"))
+        computed = F.when(F.col("hash_version") == 1, v1).otherwise(computed)
+    # every hash is recomputed row-locally first; only narrow columns then look for their predecessor
+    narrow = log.select("seq", "event_id", "event_type", "previous_hash", "event_hash", "hash_version",
+                        computed.alias("computed_hash"), *([chain_by] if chain_by else []))
+    linked = _expected_links(narrow, single_chain=old, anchor_hash=anchor_hash, first_seq=lo, chain_by=chain_by,
+                             block_rows=block_rows)
+    rows = linked.select(
+        "seq", "event_id", "event_type", "previous_hash", "event_hash", "expected_previous_hash",
+        (F.col("previous_hash").eqNullSafe(F.col("expected_previous_hash")) & F.col("contiguous")).alias("is_linked"),
+        "computed_hash", F.coalesce(F.col("computed_hash") == F.col("event_hash"), F.lit(False)).alias("hash_ok"))
     bad = ~F.col("is_linked") | ~F.col("hash_ok")
     first = rows.agg(
         F.min_by(F.struct(
@@ -349,15 +349,53 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
     return Verification(rows, verdict)
 
 
-def chain_view(log: DataFrame, *, genesis: str = GENESIS_HASH) -> DataFrame:
-    """``v_audit_chain_verification``: LAG(event_hash) by event order; the
-    first row must link to ``genesis`` (64 zeros, as the view does even
-    after a purge; pass the anchor to check a purged log)."""
-    lagged = lag_dense(log.select("seq", "event_id", "event_type", "timestamp", "actor", "action", "resource",
-                                  "previous_hash", "event_hash"), "seq", "event_hash", "expected_previous_hash")
-    return lagged.withColumn(
-        "is_linked", F.when(F.col("expected_previous_hash").isNull(), F.col("previous_hash") == F.lit(genesis))
-        .otherwise(F.col("previous_hash") == F.col("expected_previous_hash")))
+def _fold_headers():
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev = "0" * 64
+        for b in batches:
+            prevs, hashes = [], []
+            for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
+                prevs.append(prev)
+                prev = hashlib.sha256("|".join([*map(str, row), prev]).encode()).hexdigest()
+                hashes.append(prev)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
+                                             names=[*b.schema.names, "previous_header", "header_hash"])
+    return fn
+
+
+def block_headers(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per block: its range, row count and last hash, chained by
+    ``header_hash = sha256(block | first_seq | last_seq | rows | block_hash |
+    previous_header)``. Only these rows (one per ``block_rows`` events) pass
+    through the one sequential, streaming fold."""
+    blocks = log.groupBy(_block(block_rows).alias("block")).agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("rows"),
+        F.max_by("event_hash", "seq").alias("block_hash"))
+    schema = T.StructType(blocks.schema.fields + [T.StructField("previous_header", T.StringType()),
+                                                  T.StructField("header_hash", T.StringType())])
+    return blocks.repartition(1).sortWithinPartitions("block").mapInArrow(_fold_headers(), schema)
+
+
+def changed_blocks(log: DataFrame, headers: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks whose header, computed from the log now, is not the recorded one
+    (rows lost at either end included)."""
+    now = block_headers(log, block_rows).select("block", F.col("header_hash").alias("_now"))
+    j = headers.select("block", "header_hash").join(now, "block", "full")
+    return j.where(~F.col("header_hash").eqNullSafe(F.col("_now"))).select("block")
+
+
+def chain_view(log: DataFrame, *, genesis: str = GENESIS_HASH, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``v_audit_chain_verification``: the hash of the event before, in event
+    order, and whether the row links to it; the first row must link to
+    ``genesis`` (64 zeros, as the view does even after a purge; pass the
+    anchor to check a purged log). As in the view, a NULL link is NULL."""
+    lo = log.agg(F.min("seq")).first()[0]
+    linked = _expected_links(
+        log.select("seq", "event_id", "event_type", "timestamp", "actor", "action", "resource", "previous_hash",
+                   "event_hash", "hash_version"),
+        single_chain=False, anchor_hash=genesis, first_seq=lo, chain_by=None, block_rows=block_rows)
+    return linked.withColumn("is_linked", (F.col("previous_hash") == F.col("expected_previous_hash"))
+                             & F.col("contiguous")).drop("contiguous", "hash_version")
 
 
 def chain_valid(view: DataFrame) -> DataFrame:
@@ -365,14 +403,15 @@ def chain_valid(view: DataFrame) -> DataFrame:
 
 
 def broken_links(view: DataFrame) -> DataFrame:
+    """The view's broken rows, in event order."""
     return view.filter(~F.col("is_linked")).select("seq", "event_id", "event_type", "previous_hash",
-                                                   "expected_previous_hash")
+                                                   "expected_previous_hash").orderBy("seq")
 
 
 # -------------------------------------------------------------------- purge
 class Purged(NamedTuple):
     log: DataFrame     # surviving events (ids unchanged)
-    anchor: DataFrame  # one row: anchor_hash to verify the survivors from
+    anchor: DataFrame  # one row: anchor_hash to verify the survivors from, next_seq to go on at
 
 
 def purge(log: DataFrame, *, retention_days: int = 2555, as_of: str,
@@ -387,7 +426,8 @@ def purge(log: DataFrame, *, retention_days: int = 2555, as_of: str,
     keep = F.col("seq") >= F.coalesce(F.col("_first"), F.col("_max") + 1)
     kept = j.filter(keep).drop("_first", "_max")
     anchor = j.agg(F.coalesce(F.max_by(F.when(~keep, F.col("event_hash")), F.when(~keep, F.col("seq"))),
-                              F.lit(previous_anchor)).alias("anchor_hash"))
+                              F.lit(previous_anchor)).alias("anchor_hash"),
+                   (F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("next_seq"))
     return Purged(kept, anchor)
 
 
@@ -410,18 +450,24 @@ def query(log: DataFrame, *, event_type: str | None = None, start: str | None =
     return out
 
 
+#: A JSON string (kept) or a bare non-finite number (quoted).
+_NON_FINITE = r'("(?:[^"\\]|\\.)*+")|(NaN|-?Infinity)'
+
+
 def export_json(log: DataFrame) -> DataFrame:
     """One JSON object per event (JSON lines) with the 9 reference keys;
-    ``details`` is embedded as JSON, not as a quoted string."""
+    ``details`` is embedded as JSON, not as a quoted string. Non-finite
+    numbers at any depth become the strings "NaN", "Infinity", "-Infinity";
+    a payload that is no JSON is embedded as a string."""
+    # \\u0001 cannot stand in JSON text: it marks where a bare number was
+    marked = F.regexp_replace(F.coalesce("details", F.lit("{}")), _NON_FINITE, "$1\u0001$2\u0001")
+    labelled = F.regexp_replace(F.regexp_replace(marked, "\u0001(NaN|-?Infinity)\u0001", '"$1"'), "\u0001", "")
+    listed = F.to_json(F.array("details"))
+    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    details = F.coalesce(F.try_parse_json(labelled), F.try_parse_json(quoted))
     return log.select(F.to_json(F.struct(
         "event_id", "event_type", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
-        "actor", "action", "resource", F.parse_json(F.coalesce("details", F.lit("{}"))).alias("details"),
-        "previous_hash", "event_hash")).alias("json"))
-
-
-def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
-    """``audit_log`` sink: parquet partitioned by event date."""
-    log.select(*LOG_COLUMNS).write.mode(mode).partitionBy("event_date").parquet(path)
+        "actor", "action", "resource", details.alias("details"), "previous_hash", "event_hash")).alias("json"))
 
 
 # --------------------------------------------------------- event builders

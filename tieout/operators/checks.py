@@ -150,20 +150,22 @@ def audit_record_json(checks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- hashing
-def canonical_text(df: DataFrame, cols: list[str], double_format: str = "%.6f") -> Column:
+def canonical_text(df: DataFrame, cols: list[str], double_format: str | None = None) -> Column:
     """Order-fixed, length-prefixed text of a row's fields: ``len:value``
-    per field, ``~`` for NULL, joined by ``|``. Length prefixes stop field
-    boundary collisions. Doubles use ``double_format`` (default micro
-    precision) so the text is engine independent."""
+    per field, ``~`` for NULL of any type, joined by ``|``. Length prefixes
+    stop field boundary collisions. Doubles are rendered in full (the
+    shortest text that reads back as the same double), so any drift shows;
+    ``double_format`` (such as ``%.6f``) rounds them for texts that another
+    engine has to reproduce."""
     parts = []
     for c in cols:
         dt = df.schema[c].dataType
         v = F.col(f"`{c}`")
         if isinstance(dt, (T.DoubleType, T.FloatType)):
             # format_string renders NULL as the text "null"; keep it NULL
-            s = F.when(v.isNotNull(), F.format_string(double_format, v))
+            s = F.when(v.isNotNull(), F.format_string(double_format, v)) if double_format else v.cast("string")
         elif isinstance(dt, T.BooleanType):
-            s = F.when(v, "true").otherwise("false")
+            s = F.when(v, "true").when(~v, "false")  # NULL stays NULL
         else:
             s = v.cast("string")
         parts.append(F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("~")))
@@ -175,10 +177,10 @@ def row_hash(df: DataFrame, cols: list[str], **kw) -> Column:
 
 
 def hash_integrity(data: DataFrame, expected: DataFrame, key_cols: list[str], value_cols: list[str],
-                   *, expected_col: str = "expected_hash") -> DataFrame:
+                   *, expected_col: str = "expected_hash", **kw) -> DataFrame:
     """Per-row integrity check: recompute SHA-256 over ``value_cols`` and
     compare with the expected-hash table joined on the key."""
-    h = data.select(*key_cols, row_hash(data, value_cols).alias("actual_hash"))
+    h = data.select(*key_cols, row_hash(data, value_cols, **kw).alias("actual_hash"))
     j = h.join(expected.select(*key_cols, expected_col), on=key_cols, how="left")
     ok = F.col("actual_hash") == F.col(expected_col)
     return j.select(

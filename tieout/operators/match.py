@@ -1,7 +1,6 @@
 """Layer 1: key-based record matching with duplicate isolation.
 
-Plan (``strategy="aggregate"``, taken by the default ``"auto"`` for inputs
-that are not proven small):
+Plan (``strategy="aggregate"``, the default at every size):
 
 1. Both sides are tagged and unioned; each row carries its normalised,
    null-safe key columns and its own record struct.
@@ -21,9 +20,8 @@ the join use a (value-with-default, is-null) pair per part, so plain
 equality behaves like ``<=>`` and the exchange stays on plain columns.
 
 ``strategy="window"`` is the single-shuffle alternative (one window over the
-key). It avoids the second scan but cannot split a hot key, so ``"auto"``
-takes it only when the optimizer's size estimate proves the whole input
-fits one task.
+key) for callers who know that no key is hot: it avoids the second scan but
+cannot split a key. The rows are the same.
 """
 
 from __future__ import annotations
@@ -156,7 +154,7 @@ def _key_struct(key_fields: list[str]) -> Column:
 
 def match(source: DataFrame, target: DataFrame, key_fields: list[str],
           value_fields: list[str] | None = None, *, normalize_keys: bool = True,
-          order_by: list[str] | None = None, strategy: str = "auto") -> DataFrame:
+          order_by: list[str] | None = None, strategy: str = "aggregate") -> DataFrame:
     """Match two record sets; one result row per input row except that a
     clean 1:1 pair yields one row.
 
@@ -164,20 +162,14 @@ def match(source: DataFrame, target: DataFrame, key_fields: list[str],
     target_key, source_record, target_record, conflicts.
     ``order_by`` picks the "first" record of a side under an ambiguous key
     (default: all columns of that side).
-    ``strategy``: "aggregate" (skew-safe), "window" (one shuffle, no hot
-    keys), or "auto": window when the optimizer's size estimate of both
-    inputs is within ``plans.seq.SMALL_BYTES`` (then even a single key
-    holding every row fits one task), aggregate otherwise.
+    ``strategy``: "aggregate" (skew-safe) or "window" (one shuffle, no hot keys).
     """
     if not key_fields:
         raise ValueError("key_fields must not be empty")
-    if strategy not in ("aggregate", "window", "auto"):
-        raise ValueError("strategy must be 'aggregate', 'window' or 'auto'")
+    if strategy not in ("aggregate", "window"):
+        raise ValueError("strategy must be 'aggregate' or 'window'")
     value_fields = list(value_fields or [])
     u, kcols = _tagged(source, target, key_fields, normalize_keys, order_by)
-    if strategy == "auto":
-        from ..plans.seq import is_small
-        strategy = "window" if is_small(u) else "aggregate"
     key = _key_struct(key_fields)
     conf = conflict_array(F.col("_s1"), F.col("_t1"), source.schema, target.schema, value_fields)
     empty = F.array().cast(CONFLICT_TYPE)
@@ -240,6 +232,37 @@ def _key_stats(u: DataFrame, kcols: list[str], order_by: list[str] | None) -> Da
         _first_of("_tgt_rec", "_tgt_ord", order_by).alias("_t1"))
 
 
+def _slim_stats(source: DataFrame, target: DataFrame, key_fields: list[str], value_fields: list[str],
+                normalize_keys: bool) -> tuple[DataFrame, Column]:
+    """Per key: the row count of each side and, for the one row of a pair,
+    each side's values (a maximum over one row). Only keys and value fields
+    are read, and the buffers are plain values, so Spark plans a hash
+    aggregate for fixed-width values. Also: whether a pair's values differ."""
+    ktypes = check_key_types(source, target, key_fields)
+    types = [{f.name: f.dataType for f in df.schema.fields} for df in (source, target)]
+
+    def side(df: DataFrame, is_src: bool) -> DataFrame:
+        parts = []
+        for i, (c, dt) in enumerate(zip(key_columns(df, key_fields, normalize_keys), ktypes)):
+            parts += null_safe_parts(c, dt, f"_k{i}")
+        for i, v in enumerate(value_fields):
+            for mine, tag in ((is_src, "s"), (not is_src, "t")):
+                dt = types[0 if tag == "s" else 1].get(v, T.StringType())
+                own = F.col(f"`{v}`") if mine and v in df.columns else F.lit(None).cast(dt)
+                parts.append(own.alias(f"_{tag}{i}"))
+        return df.select(*parts, F.lit(int(is_src)).alias("_is_src"))
+
+    u = side(source, True).unionByName(side(target, False))
+    kcols = [f"_k{i}_{x}" for i in range(len(key_fields)) for x in ("v", "n")]
+    st = u.groupBy(*kcols).agg(
+        F.sum("_is_src").alias("_ns"), (F.count(F.lit(1)) - F.sum("_is_src")).alias("_nt"),
+        *(F.max(f"_{tag}{i}").alias(f"_{tag}{i}") for i in range(len(value_fields)) for tag in "st"))
+    differs = F.lit(False)
+    for i, v in enumerate(value_fields):
+        differs = differs | _differs(F.col(f"_s{i}"), F.col(f"_t{i}"), types[0].get(v), types[1].get(v))
+    return st, differs
+
+
 def match_summary(source: DataFrame, target: DataFrame, key_fields: list[str],
                   value_fields: list[str] | None = None, *, normalize_keys: bool = True) -> DataFrame:
     """``match_report`` without producing the result rows: every count
@@ -250,13 +273,11 @@ def match_summary(source: DataFrame, target: DataFrame, key_fields: list[str],
     if not key_fields:
         raise ValueError("key_fields must not be empty")
     value_fields = list(value_fields or [])
-    u, kcols = _tagged(source, target, key_fields, normalize_keys, None)
-    st = _key_stats(u, kcols, None)
+    st, differs = _slim_stats(source, target, key_fields, value_fields, normalize_keys)
     ns, nt = F.col("_ns"), F.col("_nt")
     pair = (ns == 1) & (nt == 1)
     dup = (ns > 1) | (nt > 1)
-    conflict = pair & (F.size(conflict_array(F.col("_s1"), F.col("_t1"), source.schema, target.schema,
-                                            value_fields)) > 0)
+    conflict = pair & differs
     agg = st.agg(
         F.coalesce(F.sum(ns), F.lit(0)).alias("source_count"),
         F.coalesce(F.sum(nt), F.lit(0)).alias("target_count"),

@@ -60,17 +60,23 @@ def visible_rows_for_user(df: DataFrame, user_attributes: DataFrame, user: str,
 
 
 def recon_results(match_rows: DataFrame, gate_rows: DataFrame | None, *, record_id: Column,
-                  source_system: str, target_system: str, amount_field: str = "amount",
-                  sensitivity: Column | None = None, created_at: str = "1970-01-01 00:00:00") -> DataFrame:
+                  source_system: str, target_system: str, created_at: str, amount_field: str = "amount",
+                  sensitivity: Column | None = None) -> DataFrame:
     """``reconciliation_results`` rows: Layer 1 status + Layer 2 decision per
     record; ``amount_difference`` = source - target; enums upper-cased for
-    the warehouse."""
+    the warehouse. One row per match row: a record id that was gated several
+    times takes its most severe decision, so the join never multiplies rows;
+    a NULL id takes the decision of the NULL id."""
     m = match_rows.select(
         record_id.alias("record_id"), "status",
         (F.col(f"source_record.{amount_field}") - F.col(f"target_record.{amount_field}")).alias("amount_difference"),
         (sensitivity if sensitivity is not None else F.lit(None).cast("string")).alias("sensitivity_level"))
     if gate_rows is not None:
-        m = m.join(gate_rows.select("record_id", "decision", "z_score"), "record_id", "left")
+        rank = F.when(F.col("decision") == "block", 2).when(F.col("decision") == "flag", 1).otherwise(0)
+        worst = gate_rows.groupBy(F.col("record_id").alias("_of")).agg(
+            F.max(F.struct(rank.alias("r"), "z_score", "decision")).alias("_w"))
+        m = m.join(worst, F.col("record_id").eqNullSafe(F.col("_of")), "left").select(
+            *m.columns, F.col("_w.decision").alias("decision"), F.col("_w.z_score").alias("z_score"))
     else:
         m = m.select("*", F.lit(None).cast("string").alias("decision"), F.lit(None).cast("double").alias("z_score"))
     ts = F.lit(created_at).cast("timestamp_ntz")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,31 +117,38 @@ def register(registry: DataFrame, metrics: DataFrame, *, as_of: str,
     return Outcome(accepted, rejected, outcomes)
 
 
-def update(registry: DataFrame, patches: DataFrame, *, as_of: str) -> Outcome:
+def update(registry: DataFrame, patches: DataFrame, *, as_of: str, order_by: list[str] | None = None) -> Outcome:
     """Apply patches (``name`` + any updatable columns; NULL keeps the current
-    value) as version + 1 with ``updated_at = as_of``. Unknown names and bad
-    sensitivity values are rejected atomically per row."""
-    fields = [c for c in patches.columns if c != "name"]
+    value) with ``updated_at = as_of``. Several patches of one name apply in
+    the order of ``order_by`` (columns of the patches that are not fields of
+    a metric; default: the patched fields) and give consecutive versions,
+    each on top of the one before. Unknown names and bad sensitivity values
+    are rejected per row and take no version."""
+    order = order_by or []
+    fields = [c for c in patches.columns if c != "name" and c not in order]
     bad_fields = [c for c in fields if c not in UPDATABLE]
     if bad_fields:
         raise ValueError(f"fields {bad_fields} cannot be updated; allowed: {sorted(UPDATABLE)}")
     cur = latest(registry)
-    p = patches.select("name", *[F.col(c).alias(f"_p_{c}") for c in fields])
+    p = patches.select("name", *[F.col(c).alias(f"_p_{c}") for c in fields],
+                       *[F.col(c).alias(f"_o_{c}") for c in order])
     j = p.join(cur, "name", "left")
     known = F.col("version").isNotNull()
     sens_ok = (F.col("_p_sensitivity").isNull() | _sens_ok(F.col("_p_sensitivity"))) \
         if "sensitivity" in fields else F.lit(True)
     ok = known & sens_ok
     ts = F.lit(as_of).cast("timestamp_ntz")
+    by_name = Window.partitionBy("name").orderBy(*([f"_o_{c}" for c in order] or [f"_p_{c}" for c in fields]))
+    so_far = by_name.rowsBetween(Window.unboundedPreceding, 0)
 
     def pick(c: str) -> Column:
         if c not in fields:
             return F.col(c)
         v = F.lower(F.col(f"_p_{c}")) if c == "sensitivity" else F.col(f"_p_{c}")
-        return F.coalesce(v.cast(cur.schema[c].dataType), F.col(c))
+        return F.coalesce(F.last(v.cast(cur.schema[c].dataType), ignorenulls=True).over(so_far), F.col(c))
 
     accepted = j.filter(ok).select(
-        "name", (F.col("version") + 1).cast("int").alias("version"),
+        "name", (F.col("version") + F.row_number().over(by_name)).cast("int").alias("version"),
         *[pick(c).alias(c) for c in COLUMNS if c not in ("name", "version", "created_at", "updated_at")],
         "created_at", ts.alias("updated_at"))
     rejected = j.filter(~ok).select("name", F.when(~known, "metric not found")

@@ -401,10 +401,10 @@ FROM data d LEFT JOIN expected e ON d.o_orderkey = e.o_orderkey""")
 def q_check_row_hash(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
-    expected = o.select("o_orderkey", C.row_hash(o, cols).alias("expected_hash"))
+    expected = o.select("o_orderkey", C.row_hash(o, cols, double_format="%.6f").alias("expected_hash"))
     data = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1)
                         .otherwise(F.col("o_totalprice")))
-    return C.hash_integrity(data, expected, ["o_orderkey"], cols)
+    return C.hash_integrity(data, expected, ["o_orderkey"], cols, double_format="%.6f")
 
 
 _F1_FP = """
@@ -419,7 +419,7 @@ FROM (SELECT sha256(concat_ws('|', coalesce(length(txn_id) || ':' || txn_id, '~'
 @register("check_fingerprint", S.with_(f1_target=S.F1_TARGET) + _F1_FP.format(t="f1_target"))
 def q_check_fingerprint(spark, sf_dir):
     t = FX.f1_target(spark, sf_dir)
-    return C.fingerprint(t, ["txn_id", "amount", "dept"])
+    return C.fingerprint(t, ["txn_id", "amount", "dept"], double_format="%.6f")
 
 
 @register("check_fingerprint_compare", S.with_(f1_source=S.F1_SOURCE, f1_target=S.F1_TARGET) + f"""
@@ -433,6 +433,21 @@ def q_check_fingerprint_compare(spark, sf_dir):
                                ["txn_id", "amount", "dept"])
 
 
+@register("check_row_hash_null_and_drift", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN true ELSE o_orderkey % 3 = 2 END AS differs FROM orders""")
+def q_check_row_hash_null_and_drift(spark, sf_dir):
+    """A NULL boolean is not false, and a drift of 1e-7 shows."""
+    o = read_table(spark, sf_dir, "orders")
+    third = F.col("o_orderkey") % 3
+    before = o.select("o_orderkey", F.when(third != 1, F.lit(False)).alias("flag"), F.col("o_totalprice").alias("v"))
+    after = o.select("o_orderkey", F.lit(False).alias("flag"),
+                     F.when(third == 2, F.col("o_totalprice") + 1e-7).otherwise(F.col("o_totalprice")).alias("v"))
+    cols = ["flag", "v"]
+    j = before.select("o_orderkey", C.row_hash(before, cols).alias("a")).join(
+        after.select("o_orderkey", C.row_hash(after, cols).alias("b")), "o_orderkey")
+    return j.select("o_orderkey", (F.col("a") != F.col("b")).alias("differs"))
+
+
 # ------------------------------------------------------------------- variance
 def _daily_series(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
@@ -492,6 +507,7 @@ def q_variance_historical(spark, sf_dir):
 from ..operators import gate as G  # noqa: E402
 
 _F2 = S.with_(cur=S.F2_CURRENT, hist=S.F2_HISTORY, hist_c=S.F2_HISTORY_CONTAMINATED)
+_F2_SEG = S.with_(cur=S.F2_CURRENT, hist=S.F2_HISTORY_COLD)
 
 
 def _median_sql(src: str, val: str, seg: bool) -> str:
@@ -552,7 +568,7 @@ def _rec(r: G.GateResult, seg: bool = False) -> DataFrame:
     return r.records.select(*cols)
 
 
-def _verdict_sql(global_gate: bool) -> str:
+def _verdict_sql(global_gate: bool, limit: float = 0.1) -> str:
     bm = "round((SELECT c FROM bb), 6)" if global_gate else "CAST(0.0 AS DOUBLE)"
     bs = "round((SELECT s FROM bb), 6)" if global_gate else "CAST(0.0 AS DOUBLE)"
     invalid = "NOT (SELECT ok FROM bb)" if global_gate else "false"
@@ -563,7 +579,7 @@ SELECT CAST(count(*) AS BIGINT) AS total_records,
        CAST(count(*) FILTER (WHERE decision = 'block') AS BIGINT) AS blocked,
        CASE WHEN {invalid} THEN 'flag'
             WHEN count(*) FILTER (WHERE decision = 'block') > 0 THEN 'block'
-            WHEN count(*) > 0 AND count(*) FILTER (WHERE decision <> 'pass') / count(*) > 0.1 THEN 'block'
+            WHEN count(*) > 0 AND count(*) FILTER (WHERE decision <> 'pass') / count(*) > {limit} THEN 'block'
             WHEN count(*) FILTER (WHERE decision = 'flag') > 0 THEN 'flag' ELSE 'pass' END AS gate_decision,
        CASE WHEN {invalid} THEN 1.0
             WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE decision <> 'pass') / count(*), 4)
@@ -609,30 +625,30 @@ def q_zscore_masked_contaminated(spark, sf_dir):
     return r.records.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("zscore_segmented", _F2[:-1] + _gate_sql("hist", seg=True)
+@register("zscore_segmented", _F2_SEG[:-1] + _gate_sql("hist", seg=True)
           + "SELECT record_id, segment, value, z_score, decision, baseline_mean, baseline_std FROM rec")
 def q_zscore_segmented(spark, sf_dir):
-    return _rec(G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir)), seg=True)
+    return _rec(G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history_cold(spark, sf_dir)), seg=True)
 
 
-@register("zscore_segmented_mad", _F2[:-1] + _gate_sql("hist", "mad", seg=True)
+@register("zscore_segmented_mad", _F2_SEG[:-1] + _gate_sql("hist", "mad", seg=True)
           + "SELECT record_id, segment, value, z_score, decision, baseline_mean, baseline_std FROM rec")
 def q_zscore_segmented_mad(spark, sf_dir):
-    return _rec(G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir),
+    return _rec(G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history_cold(spark, sf_dir),
                                      params=G.GateParams(method="mad")), seg=True)
 
 
-@register("zscore_verdict_segmented", _F2[:-1] + _gate_sql("hist", seg=True) + _verdict_sql(False))
+@register("zscore_verdict_segmented", _F2_SEG[:-1] + _gate_sql("hist", seg=True) + _verdict_sql(False))
 def q_zscore_verdict_segmented(spark, sf_dir):
-    return _verdict(G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir)))
+    return _verdict(G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history_cold(spark, sf_dir)))
 
 
-_F2_COLD = S.with_(cur=S.F2_CURRENT, hist=f"SELECT * FROM ({S.F2_HISTORY}) WHERE segment = 'signup'")
+_F2_COLD = S.with_(cur=S.F2_CURRENT, hist=f"SELECT * FROM ({S.F2_HISTORY_COLD}) WHERE segment = 'signup'")
 
 
 @register("zscore_insufficient", _F2_COLD[:-1] + _gate_sql("hist") + _verdict_sql(True))
 def q_zscore_insufficient(spark, sf_dir):
-    h = FX.f2_history(spark, sf_dir).filter(F.col("segment") == "signup")
+    h = FX.f2_history_cold(spark, sf_dir).filter(F.col("segment") == "signup")
     return _verdict(G.validate(FX.f2_current(spark, sf_dir), h))
 
 
@@ -657,7 +673,7 @@ def q_zscore_deviation_pct(spark, sf_dir):
     return r.anomalies.select("record_id", "decision", F.round("deviation_pct", 6).alias("deviation_pct"))
 
 
-@register("zscore_daily_rates", _F2[:-1] + _gate_sql("hist", seg=True) + """
+@register("zscore_daily_rates", _F2_SEG[:-1] + _gate_sql("hist", seg=True) + """
 SELECT strftime(cur.ts, '%Y-%m-%d') AS observation_date, coalesce(rec.segment, 'GLOBAL') AS segment,
        CAST(count(*) AS BIGINT) AS total_records,
        CAST(count(*) FILTER (WHERE upper(decision) = 'PASS') AS BIGINT) AS passed,
@@ -668,14 +684,14 @@ SELECT strftime(cur.ts, '%Y-%m-%d') AS observation_date, coalesce(rec.segment, '
 FROM rec JOIN cur USING (record_id) GROUP BY 1, 2""")
 def q_zscore_daily_rates(spark, sf_dir):
     cur = FX.f2_current(spark, sf_dir)
-    r = G.validate_segmented(cur, FX.f2_history(spark, sf_dir), keep_cols=["ts"])
+    r = G.validate_segmented(cur, FX.f2_history_cold(spark, sf_dir), keep_cols=["ts"])
     return G.daily_rates(G.anomalies_table(r.records, ts_col="ts"))
 
 
-@register("zscore_baseline_segments", _F2[:-1] + _gate_sql("hist", seg=True) + """
+@register("zscore_baseline_segments", _F2_SEG[:-1] + _gate_sql("hist", seg=True) + """
 SELECT segment, CAST(n AS BIGINT) AS n, round(c, 6) AS center, round(s, 6) AS scale, ok AS is_valid FROM bb""")
 def q_zscore_baseline_segments(spark, sf_dir):
-    b = G.baseline(FX.f2_history(spark, sf_dir), segment_col="segment")
+    b = G.baseline(FX.f2_history_cold(spark, sf_dir), segment_col="segment")
     return b.select("segment", "n", F.round("center", 6).alias("center"), F.round("scale", 6).alias("scale"),
                     "is_valid")
 
@@ -836,9 +852,22 @@ WITH ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, ts, 'data_a
 """
 
 
+_LINK = f"(CASE WHEN chain.seq % {A.BLOCK_ROWS} = 0 THEN repeat('0', 64) ELSE chain.h END)"
+
+
+def _linked_sql(anchor: str) -> str:
+    """Whether ``prev`` is the hash before in the block, or what a block or the log starts from."""
+    b = f"(seq - 1) // {A.BLOCK_ROWS}"
+    opens = f"(seq - 1) % {A.BLOCK_ROWS} = 0"
+    return (f"(prev IS NOT DISTINCT FROM coalesce(lag(h) OVER (PARTITION BY {b} ORDER BY seq), "
+            f"CASE WHEN seq = min(seq) OVER () AND NOT {opens} THEN {anchor} ELSE repeat('0', 64) END) "
+            f"AND (NOT {opens} OR seq = min(seq) OVER () OR lag(seq) OVER (ORDER BY seq) IS NOT DISTINCT FROM seq - 1))")
+
+
 # DuckDB rebuilds the chain independently: bodies as one ordered list, then a
-# recursive CTE that hashes one event per step (same canonical text).
-_F5_CHAIN_SQL = """
+# recursive CTE that hashes one event per step (same canonical text); the first
+# event of a block links to the genesis value.
+_F5_CHAIN_SQL = f"""
 WITH RECURSIVE ev AS (
   SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, ts, 'data_access' AS event_type,
          'user-' || user_id AS actor, event_type AS action, 'res-' || (event_id % 10) AS resource, props AS details
@@ -848,13 +877,14 @@ b AS (SELECT seq, printf('AUD-%08d', seq) AS event_id, event_type, actor, action
                   length(event_type) || ':' || event_type,
                   length(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'),
                   length(actor) || ':' || actor, length(action) || ':' || action,
-                  length(resource) || ':' || resource, coalesce(length(details) || ':' || details, '~')) AS body
+                  length(resource) || ':' || resource,
+                  coalesce(length(json(details)::VARCHAR) || ':' || json(details)::VARCHAR, '~')) AS body
       FROM ev),
 arr AS MATERIALIZED (SELECT list(body ORDER BY seq) AS bodies, count(*) AS n FROM b),
 chain(seq, prev, h) AS (
   SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), repeat('0', 64)
   UNION ALL
-  SELECT chain.seq + 1, chain.h, sha256(arr.bodies[chain.seq + 1] || '|64:' || chain.h)
+  SELECT chain.seq + 1, {_LINK}, sha256(arr.bodies[chain.seq + 1] || '|64:' || {_LINK})
   FROM chain, arr WHERE chain.seq < arr.n)
 """
 
@@ -898,7 +928,8 @@ def _variants(spark, sf_dir):
 _BODY_SQL = ("concat_ws('|', length(event_id) || ':' || event_id, length(event_type) || ':' || event_type, "
              "length(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), "
              "length(actor) || ':' || actor, length(action) || ':' || action, "
-             "length(resource) || ':' || resource, coalesce(length(details) || ':' || details, '~'))")
+             "length(resource) || ':' || resource, "
+             "coalesce(length(json(details)::VARCHAR) || ':' || json(details)::VARCHAR, '~'))")
 
 
 def _verify_sql(variant: str, rows: str, anchor: str) -> str:
@@ -910,8 +941,8 @@ SELECT '{variant}' AS variant, b.seq IS NULL AS valid, CAST(b.idx AS BIGINT) AS
 FROM (SELECT 1) one LEFT JOIN (
   SELECT * FROM (
     SELECT seq, event_id, row_number() OVER (ORDER BY seq) - 1 AS idx,
-           prev = coalesce(lag(h) OVER (ORDER BY seq), {anchor}) AS linked,
-           sha256({_BODY_SQL} || '|64:' || prev) = h AS hash_ok
+           {_linked_sql(anchor)} AS linked,
+           coalesce(sha256({_BODY_SQL} || '|64:' || prev) = h, false) AS hash_ok
     FROM {rows})
   WHERE NOT linked OR NOT hash_ok ORDER BY seq LIMIT 1) b ON true"""
 
@@ -938,15 +969,68 @@ def q_audit_verify_variants(spark, sf_dir):
     return _variants(spark, sf_dir)
 
 
-@register("audit_chain_view_broken", _F5_SEQ + """
-SELECT printf('AUD-%08d', seq) AS event_id, false AS is_linked FROM ev WHERE seq = 701""")
+@register("audit_chain_view_broken", _F5_STORED + f"""
+SELECT event_id, linked AS is_linked FROM (
+  SELECT event_id, {_linked_sql("repeat('0', 64)")} AS linked FROM v_c) WHERE NOT linked""")
 def q_audit_chain_view_broken(spark, sf_dir):
     log = A.reliable_log(_f5_log(spark, sf_dir))
     view = A.chain_view(log.filter(F.col("seq") != 700))
-    return A.broken_links(view).select("event_id", F.lit(False).alias("is_linked"))
+    return A.broken_links(view).join(view.select("event_id", "is_linked"), "event_id").select("event_id", "is_linked")
 
 
-@register("audit_chain_valid", "SELECT true AS chain_is_valid")
+@register("audit_block_headers", _F5_STORED + f""",
+blocks AS (SELECT (seq - 1) // {A.BLOCK_ROWS} AS block, min(seq) AS first_seq, max(seq) AS last_seq,
+                  count(*) AS rows, arg_max(h, seq) AS block_hash FROM stored GROUP BY 1),
+heads(block, header_hash) AS (
+  SELECT CAST(-1 AS BIGINT), repeat('0', 64)
+  UNION ALL
+  SELECT b.block, sha256(concat_ws('|', b.block, b.first_seq, b.last_seq, b.rows, b.block_hash, heads.header_hash))
+  FROM heads JOIN blocks b ON b.block = heads.block + 1)
+SELECT b.block, b.first_seq, b.last_seq, b.rows, b.block_hash, heads.header_hash
+FROM blocks b JOIN heads ON heads.block = b.block""")
+def q_audit_block_headers(spark, sf_dir):
+    return A.block_headers(_f5_log(spark, sf_dir)).drop("previous_header")
+
+
+@register("audit_verify_null_hash", _F5_STORED + """,
+v_n AS (SELECT * REPLACE (CASE WHEN seq = (SELECT max(seq) FROM stored) THEN NULL ELSE h END AS h,
+                          CASE WHEN seq = (SELECT max(seq) FROM stored) THEN '{"k": -1}' ELSE details END AS details)
+        FROM stored)
+""" + _verify_sql("last_hash_null", "v_n", "repeat('0', 64)"))
+def q_audit_verify_null_hash(spark, sf_dir):
+    log = A.reliable_log(_f5_log(spark, sf_dir))
+    last = F.col("seq") == log.agg(F.max("seq")).first()[0]
+    t = log.withColumn("event_hash", F.when(~last, F.col("event_hash"))) \
+        .withColumn("details", F.when(last, F.lit('{"k": -1}')).otherwise(F.col("details")))
+    return A.verify(t).verdict.select(F.lit("last_hash_null").alias("variant"), "valid", "event_index", "event_id",
+                                      "violation")
+
+
+@register("audit_append_after_full_purge", _F5_STORED + """,
+last AS (SELECT seq, h FROM stored ORDER BY seq DESC LIMIT 1)
+SELECT printf('AUD-%08d', last.seq + s.seq) AS event_id, last.seq + s.seq AS seq, s.actor,
+       CASE WHEN s.seq = 1 THEN last.h END AS first_link
+FROM stored s, last""")
+def q_audit_append_after_full_purge(spark, sf_dir):
+    events = FX.f5_events(spark, sf_dir)
+    p = A.purge(A.reliable_log(_f5_log(spark, sf_dir)), retention_days=0, as_of="2030-01-01 00:00:00")
+    more = A.audit_append(events, order_by=_F5_ORDER, tail=p.log, anchor=p.anchor)
+    start = p.anchor.first()["next_seq"]
+    return more.select("event_id", "seq", "actor",
+                       F.when(F.col("seq") == start, F.col("previous_hash")).alias("first_link"))
+
+
+@register("audit_canonical_details", _F5_STORED + """
+SELECT event_id, h AS event_hash FROM stored""")
+def q_audit_canonical_details(spark, sf_dir):
+    """Payloads written with other spacing hash alike."""
+    events = FX.f5_events(spark, sf_dir).withColumn(
+        "details", F.regexp_replace("details", r"([{:,])\s*", "$1   "))
+    return A.audit_append(events, order_by=_F5_ORDER).select("event_id", "event_hash")
+
+
+@register("audit_chain_valid", _F5_STORED + f"""
+SELECT bool_and(linked) AS chain_is_valid FROM (SELECT {_linked_sql("repeat('0', 64)")} AS linked FROM stored)""")
 def q_audit_chain_valid(spark, sf_dir):
     return A.chain_valid(A.chain_view(_f5_log(spark, sf_dir)))
 
@@ -1103,13 +1187,16 @@ def q_registry_conformance(spark, sf_dir):
 from ..operators import policy as P  # noqa: E402
 
 
+_RECON_AT = "2024-03-01 06:00:00"
+
+
 def _recon_rows(spark, sf_dir):
     r = _f1_match(spark, sf_dir)
     key = F.coalesce("source_key.txn_id", "target_key.txn_id")
     num = F.regexp_extract(key, r"(\d+)$", 1)
     lvl = F.when(num != "", FX.f7_sensitivity(num.cast("long")))
     return P.recon_results(r, None, record_id=key, source_system="erp", target_system="ledger",
-                           sensitivity=lvl)
+                           created_at=_RECON_AT, sensitivity=lvl)
 
 
 _F7_SQL = _F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True) + """,
@@ -1155,12 +1242,27 @@ def q_policy_dynamic(spark, sf_dir):
     return v.groupBy("sensitivity_level", "match_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("recon_results_sink", _F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True) + """
-SELECT match_key AS record_id, upper(status) AS match_status,
-       CAST(s1.amount - t1.amount AS DOUBLE) AS amount_difference
+_RECON_COLS = ("record_id, source_system, target_system, match_status, amount_difference, gate_decision, z_score, "
+               "sensitivity_level, created_at, created_date").split(", ")
+_RECON_SQL = f"""
+       'erp' AS source_system, 'ledger' AS target_system, upper(status) AS match_status,
+       CAST(s1.amount - t1.amount AS DOUBLE) AS amount_difference,
+       CASE WHEN regexp_extract(match_key, '(\\d+)$', 1) <> '' THEN
+            CASE CAST(regexp_extract(match_key, '(\\d+)$', 1) AS BIGINT) % 5
+            WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'INTERNAL' WHEN 2 THEN 'CONFIDENTIAL' WHEN 3 THEN 'RESTRICTED' END
+       END AS sensitivity_level,
+       '{_RECON_AT}' AS created_at, '{_RECON_AT[:10]}' AS created_date"""
+
+
+def _recon_cols(df: DataFrame) -> DataFrame:
+    return df.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).select(*_RECON_COLS)
+
+
+@register("recon_results_sink", _F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True) + f"""
+SELECT match_key AS record_id, {_RECON_SQL}, CAST(NULL AS VARCHAR) AS gate_decision, CAST(NULL AS DOUBLE) AS z_score
 FROM res""")
 def q_recon_results_sink(spark, sf_dir):
-    return _recon_rows(spark, sf_dir).select("record_id", "match_status", "amount_difference")
+    return _recon_cols(_recon_rows(spark, sf_dir))
 
 
 @register("zscore_trailing_daily", """
@@ -1312,12 +1414,8 @@ stored AS (SELECT b.seq, b.event_id, b.event_type, b.actor, b.action, b.resource
            FROM b JOIN chain c ON c.seq = b.seq JOIN ev e ON e.seq = b.seq),
 checked AS (
   SELECT seq, event_id,
-         prev = coalesce(lag(h) OVER (ORDER BY seq), repeat('0', 64)) AS is_linked,
-         sha256(concat_ws('|', length(event_id) || ':' || event_id, length(event_type) || ':' || event_type,
-                  length(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'),
-                  length(actor) || ':' || actor, length(action) || ':' || action,
-                  length(resource) || ':' || resource, coalesce(length(details) || ':' || details, '~'))
-                || '|64:' || prev) = h AS hash_ok
+         """ + _linked_sql("repeat('0', 64)") + """ AS is_linked,
+         sha256(""" + _BODY_SQL + """ || '|64:' || prev) = h AS hash_ok
   FROM stored)
 SELECT seq, event_id, is_linked, hash_ok FROM checked WHERE NOT is_linked OR NOT hash_ok""")
 def q_audit_verify_tampered_rows(spark, sf_dir):
@@ -1354,16 +1452,137 @@ def q_check_missing_keys_sample(spark, sf_dir):
 
 
 @register("recon_results_with_gate", _F1[:-1] + "," + _match_sql_core("f1_source", "f1_target", True)[:-1] + """,
-cur AS (SELECT match_key AS record_id, s1.amount AS value FROM res WHERE origin = 'pair'),
-hist AS (SELECT o_totalprice AS value FROM orders)""" + _gate_sql("hist") + """
-SELECT r.match_key AS record_id, upper(r.status) AS match_status, upper(g.decision) AS gate_decision, g.z_score
-FROM res r LEFT JOIN rec g ON r.origin = 'pair' AND g.record_id = r.match_key""")
+cur AS (SELECT match_key AS record_id, own_amount AS value FROM res),
+hist AS (SELECT o_totalprice AS value FROM orders)""" + _gate_sql("hist") + f""",
+worst AS (SELECT record_id, arg_max({{'d': decision, 'z': z_score}},
+                 {{'r': CASE decision WHEN 'block' THEN 2 WHEN 'flag' THEN 1 ELSE 0 END, 'z': z_score}}) AS w
+          FROM rec GROUP BY record_id)
+SELECT match_key AS record_id, {_RECON_SQL}, upper(w.d) AS gate_decision, w.z AS z_score
+FROM res LEFT JOIN worst ON worst.record_id IS NOT DISTINCT FROM res.match_key""")
 def q_recon_results_with_gate(spark, sf_dir):
+    """Every row has a decision: that of its record id's most severe gated amount."""
     r = _f1_match(spark, sf_dir)
     key = F.coalesce("source_key.txn_id", "target_key.txn_id")
-    pairs = r.filter(F.col("origin") == "pair").select(key.alias("record_id"),
-                                                      F.col("source_record.amount").alias("value"))
-    gate = G.validate(pairs, _orders_history(spark, sf_dir)).records
-    # gate rows exist for pair keys only, and a pair key is never the key of another result row
-    rr = P.recon_results(r, gate, record_id=key, source_system="erp", target_system="ledger")
-    return rr.select("record_id", "match_status", "gate_decision", "z_score")
+    own = F.when(F.col("origin") == "target", F.col("target_record.amount")).otherwise(F.col("source_record.amount"))
+    gate = G.validate(r.select(key.alias("record_id"), own.alias("value")), _orders_history(spark, sf_dir)).records
+    num = F.regexp_extract(key, r"(\d+)$", 1)
+    lvl = F.when(num != "", FX.f7_sensitivity(num.cast("long")))
+    return _recon_cols(P.recon_results(r, gate, record_id=key, source_system="erp", target_system="ledger",
+                                       created_at=_RECON_AT, sensitivity=lvl))
+
+
+# ================================================== inputs that only edge cases have
+@register("match_null_date_key", """
+WITH src AS (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS d, o_totalprice AS v FROM orders
+             WHERE o_orderkey % 3 <> 0),
+tgt AS (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS d, o_totalprice AS v FROM orders
+        WHERE o_orderkey % 3 <> 1),
+k AS (SELECT d, sum(s) AS ns, sum(1 - s) AS nt FROM (SELECT d, 1 AS s FROM src UNION ALL SELECT d, 0 FROM tgt) GROUP BY d)
+SELECT d IS NULL AS null_key, CASE WHEN ns > 1 OR nt > 1 THEN 'duplicate' WHEN ns = 1 AND nt = 1 THEN 'pair'
+            WHEN ns = 1 THEN 'unmatched_source' ELSE 'unmatched_target' END AS status,
+       CAST(sum(CASE WHEN ns > 1 OR nt > 1 THEN ns + nt ELSE 1 END) AS BIGINT) AS n
+FROM k GROUP BY 1, 2""")
+def q_match_null_date_key(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")).alias("d"), F.col("o_totalprice").alias("v"),
+        (F.col("o_orderkey") % 3).alias("m"))
+    r = M.match(o.filter("m <> 0").drop("m"), o.filter("m <> 1").drop("m"), ["d"], ["v"])
+    status = F.when(F.col("status").isin("matched", "conflict"), "pair").otherwise(F.col("status"))
+    key = F.coalesce("source_key.d", "target_key.d")
+    return r.groupBy(key.isNull().alias("null_key"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("match_widened_key", """
+SELECT k, CAST(sum(s) AS BIGINT) AS n_source, CAST(sum(1 - s) AS BIGINT) AS n_target
+FROM (SELECT CAST(l_linenumber AS DOUBLE) AS k, 1 AS s FROM lineitem
+      UNION ALL SELECT l_linenumber + l_quantity % 2 / 2, 0 FROM lineitem) GROUP BY k""")
+def q_match_widened_key(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    s = li.select(F.col("l_linenumber").cast("int").alias("k"))
+    t = li.select((F.col("l_linenumber") + F.col("l_quantity") % 2 / 2).cast("double").alias("k"))
+    return M.key_side_counts(s, t, ["k"]).select(F.col("k").cast("double").alias("k"), "n_source", "n_target")
+
+
+_EMPTY_HIST = S.with_(cur=S.F2_CURRENT, hist=f"SELECT * FROM ({S.F2_HISTORY}) WHERE false")
+
+
+@register("zscore_mad_empty_history", _EMPTY_HIST[:-1] + """
+SELECT decision, count(*) AS n, 1.0::DOUBLE AS batch_anomaly_rate, 'flag' AS gate_decision
+FROM (SELECT CASE WHEN (SELECT count(*) FROM hist) >= 30 THEN 'pass' ELSE 'flag' END AS decision FROM cur)
+GROUP BY decision""")
+def q_zscore_mad_empty_history(spark, sf_dir):
+    r = G.validate(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir).filter(F.lit(False)),
+                   params=G.GateParams(method="mad"))
+    return r.records.groupBy("decision").agg(F.count(F.lit(1)).alias("n")).crossJoin(  # one row each
+        r.verdict.select("batch_anomaly_rate", "gate_decision"))
+
+
+@register("zscore_mad_insufficient", _F2_COLD[:-1] + _gate_sql("hist", "mad") + _verdict_sql(True))
+def q_zscore_mad_insufficient(spark, sf_dir):
+    h = FX.f2_history_cold(spark, sf_dir).filter(F.col("segment") == "signup")
+    return _verdict(G.validate(FX.f2_current(spark, sf_dir), h, params=G.GateParams(method="mad")))
+
+
+_NULL_SEG = S.with_(
+    cur=f"SELECT record_id, value, CASE WHEN segment = 'click' THEN '~' ELSE segment END AS segment FROM ({S.F2_CURRENT})",
+    hist=f"SELECT value, CASE WHEN segment = 'click' THEN '~' ELSE segment END AS segment FROM ({S.F2_HISTORY})")
+
+
+@register("zscore_mad_null_segment", _NULL_SEG[:-1] + _gate_sql("hist", "mad", seg=True) + """
+SELECT record_id, nullif(segment, '~') AS segment, z_score, decision FROM rec""")
+def q_zscore_mad_null_segment(spark, sf_dir):
+    seg = F.when(F.col("segment") != "click", F.col("segment"))
+    r = G.validate_segmented(FX.f2_current(spark, sf_dir).withColumn("segment", seg),
+                             FX.f2_history(spark, sf_dir).withColumn("segment", seg),
+                             params=G.GateParams(method="mad"))
+    return r.records.select("record_id", "segment", "z_score", "decision")
+
+
+@register("zscore_run_custom_rate", _F2[:-1] + _gate_sql("hist", sigma=0.5, block=40.0) + _verdict_sql(True, 0.9))
+def q_zscore_run_custom_rate(spark, sf_dir):
+    """``run`` decides by the result's own parameters."""
+    params = G.GateParams(sigma_threshold=0.5, block_threshold=40.0, batch_anomaly_rate_limit=0.9)
+    r = G.validate(FX.f2_current(spark, sf_dir), FX.f2_history(spark, sf_dir), params=params)
+    v = G.run(r, lambda rows: rows.write.format("noop").mode("overwrite").save())
+    return v.withColumn("baseline_mean", F.round("baseline_mean", 6)).withColumn("baseline_std",
+                                                                                 F.round("baseline_std", 6))
+
+
+@register("registry_update_twice", _F6_LATEST + """
+SELECT name, CAST(version + p.n AS INTEGER) AS version, 'owner-' || p.n AS owner,
+       CASE WHEN p.n < 2 THEN formula ELSE 'f2' END AS formula
+FROM lat, (SELECT unnest([1, 2, 3]) AS n) p""")
+def q_registry_update_twice(spark, sf_dir):
+    """Three patches of every name: consecutive versions, each on top of the one before."""
+    reg = FX.f6_registry(spark, sf_dir)
+    step = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    patches = R.latest(reg).select("name", step.alias("step")).select(
+        "name", "step", F.concat(F.lit("owner-"), F.col("step")).alias("owner"),
+        F.when(F.col("step") == 2, "f2").alias("formula"))
+    out = R.update(reg, patches, as_of=_REG_AS_OF, order_by=["step"])
+    return out.registry.select("name", "version", "owner", "formula")
+
+
+@register("audit_export_non_finite", _F5_SEQ + """
+SELECT printf('AUD-%08d', seq) AS event_id,
+       CASE WHEN seq % 3 = 0 THEN '{"a":["Infinity",1],"t":"NaN, NaN","z":"NaN"}' WHEN seq % 3 = 1 THEN '"no json"'
+            ELSE json(details)::VARCHAR END AS details FROM ev""")
+def q_audit_export_non_finite(spark, sf_dir):
+    ev = FX.f5_events(spark, sf_dir)
+    log = A.audit_append(ev, order_by=_F5_ORDER)
+    log = log.withColumn("details", F.when(F.col("seq") % 3 == 0, '{"z": NaN, "a": [Infinity, 1], "t": "NaN, NaN"}')
+                         .when(F.col("seq") % 3 == 1, "no json").otherwise(F.col("details")))
+    j = A.export_json(log).select(F.parse_json("json").alias("v"))
+    return j.select(F.variant_get("v", "$.event_id", "string").alias("event_id"),
+                    F.to_json(F.variant_get("v", "$.details", "variant")).alias("details"))
+
+
+@register("check_missing_keys_sorted", S.with_(f1_source=S.F1_SOURCE, f1_target=S.F1_TARGET) + """
+SELECT txn_id, row_number() OVER (ORDER BY txn_id NULLS FIRST) - 1 AS position FROM (
+  SELECT DISTINCT txn_id FROM f1_source s
+  WHERE NOT EXISTS (SELECT 1 FROM f1_target t WHERE t.txn_id IS NOT DISTINCT FROM s.txn_id))""")
+def q_check_missing_keys_sorted(spark, sf_dir):
+    """The full sorted list, as positions (dense, distributed)."""
+    from .seq import dense_sequence
+    missing = C.missing_keys(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), ["txn_id"])
+    return dense_sequence(missing, ["txn_id"], name="position", start=0)

@@ -2,28 +2,24 @@
 
 Spark has no row order, and a window without PARTITION BY moves every row
 into one task. These helpers get global positions instead from a
-range-partitioned, locally sorted copy that is cut from its lineage with a
-reliable checkpoint (so every later pass sees the same partitions):
+range-partitioned, locally sorted copy that is stored in the checkpoint
+folder (so every later pass sees the same partitions):
 
 * ``ordered_blocks``: sorted copy + per-row (partition, local index) and a
   tiny per-partition frame (one row per partition, so its size is bounded
   by the partition count and safe to broadcast).
 * ``dense_sequence``: 1-based global position = partition offset + local index.
 * ``global_positions``: 0-based position after the range sort.
-* ``exact_group_median``: exact median per group from the two middle
-  positions (no group is ever gathered into one task).
+* ``exact_group_median``: exact median per group from counts of distinct
+  values (no group is ever gathered into one task).
 * ``lag_over``: the previous row's value in a global order (LAG without a
   single-partition window): in-partition shift in Arrow batches plus a
   boundary fix-up from the previous non-empty partition.
-
-Each helper first asks the optimizer for its size estimate of the input;
-inputs proven to be within ``SMALL_BYTES`` take a one-task form (a
-single-partition window or one sorted group), which is cheaper than
-sampling, sorting and checkpointing but bounded by that size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterator
 
 import pyarrow as pa
@@ -31,45 +27,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import reliable_checkpoint
+from ..session import stored
 
 _PID, _MID = "_pid", "_mid"
 
-# Inputs whose optimizer size estimate is at most this many bytes take the
-# one-task form of an operator (a single-partition window, one sorted group);
-# anything larger takes the distributed, checkpointed form. The estimate is
-# Spark's own plan statistic (the one behind its broadcast decision): file
-# sizes scaled by the projected columns, never reduced by filters, so it
-# errs towards the distributed form.
-SMALL_BYTES = 32 * 1024 * 1024
-
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of ``df`` (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - unknown plans take the distributed form
-        return 1 << 62
+def join_groups(rows: DataFrame, per_group: DataFrame, group_cols: list[str], how: str = "inner") -> DataFrame:
+    """Join a frame of one row per group on its group columns, NULL groups included."""
+    of = per_group.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(group_cols)})
+    on = [F.col(f"`{c}`").eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(group_cols)]
+    return rows.join(of, reduce(Column.__and__, on), how).drop(*[f"_of_{i}" for i in range(len(group_cols))])
 
 
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return estimated_bytes(df) <= (SMALL_BYTES if limit is None else limit)
+def _sorted_parts(df: DataFrame, order_cols: list[str | Column], num_partitions: int | None) -> DataFrame:
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_df = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    return sorted_df.select("*", F.spark_partition_id().alias(_PID), F.monotonically_increasing_id().alias(_MID))
 
 
 def ordered_blocks(df: DataFrame, order_cols: list[str | Column],
                    num_partitions: int | None = None) -> DataFrame:
     """Range-partition + sort by ``order_cols`` and freeze (partition, id).
 
-    Returns the checkpointed frame with ``_pid`` and ``_mid`` (a
+    Returns the stored frame with ``_pid`` and ``_mid`` (a
     ``monotonically_increasing_id``: partition << 33 | local index).
     """
-    if num_partitions:
-        sorted_df = df.repartitionByRange(num_partitions, *order_cols).sortWithinPartitions(*order_cols)
-    else:
-        sorted_df = df.orderBy(*order_cols)
-    tagged = sorted_df.select("*", F.spark_partition_id().alias(_PID),
-                              F.monotonically_increasing_id().alias(_MID))
-    return reliable_checkpoint(tagged)
+    return stored(_sorted_parts(df, order_cols, num_partitions), "blocks")
 
 
 def _partition_offsets(blocks: DataFrame) -> DataFrame:
@@ -84,10 +67,6 @@ def dense_sequence(df: DataFrame, order_cols: list[str | Column], *, name: str =
                    start: int = 1, num_partitions: int | None = None) -> DataFrame:
     """Add a dense 1-based (or ``start``-based) position in ``order_cols``
     order. The order must be unique (add a tie-breaker) for a stable result."""
-    if num_partitions is None and is_small(df):
-        # proven small: one ordered task (bounded by SMALL_BYTES)
-        w = Window.orderBy(*order_cols)
-        return df.select("*", (F.row_number().over(w) - 1 + F.lit(start)).cast("long").alias(name))
     pos = global_positions(ordered_blocks(df, order_cols, num_partitions))
     return pos.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_pos") + F.lit(start)).alias(name))
 
@@ -102,40 +81,39 @@ def global_positions(blocks: DataFrame, name: str = "_pos") -> DataFrame:
 
 
 def exact_group_median(df: DataFrame, group_cols: list[str], value_col: str,
-                       out: str = "median", num_partitions: int | None = None,
-                       small: bool | None = None) -> DataFrame:
+                       out: str = "median", num_partitions: int | None = None) -> DataFrame:
     """Exact (interpolated) median per group, NULLs ignored; NaN anywhere in a
-    group gives NaN (numpy semantics). Output: group cols, ``out``, ``n``.
-
-    Plan: one range sort by (group, value) -> global positions; a partial
-    aggregate gives each group's first position and size; the two middle
-    positions are then picked with an equi-join on the (unique) position, so
-    even a group holding a third of all rows is spread over many tasks and
-    the join cannot skew. ``small`` lets a caller that knows the row bound
-    (e.g. a frame derived row-for-row from a checked input) skip the size
-    estimate, which multiplies the sizes of joined inputs.
+    group gives NaN (numpy semantics); a NULL group is a group. Output: group
+    cols, ``out``, ``n``.
+
+    Plan: equal values collapse to (group, value, count) map-side, so a value
+    or a group that holds a third of all rows costs a row per task. The
+    distinct values are range-sorted; running counts inside a range partition
+    plus the counts of the partitions before it give every value the span of
+    positions it covers, and the values that cover the two middle positions
+    of a group are picked by an aggregate.
     """
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if small is None:
-        small = num_partitions is None and is_small(v)
-    if small:
-        # proven small: each group's sorted values fit one task (bounded by SMALL_BYTES in total)
-        g = v.groupBy(*group_cols).agg(F.array_sort(F.collect_list("_v")).alias("_a"),
-                                       F.max(F.isnan("_v").cast("int")).alias("_nan"))
-        n = F.size("_a")
-        lo = F.element_at("_a", (F.floor((n - 1) / 2) + 1).cast("int"))
-        hi = F.element_at("_a", (F.floor(n / 2) + 1).cast("int"))
-        return g.select(*group_cols, F.when(F.col("_nan") == 1, F.lit(float("nan")))
-                        .otherwise((lo + hi) / 2).alias(out), n.cast("long").alias("n"))
-    pos = global_positions(ordered_blocks(v, [*group_cols, "_v"], num_partitions))
-    stats = pos.groupBy(*group_cols).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("n"),
-                                         F.max(F.isnan("_v").cast("int")).alias("_nan"))
+    counts = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    blocks = ordered_blocks(counts, [*group_cols, "_v"], num_partitions)
+    per = blocks.groupBy(_PID).agg(F.sum("_c").alias("_n"))
+    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.select(_PID, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+    spans = blocks.join(F.broadcast(offs), _PID)  # bounded by the partition count
+    spans = spans.withColumn("_end", F.col("_offset") + F.sum("_c").over(inside)) \
+        .withColumn("_begin", F.col("_end") - F.col("_c"))
+    stats = spans.groupBy(*group_cols).agg(F.min("_begin").alias("_start"), F.sum("_c").alias("n"),
+                                           F.max(F.isnan("_v").cast("int")).alias("_nan"))
+    j = join_groups(spans, stats, group_cols)
+
+    def at(position: Column) -> Column:
+        hit = (F.col("_begin") <= position) & (position < F.col("_end"))
+        return F.max(F.when(hit, F.col("_v")))
     lo = F.col("_start") + F.floor((F.col("n") - 1) / 2).cast("long")
     hi = F.col("_start") + F.floor(F.col("n") / 2).cast("long")
-    targets = stats.select("n", "_nan", F.explode(F.array_distinct(F.array(lo, hi))).alias("_pos"))
-    picked = pos.select("_pos", *group_cols, "_v").join(targets, "_pos")
-    med = picked.groupBy(*group_cols).agg(F.first("n").alias("n"), F.max("_nan").alias("_nan"),
-                                          (F.sum("_v") / F.count("_v")).alias("_m"))
+    med = j.groupBy(*group_cols).agg(F.max("n").alias("n"), F.max("_nan").alias("_nan"),
+                                     ((at(lo) + at(hi)) / 2).alias("_m"))
     return med.select(*group_cols,
                       F.when(F.col("_nan") == 1, F.lit(float("nan"))).otherwise(F.col("_m")).alias(out), "n")
 
@@ -169,15 +147,13 @@ def lag_over(df: DataFrame, order_col: str, value_col: str, out_col: str = "lag_
     (Arrow, no per-row Python) and a fix-up of each partition's first row
     from the last value of the previous non-empty partition (a frame of one
     row per partition, broadcast)."""
-    if num_partitions is None and is_small(df):
-        # proven small: one ordered task (bounded by SMALL_BYTES)
-        return df.select("*", F.lag(value_col).over(Window.orderBy(order_col)).alias(out_col))
-    blocks = ordered_blocks(df, [order_col], num_partitions)
-    vt = blocks.schema[value_col].dataType
-    out_schema = T.StructType(blocks.schema.fields + [T.StructField(out_col, vt, True),
-                                                      T.StructField("_part_first", T.BooleanType(), False)])
-    shifted = blocks.mapInArrow(_arrow_lag(value_col, out_col, out_schema), out_schema)
-    ends = blocks.groupBy(_PID).agg(F.min(order_col).alias("_first_key"),
+    parts = _sorted_parts(df, [order_col], num_partitions)
+    vt = parts.schema[value_col].dataType
+    out_schema = T.StructType(parts.schema.fields + [T.StructField(out_col, vt, True),
+                                                     T.StructField("_part_first", T.BooleanType(), False)])
+    # the shift runs in the stage that sorts; what is stored no longer depends on partitions
+    shifted = stored(parts.mapInArrow(_arrow_lag(value_col, out_col, out_schema), out_schema), "lag")
+    ends = shifted.groupBy(_PID).agg(F.min(order_col).alias("_first_key"),
                                     F.max_by(value_col, order_col).alias("_last_val"))
     w = Window.orderBy("_first_key")
     fix = ends.select(F.col("_first_key"), F.lag("_last_val").over(w).alias("_prev_last"))
@@ -203,9 +179,6 @@ def lag_dense(df: DataFrame, order_col: str, value_col: str, out_col: str = "lag
     ``order - 1``: an equi-join on a unique key, fully parallel and
     skew-free, with no checkpoint and no Python. Otherwise (rows deleted,
     e.g. a tampered log) it falls back to ``lag_over``."""
-    if is_small(df):
-        # proven small: one ordered task (bounded by SMALL_BYTES)
-        return df.select("*", F.lag(value_col).over(Window.orderBy(order_col)).alias(out_col))
     if dense is None:
         dense, _ = dense_range(df, order_col)
     if not dense:
@@ -222,11 +195,7 @@ def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str]
     joined back; AQE broadcasts it when small). A group holding a third of
     all rows is still numbered by many tasks. The order must be unique
     within a group."""
-    if num_partitions is None and is_small(df):
-        # proven small: per-group windows over at most SMALL_BYTES of rows
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.select("*", F.row_number().over(w).alias(name))
     pos = global_positions(ordered_blocks(df, [*group_cols, *order_cols], num_partitions))
     starts = pos.groupBy(*group_cols).agg(F.min("_pos").alias("_start"))
-    j = pos.join(starts, group_cols)
+    j = join_groups(pos, starts, group_cols)
     return j.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_pos") - F.col("_start") + 1).alias(name))

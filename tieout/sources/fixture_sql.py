@@ -29,6 +29,11 @@ from events where ts >= timestamp '2024-01-25 00:00:00'
 """
 
 F2_HISTORY = """
+select value, event_type as segment, ts from events where ts < timestamp '2024-01-25 00:00:00'
+"""
+
+# with one cold segment, for the queries that are about it
+F2_HISTORY_COLD = """
 select value, event_type as segment, ts from events
 where ts < timestamp '2024-01-25 00:00:00' and not (event_type = 'signup' and event_id >= 100)
 """

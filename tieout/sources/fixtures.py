@@ -74,9 +74,13 @@ def f2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
-    return e.filter((F.col("ts") < ntz(F2_SPLIT))
-                    & ~((F.col("event_type") == "signup") & (F.col("event_id") >= 100))) \
-            .select("value", F.col("event_type").alias("segment"), "ts")
+    return e.filter(F.col("ts") < ntz(F2_SPLIT)).select("value", F.col("event_type").alias("segment"), "ts")
+
+
+def f2_history_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history with one cold segment, for the queries that are about it."""
+    e = read_table(spark, sf_dir, "events").filter(~((F.col("event_type") == "signup") & (F.col("event_id") >= 100)))
+    return e.filter(F.col("ts") < ntz(F2_SPLIT)).select("value", F.col("event_type").alias("segment"), "ts")
 
 
 def f2_history_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:

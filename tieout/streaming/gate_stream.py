@@ -20,9 +20,10 @@ from ..operators import gate as G
 def score_stream(stream: DataFrame, baseline: DataFrame, *, value_col: str = "value",
                  record_id_col: str = "record_id", segment_col: str | None = None,
                  params: G.GateParams = G.GateParams(), nan_policy: str = "pass",
-                 broadcast_baseline: bool = True, keep_cols: list[str] | None = None) -> DataFrame:
+                 broadcast_baseline: bool = False, keep_cols: list[str] | None = None) -> DataFrame:
     """Per-record decisions for a streaming (or batch) DataFrame against a
-    precomputed ``gate.baseline`` frame."""
+    precomputed ``gate.baseline`` frame. Its join is left to the optimizer;
+    ``broadcast_baseline`` is for callers who know how many segments there are."""
     params.validate()
     keep = ["record_id", *(["segment"] if segment_col else []), *(keep_cols or [])]
     cur = stream.select(F.col(record_id_col).cast("string").alias("record_id"),
@@ -35,15 +36,16 @@ def score_stream(stream: DataFrame, baseline: DataFrame, *, value_col: str = "va
         j = cur.join(b, cur["segment"].eqNullSafe(F.col("_seg")), "left") \
             .withColumn("is_valid", F.coalesce(F.col("is_valid"), F.lit(False)))
     else:
-        j = cur.crossJoin(b)
+        j = cur.crossJoin(F.broadcast(baseline))  # one row
     return G._score(j, params, nan_policy, keep)
 
 
 def write_anomalies(scored: DataFrame, path: str, checkpoint: str, *, ts_col: str | None = None,
-                    trigger_once: bool = False) -> StreamingQuery:
+                    ingested_at: str | None = None, trigger_once: bool = False) -> StreamingQuery:
     """Append FLAG/BLOCK rows to the partitioned ``zscore_anomalies`` table
     (exactly once through the checkpointed file sink)."""
-    rows = G.anomalies_table(scored.filter(F.col("decision") != G.PASS), ts_col=ts_col)
+    rows = G.anomalies_table(scored.filter(F.col("decision") != G.PASS), ts_col=ts_col,
+                             ingested_at=ingested_at)
     w = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint) \
         .partitionBy("observation_date").outputMode("append")
     if trigger_once:
