@@ -35,20 +35,21 @@ from .kernels import ALNUM, LOWER, WordHasher, mix, pieces, split_words, text_bu
 
 WINDOW, STRIDE = 24, 8
 DF_BITS, FEATURE_BITS, RANK, ROUNDS = 16, 14, 256, 2
-MIN_SHARE, MIN_COSINE = 0.3, 0.5
+#: A window whose share is below the square of the cosine limit cannot reach it.
+MIN_SHARE, MIN_COSINE = 0.41, 0.64
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.5
 GAP = 12
 BLOCK_BYTES = 8 << 20
 
 
 def _windows(doc_words: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end word) of the windows of every text with words; the last one ends with the text."""
+    """(text, first word, end word) of the windows of every text with words. They start at multiples
+    of the stride; the last one ends with the text and may be shorter."""
     n = np.diff(doc_words)
     count = np.where(n > 0, np.maximum(-(-(n - size) // stride), 0) + 1, 0)
     doc = np.repeat(np.arange(len(n)), count)
     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = np.minimum(k * stride, np.maximum(n[doc] - size, 0))
-    first = doc_words[doc] + start
+    first = doc_words[doc] + k * stride
     return doc, first, np.minimum(first + size, doc_words[doc + 1])
 
 
@@ -214,6 +215,8 @@ class Search:
 
     def __init__(self, rows, basis, idf, *, window=WINDOW, stride=STRIDE, bits=FEATURE_BITS, df_bits=DF_BITS,
                  min_share=MIN_SHARE, min_cosine=MIN_COSINE, verbatim=VERBATIM, paraphrase=PARAPHRASE, answer=ANSWER):
+        if window % stride:
+            raise ValueError("the window must be a multiple of the stride")
         self.window, self.stride, self.bits, self.df_bits = window, stride, bits, df_bits
         self.min_share, self.min_cosine = min_share, min_cosine
         self.verbatim, self.paraphrase, self.answer = verbatim, paraphrase, answer
@@ -242,18 +245,32 @@ class Search:
         square = np.concatenate([[0], np.cumsum(weight ** 2)])
         inside = np.concatenate([[0], np.cumsum(weight ** 2 * known)])
         near = np.flatnonzero(inside[end] - inside[first] >= self.min_share * (square[end] - square[first]))
+        # windows overlap: each stretch of a stride's words is folded in once for all windows that hold it
+        step, n_words = self.stride, np.diff(doc_words)
+        stretches = -(-n_words // step)
+        base = np.cumsum(stretches) - stretches
         out = []
         for lo in range(0, len(near), 4096):
             some = near[lo:lo + 4096]
-            size = end[some] - first[some]
-            word = np.repeat(first[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            row = np.repeat(np.arange(len(some)), size)
+            held = (base[doc[some]] + (first[some] - doc_words[doc[some]]) // step)[:, None] + np.arange(
+                self.window // step)
+            inside_text = held < (base + stretches)[doc[some]][:, None]
+            wanted, place_of = np.unique(np.where(inside_text, held, held[:, :1]), return_inverse=True)
+            of = np.searchsorted(base + stretches, wanted, side="right")
+            begin_at = doc_words[of] + (wanted - base[of]) * step
+            size = np.minimum(begin_at + step, doc_words[of + 1]) - begin_at
+            word = np.repeat(begin_at - np.cumsum(size) + size, size) + np.arange(size.sum())
+            row = np.repeat(np.arange(len(wanted)), size)
             word, row = word[known[word]], row[known[word]]
-            z = np.zeros((len(some), self.basis.shape[1]), np.float32)
+            part = np.zeros((len(wanted), self.basis.shape[1]), np.float32)
             if len(word):
                 begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                z[row[begin]] = np.add.reduceat(
+                part[row[begin]] = np.add.reduceat(
                     self.basis[_feature(h[word], self.bits)] * weight[word][:, None].astype(np.float32), begin, axis=0)
+            place_of = place_of.reshape(held.shape)
+            z = part[place_of[:, 0]]
+            for j in range(1, held.shape[1]):
+                z = z + part[place_of[:, j]] * inside_text[:, j, None]
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
             for p in range(0, len(self.of), 4096):
                 cos = z @ self.passages[p:p + 4096].T
@@ -277,10 +294,15 @@ class Search:
                     merged[-1] = (merged[-1][0], max(end, merged[-1][1]), max(cos, merged[-1][2]))
                 else:
                     merged.append((first, end, cos))
-            best = None
+            best = (0.0, 0.0, 0.0, 0, 0)
+            least = min(self.verbatim, self.paraphrase) * reach
             for first, end, cos in merged:
-                share, answer, a, b = verify(item, h, max(lo, first - reach), min(hi, end + reach))
-                if best is None or share > best[1]:
+                a, b = max(lo, first - reach), min(hi, end + reach)
+                # no subsequence is longer than the count of the item's words that the region holds
+                if np.isin(item.h, h[a:b]).sum() < least:
+                    continue
+                share, answer, a, b = verify(item, h, a, b)
+                if share > best[1]:
                     best = (cos, share, answer, a - lo, b - lo)
             if best[1] >= self.verbatim or (best[1] >= self.paraphrase and best[2] >= self.answer):
                 found.append((doc, item.id, *best))
