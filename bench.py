@@ -8,8 +8,8 @@ the checkpoint folder), then one warm-up run per operator (all warm-ups
 first) and ``$BENCH_REPEATS`` (default 5) timed runs each; the median is
 reported. Every
 run forces full execution with the ``noop`` sink (nothing is collected
-except one-row verdicts). ``rows`` is the number of input records an
-operator processes and ``records_per_sec`` = rows / median.
+except one-row verdicts). ``rows`` is the number of records the
+published rate counts (matching, checks and three-way: the source side alone) and ``records_per_sec`` = rows / median.
 
 Prints ONE JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 """
@@ -34,7 +34,6 @@ from tieout.operators import exceptions as X  # noqa: E402
 from tieout.operators import gate as G  # noqa: E402
 from tieout.operators import match as M  # noqa: E402
 from tieout.operators import registry as R  # noqa: E402
-from tieout.plans import catalog as CAT  # noqa: E402
 from tieout.session import build_session, ensure_checkpoint_dir  # noqa: E402
 from tieout.sources import fixtures as FX  # noqa: E402
 from tieout.sources.tables import read_table  # noqa: E402
@@ -70,8 +69,12 @@ def prepare(inp: Inputs) -> None:
     s, d = inp.spark, inp.sf_dir
     inp.put("f1_source", FX.f1_source(s, d))
     inp.put("f1_target", FX.f1_target(s, d))
-    inp.put("f2_current", FX.f2_current(s, d))
-    inp.put("f2_history", FX.f2_history(s, d))
+    # the gate scores every line item (600,000 at sf0.1) against the price history of the orders
+    inp.put("gate_current", read_table(s, d, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("record_id"),
+        F.col("l_extendedprice").alias("value"), F.col("l_returnflag").alias("segment")))
+    inp.put("gate_history", read_table(s, d, "lineitem").select(
+        F.col("l_extendedprice").alias("value"), F.col("l_returnflag").alias("segment")))
     gl, proc, wh = FX.f3_sources(s, d)
     inp.put("f3_gl", gl)
     inp.put("f3_proc", proc)
@@ -79,7 +82,9 @@ def prepare(inp: Inputs) -> None:
     inp.put("f4_queue", FX.f4_queue(s, d))
     inp.put("f5_events", FX.f5_events(s, d))
     inp.put("f6_registry", FX.f6_registry(s, d))
-    inp.put("reg_batch", CAT._reg_batch(s, d))
+    inp.put("reg_batch", read_table(s, d, "orders").select(  # distinct names, as in the published run
+        F.concat(F.lit("metric-"), F.col("o_orderkey").cast("string")).alias("name"),
+        F.col("o_orderpriority").alias("description"), F.lit("finance").alias("owner")))
     orders = read_table(s, d, "orders")
     inp.put("issues", orders.select(F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("txn_id"),
                                     F.col("o_orderpriority").alias("priority"), "o_orderkey"))
@@ -93,23 +98,23 @@ def ops(inp: Inputs) -> dict:
     return {
         "match_report": ("two-source record match (report)",
                          lambda: M.match_summary(g("f1_source"), g("f1_target"), ["txn_id"], ["amount"]).collect(),
-                         inp.rows("f1_source", "f1_target")),
+                         inp.rows("f1_source")),
         "match_rows": ("two-source record match (all result rows)",
                        lambda: _noop(M.match(g("f1_source"), g("f1_target"), ["txn_id"], ["amount"])),
-                       inp.rows("f1_source", "f1_target")),
+                       inp.rows("f1_source")),
         "zscore_global": ("z-score gate, global baseline",
-                          lambda: _gate(G.validate(g("f2_current"), g("f2_history"))),
-                          inp.rows("f2_current")),
+                          lambda: _gate(G.validate(g("gate_current"), g("gate_history"))),
+                          inp.rows("gate_current")),
         "zscore_segmented": ("z-score gate, segmented",
-                             lambda: _gate(G.validate_segmented(g("f2_current"), g("f2_history"))),
-                             inp.rows("f2_current")),
+                             lambda: _gate(G.validate_segmented(g("gate_current"), g("gate_history"))),
+                             inp.rows("gate_current")),
         "zscore_mad": ("MAD gate, exact medians",
-                       lambda: _gate(G.validate(g("f2_current"), g("f2_history"), params=G.GateParams(method="mad"))),
-                       inp.rows("f2_current")),
+                       lambda: _gate(G.validate(g("gate_current"), g("gate_history"), params=G.GateParams(method="mad"))),
+                       inp.rows("gate_current")),
         "check_run_all": ("count + amount + completeness checks",
                           lambda: C.run_all(g("f1_source"), g("f1_target"), ["txn_id"], "amount",
                                             money_scale=2).collect(),
-                          inp.rows("f1_source", "f1_target")),
+                          inp.rows("f1_source")),
         "audit_append": ("audit append (hash chain)",
                          lambda: _noop(A.audit_append(g("f5_events"), order_by=["timestamp", "src_id"])),
                          inp.rows("f5_events")),
@@ -125,7 +130,7 @@ def ops(inp: Inputs) -> dict:
                                 inp.rows("reg_batch")),
         "three_way": ("three-way reconciliation",
                       lambda: _noop(M.three_way_classify(M.three_way_key_stats(g("f3_gl"), g("f3_proc"), g("f3_wh")))),
-                      inp.rows("f3_gl", "f3_proc", "f3_wh")),
+                      inp.rows("f3_gl")),
         "exceptions_sla_view": ("exceptions SLA view",
                                 lambda: _noop(X.sla_view(g("f4_queue"), as_of=FX.F4_AS_OF)),
                                 inp.rows("f4_queue")),

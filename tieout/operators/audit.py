@@ -491,12 +491,14 @@ def gate_decision_events(verdicts: DataFrame, *, gate_name: Column | str, timest
 
 
 def access_events(accesses: DataFrame, *, actor: str = "actor", resource: str = "resource",
-                  timestamp: str = "timestamp", action: str | None = None) -> DataFrame:
-    """``log_access``: event_type data_access, action defaults to ``read``."""
+                  timestamp: str = "timestamp", action: str | None = None,
+                  keep_cols: list[str] | None = None) -> DataFrame:
+    """``log_access``: event_type data_access, action defaults to ``read``;
+    ``keep_cols`` (such as the append order's tie-breaker) stay."""
     act = F.col(action) if action else F.lit("read")
     return accesses.select(F.lit("data_access").alias("event_type"), F.col(timestamp).alias("timestamp"),
                            F.col(actor).alias("actor"), act.alias("action"), F.col(resource).alias("resource"),
-                           F.lit("{}").alias("details"))
+                           F.lit("{}").alias("details"), *(keep_cols or []))
 
 
 def access_log(log: DataFrame, *, sensitivity: Column | None = None, ip: Column | None = None) -> DataFrame:

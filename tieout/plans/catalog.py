@@ -1586,3 +1586,138 @@ def q_check_missing_keys_sorted(spark, sf_dir):
     from .seq import dense_sequence
     missing = C.missing_keys(FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir), ["txn_id"])
     return dense_sequence(missing, ["txn_id"], name="position", start=0)
+
+
+# ================================================== sinks written and read back, orders as positions
+def _round_trip(df: DataFrame, write) -> DataFrame:
+    """Write to a folder of its own in the checkpoint folder and read back what is there."""
+    from uuid import uuid4
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/sink-{uuid4().hex}"
+    write(df, path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _sink(table: str):
+    from ..sources.sinks import write_table
+    return lambda df, path: write_table(table, df, path)
+
+
+@register("sink_audit_log", _F5_STORED + """
+SELECT seq, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, actor, action, resource, details,
+       prev AS previous_hash, h AS event_hash, strftime(ts, '%Y-%m-%d') AS event_date, 2 AS hash_version FROM stored""")
+def q_sink_audit_log(spark, sf_dir):
+    back = _round_trip(_f5_log(spark, sf_dir), _sink("audit_log"))
+    return back.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")) \
+        .withColumn("event_date", F.col("event_date").cast("string"))
+
+
+@register("sink_exceptions_queue", _F4 + """
+SELECT exception_id, source, description, severity, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+       assigned_to, strftime(resolved_at, '%Y-%m-%d %H:%M:%S') AS resolved_at, resolution_notes,
+       strftime(created_at, '%Y-%m-%d') AS created_date FROM q""")
+def q_sink_exceptions_queue(spark, sf_dir):
+    back = _round_trip(FX.f4_queue(spark, sf_dir), _sink("exceptions_queue"))
+    return back.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("created_at", "resolved_at")}) \
+        .withColumn("created_date", F.col("created_date").cast("string"))
+
+
+@register("sink_anomalies", _F2_SEG[:-1] + _gate_sql("hist", seg=True) + """
+SELECT rec.record_id, rec.value, z_score, upper(decision) AS decision, baseline_mean, baseline_std, rec.segment,
+       strftime(cur.ts, '%Y-%m-%d') AS observation_date
+FROM rec JOIN cur USING (record_id) WHERE decision <> 'pass'""")
+def q_sink_anomalies(spark, sf_dir):
+    r = G.validate_segmented(FX.f2_current(spark, sf_dir), FX.f2_history_cold(spark, sf_dir), keep_cols=["ts"])
+    back = _round_trip(G.anomalies_table(r.anomalies, ts_col="ts"), _sink("zscore_anomalies"))
+    return back.select("record_id", "value", "z_score", "decision", "baseline_mean", "baseline_std", "segment",
+                       F.col("observation_date").cast("string").alias("observation_date"))
+
+
+@register("sink_registry", _F6 + """
+SELECT name, version, description, formula, owner, sensitivity, source_system, refresh_frequency,
+       CAST(sla_hours AS DOUBLE) AS sla_hours FROM reg""")
+def q_sink_registry(spark, sf_dir):
+    back = _round_trip(FX.f6_registry(spark, sf_dir), R.write_registry)
+    return back.select("name", "version", "description", "formula", "owner", "sensitivity", "source_system",
+                       "refresh_frequency", "sla_hours")
+
+
+@register("audit_access_events", """
+SELECT printf('AUD-%08d', row_number() OVER (ORDER BY ts, event_id)) AS event_id,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'user-' || user_id AS actor, 'read' AS action,
+       'res-' || (event_id % 10) AS resource, CASE event_id % 10 WHEN 0 THEN 'RESTRICTED' ELSE 'INTERNAL' END
+         AS sensitivity_level, '10.0.0.' || (user_id % 256) AS ip_address FROM events""")
+def q_audit_access_events(spark, sf_dir):
+    """``log_access`` in bulk, then the access log with its level and address columns."""
+    e = read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("src_id"), F.col("ts").alias("timestamp"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("actor"),
+        F.concat(F.lit("res-"), (F.col("event_id") % 10).cast("string")).alias("resource"))
+    events = A.access_events(e, keep_cols=["src_id"])
+    log = A.audit_append(events, order_by=["timestamp", "src_id"])
+    user = F.regexp_extract("actor", "([0-9]+)$", 1).cast("long")
+    t = A.access_log(log, sensitivity=F.when(F.col("resource") == "res-0", "RESTRICTED").otherwise("INTERNAL"),
+                     ip=F.concat(F.lit("10.0.0."), (user % 256).cast("string")))
+    return t.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).drop("event_hash")
+
+
+@register("exceptions_fifo", _F4 + """
+SELECT exception_id, row_number() OVER (ORDER BY created_at, CAST(regexp_extract(exception_id, '([0-9]+)$', 1) AS BIGINT))
+       - 1 AS position FROM q""")
+def q_exceptions_fifo(spark, sf_dir):
+    """The queue's order as positions, from the distributed sort."""
+    from .seq import dense_sequence
+    q = FX.f4_queue(spark, sf_dir).withColumn("_n", F.regexp_extract("exception_id", "([0-9]+)$", 1).cast("long"))
+    return dense_sequence(q, ["created_at", "_n"], name="position", start=0).select("exception_id", "position")
+
+
+@register("exceptions_summary_maps", _F4 + """
+SELECT (SELECT count(*) FROM q) AS total, (SELECT count(*) FROM q WHERE status <> 'resolved') AS open,
+       (SELECT string_agg(status || '=' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM q GROUP BY 1))
+         AS by_status,
+       (SELECT string_agg(severity || '=' || n, ',' ORDER BY severity)
+        FROM (SELECT severity, count(*) AS n FROM q GROUP BY 1)) AS by_severity""")
+def q_exceptions_summary_maps(spark, sf_dir):
+    m = X.summary_maps(X.queue_summary(FX.f4_queue(spark, sf_dir)))
+
+    def text(c):
+        return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(
+            "=", e["key"], e["value"].cast("string"))), ",")
+    return m.select("total", "open", text("by_status").alias("by_status"), text("by_severity").alias("by_severity"))
+
+
+@register("three_way_categories_sorted", _F3[:-1] + _F3_STATS + """
+SELECT category, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY category) - 1 AS position
+FROM issues GROUP BY category""")
+def q_three_way_categories_sorted(spark, sf_dir):
+    """Category order, as positions over the few counts."""
+    from .seq import dense_sequence
+    return dense_sequence(q_three_way_category_counts(spark, sf_dir), ["category"], name="position", start=0)
+
+
+@register("audit_broken_links_sorted", _F5_STORED + f"""
+SELECT event_id, row_number() OVER (ORDER BY seq) - 1 AS position FROM (
+  SELECT seq, event_id, {_linked_sql("repeat('0', 64)")} AS linked FROM stored WHERE seq % 100 <> 50) WHERE NOT linked""")
+def q_audit_broken_links_sorted(spark, sf_dir):
+    from .seq import dense_sequence
+    log = A.reliable_log(_f5_log(spark, sf_dir)).filter(F.col("seq") % 100 != 50)
+    return dense_sequence(A.broken_links(A.chain_view(log)), ["seq"], name="position", start=0).select(
+        "event_id", "position")
+
+
+@register("controls_evidence_rollup", """
+WITH c AS (SELECT 'CTL-' || (event_id % 10) AS control_id, ['Identify', 'Protect', 'Detect'][event_id % 3 + 1] AS function_name,
+                  list(DISTINCT 'res-' || (user_id % 15)) AS evidence FROM events GROUP BY 1, 2),
+e AS (SELECT control_id, function_name, unnest(evidence) AS artifact FROM c),
+n AS (SELECT 'res-' || (event_id % 10) AS artifact, count(*) AS events FROM events GROUP BY 1)
+SELECT control_id, function_name, count(artifact) AS artifacts, count(events) AS artifacts_with_events,
+       CAST(coalesce(sum(events), 0) AS BIGINT) AS evidence_events FROM e LEFT JOIN n USING (artifact) GROUP BY 1, 2""")
+def q_controls_evidence_rollup(spark, sf_dir):
+    from ..operators import controls as CT
+    e = read_table(spark, sf_dir, "events")
+    name = F.element_at(F.array(*map(F.lit, ("Identify", "Protect", "Detect"))), (F.col("event_id") % 3 + 1).cast("int"))
+    controls = e.groupBy(F.concat(F.lit("CTL-"), (F.col("event_id") % 10).cast("string")).alias("control_id"),
+                         name.alias("function_name")).agg(
+        F.collect_set(F.concat(F.lit("res-"), (F.col("user_id") % 15).cast("string"))).alias("evidence"))
+    return CT.evidence_rollup(controls, _f5_log(spark, sf_dir))
