@@ -33,7 +33,7 @@ from .common import arrow_map, partitions, written
 from .kernels import mix, text_buffers
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SHARD_KEYS = 1 << 14
+SHARD_KEYS = 1 << 12
 BLOCK_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
 
