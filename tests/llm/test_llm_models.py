@@ -7,7 +7,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import SF, odd_rows
+from odd_inputs import SF, odd_rows
 from pyspark.sql import functions as F
 
 from tieout.llm import chat, components, decontam, ngram_join, quality, queries, token_counts
