@@ -15,6 +15,7 @@ from ..operators import checks as C
 from ..operators import exceptions as X
 from ..operators import gate as G
 from ..operators import match as M
+from ..session import stored
 
 ACTOR = "tieout_pipeline"
 
@@ -54,21 +55,22 @@ def two_source(source: DataFrame, target: DataFrame, history: DataFrame, *, key:
     overall = C.overall_status(checks)
     gate = G.validate(source.withColumn("_rid", F.col(key)), history, value_col=amount, record_id_col="_rid",
                       history_value_col=history_value_col, params=params)
+    verdict = stored(gate.verdict, "verdict")  # written once, read by the event and the summary
     ev = [
         _event(report, order=(1, 0), event_type="gate_decision",
                action=F.concat(F.lit("gate_"), F.when(F.col("is_fully_reconciled"), "pass").otherwise("fail")),
                resource=F.lit("deterministic_reconciliation"),
                details=F.to_json(F.struct("match_rate")), as_of=as_of),
-        _gate_event(gate.verdict, 2, "zscore_anomaly_detection", as_of),
+        _gate_event(verdict, 2, "zscore_anomaly_detection", as_of),
     ]
     log = A.reliable_log(_chain(ev))
     ver = A.verify(log)
     summary = report.crossJoin(overall.select("overall_status")) \
-        .crossJoin(gate.verdict.select("gate_decision", "blocked")) \
+        .crossJoin(verdict.select("gate_decision", "blocked")) \
         .crossJoin(log.agg(F.count(F.lit(1)).alias("audit_events"))) \
         .crossJoin(ver.verdict.select(F.col("valid").alias("chain_valid")))  # all one-row frames
     return {"results": results, "report": report, "checks": checks, "overall": overall,
-            "gate_records": gate.records, "gate_verdict": gate.verdict, "audit_log": log,
+            "gate_records": gate.records, "gate_verdict": verdict, "audit_log": log,
             "verification": ver.verdict, "summary": summary}
 
 
@@ -80,8 +82,8 @@ def mismatch_to_queue(source: DataFrame, target: DataFrame, *, key: str, value_f
     report = M.match_summary(source, target, [key], value_fields)
     unmatched = results.filter(F.col("status") == M.UNMATCHED_SOURCE) \
         .select(F.col(f"source_record.{key}").alias("_src"))
-    queue = X.route(unmatched, source="_src", description=F.lit("missing in target"), severity=F.lit("high"),
-                    order_by=["_src"], as_of=as_of)
+    queue = stored(X.route(unmatched, source="_src", description=F.lit("missing in target"),
+                           severity=F.lit("high"), order_by=["_src"], as_of=as_of), "queue")
     open_q = queue.filter(F.col("status") != X.RESOLVED)
     ev = [
         _event(report, order=(0, 0),
@@ -108,12 +110,13 @@ def three_way(gl: DataFrame, proc: DataFrame, wh: DataFrame, history: DataFrame,
     issues = M.three_way_classify(stats)
     rank = F.element_at(F.create_map(*[x for i, c in enumerate(M.THREE_WAY_CATEGORIES)
                                        for x in (F.lit(c), F.lit(i))]), F.col("category"))
-    queue = X.route(issues.withColumn("_rank", rank), source="txn_id",
-                    description=F.concat(F.col("category"), F.lit(": "), F.col("evidence")), severity="severity",
-                    order_by=["_rank", "txn_id"], as_of=as_of)
+    queue = stored(X.route(issues.withColumn("_rank", rank), source="txn_id",
+                           description=F.concat(F.col("category"), F.lit(": "), F.col("evidence")),
+                           severity="severity", order_by=["_rank", "txn_id"], as_of=as_of), "queue")
     pairs = M.three_way_pair_counts(stats)
     gate = G.validate(gl.withColumn("_rid", F.col("txn_id")), history, value_col="amount", record_id_col="_rid",
                       history_value_col=history_value_col, params=params)
+    verdict = stored(gate.verdict, "verdict")
     pair_rank = F.when(F.col("left_name") == "GL", F.when(F.col("right_name") == "PROC", 0).otherwise(1)).otherwise(2)
     ev = [
         _event(pairs, order=(0, pair_rank),
@@ -125,7 +128,7 @@ def three_way(gl: DataFrame, proc: DataFrame, wh: DataFrame, history: DataFrame,
                event_type="exception_created", action=F.lit("three_way_exception"), resource=F.col("source"),
                details=F.to_json(F.struct(F.split("description", ":").getItem(0).alias("category"), "severity")),
                as_of=as_of),
-        _gate_event(gate.verdict, 2, "zscore_gl_amounts", as_of),
+        _gate_event(verdict, 2, "zscore_gl_amounts", as_of),
     ]
     log = A.reliable_log(_chain(ev))
     ver = A.verify(log)
@@ -134,9 +137,9 @@ def three_way(gl: DataFrame, proc: DataFrame, wh: DataFrame, history: DataFrame,
                         F.count_if(F.col("severity") == "high").alias("high"),
                         F.count_if(F.col("severity") == "medium").alias("medium"),
                         F.count_if(F.col("severity") == "low").alias("low")) \
-        .crossJoin(gate.verdict.select("gate_decision", "passed", "flagged", "blocked")) \
+        .crossJoin(verdict.select("gate_decision", "passed", "flagged", "blocked")) \
         .crossJoin(log.agg(F.count(F.lit(1)).alias("audit_events"))) \
         .crossJoin(ver.verdict.select(F.col("valid").alias("chain_valid")))
     return {"issues": issues, "queue": queue, "queue_summary": by_sev, "pairs": pairs,
-            "gate_records": gate.records, "gate_verdict": gate.verdict, "audit_log": log,
+            "gate_records": gate.records, "gate_verdict": verdict, "audit_log": log,
             "verification": ver.verdict, "summary": summary}
