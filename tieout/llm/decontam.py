@@ -36,7 +36,7 @@ from .kernels import ALNUM, LOWER, WordHasher, mix, pieces, split_words, text_bu
 WINDOW, STRIDE = 24, 8
 DF_BITS, FEATURE_BITS, RANK, ROUNDS = 16, 14, 256, 2
 #: A window whose share is below the square of the cosine limit cannot reach it.
-MIN_SHARE, MIN_COSINE = 0.41, 0.64
+MIN_SHARE, MIN_COSINE = 0.36, 0.6
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.5
 GAP = 12
 BLOCK_BYTES = 8 << 20
