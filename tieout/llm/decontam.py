@@ -9,9 +9,9 @@
    benchmark's row space has no product with any benchmark passage, so documents are
    folded into this space; their own passages need not be decomposed.
 3. Candidate search: overlapping windows of every document are folded in and compared by
-   cosine with the benchmark's passages, block of the benchmark by block. A window whose
-   share of weight on words of the benchmark is below ``min_share`` cannot come near any
-   passage (its cosine is at most the root of that share) and is not folded in.
+   cosine with the benchmark's passages, block of the benchmark by block. Every window is
+   folded in. Items much shorter than a window have windows (and strides) of a half or a
+   quarter of its size of their own, so that other words do not outweigh theirs.
 4. Verification: the longest common subsequence of words between the item and the region
    around its windows. ``verbatim`` of the item's words is a leak; from ``paraphrase`` on it
    is one if the item's answer (its last sentence) is found to at least ``answer`` as well.
@@ -35,8 +35,9 @@ from .kernels import ALNUM, LOWER, WordHasher, mix, pieces, split_words, text_bu
 
 WINDOW, STRIDE = 24, 8
 DF_BITS, FEATURE_BITS, RANK, ROUNDS = 16, 14, 256, 2
-#: A window whose share is below the square of the cosine limit cannot reach it.
-MIN_SHARE, MIN_COSINE = 0.36, 0.6
+MIN_COSINE = 0.5
+#: Windows folded in at once: their rows stay in the cache.
+CHUNK = 512
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.5
 GAP = 12
 BLOCK_BYTES = 8 << 20
@@ -214,69 +215,73 @@ class Search:
     """The kernel of the candidate search and its verification for a block of items."""
 
     def __init__(self, rows, basis, idf, *, window=WINDOW, stride=STRIDE, bits=FEATURE_BITS, df_bits=DF_BITS,
-                 min_share=MIN_SHARE, min_cosine=MIN_COSINE, verbatim=VERBATIM, paraphrase=PARAPHRASE, answer=ANSWER):
+                 min_cosine=MIN_COSINE, verbatim=VERBATIM, paraphrase=PARAPHRASE, answer=ANSWER):
         if window % stride:
             raise ValueError("the window must be a multiple of the stride")
         self.window, self.stride, self.bits, self.df_bits = window, stride, bits, df_bits
-        self.min_share, self.min_cosine = min_share, min_cosine
+        self.min_cosine = min_cosine
         self.verbatim, self.paraphrase, self.answer = verbatim, paraphrase, answer
         self.idf = idf
         self.items = prepare_items(rows, WordHasher())
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(i.h for i in self.items)]))
-        self.basis = basis
-        vectors, of = [], []
+        self.basis = np.ascontiguousarray(basis, np.float32)  # row by row, as it is read
+        # items of at most three quarters of a window use one of half the size
+        sizes = [(window, stride)]
+        while len(sizes) < 3 and sizes[-1][1] % 2 == 0:
+            sizes.append((sizes[-1][0] // 2, sizes[-1][1] // 2))
+        of_size: list = [([], []) for _ in sizes]
         for k, item in enumerate(self.items):
-            for lo, hi in _passages(item.h, window):
+            size = sum(4 * len(item.h) <= 3 * wider for wider, _ in sizes[:-1])
+            for lo, hi in _passages(item.h, sizes[size][0]):
                 f, w = _row(item.h[lo:hi], idf, bits, df_bits)
                 z = w @ basis[f]
-                vectors.append(z / max(np.linalg.norm(z), 1e-9))
-                of.append(k)
-        self.passages = np.array(vectors, np.float32).reshape(len(of), basis.shape[1])
-        self.of = np.array(of, np.int64)
+                of_size[size][0].append(z / max(np.linalg.norm(z), 1e-9))
+                of_size[size][1].append(k)
+        #: (window, stride, vectors of the passages, their items)
+        self.groups = [(*size, np.array(vectors, np.float32).reshape(len(of), basis.shape[1]), np.array(of, np.int64))
+                       for size, (vectors, of) in zip(sizes, of_size) if of]
 
     def candidates(self, h: np.ndarray, doc_words: np.ndarray):
         """(text, first, end, item, cosine) of every window that comes near a passage."""
-        doc, first, end = _windows(doc_words, self.window, self.stride)
-        if len(doc) == 0 or len(self.vocabulary) == 0:
+        if len(h) == 0 or len(self.vocabulary) == 0:
             return []
         weight = self.idf[_bucket(h, self.df_bits)]
         place = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = self.vocabulary[place] == h
-        square = np.concatenate([[0], np.cumsum(weight ** 2)])
-        inside = np.concatenate([[0], np.cumsum(weight ** 2 * known)])
-        near = np.flatnonzero(inside[end] - inside[first] >= self.min_share * (square[end] - square[first]))
-        # windows overlap: each stretch of a stride's words is folded in once for all windows that hold it
-        step, n_words = self.stride, np.diff(doc_words)
-        stretches = -(-n_words // step)
-        base = np.cumsum(stretches) - stretches
+        weight = np.where(self.vocabulary[place] == h, weight, 0).astype(np.float32)
+        feature = _feature(h, self.bits)
+        return [x for group in self.groups for x in self._near(group, feature, weight, doc_words)]
+
+    def _near(self, group, feature: np.ndarray, weight: np.ndarray, doc_words: np.ndarray):
+        size, step, passages, of = group
+        doc, first, end = _windows(doc_words, size, step)
+        # windows overlap: each stretch of a stride's words is folded in once for all windows that hold it;
+        # empty stretches after every text stand for what its last window lacks
+        per = size // step
+        n_words = np.diff(doc_words)
+        base = np.concatenate([[0], np.cumsum(-(-n_words // step) + per - 1)])
+        slot = np.arange(len(feature)) + np.repeat(base[:-1] * step - doc_words[:-1], n_words)
+        features, weights = np.zeros(base[-1] * step, np.int64), np.zeros(base[-1] * step, np.float32)
+        features[slot], weights[slot] = feature, weight
+        features, weights = features.reshape(-1, step), weights.reshape(-1, step)
+        held = base[doc] + (first - doc_words[doc]) // step
         out = []
-        for lo in range(0, len(near), 4096):
-            some = near[lo:lo + 4096]
-            held = (base[doc[some]] + (first[some] - doc_words[doc[some]]) // step)[:, None] + np.arange(
-                self.window // step)
-            inside_text = held < (base + stretches)[doc[some]][:, None]
-            wanted, place_of = np.unique(np.where(inside_text, held, held[:, :1]), return_inverse=True)
-            of = np.searchsorted(base + stretches, wanted, side="right")
-            begin_at = doc_words[of] + (wanted - base[of]) * step
-            size = np.minimum(begin_at + step, doc_words[of + 1]) - begin_at
-            word = np.repeat(begin_at - np.cumsum(size) + size, size) + np.arange(size.sum())
-            row = np.repeat(np.arange(len(wanted)), size)
-            word, row = word[known[word]], row[known[word]]
-            part = np.zeros((len(wanted), self.basis.shape[1]), np.float32)
-            if len(word):
-                begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                part[row[begin]] = np.add.reduceat(
-                    self.basis[_feature(h[word], self.bits)] * weight[word][:, None].astype(np.float32), begin, axis=0)
-            place_of = place_of.reshape(held.shape)
-            z = part[place_of[:, 0]]
-            for j in range(1, held.shape[1]):
-                z = z + part[place_of[:, j]] * inside_text[:, j, None]
-            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-            for p in range(0, len(self.of), 4096):
-                cos = z @ self.passages[p:p + 4096].T
-                a, b = np.nonzero(cos >= self.min_cosine)
-                out += zip(doc[some[a]].tolist(), first[some[a]].tolist(), end[some[a]].tolist(),
-                           self.of[p + b].tolist(), cos[a, b].tolist())
+        for lo in range(0, len(doc), CHUNK):
+            at = held[lo:lo + CHUNK]
+            f, w = features[at[0]:at[-1] + per], weights[at[0]:at[-1] + per]
+            part, row = np.zeros((2, len(f), self.basis.shape[1]), np.float32)
+            for j in range(step):
+                np.take(self.basis, f[:, j], axis=0, out=row, mode="clip")
+                row *= w[:, j, None]
+                part += row
+            z = part[at - at[0]]
+            for j in range(1, per):
+                z += part[at - at[0] + j]
+            z /= np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-9)[:, None]
+            for p in range(0, len(of), 4096):
+                cos = z @ passages[p:p + 4096].T
+                a, b = np.divmod(np.flatnonzero(cos >= self.min_cosine), cos.shape[1])
+                out += zip(doc[lo + a].tolist(), first[lo + a].tolist(), end[lo + a].tolist(), of[p + b].tolist(),
+                           cos[a, b].tolist())
         return out
 
     def leaks(self, h: np.ndarray, doc_words: np.ndarray) -> list[tuple]:
