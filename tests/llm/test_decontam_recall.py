@@ -2,6 +2,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from tieout.llm import decontam
@@ -36,3 +37,27 @@ def test_planted_leaks_are_found(spark, low, high, kept):
         docs.append(prose(rng, rng.randint(30, 90), "z") + altered + prose(rng, 60, "z"))
     got = found(spark, docs, items)
     assert sum((i, i) in got for i in range(len(items))) >= 0.95 * len(items)
+
+
+def leaking(text, item, answer=10):
+    """Whether ``text`` leaks ``item``, whose last ``answer`` words are its answer, by verification alone."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(text + item))}
+    h = [np.array([number[w] for w in words], np.uint64) for words in (text, item)]
+    return decontam.verify(decontam.Item(0, h[1], len(item) - answer), h[0], 0, len(text))
+
+
+ITEM = [f"i{k}" for k in range(40)]
+REST = [f"r{k}" for k in range(200)]
+
+
+@pytest.mark.parametrize("text", [
+    REST[:30] + ITEM + REST[30:50] + ITEM[-tail:] + REST[50:90] for tail in (10, 14, 20)] + [
+    REST[:30] + ITEM + REST[30:50] + ITEM[:25] + REST[50:90],
+    REST[:30] + ITEM[15:] + REST[30:50] + ITEM + REST[50:90],
+    REST[:30] + ITEM[:20] + REST[30:45] + ITEM[20:] + REST[50:90],
+    REST[:30] + ITEM[:29] + REST[30:31] + ITEM[30:] + REST[30:50] + ITEM[-14:] + REST[50:90],
+    ITEM[:16] + REST[:30] + ITEM + REST[30:44] + ITEM[-12:]])
+def test_leak_beside_a_second_part_of_itself(text):
+    leak, share, answer, first, last = leaking(text, ITEM)
+    assert leak and share == 1.0 and answer == 1.0
+    assert text[first] in ITEM and text[last] in ITEM

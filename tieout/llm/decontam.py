@@ -12,9 +12,11 @@
    cosine with the benchmark's passages, block of the benchmark by block. Every window is
    folded in. Items much shorter than a window have windows (and strides) of a half or a
    quarter of its size of their own, so that other words do not outweigh theirs.
-4. Verification: the longest common subsequence of words between the item and the region
-   around its windows. ``verbatim`` of the item's words is a leak; from ``paraphrase`` on it
-   is one if the item's answer (its last sentence) is found to at least ``answer`` as well.
+4. Verification: the longest common subsequence of words between the item and each place of
+   the region around its windows. A place is a window of twice the item's words and ``GAP``,
+   or a match in the region whose gaps are at most ``GAP`` words; each counts on its own.
+   ``verbatim`` of the item's words is a leak; from ``paraphrase`` on it is one if the item's
+   answer (its last sentence) is found to at least ``answer`` as well.
 
 Words are runs of ASCII letters and digits and non-ASCII code points, A-Z lower-cased.
 
@@ -161,6 +163,9 @@ class Item:
 
     def __init__(self, item_id, h: np.ndarray, answer: int):
         self.id, self.h, self.answer = item_id, h, answer
+        self.known, self.masks = np.unique(h), {}
+        for i, w in enumerate(h.tolist()):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
 
 
 def prepare_items(rows: list, hasher: WordHasher) -> list[Item]:
@@ -185,7 +190,8 @@ def lcs_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i, x in enumerate(a):
         prev = table[i]
         table[i + 1, 1:] = np.maximum.accumulate(np.maximum(prev[1:], prev[:-1] + (b == x)))
-    i, j, at = len(a), len(b), []
+    # from the first end: what comes again after a whole match does not draw its tail away
+    i, j, at = len(a), int(np.argmax(table[-1])), []
     while i and j:
         if a[i - 1] == b[j - 1]:
             at.append((i - 1, j - 1))
@@ -198,17 +204,53 @@ def lcs_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:, 0], at[:, 1]
 
 
-def verify(item: Item, words: np.ndarray, lo: int, hi: int) -> tuple[float, float, int, int]:
-    """(share of the item's words in order, share of its answer's, first, last word) of the
-    densest match inside words[lo:hi], without strays beyond a gap."""
-    mine, theirs = lcs_places(item.h, words[lo:hi])
-    if len(mine) == 0:
-        return 0.0, 0.0, lo, lo
-    part = np.cumsum(np.concatenate([[0], np.diff(theirs) > GAP]))
-    best = part == np.argmax(np.bincount(part))
-    mine, theirs = mine[best], theirs[best]
-    answer = np.sum(mine >= item.answer) / (len(item.h) - item.answer)
-    return len(mine) / len(item.h), float(answer), lo + int(theirs[0]), lo + int(theirs[-1])
+def lcs_length(masks: dict, n: int, words: list) -> int:
+    """Length of the longest common subsequence with an item of n words (its places by word, as bits)."""
+    full = left = (1 << n) - 1
+    for w in words:
+        hit = left & masks.get(w, 0)
+        if hit:
+            left = ((left + hit) | (left - hit)) & full
+    return n - left.bit_count()
+
+
+def places(item: Item, words: np.ndarray, lo: int, hi: int, least: float):
+    """(places in the item, places in the text) of the matches of ``least`` words or more inside words[lo:hi]."""
+    n = len(item.h)
+    place = np.minimum(item.known.searchsorted(words[lo:hi]), len(item.known) - 1)
+    held = lo + np.flatnonzero(item.known[place] == words[lo:hi])
+    if len(held) < least:
+        return
+    span, step = 2 * n + GAP, max(1, n // 2)
+    seen = set()
+    for first in range(int(held[0]), max(int(held[-1]) + 1 - span, int(held[0])) + step, step):
+        a, b = np.searchsorted(held, (first, first + span))
+        if b - a < least or (a, b) in seen:
+            continue
+        seen.add((a, b))
+        at = held[a:b]
+        if lcs_length(item.masks, n, words[at].tolist()) >= least:
+            mine, theirs = lcs_places(item.h, words[at])
+            yield mine, at[theirs]
+    if held[-1] - held[0] >= span and lcs_length(item.masks, n, words[held].tolist()) >= least:
+        mine, theirs = lcs_places(item.h, words[held])
+        part = np.cumsum(np.concatenate([[0], np.diff(held[theirs]) > GAP]))
+        for k in np.flatnonzero(np.bincount(part) >= least):
+            yield mine[part == k], held[theirs[part == k]]
+
+
+def verify(item: Item, words: np.ndarray, lo: int, hi: int, verbatim: float = VERBATIM,
+           paraphrase: float = PARAPHRASE, answer: float = ANSWER) -> tuple[bool, float, float, int, int]:
+    """(leak, share of the item's words in order, share of its answer's, first, last word) of the best
+    place inside words[lo:hi]: a leak before none, then the larger share."""
+    best, n = (False, 0.0, 0.0, lo, lo), len(item.h)
+    for mine, theirs in places(item, words, lo, hi, min(verbatim, paraphrase) * n):
+        share, found = len(mine) / n, float(np.sum(mine >= item.answer) / (n - item.answer))
+        leak = share >= verbatim or (share >= paraphrase and found >= answer)
+        best = max(best, (leak, share, found, int(theirs[0]), int(theirs[-1])), key=lambda x: x[:3])
+        if best[1:3] == (1.0, 1.0):
+            break
+    return best
 
 
 class Search:
@@ -299,18 +341,14 @@ class Search:
                     merged[-1] = (merged[-1][0], max(end, merged[-1][1]), max(cos, merged[-1][2]))
                 else:
                     merged.append((first, end, cos))
-            best = (0.0, 0.0, 0.0, 0, 0)
-            least = min(self.verbatim, self.paraphrase) * reach
+            best = (False, 0.0, 0.0, 0, 0)
             for first, end, cos in merged:
-                a, b = max(lo, first - reach), min(hi, end + reach)
-                # no subsequence is longer than the count of the item's words that the region holds
-                if np.isin(item.h, h[a:b]).sum() < least:
-                    continue
-                share, answer, a, b = verify(item, h, a, b)
-                if share > best[1]:
-                    best = (cos, share, answer, a - lo, b - lo)
-            if best[1] >= self.verbatim or (best[1] >= self.paraphrase and best[2] >= self.answer):
-                found.append((doc, item.id, *best))
+                got = verify(item, h, max(lo, first - reach), min(hi, end + reach), self.verbatim, self.paraphrase,
+                             self.answer)
+                if got[:3] > best[:3]:
+                    best, near = got, cos
+            if best[0]:
+                found.append((doc, item.id, near, *best[1:3], best[3] - lo, best[4] - lo))
         return found
 
     def rows(self):
