@@ -61,3 +61,26 @@ def test_leak_beside_a_second_part_of_itself(text):
     leak, share, answer, first, last = leaking(text, ITEM)
     assert leak and share == 1.0 and answer == 1.0
     assert text[first] in ITEM and text[last] in ITEM
+
+
+def test_verbatim_runs_are_leaks_whatever_their_share(spark):
+    rng = random.Random(2)
+    question = prose(rng, 39, "q")
+    long = prose(rng, 150, "l")
+    items = [question + ["."] + prose(rng, 10, "a"), long, prose(rng, 6, "s"), prose(rng, 40, "n")]
+    around = lambda words: prose(rng, 60, "z") + words + prose(rng, 60, "z")
+    gap = items[3][5:12] + ["zzz"] + items[3][13:20]
+    docs = [around(question[:30]), around(long[20:90]), around(items[2]), around(gap), around(items[3][4:17]),
+            around(items[3][4:13]), around(long[:6] + prose(rng, 30, "z") + long[70:77])]
+    assert set(found(spark, docs, items)) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)}
+
+
+def test_longest_run():
+    a = np.arange(40)
+    other = np.arange(100, 160)
+    join = lambda *parts: np.concatenate(parts)
+    assert decontam.longest_run(a, join(other[:9], a[3:20], other[9:]))[:1] == (17,)
+    assert decontam.longest_run(a, join(other[:9], a[:7], other[9:10], a[8:20]))[:3] == (19, 9, 28)
+    assert decontam.longest_run(a, join(a[:7], a[8:20]))[:3] == (19, 0, 18)
+    assert decontam.longest_run(a, join(a[:7], other[:2], a[7:20]))[:1] == (13,)
+    assert decontam.longest_run(a, other)[:1] == (0,) and decontam.longest_run(a, a[:0])[:1] == (0,)

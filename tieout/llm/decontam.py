@@ -17,6 +17,10 @@
    or a match in the region whose gaps are at most ``GAP`` words; each counts on its own.
    ``verbatim`` of the item's words is a leak; from ``paraphrase`` on it is one if the item's
    answer (its last sentence) is found to at least ``answer`` as well.
+5. Verbatim runs: ``run`` words of the item (all of a shorter one) in place, with at most one
+   word changed, added or left out between two of them and ``SEED`` in a row somewhere (half
+   of a shorter item), are a leak whatever their share. The seeds are looked up by hash in
+   every document, so a run does not depend on the cosine (0 if no window came near).
 
 Words are runs of ASCII letters and digits and non-ASCII code points, A-Z lower-cased.
 
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, written
-from .kernels import ALNUM, LOWER, WordHasher, mix, pieces, split_words, text_buffers, word_docs
+from .kernels import ALNUM, LOWER, WordHasher, kgrams, mix, pieces, split_words, text_buffers, word_docs
 
 WINDOW, STRIDE = 24, 8
 DF_BITS, FEATURE_BITS, RANK, ROUNDS = 16, 14, 256, 2
@@ -42,6 +46,7 @@ MIN_COSINE = 0.5
 CHUNK = 512
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.5
 GAP = 12
+RUN, SEED = 13, 5
 BLOCK_BYTES = 8 << 20
 
 
@@ -224,7 +229,7 @@ def places(item: Item, words: np.ndarray, lo: int, hi: int, least: float):
     span, step = 2 * n + GAP, max(1, n // 2)
     seen = set()
     for first in range(int(held[0]), max(int(held[-1]) + 1 - span, int(held[0])) + step, step):
-        a, b = np.searchsorted(held, (first, first + span))
+        a, b = held.searchsorted((first, first + span)).tolist()
         if b - a < least or (a, b) in seen:
             continue
         seen.add((a, b))
@@ -253,16 +258,38 @@ def verify(item: Item, words: np.ndarray, lo: int, hi: int, verbatim: float = VE
     return best
 
 
+def longest_run(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
+    """(words, first, last word) of the longest run of item words in place in ``words`` with at most one
+    word changed, added or left out between two of them."""
+    length, start = np.zeros((2, 3, len(words) + 2), np.int64)  # of runs that end here: this row, one, two before
+    best = (0, 0, 0)
+    here = np.arange(len(words))
+    for w in item:
+        length[1:], start[1:] = length[:-1].copy(), start[:-1].copy()
+        ends = np.stack([length[1, 1:-1], length[1, :-2], length[2, 1:-1], length[2, :-2]])
+        of = np.argmax(ends, axis=0)
+        most = ends[of, here]
+        began = np.stack([start[1, 1:-1], start[1, :-2], start[2, 1:-1], start[2, :-2]])[of, here]
+        same = words == w
+        length[0, 2:] = np.where(same, most + 1, 0)
+        start[0, 2:] = np.where(most > 0, began, here)
+        at = int(np.argmax(length[0, 2:])) if len(words) else 0
+        if len(words) and length[0, 2 + at] > best[0]:
+            best = (int(length[0, 2 + at]), int(start[0, 2 + at]), at)
+    return best
+
+
 class Search:
     """The kernel of the candidate search and its verification for a block of items."""
 
     def __init__(self, rows, basis, idf, *, window=WINDOW, stride=STRIDE, bits=FEATURE_BITS, df_bits=DF_BITS,
-                 min_cosine=MIN_COSINE, verbatim=VERBATIM, paraphrase=PARAPHRASE, answer=ANSWER):
+                 min_cosine=MIN_COSINE, verbatim=VERBATIM, paraphrase=PARAPHRASE, answer=ANSWER, run=RUN):
         if window % stride:
             raise ValueError("the window must be a multiple of the stride")
         self.window, self.stride, self.bits, self.df_bits = window, stride, bits, df_bits
         self.min_cosine = min_cosine
         self.verbatim, self.paraphrase, self.answer = verbatim, paraphrase, answer
+        self.run = run
         self.idf = idf
         self.items = prepare_items(rows, WordHasher())
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(i.h for i in self.items)]))
@@ -279,6 +306,18 @@ class Search:
                 z = w @ basis[f]
                 of_size[size][0].append(z / max(np.linalg.norm(z), 1e-9))
                 of_size[size][1].append(k)
+        # seeds: (words, sorted hashes, their items)
+        seeds: dict = {}
+        for k, item in enumerate(self.items):
+            size = min(SEED, -(-len(item.h) // 2), run)
+            grams, of = seeds.setdefault(size, ([], []))
+            grams.append(np.unique(kgrams(item.h, np.zeros(len(item.h), np.int64), size)[0]))
+            of.append(np.full(len(grams[-1]), k))
+        self.seeds = []
+        for size, (grams, of) in seeds.items():
+            grams, of = np.concatenate(grams), np.concatenate(of)
+            order = np.argsort(grams, kind="stable")
+            self.seeds.append((size, grams[order], of[order]))
         #: (window, stride, vectors of the passages, their items)
         self.groups = [(*size, np.array(vectors, np.float32).reshape(len(of), basis.shape[1]), np.array(of, np.int64))
                        for size, (vectors, of) in zip(sizes, of_size) if of]
@@ -326,13 +365,45 @@ class Search:
                            cos[a, b].tolist())
         return out
 
+    def seeded(self, h: np.ndarray, doc_words: np.ndarray):
+        """(text, first, end, item) of every seed of an item in a text."""
+        docs, out = word_docs(doc_words), []
+        for size, grams, of in self.seeds:
+            g, at = kgrams(h, docs, size)
+            hit = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g)
+            g, at = g[hit], at[hit]
+            first = np.searchsorted(grams, g)
+            count = np.searchsorted(grams, g, side="right") - first
+            k = of[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            at = np.repeat(at, count)
+            out += zip(docs[at].tolist(), at.tolist(), (at + size).tolist(), k.tolist())
+        return out
+
+    def longest(self, item: Item, h: np.ndarray, lo: int, hi: int, spots: list) -> tuple[int, int, int]:
+        """The longest run inside h[lo:hi] that holds one of the spots."""
+        least, reach, best, done = min(self.run, len(item.h)), 2 * len(item.h), (0, lo, lo), lo
+        for first, end in spots:
+            if first < done:  # inside the stretch that was looked at last
+                continue
+            # a run spans at most twice the item's words
+            a, b = max(lo, first - reach), min(hi, end + 2 * reach)
+            done = b - reach
+            if np.isin(h[a:b], item.known).sum() >= least:
+                size, x, y = longest_run(item.h, h[a:b])
+                best = max(best, (size, a + x, a + y), key=lambda r: r[0])
+        return best
+
     def leaks(self, h: np.ndarray, doc_words: np.ndarray) -> list[tuple]:
         """(text, item, cosine, share, answer share, first, last word of the text) of every verified leak."""
         regions: dict = {}
         for doc, first, end, k, cos in self.candidates(h, doc_words):
             regions.setdefault((doc, k), []).append((first, end, cos))
+        spots: dict = {}
+        for doc, first, end, k in sorted(self.seeded(h, doc_words)):
+            spots.setdefault((doc, k), []).append((first, end))
         found = []
-        for (doc, k), spans in regions.items():
+        for doc, k in dict.fromkeys([*regions, *spots]):
+            spans = regions.get((doc, k), [])
             item, reach = self.items[k], len(self.items[k].h)
             lo, hi = int(doc_words[doc]), int(doc_words[doc + 1])
             merged: list = []
@@ -347,6 +418,19 @@ class Search:
                              self.answer)
                 if got[:3] > best[:3]:
                     best, near = got, cos
+            run = (0, 0, 0)
+            if best[1] < self.verbatim and (doc, k) in spots:
+                run = self.longest(item, h, lo, hi, spots[doc, k])
+            if run[0] >= min(self.run, reach):
+                # judged as a place of its own, also if no window came near
+                got = verify(item, h, max(lo, run[1] - reach), min(hi, run[2] + 1 + reach), self.verbatim,
+                             self.paraphrase, self.answer)
+                if got[:3] > best[:3]:
+                    best, near = got, max((cos for _, _, cos in spans), default=0.0)
+                if not best[0]:
+                    mine = max(best[1], run[0] / reach)
+                    best = (True, mine, best[2], run[1], run[2])
+                    near = max((cos for _, _, cos in spans), default=0.0)
             if best[0]:
                 found.append((doc, item.id, near, *best[1:3], best[3] - lo, best[4] - lo))
         return found
