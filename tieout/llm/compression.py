@@ -2,7 +2,7 @@
 
 zstandard ratios (raw bytes / compressed bytes) are taken over the whole text
 and over fixed chunks of it. A text whose whole ratio leaves the band of its
-length class, or of which more than ``max_bad_chunks`` of the full chunks
+length class, or of which more than ``max_bad_chunks`` of the chunks
 leave the chunk band, is rejected: too high means repetitive, too low means
 incompressible. Base word rules run beside the bands.
 
@@ -26,12 +26,15 @@ from .kernels import (NOT_WHITESPACE, WordHasher, before, pieces, repeated_words
 
 #: (bytes from, lowest ratio, highest ratio) of a whole text. Short texts
 #: carry the frame's fixed cost, so their ratios are lower, and a short text
-#: cannot reach the ratios that a long repetitive one does.
-WHOLE_BANDS = ((0, 0.0, 3.0), (256, 1.02, 3.6), (1024, 1.15, 4.5), (4096, 1.25, 5.5), (16384, 1.3, 7.0),
-               (65536, 1.3, 9.0))
-#: Bytes of a chunk, and its band. The short last chunk is not judged.
+#: cannot reach the ratios that a long repetitive one does. The lowest ratios
+#: lie between random base64 and clean text of the length; under 128 bytes the
+#: two cannot be told apart, and hex digits reach the ratios of text.
+WHOLE_BANDS = ((0, 0.0, 3.0), (128, 1.0, 3.0), (192, 1.085, 3.0), (256, 1.22, 3.6), (512, 1.3, 3.6),
+               (1024, 1.45, 4.5), (4096, 1.6, 5.5), (16384, 1.7, 7.0), (65536, 1.7, 9.0))
+#: Bytes of a chunk, and its band. A shorter last chunk of a longer text is
+#: judged by the band of a whole text of its length.
 CHUNK_BYTES = 4096
-CHUNK_BAND = (1.2, 5.0)
+CHUNK_BAND = (1.6, 5.0)
 MAX_BAD_CHUNKS = 0.3
 LEVEL = 3
 WINDOW = 8
@@ -40,7 +43,7 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
           "n_bytes long, whole_ratio double, n_chunks long, n_bad_chunks long")
 
 
-def _measure(level: int, chunk: int, band: tuple[float, float], window: int):
+def _measure(level: int, chunk: int, band: tuple[float, float], whole_bands: tuple, window: int):
     symbols = np.zeros(256, bool)
     symbols[list(b"#*$%&|<>")] = True
 
@@ -71,8 +74,13 @@ def _measure(level: int, chunk: int, band: tuple[float, float], window: int):
                     ratios.append(len(raw) / len(pack.compress(raw)) if raw else 0.0)
                     whole = len(raw) // chunk
                     got = [chunk / len(pack.compress(raw[i * chunk:(i + 1) * chunk])) for i in range(whole)]
-                    n_chunks.append(whole)
-                    n_bad.append(sum(not band[0] <= x <= band[1] for x in got))
+                    bad = sum(not band[0] <= x <= band[1] for x in got)
+                    rest = raw[whole * chunk:] if whole else b""
+                    if rest:
+                        low, high = ([(0.0, float("inf"))] + [x[1:] for x in whole_bands if x[0] <= len(rest)])[-1]
+                        bad += not low <= len(rest) / len(pack.compress(rest)) <= high
+                    n_chunks.append(whole + bool(rest))
+                    n_bad.append(bad)
                 out["n_dup_lines"].append(dup)
                 out["whole_ratio"].append(ratios)
                 out["n_chunks"].append(n_chunks)
@@ -90,7 +98,7 @@ def compression_rules(docs: DataFrame, *, whole_bands=WHOLE_BANDS, chunk_bytes:
                       min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
     """One row per input row: the base counts, the ratios, ``base_failed`` and ``kept``."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    m = arrow_map(src, _measure(level, chunk_bytes, tuple(chunk_band), WINDOW), SCHEMA)
+    m = arrow_map(src, _measure(level, chunk_bytes, tuple(chunk_band), tuple(whole_bands), WINDOW), SCHEMA)
     low = high = F.lit(None).cast("double")
     for size, lo, hi in whole_bands:
         low = F.when(F.col("n_bytes") >= size, F.lit(float(lo))).otherwise(low)
