@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression, decontam, license_scan, line_dedup, mixing, ngram_join, pii, quality, token_counts
+from . import (chat, compression, decontam, license_scan, line_dedup, mixing, ngram_join, periodic, pii, quality,
+               token_counts)
 from .common import read
 
 
@@ -74,9 +75,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.longest_run(periodic.periodic_runs(read(spark, sf_dir, "documents"), repeat_tails=True))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_chat_format,
                                   op5_quality_classifier, op6_personal_data, op7_decontamination,
                                   op8_compression_rules, op9_token_counts,
-                                  op10_license_scan)}
+                                  op10_license_scan, op12_periodic_runs)}
 
 ORACLE = {"op2_line_dedup": OP2_SQL}
