@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat, compression, decontam, license_scan, line_dedup, mixing, ngram_join, periodic, pii, quality,
-               token_counts)
+               ranked_search, token_counts)
 from .common import read
 
 
@@ -79,9 +79,36 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.longest_run(periodic.periodic_runs(read(spark, sf_dir, "documents"), repeat_tails=True))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS (SELECT doc_id, w, len(w)::HUGEINT AS n FROM words WHERE len(w) > 0),
+total AS (SELECT count(*)::HUGEINT AS nn, sum(n)::HUGEINT AS ll FROM sizes),
+terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+each AS (SELECT doc_id, n, unnest(w) AS term FROM sizes),
+tf AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM each
+       WHERE term IN (SELECT term FROM terms) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weight AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::HUGEINT AS w FROM df, total),
+impact AS (SELECT doc_id, term, w * ((1000000000 * tf::HUGEINT) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))) AS s
+           FROM tf JOIN weight USING (term), total),
+score AS (SELECT item_id, doc_id, sum(s)::BIGINT AS score FROM terms JOIN impact USING (term)
+          GROUP BY item_id, doc_id HAVING sum(s) > 0)
+SELECT item_id, rank, doc_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM score)
+WHERE rank <= 50
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_chat_format,
                                   op5_quality_classifier, op6_personal_data, op7_decontamination,
                                   op8_compression_rules, op9_token_counts,
-                                  op10_license_scan, op12_periodic_runs)}
+                                  op10_license_scan, op12_periodic_runs, op13_ranked_search)}
 
-ORACLE = {"op2_line_dedup": OP2_SQL}
+ORACLE = {"op2_line_dedup": OP2_SQL, "op13_ranked_search": OP13_SQL}
