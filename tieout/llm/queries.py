@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat, compression, decontam, license_scan, line_dedup, mixing, ngram_join, periodic, pii, quality,
-               ranked_search, token_counts)
+               ranked_search, suffix_dedup, token_counts)
 from .common import read
 
 
@@ -75,6 +75,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeated_spans(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.longest_run(periodic.periodic_runs(read(spark, sf_dir, "documents"), repeat_tails=True))
 
@@ -109,6 +114,6 @@ WHERE rank <= 50
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_chat_format,
                                   op5_quality_classifier, op6_personal_data, op7_decontamination,
                                   op8_compression_rules, op9_token_counts,
-                                  op10_license_scan, op12_periodic_runs, op13_ranked_search)}
+                                  op10_license_scan, op11_suffix_dedup, op12_periodic_runs, op13_ranked_search)}
 
 ORACLE = {"op2_line_dedup": OP2_SQL, "op13_ranked_search": OP13_SQL}
