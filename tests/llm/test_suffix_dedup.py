@@ -44,7 +44,7 @@ def table(spark, rows, parts=3):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 5000, "stretch": 4096, "hot": 1, "chunk": 50},
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 5000, "stretch": 4096, "hot": 1, "chunk": 50, "look_chunk": 9},
                                      {"shard_bytes": 3000, "hot": 0, "chunk": 7}])
 def test_odd_rows(odd, options):
     assert found(suffix_dedup.drop_repeated_spans(odd, **options)) == brute([(r[0], r[1]) for r in odd_rows()])
@@ -72,7 +72,7 @@ def pool_rows(seed):
 
 
 @pytest.mark.parametrize("seed,options", [(i, o) for i in range(4) for o in (
-    {}, {"shard_bytes": 2000, "hot": 2, "chunk": 20, "stretch": 600})])
+    {}, {"shard_bytes": 2000, "hot": 2, "chunk": 20, "stretch": 600, "look_chunk": 5})])
 def test_spliced_passages(spark, seed, options):
     rows = pool_rows(seed)
     assert found(suffix_dedup.drop_repeated_spans(table(spark, rows), **options)) == brute(rows)
@@ -100,17 +100,23 @@ def test_long_text_in_stretches(spark):
 def test_interleave_equals_a_sort_of_all_rows():
     rng = np.random.default_rng(4)
     n = 3000
-    cols = [rng.integers(0, 4, n).astype(np.int64) for _ in range(4)]
-    doc, anchor, missing = rng.integers(0, 50, n), rng.integers(0, 50, n), rng.random(n) < 0.1
-    order, block, shared, later = suffix_dedup._interleave(*cols, missing, doc, anchor)
-    rows = [tuple(int(c[i]) for c in cols) for i in order]
-    assert sorted(rows) == [r for r in sorted(rows)] and rows == sorted(rows)
+    cols = [rng.integers(0, 4, n) for _ in range(5)]
+    whole = rng.integers(0, 3, n)
+    order, block, shared = suffix_dedup._interleave(cols[0], cols[1:], whole)
+    rows = [tuple(int(c[i]) for c in (*cols, whole)) for i in order]
+    assert rows == sorted(rows)
+    assert [len(set(rows[:k + 1])) - 1 for k in range(0, n, 500)] == block[::500].tolist()
     classes = set(rows)
     for k in range(0, n, 37):
-        most = max((next((j for j in range(4) if rows[k][j] != o[j])) for o in classes if o != rows[k]), default=0)
-        assert shared[k] == min(most, 3)
-    first = {}
-    for k, i in enumerate(order):
-        place = (bool(missing[i]), int(doc[i]), int(anchor[i]))
-        assert bool(later[k]) == (place != first.setdefault(rows[k], place))
-        assert place >= first[rows[k]]
+        most = max(next((j for j in range(5) if rows[k][j] != o[j]), 5) for o in classes if o != rows[k])
+        assert shared[k] == most - 1
+
+
+def test_anchors_depend_on_the_string_alone():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcd ") for _ in range(3000)).encode()
+    hasher = suffix_dedup.WordHasher()
+    whole = suffix_dedup._anchors(suffix_dedup._Prefix(hasher, np.frombuffer(text, np.uint8)))
+    for p in range(0, 2900, 50):
+        alone = suffix_dedup._anchors(suffix_dedup._Prefix(hasher, np.frombuffer(text[p:p + 100], np.uint8)))
+        assert alone.tolist() == [whole[p] - p] and 0 <= alone[0] <= suffix_dedup.REACH
