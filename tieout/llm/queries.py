@@ -80,11 +80,11 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
 
 
-#: Hexadecimal digits stand for bytes; a place is doc_id * 2**32 + start.
+#: Texts as bytes; a place is doc_id * 2**32 + start.
 OP11_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
-p AS (SELECT r, p, doc_id::HUGEINT * 4294967296 + p AS place, sha256(substr(h, 2 * p + 1, 200)) AS k
-      FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d)),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+o AS MATERIALIZED (SELECT r, unnest(range(0, octet_length(b) - 99)) AS p FROM d),
+p AS MATERIALIZED (SELECT r, p, doc_id::HUGEINT * 4294967296 + p AS place, b[p + 1:p + 100] AS k FROM o JOIN d USING (r)),
 f AS (SELECT k, min(place) AS first FROM p GROUP BY k HAVING count(*) > 1),
 g AS (SELECT r, p FROM p JOIN f USING (k) WHERE place > first),
 n AS (SELECT r, p, CASE WHEN p - lag(p) OVER w <= 100 THEN 0 ELSE 1 END AS new FROM g WINDOW w AS (PARTITION BY r ORDER BY p)),
@@ -92,11 +92,11 @@ i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS no FROM n),
 s AS (SELECT r, no, min(p) AS start, max(p) + 100 AS stop FROM i GROUP BY r, no),
 e AS (SELECT *, lag(stop, 1, 0) OVER (PARTITION BY r ORDER BY start) AS last_stop FROM s),
 c AS (SELECT r, count(*) AS n, sum(stop - start) AS bytes, max(stop) AS end_,
-             string_agg(substr(h, 2 * last_stop + 1, 2 * (start - last_stop)), '' ORDER BY start) AS head
+             string_agg(CASE WHEN start > last_stop THEN hex(b[last_stop + 1:start]) ELSE '' END, '' ORDER BY start) AS head
       FROM e JOIN d USING (r) GROUP BY r)
-SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(bytes, 0)::BIGINT AS n_removed,
-       coalesce(n, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(head || substr(h, 2 * end_ + 1), h))) AS kept_sha256
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(bytes, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN head IS NULL THEN b WHEN end_ < octet_length(b) THEN unhex(head || hex(b[end_ + 1:octet_length(b)]))
+                   ELSE unhex(head) END) AS kept_sha256
 FROM d LEFT JOIN c USING (r)
 """
 
