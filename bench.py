@@ -29,6 +29,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tieout.operators import audit as A  # noqa: E402
+from tieout.operators import audit_tree  # noqa: E402
 from tieout.operators import checks as C  # noqa: E402
 from tieout.operators import exceptions as X  # noqa: E402
 from tieout.operators import gate as G  # noqa: E402
@@ -89,11 +90,18 @@ def prepare(inp: Inputs) -> None:
     inp.put("issues", orders.select(F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("txn_id"),
                                     F.col("o_orderpriority").alias("priority"), "o_orderkey"))
     inp.put("audit_log", A.audit_append(inp.get("f5_events"), order_by=["timestamp", "src_id"]))
+    inp.put("audit_tree", audit_tree.build(inp.get("audit_log"), block_rows=A.BLOCK_ROWS).nodes)
 
 
 def ops(inp: Inputs) -> dict:
     """name -> (BASELINE metric, run(), input rows)."""
     g = inp.get
+    levels = audit_tree._levels(-(-inp.rows("audit_log") // A.BLOCK_ROWS), audit_tree.FANOUT)
+
+    def recorded():
+        nodes = g("audit_tree")
+        return audit_tree.AuditTree(nodes, audit_tree._head(nodes, levels, inp.rows("audit_log"), audit_tree.FANOUT))
+
     as_of = "2024-02-01 00:00:00"
     return {
         "match_report": ("two-source record match (report)",
@@ -119,7 +127,7 @@ def ops(inp: Inputs) -> dict:
                          lambda: _noop(A.audit_append(g("f5_events"), order_by=["timestamp", "src_id"])),
                          inp.rows("f5_events")),
         "audit_verify": ("audit chain verification",
-                         lambda: A.verify(g("audit_log")).verdict.collect(),
+                         lambda: A.verify(g("audit_log"), tree=recorded()).verdict.collect(),
                          inp.rows("audit_log")),
         "exception_routing": ("exception routing",
                               lambda: _noop(X.route(g("issues"), source="txn_id", description=F.lit("gap"),

@@ -4,7 +4,10 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import pytest
+
 from tieout.operators import audit as A
+from tieout.operators import audit_tree as T
 from tieout.plans.seq import dense_sequence, lag_over
 
 
@@ -31,28 +34,134 @@ def python_chain(rows, block_rows=A.BLOCK_ROWS):
 
 
 def test_append_matches_python_and_verifies(spark):
-    log = A.audit_append(events(spark), order_by=["timestamp", "src_id"], block_rows=7).cache()
-    assert A.verify(log, block_rows=7).verdict.first().valid is True
+    log, tree = A.audit_append_recorded(events(spark), order_by=["timestamp", "src_id"], block_rows=7, fanout=3)
+    log = log.cache()
+    assert A.verify(log, block_rows=7, tree=tree).verdict.first().valid is True
     rows = log.orderBy("seq").collect()
     assert [r.event_id for r in rows][:2] == ["AUD-00000001", "AUD-00000002"]
     assert [(r.previous_hash, r.event_hash) for r in rows] == python_chain(rows, 7)
     # append a second batch after the tail: the open block goes on, the next ones start anew
-    more = A.audit_append(events(spark, 20), order_by=["timestamp", "src_id"], tail=log, block_rows=7)
+    more, tree = A.audit_append_recorded(events(spark, 20), order_by=["timestamp", "src_id"], tail=log, tree=tree,
+                                         block_rows=7, fanout=3)
     first = more.orderBy("seq").first()
     assert first.seq == 51 and first.previous_hash == rows[-1].event_hash
     both = log.unionByName(more).cache()
-    assert A.verify(both, block_rows=7).verdict.first().valid is True
+    assert A.verify(both, block_rows=7, tree=tree, head=tree.head).verdict.first().valid is True
     rows = both.orderBy("seq").collect()
     assert [(r.previous_hash, r.event_hash) for r in rows] == python_chain(rows, 7)
-    # one block of seven per header; losing a whole block or the end of one shows
-    headers = A.block_headers(both, 7).cache()
-    assert headers.count() == 10 and A.changed_blocks(both, headers, 7).count() == 0
+    # one block of seven per leaf; losing a whole block or the end of one shows
+    assert tree.nodes.where("level = 0").count() == 10 == A.block_headers(both, 7).count()
     whole = both.filter((F.col("seq") < 15) | (F.col("seq") > 21))
-    v = A.verify(whole, block_rows=7).verdict.first()
+    v = A.verify(whole, block_rows=7, tree=tree).verdict.first()
     assert (v.event_id, v.violation) == ("AUD-00000022", "prev_hash_mismatch")
-    assert A.verify(both.filter("seq <> 14"), block_rows=7).verdict.first().event_id == "AUD-00000015"
+    v = A.verify(both.filter("seq <> 14"), block_rows=7, tree=tree).verdict.first()
+    assert (v.event_id, v.event_index) == ("AUD-00000015", 13)
     last = both.filter("seq < 70")
-    assert [r.block for r in A.changed_blocks(last, headers, 7).collect()] == [9]
+    assert [r.block for r in T.changed_blocks(last, tree, block_rows=7).collect()] == [9]
+    v = A.verify(last, block_rows=7, tree=tree).verdict.first()
+    assert (v.valid, v.event_id, v.violation) == (False, "AUD-00000069", "block_mismatch")
+    with pytest.raises(ValueError, match="tree"):
+        A.verify(both, block_rows=7)
+    with pytest.raises(ValueError, match="tree"):
+        A.chain_view(both, block_rows=7)
+
+
+def recorded(spark, n=50, fanout=2, **options):
+    log, tree = A.audit_append_recorded(events(spark, n), order_by=["timestamp", "src_id"], block_rows=7, fanout=fanout,
+                                        **options)
+    return log.cache(), tree
+
+
+def python_tree(rows, fanout):
+    """{(level, idx): node hash} of a log with blocks of seven."""
+    def sha(*parts):
+        return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r.seq - 1) // 7, []).append(r)
+    level = {i: (len(b), sha("leaf", i, b[0].seq, b[-1].seq, len(b), b[-1].event_hash)) for i, b in blocks.items()}
+    out, n = {(0, i): h for i, (_, h) in level.items()}, 0
+    while n == 0 or len(level) > 1:
+        n += 1
+        groups = {}
+        for i in sorted(level):
+            groups.setdefault(i // fanout, []).append(level[i])
+        level = {i: (sum(r for r, _ in g), sha("node", n, i, sum(r for r, _ in g), *(h for _, h in g)))
+                 for i, g in groups.items()}
+        out |= {(n, i): h for i, (_, h) in level.items()}
+    return out
+
+
+def test_tree_equals_a_recomputation_and_appends_touch_one_path(spark):
+    log, tree = recorded(spark, 100)
+    assert {(r.level, r.idx): r.node_hash for r in tree.nodes.collect()} == python_tree(log.orderBy("seq").collect(), 2)
+    more, grown = A.audit_append_recorded(events(spark, 9), order_by=["timestamp", "src_id"], tail=log, tree=tree,
+                                          block_rows=7, fanout=2)
+    both = log.unionByName(more).orderBy("seq").collect()
+    now = {(r.level, r.idx): r.node_hash for r in grown.nodes.collect()}
+    assert now == python_tree(both, 2)
+    old = {(r.level, r.idx): r.node_hash for r in tree.nodes.collect()}
+    touched = [k for k in now if now[k] != old.get(k)]
+    assert len(touched) <= 3 * (grown.head.first().levels + 1) < len(now)
+    # no task holds more than a node's children
+    plan = T._parents(tree.nodes.where("level = 0"), 1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_a_block_hashed_anew_is_found(spark):
+    log, tree = recorded(spark)
+    forged = A.audit_append(log.select("event_type", "timestamp", "actor", "action", "resource", F.col("seq").alias("o"),
+                                       F.when(F.col("seq") == 10, "{}").otherwise(F.col("details")).alias("details")),
+                            order_by=["o"], block_rows=7).select(A.LOG_COLUMNS).cache()
+    for block, event in ((1, "AUD-00000015"), (7, "AUD-00000050")):
+        edited = forged if block == 1 else A.audit_append(
+            log.select("event_type", "timestamp", "actor", "action", "resource", F.col("seq").alias("o"),
+                       F.lit("{}").alias("details")), order_by=["o"], block_rows=7).select(A.LOG_COLUMNS)
+        mine = F.floor((F.col("seq") - 1) / 7) == block
+        bad = edited.where(mine).unionByName(log.select(A.LOG_COLUMNS).where(~mine))
+        v = A.verify(bad, block_rows=7, tree=tree).verdict.first()
+        assert (v.valid, v.event_id, v.violation) == (False, event, "block_mismatch")
+        assert v.actual != v.expected
+        assert [r.event_id for r in A.broken_links(A.chain_view(bad, block_rows=7, tree=tree)).collect()] == [event]
+    # rows that nobody recorded, and a log of which nothing is left
+    more = A.audit_append(events(spark, 3), order_by=["src_id"], tail=log, block_rows=7)
+    assert A.verify(log.unionByName(more), block_rows=7, tree=tree).verdict.first().violation == "block_mismatch"
+    v = A.verify(log.where("false"), block_rows=7, tree=tree).verdict.first()
+    assert (v.valid, v.event_id, v.violation) == (False, None, "block_mismatch")
+
+
+def test_a_forged_record_does_not_lead_to_the_head(spark):
+    log, tree = recorded(spark)
+    forged = A.audit_append(log.select("event_type", "timestamp", "actor", "action", "resource", F.col("seq").alias("o"),
+                                       F.lit("{}").alias("details")), order_by=["o"], block_rows=7)
+    other = T.build(forged, block_rows=7, fanout=2)
+    assert A.verify(forged, block_rows=7, tree=other).verdict.first().valid is True
+    v = A.verify(forged, block_rows=7, tree=other, head=tree.head).verdict.first()
+    assert (v.valid, v.violation) == (False, "tree_mismatch")
+    part = T.AuditTree(tree.nodes.where("level > 0").unionByName(other.nodes.where("level = 0")), tree.head)
+    assert {(r.level) for r in T.broken_nodes(part).collect()} == {1}
+    nodes = tree.nodes.withColumn("rows", F.when((F.col("level") == 0) & (F.col("idx") == 2), 6).otherwise(F.col("rows")))
+    assert {(r.level, r.idx) for r in T.broken_nodes(T.AuditTree(nodes, tree.head)).collect()} >= {(0, 2)}
+
+
+def test_purge_prunes_the_tree_and_keeps_the_head(spark):
+    log, tree = recorded(spark, 100)
+    p = A.purge(log, retention_days=0, as_of="2024-01-06 00:00:00", tree=tree)
+    anchor = p.anchor.first().anchor_hash
+    assert p.log.agg(F.min("seq")).first()[0] == 51 and p.tree.nodes.count() < tree.nodes.count()
+    assert p.tree.nodes.where("pruned").count() > 0
+    v = A.verify(p.log, anchor_hash=anchor, block_rows=7, tree=p.tree, head=tree.head).verdict.first()
+    assert v.valid is True
+    v = A.verify(p.log.where("seq <> 70"), anchor_hash=anchor, block_rows=7, tree=p.tree, head=tree.head).verdict.first()
+    assert (v.valid, v.event_id) == (False, "AUD-00000071")
+    # the log goes on after the purge, and after one that left nothing
+    for kept, gone in ((p, None), (A.purge(log, retention_days=0, as_of="2030-01-01 00:00:00", tree=tree), True)):
+        more, grown = A.audit_append_recorded(events(spark, 30), order_by=["timestamp", "src_id"], tail=kept.log,
+                                              anchor=kept.anchor, tree=kept.tree, block_rows=7, fanout=2)
+        left = more if gone else kept.log.unionByName(more)
+        assert T.broken_nodes(grown).count() == 0
+        v = A.verify(left, anchor_hash=kept.anchor.first().anchor_hash, block_rows=7, tree=grown).verdict.first()
+        assert v.valid is True, v
 
 
 def test_blocks_fold_in_parallel_and_need_no_global_window(spark):
@@ -120,8 +229,13 @@ def test_parallel_chains(spark):
     assert A.verify(log, chain_by="actor").verdict.first().valid is True
     t = log.withColumn("details", F.when(F.col("seq") == 30, F.lit("{}")).otherwise(F.col("details")))
     assert A.verify(t, chain_by="actor").verdict.first().event_id == "AUD-00000030"
-    small = A.audit_append(events(spark), order_by=["timestamp", "src_id"], chain_by="actor", block_rows=7)
-    assert A.verify(small, chain_by="actor", block_rows=7).verdict.first().valid is True
+    small, tree = recorded(spark, 52, chain_by="actor")
+    assert A.verify(small, chain_by="actor", block_rows=7, tree=tree).verdict.first().valid is True
+    more, tree = A.audit_append_recorded(events(spark, 2), order_by=["src_id"], tail=small, tree=tree, chain_by="actor",
+                                         block_rows=7, fanout=2)
+    both = small.unionByName(more)
+    assert A.verify(both, chain_by="actor", block_rows=7, tree=tree).verdict.first().valid is True
+    assert A.verify(both.where("seq < 50"), chain_by="actor", block_rows=7, tree=tree).verdict.first().valid is False
     for actor in ("user-0", "user-1", "user-2"):
         part = log.filter(F.col("actor") == actor).orderBy("seq").collect()
         assert part[0].previous_hash == A.GENESIS_HASH

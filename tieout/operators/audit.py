@@ -17,11 +17,11 @@ spaces), so equal payloads hash alike however they were written.
 The chain is cut into blocks of ``BLOCK_ROWS`` consecutive ``seq``: the first
 event of a block links to the genesis value, every other one to the event
 before it. So blocks fold and verify independently and in parallel, and no
-task ever holds more than a block. The blocks themselves are chained by their
-headers (``block_headers``: one hash per block over its range, its last hash
-and the header before it). A block's place cannot be forged, because the
-hashed event id carries ``seq``; ``verify`` also demands that the rows before
-a block's first row are there.
+task ever holds more than a block. The blocks are tied together by a tree of
+hashes that is recorded with the append (``audit_tree.py``); a log of more than
+one block is verified with it only. A block's place cannot be forged, because
+the hashed event id carries ``seq``; ``verify`` also demands that the rows
+before a block's first row are there.
 
 Plans:
 
@@ -51,6 +51,8 @@ from pyspark.sql import types as T
 from ..functions.scalars import seq_id
 from ..plans.seq import dense_sequence, lag_dense
 from ..session import ensure_checkpoint_dir
+from . import audit_tree
+from .audit_tree import AuditTree
 
 # fixed value: genesis link
 GENESIS_HASH = "0" * 64
@@ -242,6 +244,24 @@ def audit_append(events: DataFrame, *, order_by: list[str | Column], tail: DataF
     return _finish(spark.read.schema(_fold_schema(s)).parquet(f"{base}/chain"), extra, hash_version)
 
 
+class Appended(NamedTuple):
+    rows: DataFrame  # the new events
+    tree: AuditTree  # the log's tree after them; its head belongs outside the log
+
+
+def audit_append_recorded(events: DataFrame, *, order_by: list[str | Column], tail: DataFrame | None = None,
+                          tree: AuditTree | None = None, fanout: int = audit_tree.FANOUT,
+                          block_rows: int = BLOCK_ROWS, chain_by: str | None = None, **options) -> Appended:
+    """``audit_append`` that also extends the log's tree by the new events."""
+    rows = audit_append(events, order_by=order_by, tail=tail, block_rows=block_rows, chain_by=chain_by, **options)
+    started = None
+    if chain_by is not None and tail is not None:
+        end = tail_state(tail)[0] - 1
+        started = tail.where((F.col("seq") > end - end % block_rows) & (F.col("seq") <= end))
+    return Appended(rows, audit_tree.extend(tree, rows, block_rows=block_rows, chain_by=chain_by, open_block=started,
+                                            fanout=fanout))
+
+
 def _append_single_chain(staged: DataFrame, base: str, start: int, last: str, block_rows: int) -> DataFrame:
     """The original logger's one chain (v1): each hash covers the one before it
     over the whole log, so blocks fold one after another, each seeded with the
@@ -272,31 +292,63 @@ class Verification(NamedTuple):
 def _expected_links(rows: DataFrame, *, single_chain: bool, anchor_hash: str, first_seq: int | None,
                     chain_by: str | None, block_rows: int) -> DataFrame:
     """``expected_previous_hash`` of every row, and ``contiguous``: false for
-    the first row of a block before which rows of the log are missing."""
+    the first row of a block before which rows of the log are missing;
+    ``_opens`` marks the first row of a block (and chain)."""
     opens = _opens_block(block_rows)
     if single_chain:
         rows = lag_dense(rows, "seq", "event_hash", "_lag")
         v2_start = (F.col("hash_version") == HASH_VERSION) & opens
         return rows.withColumn("expected_previous_hash", F.when(v2_start, F.lit(GENESIS_HASH)).otherwise(
-            F.coalesce("_lag", F.lit(anchor_hash)))).withColumn("contiguous", F.lit(True)).drop("_lag")
+            F.coalesce("_lag", F.lit(anchor_hash)))).withColumns(
+            {"contiguous": F.lit(True), "_opens": opens}).drop("_lag")
     rows = rows.withColumn("_block", _block(block_rows))
     w = Window.partitionBy("_block", *([chain_by] if chain_by else [])).orderBy("seq")
     head = F.when((F.col("seq") == F.lit(first_seq)) & ~opens, F.lit(anchor_hash)).otherwise(F.lit(GENESIS_HASH))
-    rows = rows.withColumn("expected_previous_hash", F.coalesce(F.lag("event_hash").over(w), head))
+    rows = rows.withColumns({"expected_previous_hash": F.coalesce(F.lag("event_hash").over(w), head),
+                             "_opens": F.lag("seq").over(w).isNull()})  # the first row left of its block
     ends = rows.groupBy((F.col("_block") + 1).alias("_block")).agg(F.max("seq").alias("_before"))
     return rows.join(ends, "_block", "left").withColumn(
         "contiguous", ~opens | (F.col("seq") == F.lit(first_seq))
         | F.coalesce(F.col("_before") == F.col("seq") - 1, F.lit(False))).drop("_before", "_block")
 
 
+def _tie_blocks(rows: DataFrame, log: DataFrame, tree: AuditTree, hi: int, chain_by: str | None,
+                block_rows: int) -> DataFrame:
+    """Adds the recorded and actual hash of a changed block, ``_expected`` and
+    ``_actual``, to the event that follows the block (where a single chain would
+    break), or to the log's last event if nothing follows; ``_tied`` is false there."""
+    changed = audit_tree.changed_blocks(log, tree, block_rows=block_rows, chain_by=chain_by)
+    what = F.struct(F.col("expected").alias("_expected"), F.col("actual").alias("_actual"))
+    after = changed.select((F.col("block") + 1).alias("_block"), what.alias("_after"))
+    last = changed.where(F.col("block") >= F.lit((hi - 1) // block_rows)).agg(F.min_by(what, "block").alias("_end"))
+    rows = rows.withColumn("_block", _block(block_rows)).join(after, "_block", "left").crossJoin(F.broadcast(last))
+    broken = F.when(F.col("_opens") & F.col("_after").isNotNull(), F.col("_after")) \
+        .when(F.col("seq") == F.lit(hi), F.col("_end"))
+    return rows.withColumn("_broken", broken).withColumn("_tied", F.col("_broken").isNull()) \
+        .select("*", "_broken.*").drop("_block", "_after", "_end", "_broken")
+
+
+def _need_tree(lo: int | None, hi: int | None, block_rows: int, tree: AuditTree | None) -> None:
+    if tree is None and lo is not None and (lo - 1) // block_rows != (hi - 1) // block_rows:
+        raise ValueError("blocks of a log are tied by its recorded tree only: pass tree")
+
+
 def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int | None = None,
-           chain_by: str | None = None, block_rows: int = BLOCK_ROWS) -> Verification:
+           chain_by: str | None = None, block_rows: int = BLOCK_ROWS, tree: AuditTree | None = None,
+           head: DataFrame | None = None) -> Verification:
     """``verify_chain_detail``: recompute every hash and check every link,
     starting from the purge anchor. First violation = earliest position; at
     one event a link mismatch is reported before a hash mismatch. A NULL hash
     or link is a violation. Each row is checked by its own ``hash_version``
     (or by the one given).
 
+    A log of more than one block needs its recorded ``tree`` (and takes the
+    ``head`` from outside the log, where given). A block whose last hash is not
+    the recorded one is a ``block_mismatch`` at the event after it, or at the
+    log's last event; a tree that does not lead to its head is a
+    ``tree_mismatch`` without an event, reported before all others; a recorded
+    log of which nothing is left is a ``block_mismatch`` without an event.
+
     Version 1 recomputes hashes byte-compatibly with chains written by the
     original Python logger (Arrow-batched UDF, see ``functions/canonical.py``);
     it uses a ``timestamp_text`` column when the log has one."""
@@ -320,19 +372,30 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
                         computed.alias("computed_hash"), *([chain_by] if chain_by else []))
     linked = _expected_links(narrow, single_chain=old, anchor_hash=anchor_hash, first_seq=lo, chain_by=chain_by,
                              block_rows=block_rows)
+    if not old:
+        _need_tree(lo, r["hi"], block_rows, tree)
+    tied = tree is not None and lo is not None
+    if tied:
+        linked = _tie_blocks(linked, log, tree, r["hi"], chain_by, block_rows)
     rows = linked.select(
         "seq", "event_id", "event_type", "previous_hash", "event_hash", "expected_previous_hash",
         (F.col("previous_hash").eqNullSafe(F.col("expected_previous_hash")) & F.col("contiguous")).alias("is_linked"),
-        "computed_hash", F.coalesce(F.col("computed_hash") == F.col("event_hash"), F.lit(False)).alias("hash_ok"))
-    bad = ~F.col("is_linked") | ~F.col("hash_ok")
+        "computed_hash", F.coalesce(F.col("computed_hash") == F.col("event_hash"), F.lit(False)).alias("hash_ok"),
+        *((F.col("_tied").alias("block_ok"), "_expected", "_actual") if tied else
+          (F.lit(True).alias("block_ok"), F.lit(None).cast("string").alias("_expected"),
+           F.lit(None).cast("string").alias("_actual"))))
+    bad = ~F.col("is_linked") | ~F.col("hash_ok") | ~F.col("block_ok")
+
+    def by_kind(link, own, block):
+        return F.when(~F.col("is_linked"), link).when(~F.col("hash_ok"), own).otherwise(block)
     first = rows.agg(
         F.min_by(F.struct(
             "seq", "event_id",
-            F.when(~F.col("is_linked"), "prev_hash_mismatch").otherwise("hash_mismatch").alias("violation"),
-            F.when(~F.col("is_linked"), F.col("expected_previous_hash")).otherwise(F.col("computed_hash"))
-             .alias("expected"),
-            F.when(~F.col("is_linked"), F.col("previous_hash")).otherwise(F.col("event_hash")).alias("actual")),
+            by_kind(F.lit("prev_hash_mismatch"), F.lit("hash_mismatch"), F.lit("block_mismatch")).alias("violation"),
+            by_kind(F.col("expected_previous_hash"), F.col("computed_hash"), F.col("_expected")).alias("expected"),
+            by_kind(F.col("previous_hash"), F.col("event_hash"), F.col("_actual")).alias("actual")),
             F.when(bad, F.col("seq"))).alias("v"))
+    rows = rows.drop("_expected", "_actual")
     # position of the violation in the (possibly purged or gapped) log: with
     # dense ids it is seq - min(seq); with gaps, count the rows before it
     if dense:
@@ -346,56 +409,51 @@ def verify(log: DataFrame, *, anchor_hash: str = GENESIS_HASH, hash_version: int
         F.when(F.col("v").isNotNull(), F.col("_idx")).alias("event_index"),
         F.col("v.event_id").alias("event_id"), F.col("v.violation").alias("violation"),
         F.col("v.expected").alias("expected"), F.col("v.actual").alias("actual"))
+    if tree is not None:
+        verdict = _with_record(verdict, log, tree, head, lo is None, block_rows, chain_by)
     return Verification(rows, verdict)
 
 
-def _fold_headers():
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prev = "0" * 64
-        for b in batches:
-            prevs, hashes = [], []
-            for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-                prevs.append(prev)
-                prev = hashlib.sha256("|".join([*map(str, row), prev]).encode()).hexdigest()
-                hashes.append(prev)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
-                                             names=[*b.schema.names, "previous_header", "header_hash"])
-    return fn
+def _with_record(verdict: DataFrame, log: DataFrame, tree: AuditTree, head: DataFrame | None, empty: bool,
+                 block_rows: int, chain_by: str | None) -> DataFrame:
+    """The verdict of a log whose record itself may be broken, or all of whose events may be gone."""
+    sound = audit_tree.broken_nodes(tree, head).agg(F.count(F.lit(1)).alias("_nodes"))
+    lost = audit_tree.changed_blocks(log, tree, block_rows=block_rows, chain_by=chain_by).agg(
+        F.count(F.lit(1)).alias("_lost")) if empty else sound.select(F.lit(0).alias("_lost"))
+    j = verdict.crossJoin(sound).crossJoin(lost)  # one-row frames
+    kind = F.when(F.col("_nodes") > 0, "tree_mismatch").when(F.col("_lost") > 0, "block_mismatch")
+    fields = {c: F.when(kind.isNull(), F.col(c)) for c in ("event_index", "event_id", "expected", "actual")}
+    return j.select((F.col("valid") & kind.isNull()).alias("valid"), fields["event_index"].alias("event_index"),
+                    fields["event_id"].alias("event_id"), F.coalesce(kind, "violation").alias("violation"),
+                    fields["expected"].alias("expected"), fields["actual"].alias("actual"))
 
 
 def block_headers(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per block: its range, row count and last hash, chained by
-    ``header_hash = sha256(block | first_seq | last_seq | rows | block_hash |
-    previous_header)``. Only these rows (one per ``block_rows`` events) pass
-    through the one sequential, streaming fold."""
-    blocks = log.groupBy(_block(block_rows).alias("block")).agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("rows"),
-        F.max_by("event_hash", "seq").alias("block_hash"))
-    schema = T.StructType(blocks.schema.fields + [T.StructField("previous_header", T.StringType()),
-                                                  T.StructField("header_hash", T.StringType())])
-    return blocks.repartition(1).sortWithinPartitions("block").mapInArrow(_fold_headers(), schema)
-
-
-def changed_blocks(log: DataFrame, headers: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blocks whose header, computed from the log now, is not the recorded one
-    (rows lost at either end included)."""
-    now = block_headers(log, block_rows).select("block", F.col("header_hash").alias("_now"))
-    j = headers.select("block", "header_hash").join(now, "block", "full")
-    return j.where(~F.col("header_hash").eqNullSafe(F.col("_now"))).select("block")
-
-
-def chain_view(log: DataFrame, *, genesis: str = GENESIS_HASH, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per block: its range, row count, last hash and its leaf of the log's tree."""
+    leaves = audit_tree._leaves(audit_tree.block_ends(log, block_rows))
+    return leaves.select(F.col("idx").alias("block"), "first_seq", "last_seq", "rows", "block_hash",
+                         F.col("node_hash").alias("header_hash"))
+
+
+def chain_view(log: DataFrame, *, genesis: str = GENESIS_HASH, block_rows: int = BLOCK_ROWS,
+               tree: AuditTree | None = None) -> DataFrame:
     """``v_audit_chain_verification``: the hash of the event before, in event
     order, and whether the row links to it; the first row must link to
     ``genesis`` (64 zeros, as the view does even after a purge; pass the
-    anchor to check a purged log). As in the view, a NULL link is NULL."""
-    lo = log.agg(F.min("seq")).first()[0]
+    anchor to check a purged log). As in the view, a NULL link is NULL. The
+    first event of a block follows a block whose last hash is the one that the
+    log's recorded ``tree`` holds, so a log of more than one block needs it."""
+    lo, hi = log.agg(F.min("seq"), F.max("seq")).first()
+    _need_tree(lo, hi, block_rows, tree)
     linked = _expected_links(
         log.select("seq", "event_id", "event_type", "timestamp", "actor", "action", "resource", "previous_hash",
                    "event_hash", "hash_version"),
         single_chain=False, anchor_hash=genesis, first_seq=lo, chain_by=None, block_rows=block_rows)
-    return linked.withColumn("is_linked", (F.col("previous_hash") == F.col("expected_previous_hash"))
-                             & F.col("contiguous")).drop("contiguous", "hash_version")
+    whole = F.col("contiguous")
+    if tree is not None and lo is not None:
+        linked, whole = _tie_blocks(linked, log, tree, hi, None, block_rows), whole & F.col("_tied")
+    return linked.withColumn("is_linked", (F.col("previous_hash") == F.col("expected_previous_hash")) & whole) \
+        .drop("contiguous", "hash_version", "_opens", "_tied", "_expected", "_actual")
 
 
 def chain_valid(view: DataFrame) -> DataFrame:
@@ -412,13 +470,15 @@ def broken_links(view: DataFrame) -> DataFrame:
 class Purged(NamedTuple):
     log: DataFrame     # surviving events (ids unchanged)
     anchor: DataFrame  # one row: anchor_hash to verify the survivors from, next_seq to go on at
+    tree: AuditTree | None = None  # the log's tree without the purged subtrees; its head is the old one
 
 
 def purge(log: DataFrame, *, retention_days: int = 2555, as_of: str,
-          previous_anchor: str = GENESIS_HASH) -> Purged:
+          previous_anchor: str = GENESIS_HASH, tree: AuditTree | None = None) -> Purged:
     """Retention: cutoff = as_of - retention; the first event at or after the
     cutoff and everything later stays (later rows stay even if older); the
-    anchor becomes the hash of the last purged event."""
+    anchor becomes the hash of the last purged event. Given the log's ``tree``,
+    the subtrees of purged blocks are cut off it."""
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(retention_days))
     b = log.agg(F.min(F.when(F.col("timestamp") >= cutoff, F.col("seq"))).alias("_first"),
                 F.max("seq").alias("_max"))
@@ -428,7 +488,10 @@ def purge(log: DataFrame, *, retention_days: int = 2555, as_of: str,
     anchor = j.agg(F.coalesce(F.max_by(F.when(~keep, F.col("event_hash")), F.when(~keep, F.col("seq"))),
                               F.lit(previous_anchor)).alias("anchor_hash"),
                    (F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("next_seq"))
-    return Purged(kept, anchor)
+    if tree is not None:
+        cut = b.select(F.coalesce(F.col("_first"), F.col("_max") + 1)).first()[0]
+        tree = audit_tree.prune(tree, cut) if cut is not None else tree
+    return Purged(kept, anchor, tree)
 
 
 # ------------------------------------------------------------ query, export

@@ -837,6 +837,7 @@ def q_exceptions_mismatch_queue(spark, sf_dir):
 
 # ====================================================================== audit
 from ..operators import audit as A  # noqa: E402
+from ..operators import audit_tree  # noqa: E402
 
 _F5_ORDER = ["timestamp", "src_id"]
 
@@ -845,6 +846,10 @@ def _f5_log(spark, sf_dir):
     return A.audit_append(FX.f5_events(spark, sf_dir), order_by=_F5_ORDER)
 
 
+def _f5_tree(log):
+    return audit_tree.build(log, block_rows=A.BLOCK_ROWS)
+
+
 _F5_SEQ = """
 WITH ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, ts, 'data_access' AS event_type,
                    'user-' || user_id AS actor, event_type AS action, 'res-' || (event_id % 10) AS resource,
@@ -906,23 +911,26 @@ def q_audit_events_numbered(spark, sf_dir):
 
 
 def _variants(spark, sf_dir):
-    log = _f5_log(spark, sf_dir)
-    log = A.reliable_log(log)
-    out = []
-    v = A.verify(log).verdict.withColumn("variant", F.lit("a_intact"))
-    out.append(v)
-    t = log.withColumn("details", F.when(F.col("seq") == 500, F.lit('{"k": -1}')).otherwise(F.col("details")))
-    out.append(A.verify(t).verdict.withColumn("variant", F.lit("b_details_edited")))
-    out.append(A.verify(log.filter(F.col("seq") != 700)).verdict.withColumn("variant", F.lit("c_deleted")))
-    t = log.withColumn("previous_hash", F.when(F.col("seq") == 900, F.lit("f" * 64)).otherwise(F.col("previous_hash")))
-    out.append(A.verify(t).verdict.withColumn("variant", F.lit("d_link_edited")))
-    p = A.purge(log, retention_days=0, as_of="2024-01-10 00:00:00")
-    anchor = p.anchor.first()[0]
-    out.append(A.verify(p.log, anchor_hash=anchor).verdict.withColumn("variant", F.lit("e_purged")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res.select("variant", "valid", "event_index", "event_id", "violation")
+    log = A.reliable_log(_f5_log(spark, sf_dir))
+    tree = _f5_tree(log)
+    p = A.purge(log, retention_days=0, as_of="2024-01-10 00:00:00", tree=tree)
+    edited = F.when(F.col("seq") == 500, F.lit('{"k": -1}')).otherwise(F.col("details"))
+    linked = F.when(F.col("seq") == 900, F.lit("f" * 64)).otherwise(F.col("previous_hash"))
+    verdicts = {
+        "a_intact": A.verify(log, tree=tree),
+        "b_details_edited": A.verify(log.withColumn("details", edited), tree=tree),
+        "c_deleted": A.verify(log.filter(F.col("seq") != 700), tree=tree),
+        "d_link_edited": A.verify(log.withColumn("previous_hash", linked), tree=tree),
+        "e_purged": A.verify(p.log, anchor_hash=p.anchor.first()[0], tree=p.tree, head=tree.head)}
+    return _verdicts(verdicts)
+
+
+def _verdicts(verdicts):
+    out = None
+    for name, v in verdicts.items():
+        row = v.verdict.select(F.lit(name).alias("variant"), "valid", "event_index", "event_id", "violation")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 _BODY_SQL = ("concat_ws('|', length(event_id) || ':' || event_id, length(event_type) || ':' || event_type, "
@@ -974,22 +982,122 @@ SELECT event_id, linked AS is_linked FROM (
   SELECT event_id, {_linked_sql("repeat('0', 64)")} AS linked FROM v_c) WHERE NOT linked""")
 def q_audit_chain_view_broken(spark, sf_dir):
     log = A.reliable_log(_f5_log(spark, sf_dir))
-    view = A.chain_view(log.filter(F.col("seq") != 700))
+    view = A.chain_view(log.filter(F.col("seq") != 700), tree=_f5_tree(log))
     return A.broken_links(view).join(view.select("event_id", "is_linked"), "event_id").select("event_id", "is_linked")
 
 
-@register("audit_block_headers", _F5_STORED + f""",
-blocks AS (SELECT (seq - 1) // {A.BLOCK_ROWS} AS block, min(seq) AS first_seq, max(seq) AS last_seq,
-                  count(*) AS rows, arg_max(h, seq) AS block_hash FROM stored GROUP BY 1),
-heads(block, header_hash) AS (
-  SELECT CAST(-1 AS BIGINT), repeat('0', 64)
-  UNION ALL
-  SELECT b.block, sha256(concat_ws('|', b.block, b.first_seq, b.last_seq, b.rows, b.block_hash, heads.header_hash))
-  FROM heads JOIN blocks b ON b.block = heads.block + 1)
-SELECT b.block, b.first_seq, b.last_seq, b.rows, b.block_hash, heads.header_hash
-FROM blocks b JOIN heads ON heads.block = b.block""")
+_LEAF_SQL = f"""leaf AS (
+  SELECT (seq - 1) // {A.BLOCK_ROWS} AS idx, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS rows,
+         arg_max(h, seq) AS block_hash FROM stored GROUP BY 1),
+l0 AS (SELECT 0 AS level, idx, first_seq, last_seq, rows,
+              sha256(concat_ws('|', 'leaf', idx, first_seq, last_seq, rows, block_hash)) AS node_hash FROM leaf)"""
+
+
+@register("audit_block_headers", _F5_STORED + f""", {_LEAF_SQL}
+SELECT idx AS block, first_seq, last_seq, rows, block_hash, node_hash AS header_hash FROM leaf JOIN l0 USING (idx, first_seq, last_seq, rows)""")
 def q_audit_block_headers(spark, sf_dir):
-    return A.block_headers(_f5_log(spark, sf_dir)).drop("previous_header")
+    return A.block_headers(_f5_log(spark, sf_dir))
+
+
+def _tree_sql(fanout: int, top: int) -> str:
+    """Nodes of all levels, recomputed level by level (``top`` levels at most)."""
+    each = [f"""l{n} AS (
+  SELECT {n} AS level, idx // {fanout} AS idx, min(first_seq) AS first_seq, max(last_seq) AS last_seq,
+         CAST(sum(rows) AS BIGINT) AS rows,
+         sha256(concat_ws('|', 'node', {n}, idx // {fanout}, sum(rows), string_agg(node_hash, '|' ORDER BY idx))) AS node_hash
+  FROM l{n - 1} GROUP BY idx // {fanout})""" for n in range(1, top + 1)]
+    union = " UNION ALL ".join(f"SELECT * FROM l{n}" for n in range(top + 1))
+    return ", ".join([_LEAF_SQL, *each]) + f"""
+SELECT CAST(level AS INTEGER) AS level, idx, first_seq, last_seq, rows, node_hash FROM ({union})
+WHERE level <= greatest(1, (SELECT ceil(log2(max(idx) + 1) / log2({fanout}) - 1e-9) FROM leaf))"""
+
+
+_NODES = ("level", "idx", "first_seq", "last_seq", "rows", "node_hash")
+
+
+@register("audit_tree_nodes", _F5_STORED + ", " + _tree_sql(2, 10))
+def q_audit_tree_nodes(spark, sf_dir):
+    """The authenticated tree of the log, two nodes to a parent."""
+    return audit_tree.build(_f5_log(spark, sf_dir), block_rows=A.BLOCK_ROWS, fanout=2).nodes.select(*_NODES)
+
+
+@register("audit_tree_extended", _F5_STORED + ", " + _tree_sql(2, 10))
+def q_audit_tree_extended(spark, sf_dir):
+    """The same tree, grown by three appends (the January days up to the 4th, to the 20th, the rest)."""
+    events = FX.f5_events(spark, sf_dir)
+    day = F.to_date("timestamp")
+    cuts = [F.lit("2024-01-04").cast("date"), F.lit("2024-01-20").cast("date")]
+    parts = [events.where(day <= cuts[0]), events.where((day > cuts[0]) & (day <= cuts[1])), events.where(day > cuts[1])]
+    log = tree = None
+    for part in parts:
+        new = A.audit_append_recorded(part, order_by=_F5_ORDER, tail=log, tree=tree, fanout=2)
+        rows = A.reliable_log(new.rows)
+        log, tree = rows if log is None else log.unionByName(rows), new.tree
+    return tree.nodes.select(*_NODES)
+
+
+def _block_verdict_sql(variant: str, rows: str) -> str:
+    """Verdict on rows whose own links and hashes are sound: the first event after
+    a block that does not end as recorded, or the last event."""
+    ends = f"SELECT (seq - 1) // {A.BLOCK_ROWS} AS b, max(seq) AS s, arg_max(h, seq) AS h FROM {{}} GROUP BY 1"
+    return f"""
+SELECT '{variant}' AS variant, t.seq IS NULL AS valid, t.idx AS event_index,
+       CASE WHEN t.seq IS NOT NULL THEN printf('AUD-%08d', t.seq) END AS event_id,
+       CASE WHEN t.seq IS NOT NULL THEN 'block_mismatch' END AS violation
+FROM (SELECT 1) one LEFT JOIN (
+  SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS idx, seq = max(seq) OVER () AS last FROM {rows}
+  QUALIFY (seq - 1) // {A.BLOCK_ROWS} - 1 IN (SELECT b FROM bad_{variant}) AND (seq - 1) % {A.BLOCK_ROWS} = 0
+       OR last AND EXISTS (SELECT 1 FROM bad_{variant} WHERE b >= (seq - 1) // {A.BLOCK_ROWS})
+  ORDER BY seq LIMIT 1) t ON true""", f"""
+bad_{variant} AS (SELECT coalesce(r.b, n.b) AS b FROM ({ends.format("stored")}) r FULL JOIN ({ends.format(rows)}) n
+  ON r.b = n.b WHERE r.s IS DISTINCT FROM n.s OR r.h IS DISTINCT FROM n.h)"""
+
+
+_REHASHED = [("f_block_rehashed", "v_f"), ("g_end_dropped", "v_g"), ("h_intact", "stored")]
+_REHASHED_SQL = [_block_verdict_sql(*x) for x in _REHASHED]
+
+
+@register("audit_verify_rehashed_block", _F5_STORED + f""",
+arr_f AS MATERIALIZED (SELECT list(body ORDER BY seq) AS bodies, count(*) AS n FROM (
+  SELECT seq, CASE WHEN seq = 500 THEN regexp_replace(body, '[|]([0-9]+:[{{]|~)[^|]*$', '|9:{{"k":-1}}') ELSE body END AS body
+  FROM b WHERE seq <= {A.BLOCK_ROWS})),
+chain_f(seq, prev, h) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), repeat('0', 64)
+  UNION ALL
+  SELECT c.seq + 1, c.h, sha256(arr_f.bodies[c.seq + 1] || '|64:' || c.h) FROM chain_f c, arr_f WHERE c.seq < arr_f.n),
+v_f AS (SELECT s.seq, coalesce(f.h, s.h) AS h FROM stored s LEFT JOIN chain_f f ON f.seq = s.seq),
+v_g AS (SELECT seq, h FROM stored WHERE seq <= (SELECT max(seq) - 100 FROM stored)),
+""" + ",".join(x[1] for x in _REHASHED_SQL) + " UNION ALL ".join(x[0] for x in _REHASHED_SQL))
+def q_audit_verify_rehashed_block(spark, sf_dir):
+    """An event of the first block edited and the block hashed anew, so that its
+    own links and hashes are sound; the end of the log dropped; the intact log."""
+    log = A.reliable_log(_f5_log(spark, sf_dir)).select(A.LOG_COLUMNS)
+    tree = _f5_tree(log)
+    forged = A.audit_append(log.select("event_type", "timestamp", "actor", "action", "resource", F.col("seq").alias("_o"),
+                                       F.when(F.col("seq") == 500, F.lit('{"k":-1}')).otherwise(F.col("details"))
+                                       .alias("details")), order_by=["_o"]).select(A.LOG_COLUMNS)
+    first = F.col("seq") <= A.BLOCK_ROWS
+    last = log.agg(F.max("seq")).first()[0]
+    return _verdicts({
+        "f_block_rehashed": A.verify(A.reliable_log(forged.where(first).unionByName(log.where(~first))), tree=tree),
+        "g_end_dropped": A.verify(log.where(F.col("seq") <= last - 100), tree=tree),
+        "h_intact": A.verify(log, tree=tree, head=tree.head)})
+
+
+@register("audit_purged_tree", _F5_STORED + f""",
+cut AS (SELECT min(seq) AS s, (SELECT max(seq) FROM stored) AS last FROM stored WHERE ts >= timestamp '2024-01-20 00:00:00'),
+nodes AS (WITH {_tree_sql(2, 10)}),
+opened AS (SELECT level, idx FROM nodes, cut WHERE last_seq >= s OR last_seq = last)
+SELECT n.level, n.idx, n.first_seq, n.last_seq, n.rows, n.node_hash, NOT (n.last_seq >= s OR n.last_seq = last) AS pruned
+FROM nodes n, cut WHERE n.level = (SELECT max(level) FROM nodes)
+   OR EXISTS (SELECT 1 FROM opened o WHERE o.level = n.level + 1 AND o.idx = n.idx // 2)""")
+def q_audit_purged_tree(spark, sf_dir):
+    """What a purge leaves of the tree: the old head still follows from it."""
+    log = A.reliable_log(_f5_log(spark, sf_dir))
+    tree = audit_tree.build(log, block_rows=A.BLOCK_ROWS, fanout=2)
+    p = A.purge(log, retention_days=0, as_of="2024-01-20 00:00:00", tree=tree)
+    sound = audit_tree.broken_nodes(p.tree, tree.head)
+    return p.tree.nodes.select(*_NODES, "pruned").join(sound, ["level", "idx"], "left_anti")
 
 
 @register("audit_verify_null_hash", _F5_STORED + """,
@@ -1002,7 +1110,7 @@ def q_audit_verify_null_hash(spark, sf_dir):
     last = F.col("seq") == log.agg(F.max("seq")).first()[0]
     t = log.withColumn("event_hash", F.when(~last, F.col("event_hash"))) \
         .withColumn("details", F.when(last, F.lit('{"k": -1}')).otherwise(F.col("details")))
-    return A.verify(t).verdict.select(F.lit("last_hash_null").alias("variant"), "valid", "event_index", "event_id",
+    return A.verify(t, tree=_f5_tree(log)).verdict.select(F.lit("last_hash_null").alias("variant"), "valid", "event_index", "event_id",
                                       "violation")
 
 
@@ -1032,7 +1140,8 @@ def q_audit_canonical_details(spark, sf_dir):
 @register("audit_chain_valid", _F5_STORED + f"""
 SELECT bool_and(linked) AS chain_is_valid FROM (SELECT {_linked_sql("repeat('0', 64)")} AS linked FROM stored)""")
 def q_audit_chain_valid(spark, sf_dir):
-    return A.chain_valid(A.chain_view(_f5_log(spark, sf_dir)))
+    log = _f5_log(spark, sf_dir)
+    return A.chain_valid(A.chain_view(log, tree=_f5_tree(log)))
 
 
 @register("audit_purged", _F5_SEQ + """
@@ -1421,7 +1530,7 @@ SELECT seq, event_id, is_linked, hash_ok FROM checked WHERE NOT is_linked OR NOT
 def q_audit_verify_tampered_rows(spark, sf_dir):
     log = A.reliable_log(_f5_log(spark, sf_dir))
     t = log.withColumn("details", F.when(F.col("seq") == 500, F.lit('{"k": -1}')).otherwise(F.col("details")))
-    rows = A.verify(t).rows
+    rows = A.verify(t, tree=_f5_tree(log)).rows
     return rows.filter(~F.col("is_linked") | ~F.col("hash_ok")).select("seq", "event_id", "is_linked", "hash_ok")
 
 
@@ -1701,8 +1810,9 @@ SELECT event_id, row_number() OVER (ORDER BY seq) - 1 AS position FROM (
   SELECT seq, event_id, {_linked_sql("repeat('0', 64)")} AS linked FROM stored WHERE seq % 100 <> 50) WHERE NOT linked""")
 def q_audit_broken_links_sorted(spark, sf_dir):
     from .seq import dense_sequence
-    log = A.reliable_log(_f5_log(spark, sf_dir)).filter(F.col("seq") % 100 != 50)
-    return dense_sequence(A.broken_links(A.chain_view(log)), ["seq"], name="position", start=0).select(
+    log = A.reliable_log(_f5_log(spark, sf_dir))
+    view = A.chain_view(log.filter(F.col("seq") % 100 != 50), tree=_f5_tree(log))
+    return dense_sequence(A.broken_links(view), ["seq"], name="position", start=0).select(
         "event_id", "position")
 
 

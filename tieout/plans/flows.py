@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import audit_tree
 from ..operators import checks as C
 from ..operators import exceptions as X
 from ..operators import gate as G
@@ -44,6 +45,12 @@ def _chain(events: list[DataFrame]) -> DataFrame:
     return A.audit_append(u, order_by=["_ord"])
 
 
+def _recorded(events: list[DataFrame]) -> tuple[DataFrame, A.Verification]:
+    """The flow's log with its tree recorded, and its verification against it."""
+    log = A.reliable_log(_chain(events))
+    return log, A.verify(log, tree=audit_tree.build(log, block_rows=A.BLOCK_ROWS))
+
+
 def two_source(source: DataFrame, target: DataFrame, history: DataFrame, *, key: str, amount: str,
                as_of: str, params: G.GateParams = G.GateParams(), money_scale: int | None = 2,
                history_value_col: str = "value") -> dict[str, DataFrame]:
@@ -63,8 +70,7 @@ def two_source(source: DataFrame, target: DataFrame, history: DataFrame, *, key:
                details=F.to_json(F.struct("match_rate")), as_of=as_of),
         _gate_event(verdict, 2, "zscore_anomaly_detection", as_of),
     ]
-    log = A.reliable_log(_chain(ev))
-    ver = A.verify(log)
+    log, ver = _recorded(ev)
     summary = report.crossJoin(overall.select("overall_status")) \
         .crossJoin(verdict.select("gate_decision", "blocked")) \
         .crossJoin(log.agg(F.count(F.lit(1)).alias("audit_events"))) \
@@ -94,8 +100,7 @@ def mismatch_to_queue(source: DataFrame, target: DataFrame, *, key: str, value_f
                event_type="exception_created", action=F.lit("created"), resource=F.col("exception_id"),
                details=F.to_json(F.struct("severity")), as_of=as_of),
     ]
-    log = A.reliable_log(_chain(ev))
-    ver = A.verify(log)
+    log, ver = _recorded(ev)
     summary = X.open_count(queue).crossJoin(log.agg(F.count(F.lit(1)).alias("audit_events"))) \
         .crossJoin(ver.verdict.select(F.col("valid").alias("chain_valid")))
     return {"results": results, "queue": queue, "audit_log": log, "summary": summary}
@@ -130,8 +135,7 @@ def three_way(gl: DataFrame, proc: DataFrame, wh: DataFrame, history: DataFrame,
                as_of=as_of),
         _gate_event(verdict, 2, "zscore_gl_amounts", as_of),
     ]
-    log = A.reliable_log(_chain(ev))
-    ver = A.verify(log)
+    log, ver = _recorded(ev)
     by_sev = X.queue_summary(queue)
     summary = queue.agg(F.count(F.lit(1)).alias("exceptions"),
                         F.count_if(F.col("severity") == "high").alias("high"),
