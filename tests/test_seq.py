@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tieout.plans import seq
+from tieout.plans import radix, seq
 
 
 def test_lag_over_with_more_partitions_than_rows(spark):
@@ -33,7 +33,7 @@ def test_exact_median_distributed_matches_numpy_with_nan_groups(spark):
            [("c", 1.0), ("c", float("nan")), ("c", 3.0)] + [("d", None)] + [(None, 2.0), (None, 4.0)] + \
            [("e", 7.0)] * 50 + [("e", 1.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    got = {r.g: (r.m, r.n) for r in seq.exact_group_median(df, ["g"], "v", out="m", num_partitions=7).collect()}
+    got = {r.g: (r.m, r.n) for r in radix.exact_group_median(df, ["g"], "v", out="m").collect()}
     for g in ("a", "b"):
         vals = np.array([v for k, v in rows if k == g])
         assert got[g][1] == len(vals) and abs(got[g][0] - float(np.median(vals))) < 1e-12
@@ -48,3 +48,42 @@ def test_group_row_number_distributed_equals_window(spark):
     want = {(r.g, r.o): r.rn for r in
             df.select("g", "o", F.row_number().over(Window.partitionBy("g").orderBy("o")).alias("rn")).collect()}
     assert got == want
+
+
+def test_first_digit_keeps_the_order_of_doubles(spark):
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * 2 + rng.integers(0, 2, 4000).astype(np.uint64)
+    v = np.concatenate([bits.view(np.float64), [0.0, 1.0, 2.0, 0.5, 4.9e-324, 2.2250738585072014e-308, 1.7976931348623157e308,
+                                                float("inf"), 3.0, 1 - 2 ** -53, 1 + 2 ** -52, 2 ** 0.5] * 2])
+    v[-12:] *= -1
+    v = v[~np.isnan(v)]
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    got = sorted((r.v, r.d) for r in df.select("v", radix.first_digit("v").alias("d")).collect())
+    assert [d for _, d in got] == sorted(d for _, d in got) and len({d for _, d in got}) > 1000
+
+
+def test_median_by_radix_passes_equals_numpy(spark, monkeypatch):
+    monkeypatch.setattr(radix, "SMALL", 3)  # so that bins are refined down to the last bits
+    rng = np.random.default_rng(5)
+    sets = {"near": 1.0 + rng.integers(0, 200, 301) * 2.0 ** -50, "wide": np.exp(rng.normal(0, 200, 400)) * rng.choice([-1, 1], 400),
+            "hot": np.concatenate([np.full(500, -7.25), rng.normal(-7.25, 1e-9, 400)]), "two": np.array([-1.5, 4.0]),
+            "zero": np.array([0.0, -0.0, 0.0, 1e-320]), "inf": np.array([-np.inf, np.inf, 5.0]), "int": rng.integers(-50, 50, 999) * 1.0}
+    rows = [(g, float(x)) for g, vs in sets.items() for x in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {r.g: (r.m, r.n) for r in radix.exact_group_median(df, ["g"], "v", out="m").collect()}
+    for g, vs in sets.items():
+        assert got[g] == (float(np.median(vs)), len(vs)), g
+    finite = df.where("g <> 'inf'")
+    every = np.concatenate([vs for g, vs in sets.items() if g != "inf"])
+    r = radix.exact_group_median(finite, [], "v").first()
+    assert (r["median"], r["n"]) == (float(np.median(every)), len(every))
+    r = radix.exact_group_median(finite.where("false"), [], "v").first()
+    assert r["median"] is None and r["n"] is None
+
+
+def test_median_neither_sorts_nor_copies_rows(spark):
+    df = spark.range(20000).select((F.col("id") % 3).alias("g"), (F.col("id") * 0.37 % 1000).alias("v"))
+    for groups in ([], ["g"]):
+        s = radix._Selection(df, groups, "v")
+        plan = s._bins(s.rows, s.by, radix.first_digit("_v"))._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Sort " not in plan and "partial_count" in plan

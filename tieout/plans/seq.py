@@ -10,8 +10,6 @@ folder (so every later pass sees the same partitions):
   by the partition count and safe to broadcast).
 * ``dense_sequence``: 1-based global position = partition offset + local index.
 * ``global_positions``: 0-based position after the range sort.
-* ``exact_group_median``: exact median per group from counts of distinct
-  values (no group is ever gathered into one task).
 * ``lag_over``: the previous row's value in a global order (LAG without a
   single-partition window): in-partition shift in Arrow batches plus a
   boundary fix-up from the previous non-empty partition.
@@ -80,44 +78,6 @@ def global_positions(blocks: DataFrame, name: str = "_pos") -> DataFrame:
         .drop("_offset", "_first_mid")
 
 
-def exact_group_median(df: DataFrame, group_cols: list[str], value_col: str,
-                       out: str = "median", num_partitions: int | None = None) -> DataFrame:
-    """Exact (interpolated) median per group, NULLs ignored; NaN anywhere in a
-    group gives NaN (numpy semantics); a NULL group is a group. Output: group
-    cols, ``out``, ``n``.
-
-    Plan: equal values collapse to (group, value, count) map-side, so a value
-    or a group that holds a third of all rows costs a row per task. The
-    distinct values are range-sorted; running counts inside a range partition
-    plus the counts of the partitions before it give every value the span of
-    positions it covers, and the values that cover the two middle positions
-    of a group are picked by an aggregate.
-    """
-    v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counts = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    blocks = ordered_blocks(counts, [*group_cols, "_v"], num_partitions)
-    per = blocks.groupBy(_PID).agg(F.sum("_c").alias("_n"))
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select(_PID, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
-    spans = blocks.join(F.broadcast(offs), _PID)  # bounded by the partition count
-    spans = spans.withColumn("_end", F.col("_offset") + F.sum("_c").over(inside)) \
-        .withColumn("_begin", F.col("_end") - F.col("_c"))
-    stats = spans.groupBy(*group_cols).agg(F.min("_begin").alias("_start"), F.sum("_c").alias("n"),
-                                           F.max(F.isnan("_v").cast("int")).alias("_nan"))
-    j = join_groups(spans, stats, group_cols)
-
-    def at(position: Column) -> Column:
-        hit = (F.col("_begin") <= position) & (position < F.col("_end"))
-        return F.max(F.when(hit, F.col("_v")))
-    lo = F.col("_start") + F.floor((F.col("n") - 1) / 2).cast("long")
-    hi = F.col("_start") + F.floor(F.col("n") / 2).cast("long")
-    med = j.groupBy(*group_cols).agg(F.max("n").alias("n"), F.max("_nan").alias("_nan"),
-                                     ((at(lo) + at(hi)) / 2).alias("_m"))
-    return med.select(*group_cols,
-                      F.when(F.col("_nan") == 1, F.lit(float("nan"))).otherwise(F.col("_m")).alias(out), "n")
-
-
 # ---------------------------------------------------------------- LAG
 def _arrow_lag(value_col: str, out_col: str, schema: T.StructType):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
