@@ -42,8 +42,8 @@ from .kernels import ALNUM, LOWER, WordHasher, kgrams, mix, pieces, split_words,
 WINDOW, STRIDE = 24, 8
 DF_BITS, FEATURE_BITS, RANK, ROUNDS = 16, 14, 256, 2
 MIN_COSINE = 0.5
-#: Windows folded in at once: their rows stay in the cache.
-CHUNK = 512
+#: Stretches of the widest stride folded in at once: their rows stay in the cache.
+CHUNK = 256
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.5
 GAP = 12
 RUN, SEED = 13, 5
@@ -168,7 +168,8 @@ class Item:
 
     def __init__(self, item_id, h: np.ndarray, answer: int):
         self.id, self.h, self.answer = item_id, h, answer
-        self.known, self.masks = np.unique(h), {}
+        self.known, self.counts = np.unique(h, return_counts=True)
+        self.masks: dict = {}
         for i, w in enumerate(h.tolist()):
             self.masks[w] = self.masks.get(w, 0) | 1 << i
 
@@ -219,12 +220,19 @@ def lcs_length(masks: dict, n: int, words: list) -> int:
     return n - left.bit_count()
 
 
+def overlap(item: Item, kinds: np.ndarray) -> int:
+    """Words that the item and a stretch share, repeats counted; ``kinds`` numbers the stretch's words in the item."""
+    return int(np.minimum(np.bincount(kinds, minlength=len(item.counts)), item.counts).sum())
+
+
 def places(item: Item, words: np.ndarray, lo: int, hi: int, least: float):
     """(places in the item, places in the text) of the matches of ``least`` words or more inside words[lo:hi]."""
     n = len(item.h)
     place = np.minimum(item.known.searchsorted(words[lo:hi]), len(item.known) - 1)
     held = lo + np.flatnonzero(item.known[place] == words[lo:hi])
-    if len(held) < least:
+    # the common subsequence holds a word no more often than either side: an exact bound before any search
+    kinds = place[held - lo]
+    if len(held) < least or overlap(item, kinds) < least:
         return
     span, step = 2 * n + GAP, max(1, n // 2)
     seen = set()
@@ -234,7 +242,7 @@ def places(item: Item, words: np.ndarray, lo: int, hi: int, least: float):
             continue
         seen.add((a, b))
         at = held[a:b]
-        if lcs_length(item.masks, n, words[at].tolist()) >= least:
+        if overlap(item, kinds[a:b]) >= least and lcs_length(item.masks, n, words[at].tolist()) >= least:
             mine, theirs = lcs_places(item.h, words[at])
             yield mine, at[theirs]
     if held[-1] - held[0] >= span and lcs_length(item.masks, n, words[held].tolist()) >= least:
@@ -293,6 +301,10 @@ class Search:
         self.idf = idf
         self.items = prepare_items(rows, WordHasher())
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(i.h for i in self.items)]))
+        # the items' words as one sorted list of (item, word), with their counts
+        self.pairs = np.concatenate([np.empty(0, np.int64), *(
+            k * len(self.vocabulary) + np.searchsorted(self.vocabulary, i.known) for k, i in enumerate(self.items))])
+        self.pair_counts = np.concatenate([np.empty(0, np.int64), *(i.counts for i in self.items)])
         self.basis = np.ascontiguousarray(basis, np.float32)  # row by row, as it is read
         # items of at most three quarters of a window use one of half the size
         sizes = [(window, stride)]
@@ -330,39 +342,73 @@ class Search:
         place = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         weight = np.where(self.vocabulary[place] == h, weight, 0).astype(np.float32)
         feature = _feature(h, self.bits)
-        return [x for group in self.groups for x in self._near(group, feature, weight, doc_words)]
-
-    def _near(self, group, feature: np.ndarray, weight: np.ndarray, doc_words: np.ndarray):
-        size, step, passages, of = group
-        doc, first, end = _windows(doc_words, size, step)
-        # windows overlap: each stretch of a stride's words is folded in once for all windows that hold it;
-        # empty stretches after every text stand for what its last window lacks
-        per = size // step
+        # Windows overlap, and those of the smaller sizes start at parts of a stride: every stretch of the finest
+        # stride is folded in once, from its words of some weight, and stretches are added up for all windows. A
+        # text starts at a multiple of the widest stride; empty stretches after it stand for what its last window lacks.
+        finest, widest = min(g[1] for g in self.groups), max(g[1] for g in self.groups)
+        pad = max(g[0] for g in self.groups) // widest
         n_words = np.diff(doc_words)
-        base = np.concatenate([[0], np.cumsum(-(-n_words // step) + per - 1)])
-        slot = np.arange(len(feature)) + np.repeat(base[:-1] * step - doc_words[:-1], n_words)
-        features, weights = np.zeros(base[-1] * step, np.int64), np.zeros(base[-1] * step, np.float32)
-        features[slot], weights[slot] = feature, weight
-        features, weights = features.reshape(-1, step), weights.reshape(-1, step)
-        held = base[doc] + (first - doc_words[doc]) // step
+        base = np.concatenate([[0], np.cumsum(-(-n_words // widest) + pad)])
+        slot = np.arange(len(h)) + np.repeat(base[:-1] * widest - doc_words[:-1], n_words)
+        some = np.flatnonzero(weight)
+        stretch, feature, weight = slot[some] // finest, feature[some], weight[some]
+        edge = np.flatnonzero(np.diff(stretch, prepend=-1))
+        nth = np.arange(len(stretch)) - np.repeat(edge, np.diff(np.append(edge, len(stretch))))  # word of its stretch
+        windows = []
+        for size, step, passages, of in self.groups:
+            doc, first, end = _windows(doc_words, size, step)
+            windows.append((step, size // step, passages, of, doc, first, end,
+                            base[doc] * (widest // step) + (first - doc_words[doc]) // step))
         out = []
-        for lo in range(0, len(doc), CHUNK):
-            at = held[lo:lo + CHUNK]
-            f, w = features[at[0]:at[-1] + per], weights[at[0]:at[-1] + per]
-            part, row = np.zeros((2, len(f), self.basis.shape[1]), np.float32)
-            for j in range(step):
-                np.take(self.basis, f[:, j], axis=0, out=row, mode="clip")
-                row *= w[:, j, None]
-                part += row
-            z = part[at - at[0]]
-            for j in range(1, per):
-                z += part[at - at[0] + j]
-            z /= np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-9)[:, None]
-            for p in range(0, len(of), 4096):
-                cos = z @ passages[p:p + 4096].T
-                a, b = np.divmod(np.flatnonzero(cos >= self.min_cosine), cos.shape[1])
-                out += zip(doc[lo + a].tolist(), first[lo + a].tolist(), end[lo + a].tolist(), of[p + b].tolist(),
-                           cos[a, b].tolist())
+        for lo in range(0, int(base[-1]), CHUNK):
+            hi = min(lo + CHUNK, int(base[-1]))
+            last = min(hi + pad, int(base[-1]))
+            fine = np.zeros(((last - lo) * (widest // finest), self.basis.shape[1]), np.float32)
+            a, b = np.searchsorted(stretch, [lo * (widest // finest), last * (widest // finest)])
+            for j in range(finest):
+                k = a + np.flatnonzero(nth[a:b] == j)
+                row = self.basis[feature[k]]
+                row *= weight[k, None]
+                fine[stretch[k] - lo * (widest // finest)] += row
+            for step, per, passages, of, doc, first, end, held in windows:
+                x, y = np.searchsorted(held, [lo * (widest // step), hi * (widest // step)])
+                if x < y:
+                    part = fine.reshape(-1, step // finest, fine.shape[1]).sum(axis=1)
+                    out += self._near(part, held[x:y] - lo * (widest // step), per, passages, of,
+                                      doc[x:y], first[x:y], end[x:y])
+        return out
+
+    def _near(self, part, held, per, passages, of, doc, first, end):
+        """Windows of ``per`` stretches each that come near a passage."""
+        z, out = part[held], []
+        for j in range(1, per):
+            z += part[held + j]
+        z /= np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-9)[:, None]
+        for p in range(0, len(of), 4096):
+            cos = z @ passages[p:p + 4096].T
+            a, b = np.divmod(np.flatnonzero(cos >= self.min_cosine), cos.shape[1])
+            out += zip(doc[a].tolist(), first[a].tolist(), end[a].tolist(), of[p + b].tolist(), cos[a, b].tolist())
+        return out
+
+    def overlaps(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Words that item k[i] and h[lo[i]:hi[i]] share, repeats counted, for all regions at once."""
+        out = np.zeros(len(lo), np.int64)
+        if len(lo) == 0 or len(self.vocabulary) == 0:
+            return out
+        place = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        some = np.flatnonzero(self.vocabulary[place] == h)
+        place = place[some]
+        first, stop = np.searchsorted(some, lo), np.searchsorted(some, hi)
+        for a in range(0, len(lo), 4096):
+            n = (stop - first)[a:a + 4096]
+            of = np.repeat(np.arange(a, a + len(n)), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a:a + 4096], n)
+            want = k[of] * len(self.vocabulary) + place[at]
+            pair = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+            hit = self.pairs[pair] == want
+            key, count = np.unique(of[hit] * len(self.pairs) + pair[hit], return_counts=True)
+            region, pair = np.divmod(key, len(self.pairs))
+            out += np.bincount(region, np.minimum(count, self.pair_counts[pair]), len(out)).astype(np.int64)
         return out
 
     def seeded(self, h: np.ndarray, doc_words: np.ndarray):
@@ -401,21 +447,32 @@ class Search:
         spots: dict = {}
         for doc, first, end, k in sorted(self.seeded(h, doc_words)):
             spots.setdefault((doc, k), []).append((first, end))
-        found = []
-        for doc, k in dict.fromkeys([*regions, *spots]):
-            spans = regions.get((doc, k), [])
-            item, reach = self.items[k], len(self.items[k].h)
-            lo, hi = int(doc_words[doc]), int(doc_words[doc + 1])
+        near_by: dict = {}
+        flat = []
+        for (doc, k), spans in regions.items():
+            reach, lo, hi = len(self.items[k].h), int(doc_words[doc]), int(doc_words[doc + 1])
             merged: list = []
             for first, end, cos in sorted(spans):  # windows within reach of each other make one region
                 if merged and first - reach <= merged[-1][1] + reach:
                     merged[-1] = (merged[-1][0], max(end, merged[-1][1]), max(cos, merged[-1][2]))
                 else:
                     merged.append((first, end, cos))
+            flat += [(doc, k, max(lo, first - reach), min(hi, end + reach), cos) for first, end, cos in merged]
+        # a region that shares too few words with the item cannot hold them in order: an exact bound, all regions at once
+        some = np.array([x[1:4] for x in flat], np.int64).reshape(-1, 3)
+        shared = self.overlaps(h, some[:, 1], some[:, 2], some[:, 0]).tolist()
+        least = min(self.verbatim, self.paraphrase)
+        for (doc, k, first, end, cos), n in zip(flat, shared):
+            if n >= least * len(self.items[k].h):
+                near_by.setdefault((doc, k), []).append((first, end, cos))
+        found = []
+        for doc, k in dict.fromkeys([*near_by, *spots]):
+            spans = regions.get((doc, k), [])
+            item, reach = self.items[k], len(self.items[k].h)
+            lo, hi = int(doc_words[doc]), int(doc_words[doc + 1])
             best = (False, 0.0, 0.0, 0, 0)
-            for first, end, cos in merged:
-                got = verify(item, h, max(lo, first - reach), min(hi, end + reach), self.verbatim, self.paraphrase,
-                             self.answer)
+            for first, end, cos in near_by.get((doc, k), []):
+                got = verify(item, h, first, end, self.verbatim, self.paraphrase, self.answer)
                 if got[:3] > best[:3]:
                     best, near = got, cos
             run = (0, 0, 0)
