@@ -6,7 +6,7 @@ SF = "/root/testdata/sf0.001"
 
 #: Names that the operators use inside, as extra columns of the input.
 CLASHING = ("size", "target", "row", "block", "kind", "shard", "th", "bands", "h1", "doc", "dh", "row_key", "start",
-            "root", "node", "links", "score", "n_words", "kept_text", "source_no", "bucket", "x", "held_out", "label")
+            "root", "node", "links", "score", "n_words", "kept_text", "source_no", "bucket", "x", "held_out", "label", "__a", "__b", "__th", "__n", "__k0", "__K1")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
     f"{c} string" for c in CLASHING)
 

@@ -32,6 +32,7 @@ def test_jaccard_classes_on_test_data(spark):
 
 def test_keep_one(odd, none):
     kept = ngram_join.keep_one(odd)
+    assert kept.dtypes == odd.dtypes and kept.where("__a <> 'clash' OR __n <> 'clash' OR __K1 <> 'clash'").isEmpty()
     assert kept.columns == odd.columns
     rows = [(r.doc_id, r.text) for r in kept.collect()]
     classes = {}
@@ -264,7 +265,12 @@ def test_token_query_adds_up(spark):
     assert {r.doc_id: r.n for r in rows} == {d: len(encoding.encode_ordinary(t)) for d, t in texts.items()}
 
 
-def test_long_texts_are_cut_between_tokens():
+@pytest.mark.parametrize("text", [
+    "Abc def, ghi jkl. 12 abc" * 400, "0123456789" * 300, "7" * 3000 + "\n" + "8" * 3000, "word\n" * 2000,
+    "我们今天去公园玩，天气很好。你呢？" * 300, "漢字" * 2000, "x" * 5000, "aGVsbG8gd29ybGQx" * 300 + "==", "don't we'll they're 'sab'1 " * 200,
+    "a  b \t c\n\n d   \n" * 300, "!!! ... ---" * 300, "né1é2 ß٣٤ x'9 9's " * 200, "   " * 2000 + "end"])
+@pytest.mark.parametrize("span", [50, 1000])
+def test_long_texts_are_cut_between_tokens(text, span):
     encoding, _ = load()
-    text = "Abc def, ghi jkl. 12 abc" * 400
-    assert encode(encoding, text, span=100) == encoding.encode_ordinary(text)
+    assert list(encode(encoding, text, span=span)) == list(encoding.encode_ordinary(text))
+

@@ -16,16 +16,16 @@ def _pointed(edges: DataFrame) -> DataFrame:
     return both.join(least, "u")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges(u, v)`` of long ids; root is the smallest node of the component.
 
-    Each round's edges are written to the shared scratch folder. The number of
-    rounds is logarithmic; running out of ``max_rounds`` raises an error.
+    Each round's edges are written to the shared scratch folder. The rounds go on
+    until nothing changes; their number is logarithmic.
     """
     now = written(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u"))
                   .distinct(), "edges")
     state = None
-    for _ in range(max_rounds):
+    while True:
         large = _pointed(now).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -38,4 +38,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             pairs = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root")).distinct()
         state = seen
-    raise RuntimeError("components did not converge")

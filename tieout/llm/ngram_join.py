@@ -242,12 +242,23 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without all but one row of each class: the row of the smallest
     doc_id (then text hash) stays. Rows without words all stay."""
     classes = jaccard_classes(docs, **options)
+    a, b, th, n = _free_names(docs.columns, 4)
     at = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull())
     gone = classes.where(~(F.col("doc_id").eqNullSafe(F.col("rep_doc_id")) & (F.col("th") == F.col("rep_th"))))
-    gone = gone.select(at[0].alias("__a"), at[1].alias("__b"), F.col("th").alias("__th")).distinct()
-    mine = docs.withColumns({"__a": at[0], "__b": at[1], "__th": F.xxhash64(F.col("text").cast("string"))})
-    left = mine.join(gone, ["__a", "__b", "__th"], "left_anti")
+    gone = gone.select(at[0].alias(a), at[1].alias(b), F.col("th").alias(th)).distinct()
+    mine = docs.withColumns({a: at[0], b: at[1], th: F.xxhash64(F.col("text").cast("string"))})
+    left = mine.join(gone, [a, b, th], "left_anti")
     # identical rows are copies as well: one of them stays; rows without words are no copies
     words = F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r ", "") != ""
-    left = left.withColumn("__n", F.when(words, F.lit(-1)).otherwise(F.monotonically_increasing_id()))
-    return left.dropDuplicates(["__a", "__b", "__th", "__n"]).select(docs.columns)
+    left = left.withColumn(n, F.when(words, F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return left.dropDuplicates([a, b, th, n]).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free_names(taken: list[str], n: int) -> list[str]:
+    """Column names that the input does not have."""
+    used, out, i = {c.lower() for c in taken}, [], 0
+    while len(out) < n:
+        if f"__k{i}" not in used:
+            out.append(f"__k{i}")
+        i += 1
+    return out

@@ -27,21 +27,34 @@ def load(path: str = VOCABULARY, pattern: str = PATTERN):
     return kept[path, pattern]
 
 
+#: Where the pattern always parts, whatever stands around: no piece goes on from a letter to a digit, a sign or
+#: white space, or from a digit to anything else (white space stands at the front of a piece only).
+BORDER = (r"(?<=\p{L})(?=[\p{N} \n!-&(-/:-@\[-`{-~、。，！？「」])|(?<=\p{N})(?=[\p{L} \n!-/:-@\[-`{-~、。，！？「」])")
+
+
 def encode(encoding, text: str, span: int = 1 << 20):
     """Token ids of a whole text. Special strings are ordinary text. A text beyond
-    ``span`` code points is cut before a line or, failing that, between two
-    pieces of the pattern's choice, where the whole text's tokens part as well."""
+    ``span`` code points is cut at the last certain border before it, or, where there
+    is none, at the next one after it: the whole text's pieces part there as well, and
+    a piece's tokens do not depend on its neighbours."""
     if len(text) <= span:
         return encoding.encode_ordinary(text)
+    import regex
+
+    border = regex.compile(BORDER)
     out, at = [], 0
     while at < len(text):
-        to = min(at + span, len(text))
-        if to < len(text):
-            # a letter before a single space before a letter is always a border between pieces
-            cut = to
-            while cut > at + 1 and not (text[cut] == " " and text[cut - 1].isalpha() and text[cut + 1:cut + 2].isalpha()):
-                cut -= 1
-            to = cut if cut > at + 1 else to
+        to = len(text)
+        if at + span < to:
+            back, cut = 1 << 10, None
+            while cut is None and back < 2 * span:  # further and further back from the end of the span
+                first = max(at + 1, at + span - back)
+                cut = max((m.start() for m in border.finditer(text, first, at + span + 1)), default=None)
+                back *= 8
+            if cut is None:
+                after = border.search(text, at + span)
+                cut = after.start() if after else to
+            to = cut
         out += encoding.encode_ordinary(text[at:to])
         at = to
     return out
