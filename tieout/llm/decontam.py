@@ -87,8 +87,10 @@ def _frequencies(window: int, bits: int):
                 inside = (np.arange(len(h)) - doc_words[docs]) // window
                 most = int(inside.max(initial=0)) + 1
                 cell = (docs * most + inside) << bits | _bucket(h, bits)
-                seen = np.unique(cell)
-                counts += np.bincount(seen & ((1 << bits) - 1), minlength=1 << bits)
+                new = np.ones(len(cell), bool)  # a bucket counts once a passage: no equal one among the words before it
+                for back in range(1, min(window, len(cell))):
+                    new[back:] &= cell[back:] != cell[:-back]
+                counts += np.bincount(cell[new] & ((1 << bits) - 1), minlength=1 << bits)
                 total += int(np.sum(-(-np.diff(doc_words) // window)))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], total))],
@@ -301,6 +303,8 @@ class Search:
         self.idf = idf
         self.items = prepare_items(rows, WordHasher())
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(i.h for i in self.items)]))
+        self.ends = np.zeros(1 << 16, bool)  # last bits of the items' words: most other words end there
+        self.ends[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
         # the items' words as one sorted list of (item, word), with their counts
         self.pairs = np.concatenate([np.empty(0, np.int64), *(
             k * len(self.vocabulary) + np.searchsorted(self.vocabulary, i.known) for k, i in enumerate(self.items))])
@@ -334,14 +338,20 @@ class Search:
         self.groups = [(*size, np.array(vectors, np.float32).reshape(len(of), basis.shape[1]), np.array(of, np.int64))
                        for size, (vectors, of) in zip(sizes, of_size) if of]
 
-    def candidates(self, h: np.ndarray, doc_words: np.ndarray):
-        """(text, first, end, item, cosine) of every window that comes near a passage."""
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a text of the items' words, and their numbers."""
         if len(h) == 0 or len(self.vocabulary) == 0:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        some = np.flatnonzero(self.ends[(h & np.uint64(0xFFFF)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.vocabulary, h[some]), len(self.vocabulary) - 1)
+        good = self.vocabulary[place] == h[some]
+        return some[good], place[good]
+
+    def candidates(self, h: np.ndarray, doc_words: np.ndarray, some: np.ndarray):
+        """(text, first, end, item, cosine) of every window that comes near a
+        passage; ``some`` are the places of the items' words."""
+        if len(some) == 0:
             return []
-        weight = self.idf[_bucket(h, self.df_bits)]
-        place = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        weight = np.where(self.vocabulary[place] == h, weight, 0).astype(np.float32)
-        feature = _feature(h, self.bits)
         # Windows overlap, and those of the smaller sizes start at parts of a stride: every stretch of the finest
         # stride is folded in once, from its words of some weight, and stretches are added up for all windows. A
         # text starts at a multiple of the widest stride; empty stretches after it stand for what its last window lacks.
@@ -349,9 +359,9 @@ class Search:
         pad = max(g[0] for g in self.groups) // widest
         n_words = np.diff(doc_words)
         base = np.concatenate([[0], np.cumsum(-(-n_words // widest) + pad)])
-        slot = np.arange(len(h)) + np.repeat(base[:-1] * widest - doc_words[:-1], n_words)
-        some = np.flatnonzero(weight)
-        stretch, feature, weight = slot[some] // finest, feature[some], weight[some]
+        slot = some + np.repeat(base[:-1] * widest - doc_words[:-1], n_words)[some]
+        stretch, feature = slot // finest, _feature(h[some], self.bits)
+        weight = self.idf[_bucket(h[some], self.df_bits)].astype(np.float32)
         edge = np.flatnonzero(np.diff(stretch, prepend=-1))
         nth = np.arange(len(stretch)) - np.repeat(edge, np.diff(np.append(edge, len(stretch))))  # word of its stretch
         windows = []
@@ -390,14 +400,12 @@ class Search:
             out += zip(doc[a].tolist(), first[a].tolist(), end[a].tolist(), of[p + b].tolist(), cos[a, b].tolist())
         return out
 
-    def overlaps(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Words that item k[i] and h[lo[i]:hi[i]] share, repeats counted, for all regions at once."""
+    def overlaps(self, some: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Words that item k[i] and the text's words lo[i]:hi[i] share, repeats
+        counted, for all regions at once; ``some`` and ``place`` from ``known``."""
         out = np.zeros(len(lo), np.int64)
-        if len(lo) == 0 or len(self.vocabulary) == 0:
+        if len(lo) == 0 or len(some) == 0:
             return out
-        place = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        some = np.flatnonzero(self.vocabulary[place] == h)
-        place = place[some]
         first, stop = np.searchsorted(some, lo), np.searchsorted(some, hi)
         for a in range(0, len(lo), 4096):
             n = (stop - first)[a:a + 4096]
@@ -442,7 +450,8 @@ class Search:
     def leaks(self, h: np.ndarray, doc_words: np.ndarray) -> list[tuple]:
         """(text, item, cosine, share, answer share, first, last word of the text) of every verified leak."""
         regions: dict = {}
-        for doc, first, end, k, cos in self.candidates(h, doc_words):
+        known, place = self.known(h)
+        for doc, first, end, k, cos in self.candidates(h, doc_words, known):
             regions.setdefault((doc, k), []).append((first, end, cos))
         spots: dict = {}
         for doc, first, end, k in sorted(self.seeded(h, doc_words)):
@@ -460,7 +469,7 @@ class Search:
             flat += [(doc, k, max(lo, first - reach), min(hi, end + reach), cos) for first, end, cos in merged]
         # a region that shares too few words with the item cannot hold them in order: an exact bound, all regions at once
         some = np.array([x[1:4] for x in flat], np.int64).reshape(-1, 3)
-        shared = self.overlaps(h, some[:, 1], some[:, 2], some[:, 0]).tolist()
+        shared = self.overlaps(known, place, some[:, 1], some[:, 2], some[:, 0]).tolist()
         least = min(self.verbatim, self.paraphrase)
         for (doc, k, first, end, cos), n in zip(flat, shared):
             if n >= least * len(self.items[k].h):
