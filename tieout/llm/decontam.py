@@ -305,6 +305,7 @@ class Search:
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(i.h for i in self.items)]))
         self.ends = np.zeros(1 << 16, bool)  # last bits of the items' words: most other words end there
         self.ends[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.lengths = np.array([len(i.h) for i in self.items], np.int64)
         # the items' words as one sorted list of (item, word), with their counts
         self.pairs = np.concatenate([np.empty(0, np.int64), *(
             k * len(self.vocabulary) + np.searchsorted(self.vocabulary, i.known) for k, i in enumerate(self.items))])
@@ -348,10 +349,11 @@ class Search:
         return some[good], place[good]
 
     def candidates(self, h: np.ndarray, doc_words: np.ndarray, some: np.ndarray):
-        """(text, first, end, item, cosine) of every window that comes near a
-        passage; ``some`` are the places of the items' words."""
+        """Arrays (text, first, end, item, cosine) of every window that comes near
+        a passage; ``some`` are the places of the items' words."""
+        none = [np.empty(0, np.int64)] * 4 + [np.empty(0, np.float32)]
         if len(some) == 0:
-            return []
+            return none
         # Windows overlap, and those of the smaller sizes start at parts of a stride: every stretch of the finest
         # stride is folded in once, from its words of some weight, and stretches are added up for all windows. A
         # text starts at a multiple of the widest stride; empty stretches after it stand for what its last window lacks.
@@ -383,22 +385,25 @@ class Search:
             for step, per, passages, of, doc, first, end, held in windows:
                 x, y = np.searchsorted(held, [lo * (widest // step), hi * (widest // step)])
                 if x < y:
-                    part = fine.reshape(-1, step // finest, fine.shape[1]).sum(axis=1)
-                    out += self._near(part, held[x:y] - lo * (widest // step), per, passages, of,
-                                      doc[x:y], first[x:y], end[x:y])
-        return out
-
-    def _near(self, part, held, per, passages, of, doc, first, end):
-        """Windows of ``per`` stretches each that come near a passage."""
-        z, out = part[held], []
-        for j in range(1, per):
-            z += part[held + j]
+                    part = fine
+                    for _ in range((step // finest).bit_length() - 1):  # steps are powers of two apart
+                        part = part[0::2] + part[1::2]
+                    whole = part[:len(part) - per + 1].copy()
+                    for j in range(1, per):
+                        whole += part[j:len(part) - per + 1 + j]
+                    out.append(self._near(whole[held[x:y] - lo * (widest // step)], passages, of,
+                                          doc[x:y], first[x:y], end[x:y]))
+        return [np.concatenate(c) for c in zip(*out)] if out else none
+
+    def _near(self, z, passages, of, doc, first, end):
+        """The windows, by their vectors, that come near a passage."""
+        out = []
         z /= np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-9)[:, None]
         for p in range(0, len(of), 4096):
             cos = z @ passages[p:p + 4096].T
             a, b = np.divmod(np.flatnonzero(cos >= self.min_cosine), cos.shape[1])
-            out += zip(doc[a].tolist(), first[a].tolist(), end[a].tolist(), of[p + b].tolist(), cos[a, b].tolist())
-        return out
+            out.append((doc[a], first[a], end[a], of[p + b], cos[a, b]))
+        return [np.concatenate(c) for c in zip(*out)]
 
     def overlaps(self, some: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Words that item k[i] and the text's words lo[i]:hi[i] share, repeats
@@ -449,34 +454,32 @@ class Search:
 
     def leaks(self, h: np.ndarray, doc_words: np.ndarray) -> list[tuple]:
         """(text, item, cosine, share, answer share, first, last word of the text) of every verified leak."""
-        regions: dict = {}
         known, place = self.known(h)
-        for doc, first, end, k, cos in self.candidates(h, doc_words, known):
-            regions.setdefault((doc, k), []).append((first, end, cos))
+        doc, first, end, k, cos = self.candidates(h, doc_words, known)
+        order = np.lexsort((first, k, doc))
+        doc, first, end, k, cos = (c[order] for c in (doc, first, end, k, cos))
+        reach = self.lengths[k]
+        # windows within reach of each other make one region; those of one item have one size, so their ends rise as well
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (first[1:] - reach[1:] > end[:-1] + reach[1:])
+        at = np.flatnonzero(new)
+        stop = np.append(at[1:], len(new)) - 1
+        doc, k, reach = doc[at], k[at], reach[at]
+        first, end = np.maximum(doc_words[doc], first[at] - reach), np.minimum(doc_words[doc + 1], end[stop] + reach)
+        cos = np.maximum.reduceat(cos, at) if len(at) else cos
+        nearest: dict = {}
+        for d, i, c in zip(doc.tolist(), k.tolist(), cos.tolist()):
+            nearest[d, i] = max(c, nearest.get((d, i), 0.0))
+        # a region that shares too few words with the item cannot hold them in order: an exact bound, all regions at once
+        enough = self.overlaps(known, place, first, end, k) >= min(self.verbatim, self.paraphrase) * self.lengths[k]
+        near_by: dict = {}
+        for d, i, x, y, c in zip(*(v[enough].tolist() for v in (doc, k, first, end, cos))):
+            near_by.setdefault((d, i), []).append((x, y, c))
         spots: dict = {}
         for doc, first, end, k in sorted(self.seeded(h, doc_words)):
             spots.setdefault((doc, k), []).append((first, end))
-        near_by: dict = {}
-        flat = []
-        for (doc, k), spans in regions.items():
-            reach, lo, hi = len(self.items[k].h), int(doc_words[doc]), int(doc_words[doc + 1])
-            merged: list = []
-            for first, end, cos in sorted(spans):  # windows within reach of each other make one region
-                if merged and first - reach <= merged[-1][1] + reach:
-                    merged[-1] = (merged[-1][0], max(end, merged[-1][1]), max(cos, merged[-1][2]))
-                else:
-                    merged.append((first, end, cos))
-            flat += [(doc, k, max(lo, first - reach), min(hi, end + reach), cos) for first, end, cos in merged]
-        # a region that shares too few words with the item cannot hold them in order: an exact bound, all regions at once
-        some = np.array([x[1:4] for x in flat], np.int64).reshape(-1, 3)
-        shared = self.overlaps(known, place, some[:, 1], some[:, 2], some[:, 0]).tolist()
-        least = min(self.verbatim, self.paraphrase)
-        for (doc, k, first, end, cos), n in zip(flat, shared):
-            if n >= least * len(self.items[k].h):
-                near_by.setdefault((doc, k), []).append((first, end, cos))
         found = []
         for doc, k in dict.fromkeys([*near_by, *spots]):
-            spans = regions.get((doc, k), [])
             item, reach = self.items[k], len(self.items[k].h)
             lo, hi = int(doc_words[doc]), int(doc_words[doc + 1])
             best = (False, 0.0, 0.0, 0, 0)
@@ -492,11 +495,11 @@ class Search:
                 got = verify(item, h, max(lo, run[1] - reach), min(hi, run[2] + 1 + reach), self.verbatim,
                              self.paraphrase, self.answer)
                 if got[:3] > best[:3]:
-                    best, near = got, max((cos for _, _, cos in spans), default=0.0)
+                    best, near = got, nearest.get((doc, k), 0.0)
                 if not best[0]:
                     mine = max(best[1], run[0] / reach)
                     best = (True, mine, best[2], run[1], run[2])
-                    near = max((cos for _, _, cos in spans), default=0.0)
+                    near = nearest.get((doc, k), 0.0)
             if best[0]:
                 found.append((doc, item.id, near, *best[1:3], best[3] - lo, best[4] - lo))
         return found
