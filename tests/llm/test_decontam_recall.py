@@ -84,3 +84,10 @@ def test_longest_run():
     assert decontam.longest_run(a, join(a[:7], a[8:20]))[:3] == (19, 0, 18)
     assert decontam.longest_run(a, join(a[:7], other[:2], a[7:20]))[:1] == (13,)
     assert decontam.longest_run(a, other)[:1] == (0,) and decontam.longest_run(a, a[:0])[:1] == (0,)
+
+
+def test_texts_that_come_near_no_item(spark):
+    docs = spark.createDataFrame([(1, "zzz yyy xxx"), (2, None), (3, ""), (4, "qqq " * 50)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, " . ")],
+                                  "item_id long, text string")
+    assert decontam.find_leaks(docs, items).count() == 0 and decontam.keep_clean(docs, items).count() == 4

@@ -463,7 +463,7 @@ class Search:
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (first[1:] - reach[1:] > end[:-1] + reach[1:])
         at = np.flatnonzero(new)
-        stop = np.append(at[1:], len(new)) - 1
+        stop = np.append(at[1:], len(new))[:len(at)] - 1
         doc, k, reach = doc[at], k[at], reach[at]
         first, end = np.maximum(doc_words[doc], first[at] - reach), np.minimum(doc_words[doc + 1], end[stop] + reach)
         cos = np.maximum.reduceat(cos, at) if len(at) else cos
