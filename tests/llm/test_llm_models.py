@@ -115,6 +115,34 @@ def test_chat_history_is_repeated_and_masked(spark):
         assert chat.parse(b.formatted)[:b.n_history][-len(past):] == past or b.n_history > a.n_turns
 
 
+@pytest.mark.parametrize("section", [1 << 16, 500])
+def test_chat_system_turn_over_the_budget(spark, section):
+    """It stands whole once; the other windows keep their budget and say that it applies."""
+    long = "rule " * 20_000
+    turns = [(9, 0, "system", long)] + [(9, i, ("assistant", "user")[i % 2], f"turn {i} says little")
+                                        for i in range(1, 201)]
+    turns = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    windows = chat.chat_windows(turns, section_tokens=section).orderBy("first_turn").collect()
+    assert [w.over_budget for w in windows] == [True] + [False] * (len(windows) - 1) and len(windows) > 2
+    assert sum(len(w.formatted) for w in windows) < len(long) + 3 * 201 * 60
+    for w in windows[1:]:
+        assert w.system_marked and chat.parse(w.formatted)[0] == ("system", chat.MARKER)
+    assert chat.parse(windows[0].formatted) == [("system", long)]
+    row, = chat.read_back(chat.chat_windows(turns, section_tokens=section)).collect()
+    said = "".join(f"turn {i} says little" for i in range(1, 201) if i % 2 == 0)
+    assert row.n_turns == 201 and row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_chat_system_limit_is_kept(spark):
+    """A turn at the limit is repeated, one over it is not, and without room for the marker nothing is."""
+    turns = spark.createDataFrame([(1, 0, "system", "a b c d e f"), *((1, i, "user", "x " * 50) for i in range(1, 9))],
+                                  "conv_id long, turn long, role string, text string")
+    cost = chat.placed_turns(turns).where("idx = 0").first().tokens
+    for limit, kept in ((cost, 1), (cost - 1, 0)):
+        rows = chat.chat_windows(turns, budget=130, system_tokens=limit).where("first_turn > 0").collect()
+        assert {w.n_system for w in rows} == {kept} and not any(w.system_marked for w in rows)
+
+
 def test_chat_empty(spark):
     windows = chat.chat_windows(spark.createDataFrame([], TURN_SCHEMA))
     assert windows.count() == 0 and chat.read_back(windows).count() == 0
