@@ -1831,3 +1831,109 @@ def q_controls_evidence_rollup(spark, sf_dir):
                          name.alias("function_name")).agg(
         F.collect_set(F.concat(F.lit("res-"), (F.col("user_id") % 15).cast("string"))).alias("evidence"))
     return CT.evidence_rollup(controls, _f5_log(spark, sf_dir))
+
+
+def _controls(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    name = F.element_at(F.array(*map(F.lit, ("Identify", "Protect", "Detect"))), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.groupBy(F.concat(F.lit("CTL-"), (F.col("event_id") % 30).cast("string")).alias("control_id"),
+                     name.alias("function_name"), F.col("event_type").alias("category")).agg(
+        F.array_sort(F.collect_set(F.concat(F.lit("res-"), (F.col("user_id") % 15).cast("string")))).alias("evidence"))
+
+
+_CONTROLS_SQL = """
+WITH c AS (SELECT 'CTL-' || (event_id % 30) AS id, ['Identify', 'Protect', 'Detect'][event_id % 3 + 1] AS function,
+                  event_type AS category, list_sort(list(DISTINCT 'res-' || (user_id % 15))) AS evidence
+           FROM events GROUP BY 1, 2, 3)
+"""
+
+
+@register("controls_lookup", _CONTROLS_SQL + """
+SELECT id, function, category, 'mapped' AS evidence_status, array_to_string(evidence, ', ') AS evidence
+FROM c WHERE id = 'CTL-7'""")
+def q_controls_lookup(spark, sf_dir):
+    from ..operators import controls as CT
+    return CT.control_rows(CT.get_control(_controls(spark, sf_dir), "CTL-7"))
+
+
+@register("controls_summary", _CONTROLS_SQL + """
+SELECT 'NIST CSF 2.0' AS framework, count(*) AS total_controls_mapped,
+       array_to_string(list_sort(list(DISTINCT function)), ',') AS functions_covered, 100.0::DOUBLE AS mapping_coverage_pct,
+       'engineering_control_mapping_not_certification' AS assessment_scope,
+       array_to_string(list_sort(list(id || '|' || function || '|' || category || '|mapped')), ';') AS controls FROM c""")
+def q_controls_summary(spark, sf_dir):
+    from ..operators import controls as CT
+    s = CT.control_summary(_controls(spark, sf_dir))
+    lines = F.transform("controls", lambda x: F.concat_ws("|", x["id"], x["function"], x["category"],
+                                                          x["evidence_status"]))
+    return s.withColumn("functions_covered", F.array_join("functions_covered", ",")).withColumn(
+        "controls", F.array_join(F.array_sort(lines), ";"))
+
+
+def _f5_indexed(spark, sf_dir):
+    """The audit log as an indexed table, appended in two halves."""
+    from ..operators import audit_index as AI
+    from ..session import ensure_checkpoint_dir
+    from uuid import uuid4
+    at = AI.IndexedLog(f"{ensure_checkpoint_dir(spark)}/tieout-extents-{uuid4().hex}", extent_rows=A.BLOCK_ROWS // 16)
+    log = A.reliable_log(_f5_log(spark, sf_dir))
+    half = log.agg(F.max("seq")).first()[0] // 2
+    AI.append(at, log.where(F.col("seq") <= half))
+    AI.append(at, log.where(F.col("seq") > half))
+    return AI, at
+
+
+@register("audit_query_indexed", _F5_SEQ + """
+SELECT printf('AUD-%08d', seq) AS event_id, actor, action FROM ev
+WHERE ts >= timestamp '2024-01-05 00:00:00' AND ts <= timestamp '2024-01-06 12:00:00'
+  AND actor = 'user-7' AND event_type = 'data_access'""")
+def q_audit_query_indexed(spark, sf_dir):
+    AI, at = _f5_indexed(spark, sf_dir)
+    return AI.query(spark, at, event_type="data_access", start="2024-01-05 00:00:00", end="2024-01-06 12:00:00",
+                    actor="user-7").select("event_id", "actor", "action")
+
+
+@register("audit_retained_indexed", _F5_SEQ + """
+SELECT printf('AUD-%08d', seq) AS event_id, seq FROM ev
+WHERE seq >= (SELECT min(seq) FROM ev WHERE ts >= timestamp '2024-01-10 00:00:00')""")
+def q_audit_retained_indexed(spark, sf_dir):
+    AI, at = _f5_indexed(spark, sf_dir)
+    return AI.retained(spark, at, retention_days=0, as_of="2024-01-10 00:00:00").select("event_id", "seq")
+
+
+@register("zscore_trailing_shifted", """
+WITH d AS (SELECT DISTINCT event_type AS segment, CAST(ts AS DATE) AS day FROM events),
+j AS (SELECT d.segment, d.day, e.value + 1e9 AS value FROM d LEFT JOIN events e
+        ON e.event_type = d.segment AND CAST(e.ts AS DATE) >= d.day - INTERVAL 7 DAY AND CAST(e.ts AS DATE) < d.day)
+SELECT segment, strftime(day, '%Y-%m-%d') AS day, CAST(count(value) AS BIGINT) AS n,
+       round(stddev_samp(value), 3) AS std FROM j GROUP BY segment, day""")
+def q_zscore_trailing_shifted(spark, sf_dir):
+    """Values far from zero: a variance from sums of squares would have no digit left."""
+    e = read_table(spark, sf_dir, "events").withColumn("value", F.col("value") + F.lit(1e9))
+    b = G.trailing_daily_baseline(e, ts_col="ts", segment_col="event_type", window_days=7)
+    return b.select(F.col("event_type").alias("segment"), F.date_format("day", "yyyy-MM-dd").alias("day"),
+                    F.col("n").cast("bigint").alias("n"), F.round("std", 3).alias("std"))
+
+
+@register("zscore_state_by_day", """
+WITH last AS (SELECT max(CAST(ts AS DATE)) AS day FROM events)
+SELECT event_type AS segment, count(value) AS n,
+       CASE WHEN count(value) >= 30 THEN round(CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(value), 6)
+            ELSE 0 END AS center,
+       CASE WHEN count(value) >= 30 THEN round(stddev_samp(value), 6) ELSE 0 END AS scale, count(value) >= 30 AS is_valid
+FROM events, last WHERE CAST(ts AS DATE) < last.day AND CAST(ts AS DATE) >= last.day - INTERVAL 10 DAY GROUP BY 1""")
+def q_zscore_state_by_day(spark, sf_dir):
+    """States of all days but the last two; these two come later, one of them twice."""
+    from uuid import uuid4
+    from ..operators import daily_state as DS
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/tieout-days-{uuid4().hex}"
+    e = read_table(spark, sf_dir, "events")
+    days = [r[0] for r in e.select(F.date_format("ts", "yyyy-MM-dd").alias("d")).distinct().orderBy("d").collect()]
+    how = {"segment_col": "event_type", "money_scale": 2}
+    DS.update_days(path, e, days[:-2], **how)
+    DS.update_days(path, e.where(F.col("event_id") % 2 == 0), days[-2:-1], **how)  # a day whose late rows are missing
+    DS.update_days(path, e, days[-2:], **how)
+    b = DS.state_baseline(DS.read_states(spark, path), day=days[-1], segment_col="event_type", window_days=10)
+    return b.select(F.col("event_type").alias("segment"), "n", F.round("center", 6).alias("center"),
+                    F.round("scale", 6).alias("scale"), "is_valid")
