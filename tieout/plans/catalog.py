@@ -1937,3 +1937,24 @@ def q_zscore_state_by_day(spark, sf_dir):
     b = DS.state_baseline(DS.read_states(spark, path), day=days[-1], segment_col="event_type", window_days=10)
     return b.select(F.col("event_type").alias("segment"), "n", F.round("center", 6).alias("center"),
                     F.round("scale", 6).alias("scale"), "is_valid")
+
+
+_F1_HASH = _F1_FP[_F1_FP.index("sha256("):_F1_FP.index(" AS h FROM")]
+
+
+@register("check_differences", S.with_(f1_source=S.F1_SOURCE, f1_target=S.F1_TARGET) + f"""
+SELECT txn_id, h AS row_hash, CAST(sum(side) AS BIGINT) AS surplus
+FROM (SELECT txn_id, {_F1_HASH} AS h, 1 AS side FROM f1_source
+      UNION ALL SELECT txn_id, {_F1_HASH} AS h, -1 AS side FROM f1_target)
+GROUP BY txn_id, h HAVING sum(side) <> 0""")
+def q_check_differences(spark, sf_dir):
+    """The rows that the two sides do not share, found through their hash trees."""
+    from uuid import uuid4
+    from ..operators import hash_ranges as HR
+    from ..session import ensure_checkpoint_dir
+    kept = []
+    for df in (FX.f1_source(spark, sf_dir), FX.f1_target(spark, sf_dir)):
+        at = HR.Kept(f"{ensure_checkpoint_dir(spark)}/tieout-hashes-{uuid4().hex}", ("txn_id",), buckets=256)
+        HR.keep(df, at, ["txn_id", "amount", "dept"], double_format="%.6f")
+        kept.append(at)
+    return HR.differences(spark, *kept, key_schema="txn_id string")
