@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,12 @@ def canonical_set(arr: Column) -> Column:
     """A set-valued array in canonical form (distinct, sorted), so hashing
     does not depend on insertion order."""
     return F.array_sort(F.array_distinct(arr))
+
+
+def require_columns(df: DataFrame, columns, what: str) -> None:
+    """Raise a ``ValueError`` that names the absent columns, before any job. Names are compared as Spark
+    does by default, without case; of a nested field the column counts."""
+    there = {c.lower() for c in df.columns}
+    absent = [c for c in columns if c is not None and not {c.lower(), c.lower().split(".")[0]} & there]
+    if absent:
+        raise ValueError(f"{what} has no column {', '.join(map(repr, absent))}")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import pct_diff, pct_text
+from ..functions.scalars import pct_diff, pct_text, require_columns
 
 # fixed values: check statuses
 PASS, FAIL, WARN = "PASS", "FAIL", "WARN"
@@ -97,6 +97,8 @@ def run_all(source: DataFrame, target: DataFrame, key_cols: list[str], amount_co
             money_scale: int | None = None) -> DataFrame:
     """count + amount + completeness check rows, in that order, from one
     aggregate over both inputs."""
+    require_columns(source, [*key_cols, amount_col], "the source")
+    require_columns(target, [*key_cols, amount_col], "the target")
     t = side_totals(source, target, key_cols, amount_col, money_scale=money_scale)
     rows = F.array(
         count_check(F.col("source_count"), F.col("target_count")),
