@@ -66,6 +66,24 @@ def test_append_matches_python_and_verifies(spark):
         A.chain_view(both, block_rows=7)
 
 
+@pytest.mark.parametrize("run_blocks", [1 << 16, 3])
+def test_block_headers_chain_over_the_whole_log(spark, run_blocks):
+    """Each header covers the header before it, across runs; a purged log's chain starts at its first block."""
+    log = A.audit_append(events(spark, 75), order_by=["timestamp", "src_id"], block_rows=7)
+    for part in (log, log.where("seq > 30")):
+        prev, blocks = "0" * 64, {}
+        for r in part.orderBy("seq").collect():
+            blocks.setdefault((r.seq - 1) // 7, []).append(r)
+        want = []
+        for b, rows in sorted(blocks.items()):
+            head = f"{b}|{rows[0].seq}|{rows[-1].seq}|{len(rows)}|{rows[-1].event_hash}|{prev}"
+            want.append((b, prev, hashlib.sha256(head.encode()).hexdigest()))
+            prev = want[-1][2]
+        got = A.block_headers(part, 7, run_blocks).orderBy("block").collect()
+        assert [(r.block, r.previous_header, r.header_hash) for r in got] == want
+    assert A.block_headers(log.where("false"), 7).count() == 0
+
+
 def recorded(spark, n=50, fanout=2, **options):
     log, tree = A.audit_append_recorded(events(spark, n), order_by=["timestamp", "src_id"], block_rows=7, fanout=fanout,
                                         **options)

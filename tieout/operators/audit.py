@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import seq_id
 from ..plans.seq import dense_sequence, lag_dense
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from . import audit_tree
 from .audit_tree import AuditTree
 
@@ -58,6 +58,8 @@ from .audit_tree import AuditTree
 GENESIS_HASH = "0" * 64
 #: Events in a block of the chain. A log is verified with the value it was written with.
 BLOCK_ROWS = 4096
+#: Block headers that one task chains: 65,536 (of 268 million events).
+HEADER_RUN = 1 << 16
 
 LOG_COLUMNS = ["seq", "event_id", "event_type", "timestamp", "actor", "action", "resource", "details",
                "previous_hash", "event_hash", "event_date", "hash_version"]
@@ -158,9 +160,9 @@ def _fold(seed: str | None, chain_col: str | None, version: int = HASH_VERSION):
     return fn
 
 
-def _fold_schema(df: DataFrame) -> T.StructType:
-    return T.StructType(df.schema.fields + [T.StructField("previous_hash", T.StringType(), True),
-                                            T.StructField("event_hash", T.StringType(), True)])
+def _fold_schema(df: DataFrame, *names: str) -> T.StructType:
+    return T.StructType(df.schema.fields + [T.StructField(n, T.StringType(), True)
+                                            for n in names or ("previous_hash", "event_hash")])
 
 
 def _finish(df: DataFrame, extra: list[str], version: int = HASH_VERSION) -> DataFrame:
@@ -428,11 +430,45 @@ def _with_record(verdict: DataFrame, log: DataFrame, tree: AuditTree, head: Data
                     fields["expected"].alias("expected"), fields["actual"].alias("actual"))
 
 
-def block_headers(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per block: its range, row count, last hash and its leaf of the log's tree."""
-    leaves = audit_tree._leaves(audit_tree.block_ends(log, block_rows))
-    return leaves.select(F.col("idx").alias("block"), "first_seq", "last_seq", "rows", "block_hash",
-                         F.col("node_hash").alias("header_hash"))
+def _fold_headers(seed: str):
+    """Arrow fold over blocks in order: each header covers the one before it."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev = seed
+        for b in batches:
+            prevs, hashes = [], []
+            for text in b.column(b.schema.get_field_index("_text")).to_pylist():
+                prevs.append(prev)
+                prev = hashlib.sha256(f"{text}|{prev}".encode()).hexdigest()
+                hashes.append(prev)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
+                                             names=[*b.schema.names, "previous_header", "header_hash"])
+    return fn
+
+
+def block_headers(log: DataFrame, block_rows: int = BLOCK_ROWS, run_blocks: int = HEADER_RUN) -> DataFrame:
+    """One row per block: its range, row count, last hash and leaf of the log's tree (``leaf_hash``),
+    chained by ``header_hash = sha256(block | first_seq | last_seq | rows | block_hash |
+    previous_header)`` from the genesis value. A chain folds one after another: runs of
+    ``run_blocks`` blocks, each seeded with the last header of the run before, so no task
+    holds more than a run."""
+    spark = log.sparkSession
+    text = F.concat_ws("|", "idx", "first_seq", "last_seq", "rows", "block_hash")
+    run = F.floor(F.col("idx") / F.lit(run_blocks)).cast("long")
+    blocks = stored(audit_tree._leaves(audit_tree.block_ends(log, block_rows)).select(
+        F.col("idx").alias("block"), "first_seq", "last_seq", "rows", "block_hash",
+        F.col("node_hash").alias("leaf_hash"), text.alias("_text"), run.alias("_run")), "headers")
+    schema = _fold_schema(blocks, "previous_header", "header_hash")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-headers-{uuid.uuid4().hex}"
+    ends, prev = blocks.agg(F.min("_run").alias("lo"), F.max("_run").alias("hi")).first(), GENESIS_HASH
+    if ends["lo"] is None:
+        return blocks.withColumns({c: F.lit(None).cast("string") for c in ("previous_header", "header_hash")}) \
+            .drop("_text", "_run")
+    for n in range(ends["lo"], ends["hi"] + 1):
+        part = blocks.where(F.col("_run") == n).coalesce(1).sortWithinPartitions("block")
+        part.mapInArrow(_fold_headers(prev), schema).write.mode("append").parquet(base)
+        last = spark.read.schema(schema).parquet(base).where(F.col("_run") == n).agg(F.max_by("header_hash", "block"))
+        prev = last.first()[0] or prev  # a purge may have left nothing of a run
+    return spark.read.schema(schema).parquet(base).drop("_text", "_run")
 
 
 def chain_view(log: DataFrame, *, genesis: str = GENESIS_HASH, block_rows: int = BLOCK_ROWS,
