@@ -110,6 +110,25 @@ def python_tree(rows, fanout):
     return out
 
 
+def test_plans_of_the_tree_do_not_multiply_with_its_levels(spark, monkeypatch):
+    """Tables that a stored plan names: a few per level, not a power of the levels (build, append, purge)."""
+    named, store = [], T.stored
+
+    def watched(df, name="part"):
+        named.append(df._jdf.queryExecution().analyzed().toString().count("Relation ["))
+        return store(df, name)
+    monkeypatch.setattr(T, "stored", watched)
+    log, tree = recorded(spark, 230)
+    more, grown = A.audit_append_recorded(events(spark, 20), order_by=["timestamp", "src_id"], tail=log, tree=tree,
+                                          block_rows=7, fanout=2)
+    both = log.unionByName(more).cache()
+    levels = grown.head.first()["levels"]
+    assert levels == 6 and max(named) <= 3 * (levels + 1)
+    assert {(r.level, r.idx): r.node_hash for r in grown.nodes.collect()} == python_tree(both.orderBy("seq").collect(), 2)
+    p = A.purge(both, retention_days=0, as_of="2024-01-01 00:00:00", tree=grown)
+    assert max(named) <= 3 * (levels + 1) and T.broken_nodes(p.tree, grown.head).count() == 0
+
+
 def test_tree_equals_a_recomputation_and_appends_touch_one_path(spark):
     log, tree = recorded(spark, 100)
     assert {(r.level, r.idx): r.node_hash for r in tree.nodes.collect()} == python_tree(log.orderBy("seq").collect(), 2)

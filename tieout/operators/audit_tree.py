@@ -17,9 +17,9 @@ with the recorded leaf, and ``broken_nodes`` recomputes the tree up to the
 recorded head. So a block that was edited and hashed anew, a block or the end of
 the log that was dropped, and events that were added outside the record all show.
 
-Plans: every level is one grouping of the level below (partial sums, lists of at
-most ``fanout`` hashes), so no task holds more than a node's children and the
-number of steps is the logarithm of the number of blocks. ``extend`` reads the
+Plans: every level is one grouping of the stored level below (partial sums, lists
+of at most ``fanout`` hashes), so no task holds more than a node's children and the
+number of steps, each of a plan of fixed size, is the logarithm of the number of blocks. ``extend`` reads the
 new events and the nodes beside their path only. ``prune`` drops the subtrees
 that a purge has emptied and keeps their tops: the old head still follows from
 what is left.
@@ -27,6 +27,7 @@ what is left.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,15 +127,18 @@ def extend(tree: AuditTree | None, new_rows: DataFrame, *, block_rows: int, chai
     if tree is not None and tree.head.first()["fanout"] != fanout:
         raise ValueError("the tree was built with another fanout")
     levels = _levels(last + 1, fanout)
-    path = changed
+    # each level is stored, so the plan of a level starts at the level below and not at the log
+    made = [changed]
     for level in range(1, levels + 1):
-        parent = F.floor(F.col("idx") / F.lit(fanout)).cast("long")
-        parents = path.select(parent.alias("_parent")).distinct()
-        beside = old.where(F.col("level") == level - 1).withColumn("_parent", parent).join(
-            parents, "_parent", "left_semi").join(path.select("idx"), "idx", "left_anti").select(NODE_COLUMNS)
-        path = _parents(path.unionByName(beside), level, fanout)
-        changed = changed.unionByName(path)
-    changed = stored(changed, "tree")
+        path = made[-1]
+        if tree is not None:
+            parent = F.floor(F.col("idx") / F.lit(fanout)).cast("long")
+            parents = path.select(parent.alias("_parent")).distinct()
+            beside = old.where(F.col("level") == level - 1).withColumn("_parent", parent).join(
+                parents, "_parent", "left_semi").join(path.select("idx"), "idx", "left_anti").select(NODE_COLUMNS)
+            path = path.unionByName(beside)
+        made.append(stored(_parents(path, level, fanout), "tree"))
+    changed = reduce(DataFrame.unionByName, made)
     kept = old.join(changed.select("level", "idx"), ["level", "idx"], "left_anti").select(NODE_COLUMNS)
     nodes = stored(kept.unionByName(changed), "tree") if tree is not None else changed
     return AuditTree(nodes, _head(nodes, levels, last + 1, fanout))
