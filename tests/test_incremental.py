@@ -150,6 +150,26 @@ def test_other_extents_are_not_opened(spark, indexed, tmp_path):
     assert rows.count() == A.query(log, actor="user-3", end="2024-01-03 00:00:00").count() > 0
 
 
+def test_small_extents_of_a_large_append_share_folders(spark, indexed, tmp_path, monkeypatch):
+    """Folders and files stay few; an append of another size meets them in the extent that was open."""
+    _, log = indexed
+    monkeypatch.setattr(AI, "FOLDERS", 20)
+    at = AI.IndexedLog(str(tmp_path / "log"), extent_rows=4)
+    AI.append(at, log.where("seq <= 1801"))
+    AI.append(at, log.where("seq > 1801"))
+    folders = [f for f in os.listdir(f"{at.path}/log") if f.startswith("extent=")]
+    files = [n for f in folders for n in os.listdir(f"{at.path}/log/{f}") if n.endswith(".parquet")]
+    assert len(folders) <= 42 and len(files) <= 84  # 500 extents
+    assert AI.ranges(spark, at).count() == 500
+    for filters in FILTERS:
+        for listed in (AI.LISTED, 0):
+            got = sorted(r.seq for r in AI.query(spark, at, listed=listed, **filters).collect())
+            assert got == sorted(r.seq for r in A.query(log, **filters).collect()), filters
+    for as_of in ("2024-01-01 00:00:00", "2024-01-09 17:45:00", "2024-01-10 07:00:00", "2030-01-01 00:00:00"):
+        want = sorted(r.seq for r in A.purge(log, retention_days=0, as_of=as_of).log.collect())
+        assert sorted(r.seq for r in AI.retained(spark, at, retention_days=0, as_of=as_of).collect()) == want
+
+
 def test_an_empty_log_has_no_extents(spark, indexed, tmp_path):
     _, log = indexed
     at = AI.IndexedLog(str(tmp_path / "none"))

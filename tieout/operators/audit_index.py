@@ -1,9 +1,12 @@
 """Data skipping for the audit log: an index of its extents.
 
 The log lies in a table partitioned by ``extent``, a stretch of ``extent_rows``
-consecutive events. Beside it lie two small tables, both made with each append:
+consecutive events. An append of more than ``FOLDERS`` extents puts neighbouring
+ones into one folder, named by the first and of at most ``EXTENT_ROWS`` rows, so
+small extents do not become a folder and a file each. Beside the log lie two small
+tables, both made with each append:
 
-* ``ranges``: the least and greatest timestamp and seq of an extent;
+* ``ranges``: the least and greatest timestamp and seq of an extent, and its folder;
 * ``filters``: a Bloom filter of the extent's actors as sparse 64-bit words, one row
   per (extent, word). Its bits are ``hashes`` positions per actor out of ``bits``.
 
@@ -13,9 +16,9 @@ failed append leaves behind makes an extent look larger at worst, never smaller.
 
 ``query`` and ``retained`` first find the extents that can hold a match, then read
 those partitions only and apply the exact filter of ``audit.query`` or
-``audit.purge``: rows are the same as without the index. Up to ``LISTED`` extents
+``audit.purge``: rows are the same as without the index. Up to ``LISTED`` folders
 are named in the partition filter (so their number is checked before it reaches
-the driver); more are met by a join on the extent within their range.
+the driver); more are met by a join on the folder within their range.
 
 Defined results: a NULL actor or timestamp matches no filter and is not indexed; an
 empty log has no extents.
@@ -33,6 +36,10 @@ from . import audit
 EXTENT_ROWS = 256 * audit.BLOCK_ROWS
 BITS, HASHES = 1 << 17, 4
 LISTED = 10_000
+#: Extents of one append that have a folder each; of more, neighbours share one.
+FOLDERS = 256
+#: Rows of an extent that are not spread over several files.
+FILE_ROWS = EXTENT_ROWS // 16
 
 
 class IndexedLog(NamedTuple):
@@ -53,7 +60,10 @@ def _positions(at: IndexedLog, actor: Column) -> Column:
 def append(at: IndexedLog, log: DataFrame) -> None:
     """Add the freshly appended events ``log`` (stored, as ``audit.reliable_log`` does) to the table."""
     rows = log.withColumn("extent", _extent(at))
-    rows.groupBy("extent").agg(
+    lo, hi = rows.agg(F.min("extent"), F.max("extent")).first()
+    shared = 1 if lo is None else max(1, min(-(-(hi - lo + 1) // FOLDERS), EXTENT_ROWS // at.extent_rows))
+    folder = F.floor(F.col("extent") / F.lit(shared)) * F.lit(shared)
+    rows.groupBy("extent", folder.alias("folder")).agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
         F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"),
     ).write.mode("append").parquet(f"{at.path}/ranges")
@@ -64,9 +74,10 @@ def append(at: IndexedLog, log: DataFrame) -> None:
     # look-ups name few words of all extents: files hold ranges of words
     words.repartitionByRange("word", "extent").sortWithinPartitions("word", "extent") \
         .write.mode("append").parquet(f"{at.path}/filters")
-    # one file per task and extent; an extent's rows are spread by seq, not put into one task
-    parts = F.floor(F.col("seq") / F.lit(max(at.extent_rows // 16, 1)))
-    rows.repartition("extent", parts).sortWithinPartitions("extent", "seq") \
+    # one file per task and folder; rows of a large extent are spread by seq, not put into one task, and a small
+    # one stays whole: files would be many and hold a few rows each
+    parts = F.floor((F.col("seq") - 1) / F.lit(max(at.extent_rows // 16, FILE_ROWS)))
+    rows.withColumn("extent", folder).repartition("extent", parts).sortWithinPartitions("extent", "seq") \
         .write.mode("append").partitionBy("extent").parquet(f"{at.path}/log")
 
 
@@ -103,7 +114,13 @@ def candidate_extents(spark: SparkSession, at: IndexedLog, *, start: str | None
     return out if actor is None else out.join(actor_extents(spark, at, actor), "extent", "left_semi")
 
 
+def _folders(spark: SparkSession, at: IndexedLog) -> DataFrame:
+    """The folders of every extent: one, or more where appends of different sizes have filled it."""
+    return spark.read.parquet(f"{at.path}/ranges").select("extent", "folder").distinct()
+
+
 def _read(spark: SparkSession, at: IndexedLog, schema, extents: DataFrame, listed: int) -> DataFrame:
+    extents = _folders(spark, at).join(extents, "extent", "left_semi").select(F.col("folder").alias("extent")).distinct()
     named = [r[0] for r in extents.limit(listed + 1).collect()]
     log = spark.read.schema(schema).parquet(f"{at.path}/log")
     if len(named) <= listed:
@@ -136,5 +153,9 @@ def retained(spark: SparkSession, at: IndexedLog, *, retention_days: int = 2555,
     log = spark.read.schema(_schema(spark, at, schema)).parquet(f"{at.path}/log")
     if first is None:
         return log.where(F.lit(False)).drop("extent")
-    seq = log.where((F.col("extent") == first) & (F.col("timestamp") >= cutoff)).agg(F.min("seq")).first()[0]
-    return log.where((F.col("extent") >= first) & (F.col("seq") >= seq)).drop("extent")
+    where = _folders(spark, at)
+    own = [r[0] for r in where.where(F.col("extent") == first).select("folder").collect()]  # few: one per append that filled it
+    start = where.where(F.col("extent") >= first).agg(F.min("folder")).first()[0]
+    seq = log.where(F.col("extent").isin(own) & (_extent(at) == first) & (F.col("timestamp") >= cutoff)) \
+        .agg(F.min("seq")).first()[0]
+    return log.where((F.col("extent") >= start) & (F.col("seq") >= seq)).drop("extent")
