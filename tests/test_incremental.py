@@ -170,6 +170,33 @@ def test_small_extents_of_a_large_append_share_folders(spark, indexed, tmp_path,
         assert sorted(r.seq for r in AI.retained(spark, at, retention_days=0, as_of=as_of).collect()) == want
 
 
+def test_a_shared_folder_holds_the_rows_of_a_file(spark, indexed, tmp_path, monkeypatch):
+    """Folders are listed one by one, so small ones cost more than they save."""
+    _, log = indexed
+    monkeypatch.setattr(AI, "FOLDERS", 20)
+    monkeypatch.setattr(AI, "FILE_ROWS", 400)
+    at = AI.IndexedLog(str(tmp_path / "log"), extent_rows=4)
+    AI.append(at, log)  # 500 extents: 25 in a folder would do to have 20 folders
+    folders = [f for f in os.listdir(f"{at.path}/log") if f.startswith("extent=")]
+    assert sorted(int(f[7:]) for f in folders) == [0, 100, 200, 300, 400]
+    for as_of in ("2024-01-01 00:00:00", "2024-01-09 17:45:00", "2030-01-01 00:00:00"):
+        want = sorted(r.seq for r in A.purge(log, retention_days=0, as_of=as_of).log.collect())
+        assert sorted(r.seq for r in AI.retained(spark, at, retention_days=0, as_of=as_of).collect()) == want
+
+
+def test_an_appended_log_is_stored_once(spark, indexed):
+    """Rows that ``audit_append`` has stored are not copied; what is derived from them is."""
+    events = spark.createDataFrame([(i, "x", T0 + timedelta(hours=i), "a", "b", None, None) for i in range(30)],
+                                   "n int, event_type string, timestamp timestamp_ntz, actor string, action string, "
+                                   "resource string, details string")
+    log = A.audit_append(events, order_by=["n"], block_rows=8)
+    stored = set(log.inputFiles())
+    assert stored and set(A.reliable_log(log).inputFiles()) == stored
+    assert not stored & set(A.reliable_log(log.where("seq > 3")).inputFiles())
+    names = set(spark.read.parquet(*stored).columns)
+    assert names == {*A.LOG_COLUMNS, "n"} - {"hash_version"}  # nothing that only the fold needs
+
+
 def test_an_empty_log_has_no_extents(spark, indexed, tmp_path):
     _, log = indexed
     at = AI.IndexedLog(str(tmp_path / "none"))

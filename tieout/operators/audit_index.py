@@ -2,8 +2,8 @@
 
 The log lies in a table partitioned by ``extent``, a stretch of ``extent_rows``
 consecutive events. An append of more than ``FOLDERS`` extents puts neighbouring
-ones into one folder, named by the first and of at most ``EXTENT_ROWS`` rows, so
-small extents do not become a folder and a file each. Beside the log lie two small
+ones into one folder, named by the first, of ``FILE_ROWS`` to ``EXTENT_ROWS`` rows,
+so small extents do not become a folder and a file each. Beside the log lie two small
 tables, both made with each append:
 
 * ``ranges``: the least and greatest timestamp and seq of an extent, and its folder;
@@ -31,6 +31,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import audit
 
 EXTENT_ROWS = 256 * audit.BLOCK_ROWS
@@ -60,13 +61,16 @@ def _positions(at: IndexedLog, actor: Column) -> Column:
 def append(at: IndexedLog, log: DataFrame) -> None:
     """Add the freshly appended events ``log`` (stored, as ``audit.reliable_log`` does) to the table."""
     rows = log.withColumn("extent", _extent(at))
-    lo, hi = rows.agg(F.min("extent"), F.max("extent")).first()
-    shared = 1 if lo is None else max(1, min(-(-(hi - lo + 1) // FOLDERS), EXTENT_ROWS // at.extent_rows))
-    folder = F.floor(F.col("extent") / F.lit(shared)) * F.lit(shared)
-    rows.groupBy("extent", folder.alias("folder")).agg(
+    spans = stored(rows.groupBy("extent").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
-        F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"),
-    ).write.mode("append").parquet(f"{at.path}/ranges")
+        F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time")), "spans")
+    lo, hi = spans.agg(F.min("extent"), F.max("extent")).first()
+    shared = 1
+    if lo is not None and hi - lo >= FOLDERS:
+        least = max(-(-(hi - lo + 1) // FOLDERS), -(-FILE_ROWS // at.extent_rows))
+        shared = max(1, min(least, EXTENT_ROWS // at.extent_rows))
+    folder = F.floor(F.col("extent") / F.lit(shared)) * F.lit(shared)
+    spans.withColumn("folder", folder).write.mode("append").parquet(f"{at.path}/ranges")
     actors = rows.where("actor IS NOT NULL").select("extent", "actor").distinct()
     bit = F.explode(_positions(at, F.col("actor"))).alias("at")
     words = actors.select("extent", bit).groupBy("extent", F.floor(F.col("at") / 64).cast("int").alias("word")).agg(
@@ -119,28 +123,29 @@ def _folders(spark: SparkSession, at: IndexedLog) -> DataFrame:
     return spark.read.parquet(f"{at.path}/ranges").select("extent", "folder").distinct()
 
 
-def _read(spark: SparkSession, at: IndexedLog, schema, extents: DataFrame, listed: int) -> DataFrame:
+def _read(spark: SparkSession, log: DataFrame, at: IndexedLog, extents: DataFrame, listed: int) -> DataFrame:
     extents = _folders(spark, at).join(extents, "extent", "left_semi").select(F.col("folder").alias("extent")).distinct()
     named = [r[0] for r in extents.limit(listed + 1).collect()]
-    log = spark.read.schema(schema).parquet(f"{at.path}/log")
     if len(named) <= listed:
         return log.where(F.col("extent").isin(named)) if named else log.where(F.lit(False))
     lo, hi = extents.agg(F.min("extent"), F.max("extent")).first()
     return log.where(F.col("extent").between(lo, hi)).join(extents, "extent", "left_semi")
 
 
-def _schema(spark: SparkSession, at: IndexedLog, schema):
-    """The log's own columns; from one file's footer unless the caller knows them."""
+def _log(spark: SparkSession, at: IndexedLog, schema) -> DataFrame:
+    """The stored log, listed once. Its columns come from one file's footer unless the caller knows them."""
     from pyspark.sql import types as T
-    own = schema if schema is not None else spark.read.parquet(f"{at.path}/log").drop("extent").schema
-    return T.StructType([*own.fields, T.StructField("extent", T.LongType())])
+    if schema is not None:
+        own = T.StructType([*schema.fields, T.StructField("extent", T.LongType())])
+        return spark.read.schema(own).parquet(f"{at.path}/log")
+    return spark.read.parquet(f"{at.path}/log").withColumn("extent", F.col("extent").cast("long"))
 
 
 def query(spark: SparkSession, at: IndexedLog, *, event_type: str | None = None, start: str | None = None,
           end: str | None = None, actor: str | None = None, schema=None, listed: int = LISTED) -> DataFrame:
     """``audit.query`` over the stored log, reading the extents that can match only."""
     extents = candidate_extents(spark, at, start=start, end=end, actor=actor)
-    rows = _read(spark, at, _schema(spark, at, schema), extents, listed)
+    rows = _read(spark, _log(spark, at, schema), at, extents, listed)
     return audit.query(rows, event_type=event_type, start=start, end=end, actor=actor).drop("extent")
 
 
@@ -150,7 +155,7 @@ def retained(spark: SparkSession, at: IndexedLog, *, retention_days: int = 2555,
     whose last time reaches it: that extent alone is searched, and earlier ones are not read."""
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(retention_days))
     first = ranges(spark, at).where(F.col("last_time") >= cutoff).agg(F.min("extent")).first()[0]
-    log = spark.read.schema(_schema(spark, at, schema)).parquet(f"{at.path}/log")
+    log = _log(spark, at, schema)
     if first is None:
         return log.where(F.lit(False)).drop("extent")
     where = _folders(spark, at)
