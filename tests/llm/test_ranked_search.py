@@ -103,3 +103,11 @@ def test_shard_search_is_exact_and_pair_bounds_skip_more():
         assert sorted(again) == sorted(found_)
         without += read_
     assert with_pairs < without
+
+
+def test_blocks_without_any_item(spark):
+    """Items are dealt to blocks by their hash, so a block may stay empty."""
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(5)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word3 " * 40)], "item_id long, text string")
+    got = ranked_search.ranked_search(docs, items, block_bytes=10)  # 24 blocks for one item
+    assert [tuple(r)[:3] for r in got.collect()] == [(1, 1, 3)]

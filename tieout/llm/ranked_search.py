@@ -249,6 +249,8 @@ def ranked_search(docs: DataFrame, items: DataFrame, *, top: int = TOP, shard_te
     out = None
     for no in range(blocks):
         block = texts.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == no).orderBy("key").collect()
+        if not block:  # no key has fallen into it
+            continue
         hits = _block(src, [r["key"] for r in block], [r["text"] for r in block], top, shard_terms)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
