@@ -91,3 +91,33 @@ def test_texts_that_come_near_no_item(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, " . ")],
                                   "item_id long, text string")
     assert decontam.find_leaks(docs, items).count() == 0 and decontam.keep_clean(docs, items).count() == 4
+
+
+def test_the_driver_decomposes_the_rows_that_are_there(spark):
+    """Most features stand in no benchmark item; their zeros were decomposed with the rest."""
+    import tracemalloc
+    rng = random.Random(4)
+    items = spark.createDataFrame([(" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(60)),)
+                                   for _ in range(30)], "text string")
+    idf = np.ones(1 << decontam.DF_BITS)
+    tracemalloc.start()
+    basis = decontam.latent_space(items, idf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert basis.shape[0] == 1 << decontam.FEATURE_BITS and basis.shape[1] > 20
+    assert peak < 5 * 4 * decontam.RANK << decontam.FEATURE_BITS  # five bases; all rows in doubles took more
+    held = np.flatnonzero(np.abs(basis).sum(1))
+    assert 0 < len(held) < 1000
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-4)
+
+
+def test_vectors_of_the_rows_are_those_of_the_whole_matrix():
+    rng = np.random.default_rng(1)
+    features, rows = rng.permutation(500)[:40], rng.normal(size=(40, 6))
+    rows[:, 5] = rows[:, 4]  # a direction without weight goes
+    whole = np.zeros((500, 6))
+    whole[features] = rows
+    u, s, _ = np.linalg.svd(whole, full_matrices=False)
+    u = u[:, s > 1e-6 * s[0]]
+    got = decontam._orthonormal(features, rows.ravel(), 500)
+    assert got.shape == (500, 5) == u.shape and np.allclose(got @ got.T, u @ u.T, atol=1e-5)

@@ -152,16 +152,26 @@ def latent_space(benchmark: DataFrame, idf: np.ndarray, *, window: int = WINDOW,
                  bits: int = FEATURE_BITS, df_bits: int = DF_BITS, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
     """Right singular vectors (features x at most rank) of the benchmark's passages."""
     texts = benchmark.select(F.col("text").cast("string").alias("text"))
-    basis = np.random.default_rng(seed).normal(size=(1 << bits, rank)).astype(np.float32)
+    rng, basis = np.random.default_rng(seed), np.empty((1 << bits, rank), np.float32)
+    for rows in np.array_split(basis, 16):  # the same numbers as in one draw of doubles, without holding these
+        rows[:] = rng.normal(size=rows.shape)
     for turn in range(rounds):
         parts = arrow_map(texts, _product(basis, idf, window, bits, df_bits), "feature long, v array<double>")
         got = parts.groupBy("feature").applyInArrow(_sum_rows, "feature long, v array<double>").toArrow()
         if got.num_rows == 0:
             return np.zeros((1 << bits, 0), np.float32)
-        g = np.zeros((1 << bits, basis.shape[1]))
-        g[got["feature"].to_numpy()] = got["v"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
-        u, s, _ = np.linalg.svd(g, full_matrices=False)
-        basis = u[:, s > 1e-6 * s[0]].astype(np.float32)
+        basis = _orthonormal(got["feature"].to_numpy(), got["v"].combine_chunks().flatten().to_numpy(), 1 << bits)
+    return basis
+
+
+def _orthonormal(features: np.ndarray, values: np.ndarray, n_features: int) -> np.ndarray:
+    """Left singular vectors of the features' rows. A feature without a row has zeros in all of them,
+    so the driver decomposes the rows alone."""
+    order = np.argsort(features)
+    u, s, _ = np.linalg.svd(values.reshape(len(features), -1)[order], full_matrices=False)
+    u = u[:, s > 1e-6 * s[0]]
+    basis = np.zeros((n_features, u.shape[1]), np.float32)
+    basis[features[order]] = u
     return basis
 
 
