@@ -143,6 +143,42 @@ def test_chat_system_limit_is_kept(spark):
         assert {w.n_system for w in rows} == {kept} and not any(w.system_marked for w in rows)
 
 
+@pytest.mark.parametrize("section", [1 << 16, 500])
+def test_chat_system_turn_is_repeated_where_it_fits(spark, section):
+    """One of half the budget stands whole in every window; the marker only where it alone breaks the budget."""
+    rules = "rule " * 500
+    said = {i: f"turn {i} says little " * 8 for i in range(1, 100)} | {40: "word " * 700, 70: "word " * 1500}
+    turns = spark.createDataFrame([(9, 0, "system", rules)] + [(9, i, ("assistant", "user")[i % 2], t)
+                                                               for i, t in said.items()],
+                                  "conv_id long, turn long, role string, text string")
+    windows = chat.chat_windows(turns, section_tokens=section).orderBy("first_turn").collect()
+    assert {w.first_turn for w in windows} > {0, 40, 70} and len(windows) > 5
+    for w in windows[1:]:
+        assert w.n_system == 1 and w.system_marked == (w.first_turn == 40)
+        assert chat.parse(w.formatted)[0] == ("system", chat.MARKER if w.first_turn == 40 else rules)
+        assert w.over_budget == (w.n_tokens > 1024) == (w.first_turn == 70)
+    assert max(w.n_turns for w in windows) < 30 and sum(w.n_turns for w in windows) == 100
+    row, = chat.read_back(chat.chat_windows(turns, section_tokens=section)).collect()
+    every = "".join(t for i, t in said.items() if i % 2 == 0)
+    assert row.n_turns == 100 and row.loss_sha256 == hashlib.sha256(every.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("section", [7, 50, 1 << 16])
+def test_chat_history_reaches_over_sections(spark, section):
+    """What a window repeats does not depend on the sections, however short they are; a long turn ends it."""
+    turns = [(5, i, ("user", "assistant")[i % 2], "word " * (260 if i in (20, 33) else 1 + i % 13)) for i in range(60)]
+    turns = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    cost = [r.tokens for r in chat.placed_turns(turns).orderBy("idx").collect()]
+    said = chat.chat_windows(turns, budget=400, history_tokens=200, section_tokens=section).collect()
+    assert sum(w.n_turns for w in said) == len(cost) and max(w.n_history for w in said) >= 10
+    for w in said:
+        n, room = 0, min(200, 400 - cost[w.first_turn])
+        while n < w.first_turn and sum(cost[w.first_turn - n - 1:w.first_turn]) <= room:
+            n += 1
+        assert w.n_history == n
+        assert w.n_tokens == sum(cost[w.first_turn - n:w.first_turn + w.n_turns]) <= 400
+
+
 def test_chat_empty(spark):
     windows = chat.chat_windows(spark.createDataFrame([], TURN_SCHEMA))
     assert windows.count() == 0 and chat.read_back(windows).count() == 0

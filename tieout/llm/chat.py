@@ -9,10 +9,13 @@ up to ``history_tokens`` of whole turns before the span, and the span. Loss is
 taken on the assistant texts of the span alone: what a window repeats is masked.
 A turn that is too long for the budget has a window of its own (``over_budget``).
 
-A system turn of more than ``system_tokens`` (a quarter of the budget) stands whole
-once, at its own place; the other windows hold a system turn that says ``MARKER``
-instead (``system_marked``), or none if that is over the limit too. So a window keeps
-half its budget for its span, and all windows together stay linear in the input.
+The system turn is repeated whole in every window that can hold it. Where it is over
+the budget by itself, or the span's first turn keeps the budget only without it, a
+system turn that says ``MARKER`` stands instead (``system_marked``), or none if the
+marker takes more than a quarter of the budget; a system turn of up to that quarter
+always stays. A window has at most the budget or one turn besides the system turn, so
+all windows together stay linear in the input. A given ``system_tokens`` is a limit:
+a longer system turn is never repeated, a shorter one always.
 
 Template: ``<|im_start|>`` role newline text ``<|im_end|>`` newline. In roles and
 texts a backslash is doubled, ``<|`` becomes ``<\\|``, and a newline in a role
@@ -38,9 +41,9 @@ from .tokenizers import VOCABULARY, encode, load
 
 BUDGET, HISTORY_TOKENS, SECTION_TOKENS = 1024, 256, 1 << 16
 START, END = "<|im_start|>", "<|im_end|>"
-#: Share of the budget that a repeated system turn may take, unless ``system_tokens`` is given.
+#: Share of the budget up to which a system turn is repeated beside any span, unless ``system_tokens`` is given.
 SYSTEM_SHARE = 0.25
-#: What stands for a system turn that is too long to be repeated.
+#: What stands for a system turn in a window that cannot hold it.
 MARKER = "[The system turn at the start of this conversation applies.]"
 #: Tokens that the template adds to a turn: start, newline, end, newline.
 FRAME_TOKENS = 4
@@ -120,22 +123,29 @@ def placed_turns(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                       (F.col("idx") + F.coalesce("c", F.lit(0))).alias("idx"))
 
 
-def _windows(budget: int, history_tokens: int, system_tokens: int, path: str):
+def _windows(budget: int, history_tokens: int, system_tokens: int, always_tokens: int, path: str):
     """Rows come by section in turn order: a copy of the system turn (kind 0), copies of
     the turns before the section (1), its own turns (2)."""
     def pack(rows):
         system = [r for r in rows if r[0] == 0] or [r for r in rows if r[1] == 0 and r[2] == "system"]
-        system = system[:1]
-        marked = bool(system) and system[0][4] > system_tokens
-        if marked:
+        system, marker = system[:1], []
+        if system and system[0][4] > always_tokens:
             encoding, _ = load(path)
             cost = len(encode(encoding, "system")) + len(encode(encoding, MARKER)) + FRAME_TOKENS
-            system = [(0, 0, "system", MARKER, cost)] if cost <= system_tokens else []
+            marker = [(0, 0, "system", MARKER, cost)] if cost <= always_tokens else []
+
+        def whole(turn, first):
+            """Whether the system turn is repeated before a span with this first turn."""
+            return turn <= always_tokens or turn <= system_tokens and (turn + first <= budget or first > budget)
+
         own = [r for r in rows if r[0] == 2]
         before = [r for r in rows if r[0] == 1]
         at = 0
         while at < len(own):
             top = [r for r in system if r[1] != own[at][1]]
+            marked = bool(top) and not whole(top[0][4], own[at][4])
+            if marked:
+                top = marker
             used = sum(r[4] for r in top)
             past, room = [], min(history_tokens, budget - used - own[at][4])
             for r in reversed(before):
@@ -199,15 +209,20 @@ def chat_windows(turns: DataFrame, *, budget: int = BUDGET, history_tokens: int
     """One row per window: conv_id, first_turn (number of the span's first turn), n_turns of the
     span, n_system and n_history (repeated turns at the top), n_tokens, over_budget, system_marked
     (the repeated system turn is the marker), formatted, loss (code point spans)."""
+    always_tokens = int(budget * SYSTEM_SHARE) if system_tokens is None else system_tokens
     if system_tokens is None:
-        system_tokens = int(budget * SYSTEM_SHARE)
+        system_tokens = budget
     rows = placed_turns(turns, vocabulary).withColumn("section", F.floor(F.col("start") / section_tokens))
-    # a turn is also history for the section after its own, if it ends close enough before that one
+    # a turn is also history for the sections after its own that begin close enough behind its end; one that
+    # is longer than any history is not copied: it only ends the history there
     last = rows.groupBy("conv_id").agg(F.max("section").alias("sections")).where("sections > 0")
     later = rows.withColumnRenamed("conv_id", "of").join(
         last, F.col("of").eqNullSafe(F.col("conv_id"))).drop("conv_id").withColumnRenamed("of", "conv_id")
-    past = later.where(((F.col("section") + 1) * section_tokens - F.col("start") <= history_tokens + F.col("tokens"))
-                       & (F.col("section") < F.col("sections"))).withColumn("section", F.col("section") + 1)
+    end = F.col("start") + F.col("tokens")
+    past = later.withColumn("first", F.greatest(F.col("section") + 1, F.floor(end / section_tokens))).withColumn(
+        "reach", F.floor((end + history_tokens) / section_tokens)).where("first <= reach AND first <= sections")
+    past = past.withColumn("text", F.when(F.col("tokens") <= history_tokens, F.col("text"))).withColumn(
+        "section", F.explode(F.sequence("first", F.least("reach", "sections"))))
     # a system turn over the limit is not copied: its sections only need to know of it
     top = later.where("idx = 0 AND role = 'system'").withColumn(
         "text", F.when(F.col("tokens") <= system_tokens, F.col("text"))).withColumn(
@@ -218,7 +233,7 @@ def chat_windows(turns: DataFrame, *, budget: int = BUDGET, history_tokens: int
              .unionByName(top.withColumn("kind", F.lit(0)).select(cols)))
     every = every.repartition(partitions(turns.sparkSession), "conv_id", "section").sortWithinPartitions(
         "conv_id", "section", "idx", "kind")
-    return arrow_map(every, _windows(budget, history_tokens, system_tokens, vocabulary), WINDOW)
+    return arrow_map(every, _windows(budget, history_tokens, system_tokens, always_tokens, vocabulary), WINDOW)
 
 
 def _digest():
